@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sievework.functions.text import let
+
 
 def ratio_or_zero(num: Column, den: Column) -> Column:
     """The classifier convention: nothing over nothing is 0."""
@@ -17,10 +19,9 @@ def ratio_or_null(num: Column, den: Column) -> Column:
 
 
 def softmax(scores: Column) -> Column:
-    top = F.array_max(scores)
-    powers = F.transform(scores, lambda x: F.exp(x - top))
-    total = F.aggregate(powers, F.lit(0.0), lambda a, x: a + x)
-    return F.transform(powers, lambda x: x / total)
+    powers = let(F.array_max(scores), lambda top: F.transform(scores, lambda x: F.exp(x - top)))
+    shares = lambda p: let(F.aggregate(p, F.lit(0.0), lambda a, x: a + x), lambda total: F.transform(p, lambda x: x / total))
+    return let(powers, shares)
 
 
 def sigmoid(x: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -46,6 +48,15 @@ NUMBER_WORDS = {
 CONTEXT_WORDS = ("again", "else", "it", "next", "that", "them", "then", "there", "these", "they", "this", "those")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once.
+
+    Whatever a lambda mentions is computed for every item of its array unless it is an
+    argument of a lambda itself, so a costly value is bound as the item of an array of one.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def normalize(text: Column) -> Column:
     """Lower case; all but letters and digits become single spaces."""
     return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
@@ -66,20 +77,23 @@ def transcript_key(text: Column) -> Column:
 
 def words(text: Column) -> Column:
     """Words of the normalized text; none for a text without any."""
-    plain = normalize(text)
-    return F.when(plain == "", F.array().cast("array<string>")).otherwise(F.split(plain, " "))
+    return let(normalize(text), lambda plain: F.when(plain == "", F.array().cast("array<string>")).otherwise(F.split(plain, " ")))
 
 
 def word_ngrams(tokens: Column, n: int) -> Column:
     """The set of n-word sequences; empty where there are fewer words."""
-    spans = F.transform(F.sequence(F.lit(1), F.size(tokens) - n + 1), lambda i: F.array_join(F.slice(tokens, i, n), " "))
-    return F.when(F.size(tokens) >= n, F.array_distinct(spans)).otherwise(F.array().cast("array<string>"))
+
+    def grams(w: Column) -> Column:
+        spans = F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " "))
+        return F.when(F.size(w) >= n, F.array_distinct(spans)).otherwise(F.array().cast("array<string>"))
+
+    return let(tokens, grams)
 
 
 def char_trigrams(text: Column) -> Column:
     """The set of character trigrams of the text with two spaces before and after it."""
     padded = F.concat(F.lit("  "), text, F.lit("  "))
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(padded) - 2), lambda i: F.substr(padded, i, F.lit(3))))
+    return let(padded, lambda p: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(p) - 2), lambda i: F.substr(p, i, F.lit(3)))))
 
 
 def stable_rank(*parts: Column) -> Column:
@@ -121,7 +135,7 @@ def internal_labels(text: Column) -> Column:
 
 
 def forbidden_terms(text: Column) -> Column:
-    return F.filter(F.array(*map(F.lit, FORBIDDEN_TERMS)), lambda t: F.contains(normalize_ascii(text), t))
+    return let(normalize_ascii(text), lambda plain: F.filter(F.array(*map(F.lit, FORBIDDEN_TERMS)), lambda t: F.contains(plain, t)))
 
 
 def requests_credentials(text: Column) -> Column:
@@ -146,7 +160,7 @@ def fact_literals(text: Column) -> Column:
 
 
 def lost_facts(before: Column, after: Column) -> Column:
-    return F.filter(fact_literals(before), lambda x: ~F.contains(F.lower(after), x))
+    return let(F.lower(after), lambda low: F.filter(fact_literals(before), lambda x: ~F.contains(low, x)))
 
 
 def quantities(text: Column) -> Column:

@@ -188,7 +188,7 @@ def q_tool_gates(spark, sf_dir):
     return M.gate_failures(_evaluated(spark, sf_dir), dims.rows(spark, "name string, op string, threshold double", _TOOL_GATES))
 
 
-@query(f"""SELECT o_orderkey, CASE WHEN n IN (5, 7, 8, 9) THEN 0 WHEN n IN (3, 6) THEN 0 ELSE n_expected END::BIGINT AS matched, n_expected::INTEGER AS n_expected FROM {_WHAT}""")
+@query(f"""SELECT o_orderkey, CASE WHEN n IN (5, 6, 7, 8, 9) THEN 0 WHEN n = 3 THEN (four = '0000')::INTEGER ELSE n_expected END::BIGINT AS matched, n_expected::INTEGER AS n_expected FROM {_WHAT}""")
 def q_call_prefix_match(spark, sf_dir):
     p = T.parse(predictions(spark, sf_dir))
     got = F.split(T.call_text(F.col("calls")), ";")
