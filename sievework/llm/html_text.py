@@ -2,7 +2,9 @@
 
 A page becomes a sequence of tags and words. Words score 1, tags score below 0 by how
 often they stand outside the article in labelled pages, and one linear scan finds the
-contiguous run with the highest total. Words inside elements that hold no article text
+contiguous run with the highest total. Inside an article element, skipped elements and tags
+that no labelled page has score next to nothing, so that an advert between two paragraphs
+doesn't part them. Words inside elements that hold no article text
 (menus, adverts, forms, comments, scripts) are never words of the sequence.
 """
 
@@ -15,6 +17,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +25,8 @@ from pyspark.sql import functions as F
 FIT_LIMIT = 2000
 #: Tags that a fit keeps, at most; the rest score UNSEEN.
 TAG_LIMIT, UNSEEN, MILD = 512, -2.0, -0.01
+#: No tag scores below this, so that a long article outlasts any one of them.
+LEAST = -6.0
 
 # Element names of HTML by their use.
 RAW = frozenset("script style noscript template textarea svg math iframe object canvas title".split())
@@ -110,20 +115,20 @@ def events(page: str | None) -> Iterator[tuple[str, str, bool]]:
 
 
 def prior_weight(tag: str) -> float:
-    return MILD if tag in INSIDE else -6.0 if tag.endswith("!") else UNSEEN
+    return MILD if tag in INSIDE else LEAST if tag.endswith("!") else UNSEEN
 
 
 def tag_weights(counts: dict[str, tuple[int, int]]) -> dict[str, float]:
     """Weights from (inside, outside) counts of each tag in labelled pages: its log-odds, below 0."""
     total = [1 + sum(c[i] for c in counts.values()) for i in (0, 1)]
-    return {t: min(MILD, 2 * (math.log((inside + 0.5) / total[0]) - math.log((outside + 0.5) / total[1]))) for t, (inside, outside) in counts.items()}
+    return {t: min(MILD, max(LEAST, math.log((inside + 0.5) / total[0]) - math.log((outside + 0.5) / total[1]))) for t, (inside, outside) in counts.items()}
 
 
 def main_text(page: str | None, weights: dict[str, float]) -> str:
     """Article text of one page; empty for a null or empty page and one without words."""
     found: list[tuple[str, str]] = []
     best, best_at, total, begin = 0.0, (0, 0), 0.0, 0
-    for kind, value, _ in events(page):
+    for kind, value, in_article in events(page):
         if kind == "text":
             words = len(value.split())
             if total <= 0 and words:
@@ -133,8 +138,8 @@ def main_text(page: str | None, weights: dict[str, float]) -> str:
             if total > best:
                 best, best_at = total, (begin, len(found))
         else:
-            weight = weights.get(value)
-            total += prior_weight(value) if weight is None else weight
+            weight = MILD if in_article and value.endswith("!") else weights.get(value)
+            total += weight if weight is not None else MILD if in_article else prior_weight(value)
             found.append((kind, value))
     blocks, current = [], []
     for kind, value in found[best_at[0] : best_at[1]]:
@@ -159,19 +164,20 @@ def fit_weights(pages: DataFrame, id_col: str = "page_id", page: str = "html", l
     ids = pages.select(id_col).where(F.col(id_col).isNotNull()).distinct().orderBy(F.xxhash64(id_col), id_col).limit(limit)
     sample = pages.select(id_col, page).join(F.broadcast(ids), id_col, "left_semi").select(page)
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         inside: Counter[str] = Counter()
         outside: Counter[str] = Counter()
         for batch in batches:
-            for text in batch[page]:
-                tags = [(v, a) for kind, v, a in events(text) if kind == "tag"]
+            for text in batch.column(0):
+                tags = [(v, a) for kind, v, a in events(text.as_py()) if kind == "tag"]
                 if any(v in ("article", "main") for v, _ in tags):
                     for v, a in tags:
                         (inside if a or v == "article" else outside)[v] += 1
         names = sorted({*inside, *outside})
-        yield pd.DataFrame({"tag": names, "inside": [inside[n] for n in names], "outside": [outside[n] for n in names]})
+        columns = [pa.array(names, pa.string()), *(pa.array([c[n] for n in names], pa.int64()) for c in (inside, outside))]
+        yield pa.RecordBatch.from_arrays(columns, names=["tag", "inside", "outside"])
 
-    counted = sample.mapInPandas(count, "tag string, inside long, outside long").groupBy("tag").agg(F.sum("inside").alias("inside"), F.sum("outside").alias("outside"))
+    counted = sample.mapInArrow(count, "tag string, inside long, outside long").groupBy("tag").agg(F.sum("inside").alias("inside"), F.sum("outside").alias("outside"))
     kept = counted.orderBy(F.desc(F.col("inside") + F.col("outside")), "tag").limit(TAG_LIMIT).collect()  # at most TAG_LIMIT rows
     return tag_weights({r["tag"]: (r["inside"], r["outside"]) for r in kept})
 
