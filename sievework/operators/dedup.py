@@ -63,15 +63,15 @@ def fuzzy_pairs(rows: DataFrame, id_col: str, text: str, family: str, min_ratio:
     Equal texts are folded to their smallest id first and come back as pairs with it, so
     a group of copies costs a row each. Cheap bounds cut the pairs before Python sees them.
     """
-    grouped = rows.where(F.col(text).isNotNull()).groupBy(family, text).agg(F.min(id_col).alias("id"))
+    grouped = rows.where(F.col(text).isNotNull()).groupBy(family, text).agg(F.min(id_col).alias("__low"))
     keyed = grouped.withColumns({"block": F.substring(text, 1, prefix), "len": F.length(text)})
     # Lengths may differ by one, so each row meets its own length and the next.
-    left = keyed.select(family, "block", F.col("len"), F.col("id").alias("a"), F.col(text).alias("ta"))
-    right = keyed.select(family, "block", F.explode(F.array("len", F.col("len") - 1)).alias("len"), F.col("id").alias("b"), F.col(text).alias("tb"))
+    left = keyed.select(family, "block", F.col("len"), F.col("__low").alias("a"), F.col(text).alias("ta"))
+    right = keyed.select(family, "block", F.explode(F.array("len", F.col("len") - 1)).alias("len"), F.col("__low").alias("b"), F.col(text).alias("tb"))
     pairs = left.join(right, [family, "block", "len"]).where((F.col("a") < F.col("b")) | ((F.length("ta") != F.length("tb")) & (F.col("a") != F.col("b"))))
     bound = 1 - F.levenshtein(F.col("ta"), F.col("tb"), 400) / F.greatest(F.length("ta"), F.length("tb"))
     near = pairs.where((F.levenshtein(F.col("ta"), F.col("tb"), 400) >= 0) & (bound >= 2 * min_ratio - 1))
     scored = near.withColumn("ratio", ratio(F.col("ta"), F.col("tb"), True)).where(F.col("ratio") >= min_ratio)
     texts = scored.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "ratio").distinct()
-    same = rows.where(F.col(text).isNotNull()).join(grouped, [family, text]).where(F.col(id_col) != F.col("id")).select(F.col("id").alias("a"), F.col(id_col).alias("b"), F.lit(1.0).alias("ratio"))
+    same = rows.where(F.col(text).isNotNull()).join(grouped, [family, text]).where(F.col(id_col) != F.col("__low")).select(F.col("__low").alias("a"), F.col(id_col).alias("b"), F.lit(1.0).alias("ratio"))
     return texts.unionByName(same)
