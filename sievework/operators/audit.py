@@ -55,13 +55,17 @@ def ngram_matches(docs: DataFrame, items: DataFrame, n: int = 8) -> DataFrame:
 def facts_in_texts(facts: DataFrame, docs: DataFrame) -> DataFrame:
     """Facts (``fact_id, fact`` of one word or more) that stand in a document's normalized text: pairs.
 
-    Instead of testing every pair, a fact is found through its first word: documents meet
-    facts by that word, then the whole fact is compared as a run of words.
+    Instead of testing every pair, documents meet facts by the hash of a fact's first one,
+    two or three words; only those pairs get the document's text to compare the whole.
     """
-    form = facts.select("fact_id", X.normalize(F.col("fact")).alias("f")).where("f <> ''").withColumn("w", F.substring_index("f", " ", 1))
+    head = lambda w: F.slice(w, 1, F.least(F.lit(3), F.size(w)))
+    form = facts.select("fact_id", X.normalize(F.col("fact")).alias("f"), X.words(F.col("fact")).alias("w")).where("f <> ''")
+    keyed = form.select("fact_id", "f", F.xxhash64(F.array_join(head(F.col("w")), " ")).alias("h"))
+    split = docs.select("doc_id", X.words(F.col("text")).alias("w"))
+    grams = F.array_distinct(F.flatten(F.array(*(F.transform(X.word_ngrams(F.col("w"), n), lambda g: F.xxhash64(g)) for n in (1, 2, 3)))))
+    met = split.select("doc_id", F.explode(grams).alias("h")).join(keyed, "h").select("doc_id", "fact_id", "f")
     held = docs.select("doc_id", F.concat(F.lit(" "), X.normalize(F.col("text")), F.lit(" ")).alias("t"))
-    by_word = held.select("doc_id", "t", F.explode(F.array_distinct(F.split(F.trim("t"), " "))).alias("w"))
-    return by_word.join(F.broadcast(form), "w").where(F.contains("t", F.concat(F.lit(" "), F.col("f"), F.lit(" ")))).select("doc_id", "fact_id")
+    return met.join(held, "doc_id").where(F.contains("t", F.concat(F.lit(" "), F.col("f"), F.lit(" ")))).select("doc_id", "fact_id").distinct()
 
 
 def dice_shortlist(queries: DataFrame, texts: DataFrame, k: int = SHORTLIST) -> DataFrame:
