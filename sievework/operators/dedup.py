@@ -69,8 +69,9 @@ def fuzzy_pairs(rows: DataFrame, id_col: str, text: str, family: str, min_ratio:
     left = keyed.select(family, "block", F.col("len"), F.col("__low").alias("a"), F.col(text).alias("ta"))
     right = keyed.select(family, "block", F.explode(F.array("len", F.col("len") - 1)).alias("len"), F.col("__low").alias("b"), F.col(text).alias("tb"))
     pairs = left.join(right, [family, "block", "len"]).where((F.col("a") < F.col("b")) | ((F.length("ta") != F.length("tb")) & (F.col("a") != F.col("b"))))
-    bound = 1 - F.levenshtein(F.col("ta"), F.col("tb"), 400) / F.greatest(F.length("ta"), F.length("tb"))
-    near = pairs.where((F.levenshtein(F.col("ta"), F.col("tb"), 400) >= 0) & (bound >= 2 * min_ratio - 1))
+    # Texts of that ratio are at most (1 - ratio) times both lengths apart in edits.
+    most = F.ceil((1 - min_ratio) * (F.length("ta") + F.length("tb"))).cast("int")
+    near = pairs.where(F.call_function("levenshtein", F.col("ta"), F.col("tb"), most) >= 0)
     scored = near.withColumn("ratio", ratio(F.col("ta"), F.col("tb"), True)).where(F.col("ratio") >= min_ratio)
     texts = scored.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "ratio").distinct()
     same = rows.where(F.col(text).isNotNull()).join(grouped, [family, text]).where(F.col(id_col) != F.col("__low")).select(F.col("__low").alias("a"), F.col(id_col).alias("b"), F.lit(1.0).alias("ratio"))

@@ -108,16 +108,23 @@ def q_collate_padding(spark, sf_dir):
  CASE WHEN role = 'system' AND before IS NOT NULL THEN 'system_not_first' END, CASE WHEN role = 'assistant' AND coalesce(before = 'system', true) THEN 'assistant_without_user' END, CASE WHEN role = before THEN 'role_repeats' END,
  CASE WHEN turn <> coalesce(tb + 1, 0) THEN 'turn_gap' END], lambda x: x IS NOT NULL)) AS rule FROM s) GROUP BY conv_id, rule""")
 def q_violations_conversations(spark, sf_dir):
-    """All rule violations, on conversations as they are and with every third turn taken out, so that rules fire."""
+    """All rule violations of the conversations as they are."""
     return C.role_violations(turns(spark, sf_dir))
 
 
-@query("""WITH c AS (SELECT * FROM conversations WHERE turn % 3 <> 1), s AS (SELECT *, lag(role) OVER w AS before, lag(turn) OVER w AS tb FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
- SELECT rule, count(*) AS n FROM (SELECT conv_id, unnest(list_filter([CASE WHEN role = 'system' AND before IS NOT NULL THEN 'system_not_first' END, CASE WHEN role = 'assistant' AND coalesce(before = 'system', true) THEN 'assistant_without_user' END,
+@query("""WITH c AS (SELECT conv_id, turn + CASE WHEN conv_id % 5 = 0 AND turn > 1 THEN 1 ELSE 0 END AS turn, CASE WHEN turn = 2 THEN 'system' WHEN turn = 3 AND conv_id % 2 = 0 THEN 'robot' ELSE role END AS role, CASE WHEN turn = 1 AND conv_id % 3 = 0 THEN ' ' ELSE text END AS text FROM conversations), s AS (SELECT *, lag(role) OVER w AS before, lag(turn) OVER w AS tb FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+ SELECT rule, count(*) AS n FROM (SELECT conv_id, unnest(list_filter([CASE WHEN NOT coalesce(trim(text) <> '', false) THEN 'blank_text' END, CASE WHEN NOT coalesce(role IN ('system', 'user', 'assistant', 'tool'), false) THEN 'unknown_role' END, CASE WHEN role = 'system' AND before IS NOT NULL THEN 'system_not_first' END, CASE WHEN role = 'assistant' AND coalesce(before = 'system', true) THEN 'assistant_without_user' END,
  CASE WHEN role = before THEN 'role_repeats' END, CASE WHEN turn <> coalesce(tb + 1, 0) THEN 'turn_gap' END], lambda x: x IS NOT NULL)) AS rule FROM s) GROUP BY rule""")
 def q_violations_broken(spark, sf_dir):
-    """The same rules on records broken on purpose: a mutation test as a query."""
-    return C.role_violations(turns(spark, sf_dir).where("turn % 3 <> 1")).groupBy("rule").agg(F.sum("n").alias("n"))
+    """The same rules on conversations broken on purpose, field by field: a mutation test as a query."""
+    c, t = F.col("conv_id"), F.col("turn")
+    broken = turns(spark, sf_dir).select(
+        "conv_id",
+        (t + F.when((c % 5 == 0) & (t > 1), 1).otherwise(0)).alias("turn"),
+        F.when(t == 2, "system").when((t == 3) & (c % 2 == 0), "robot").otherwise(F.col("role")).alias("role"),
+        F.when((t == 1) & (c % 3 == 0), " ").otherwise(F.col("text")).alias("text"),
+    )
+    return C.role_violations(broken).groupBy("rule").agg(F.sum("n").alias("n"))
 
 
 _PHRASES = ("please freeze my card it was stolen", "replace the card", "I dispute a purchase", "cancel the transfer to the club", "what happened to my case", "policy on a mortgage", "show cards", "that transaction again", "transfer status", "account balance", "hello there", "nothing of these")

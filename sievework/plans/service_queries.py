@@ -207,14 +207,14 @@ _AIMS = ("the", "der", "les", "que")
 _TERMS = "list_distinct(list_filter(regexp_extract_all(trim(regexp_replace(replace(lower({0}), 'ß', 'ss'), '\\s+', ' ', 'g')), '[a-z0-9]+'), lambda w: NOT list_contains(['a', 'of', 'and', 'to', 'in', 'de', 'la', 'und'], w)))"
 
 
-@query(f"""WITH t AS (SELECT chunk_id, unnest(w) AS term FROM (SELECT doc_id AS chunk_id, {_TERMS.format("substr(text, 1, 400)")} AS w FROM documents)), q AS (SELECT query_id, unnest(w) AS term FROM (SELECT item_id AS query_id, {_TERMS.format("text")} AS w FROM benchmark)),
+@query(f"""WITH t AS (SELECT chunk_id, unnest(w) AS term FROM (SELECT doc_id AS chunk_id, {_TERMS.format("text")} AS w FROM documents)), q AS (SELECT query_id, unnest(w) AS term FROM (SELECT item_id AS query_id, {_TERMS.format("text")} AS w FROM benchmark)),
  n AS (SELECT count(*) AS n FROM documents), idf AS (SELECT term, count(*) AS df FROM t GROUP BY term), x AS (SELECT query_id, q.term, (ln((n + 1) / (coalesce(df, 0) + 1)) + 1) * CASE WHEN q.term IN {_AIMS} THEN 1.75::DOUBLE ELSE 1.0::DOUBLE END AS w FROM q CROSS JOIN n LEFT JOIN idf USING (term)),
  s AS (SELECT query_id, chunk_id, sum(w) AS part, bool_or(term IN {_AIMS}) AS aimed FROM x JOIN t USING (term) GROUP BY query_id, chunk_id), f AS (SELECT query_id, sum(w) AS whole FROM x GROUP BY query_id),
  r AS (SELECT query_id, chunk_id, round(part / whole, 6) AS score FROM s JOIN f USING (query_id) WHERE aimed)
  SELECT query_id, chunk_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INTEGER AS rank FROM r WHERE score >= 0.1) WHERE rank <= 3""")
 def q_policy_lookup(spark, sf_dir):
-    """Leads of documents as passages; frequent words of the four languages as intent terms."""
-    chunks = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.substring("text", 1, 400).alias("text"))
+    """Documents as passages; frequent words of the four languages as intent terms."""
+    chunks = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
     queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     return R.lookup(queries, chunks, _AIMS, 3, 0.1, stop=("a", "of", "and", "to", "in", "de", "la", "und"), aliases={})
 

@@ -150,10 +150,10 @@ def q_split_dim_counts(spark, sf_dir):
 
 
 @query(f"""SELECT kind, key, string_agg(DISTINCT split, ',' ORDER BY split) AS splits FROM (
- SELECT 'text' AS kind, md5({norm('text')}) AS key, split FROM {_SPLIT} UNION ALL SELECT 'lead', md5({norm("substr(text, 1, 24)")}), split FROM {_SPLIT} UNION ALL SELECT 'lang', lang, split FROM {_SPLIT}
+ SELECT 'text' AS kind, md5({norm('text')}) AS key, split FROM {_SPLIT} UNION ALL SELECT 'n_chars', n_chars::VARCHAR, split FROM {_SPLIT} UNION ALL SELECT 'lang', lang, split FROM {_SPLIT}
  ) GROUP BY kind, key HAVING count(DISTINCT split) > 1""")
 def q_group_leakage(spark, sf_dir):
-    keys = {"text": F.md5(X.normalize(F.col("text"))), "lead": F.md5(X.normalize(F.substring("text", 1, 24))), "lang": F.col("lang")}
+    keys = {"text": F.md5(X.normalize(F.col("text"))), "n_chars": F.col("n_chars"), "lang": F.col("lang")}
     return audit.leakage(split_docs(spark, sf_dir), keys)
 
 
@@ -225,32 +225,37 @@ def q_contam_ngram8(spark, sf_dir):
     return audit.ngram_matches(docs(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
-@query(f"SELECT doc_id, item_id AS fact_id FROM (SELECT doc_id, ' ' || {norm('text')} || ' ' AS t FROM documents) JOIN (SELECT item_id, {norm('substr(text, 1, 40)')} AS f FROM benchmark) ON f <> '' AND contains(t, ' ' || f || ' ')")
+_FACTS = f"(SELECT DISTINCT item_id, f FROM (SELECT item_id, {norm('p')} AS f FROM (SELECT item_id, unnest(string_split_regex(text, '[.!?\\n]+')) AS p FROM benchmark)) WHERE len(string_split(f, ' ')) >= 3)"
+
+
+@query(f"SELECT DISTINCT doc_id, item_id AS fact_id FROM (SELECT doc_id, ' ' || {norm('text')} || ' ' AS t FROM documents) JOIN {_FACTS} ON contains(t, ' ' || f || ' ')")
 def q_contam_substring(spark, sf_dir):
-    facts = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("fact_id"), F.substring("text", 1, 40).alias("fact"))
-    return audit.facts_in_texts(facts, docs(spark, sf_dir))
+    """Sentences of three words or more of the items, sought in whole documents."""
+    parts = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("fact_id"), F.explode(F.split("text", r"[.!?\n]+")).alias("fact"))
+    return audit.facts_in_texts(parts.where(F.size(X.words(F.col("fact"))) >= 3).distinct(), docs(spark, sf_dir))
 
 
-def _leads(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), X.normalize(F.substring("text", 1, 80)).alias("text"))
-    t = docs(spark, sf_dir).select(F.col("doc_id").alias("tid"), X.normalize(F.substring("text", 1, 80)).alias("text"))
+def _prompts(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Held-out items as queries, users' messages as the texts they may be close to."""
+    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), X.normalize(F.col("text")).alias("text"))
+    t = table(spark, sf_dir, "conversations").where("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("tid"), X.normalize(F.col("text")).alias("text"))
     return q, t
 
 
 _TRI = lambda t, k: f"(SELECT {k}, text, list_distinct(list_transform(range(1, length(p) - 1), lambda i: substr(p, i, 3))) AS g FROM (SELECT {k}, text, '  ' || text || '  ' AS p FROM {t}))"
 
 
-@query(f"""WITH b AS (SELECT item_id AS qid, {norm('substr(text, 1, 80)')} AS text FROM benchmark), d AS (SELECT doc_id AS tid, {norm('substr(text, 1, 80)')} AS text FROM documents),
+@query(f"""WITH b AS (SELECT item_id AS qid, {norm('text')} AS text FROM benchmark), d AS (SELECT conv_id * 1000 + turn AS tid, {norm('text')} AS text FROM conversations WHERE role = 'user'),
  q AS {_TRI('b', 'qid')}, t AS {_TRI('d', 'tid')}, c AS (SELECT qid, tid, count(*) AS common FROM (SELECT qid, unnest(g) AS g FROM q) JOIN (SELECT tid, unnest(g) AS g FROM t) USING (g) GROUP BY qid, tid)
  SELECT qid, tid, dice, rank FROM (SELECT qid, tid, 2.0::DOUBLE * common / (len(q.g) + len(t.g)) AS dice, row_number() OVER (PARTITION BY qid ORDER BY 2.0::DOUBLE * common / (len(q.g) + len(t.g)) DESC, t.text, tid)::INTEGER AS rank FROM c JOIN q USING (qid) JOIN t USING (tid)) WHERE rank <= 32""")
 def q_trigram_dice_top(spark, sf_dir):
-    return audit.dice_shortlist(*_leads(spark, sf_dir))
+    return audit.dice_shortlist(*_prompts(spark, sf_dir))
 
 
 @query()
 def q_nearest_prompt_ratio(spark, sf_dir):
     """The best matching-block ratio of each item's shortlist; SQL has no such function."""
-    q, t = _leads(spark, sf_dir)
+    q, t = _prompts(spark, sf_dir)
     short = audit.dice_shortlist(q, t).join(q.withColumnRenamed("text", "qt"), "qid").join(t.withColumnRenamed("text", "tt"), "tid")
     scored = short.withColumn("ratio", dedup.ratio(F.col("qt"), F.col("tt"), False))
     best = scored.groupBy("qid").agg(F.max_by(F.struct("tid", "ratio"), F.struct("ratio", (-F.col("rank")).alias("r"))).alias("b"))
@@ -259,9 +264,8 @@ def q_nearest_prompt_ratio(spark, sf_dir):
 
 @query()
 def q_fuzzy_dups(spark, sf_dir):
-    """Blocked matching-block pairs of leads; SQL has no such ratio."""
-    lead = docs(spark, sf_dir).select("doc_id", "source", F.substring("text", 1, 400).alias("t"))
-    return dedup.fuzzy_pairs(lead, "doc_id", "t", "source").select("a", "b", F.round("ratio", 9).alias("ratio"))
+    """Blocked matching-block pairs of whole texts within a source; SQL has no such ratio."""
+    return dedup.fuzzy_pairs(docs(spark, sf_dir).select("doc_id", "source", "text"), "doc_id", "text", "source").select("a", "b", F.round("ratio", 9).alias("ratio"))
 
 
 @query("""SELECT s.source, l.lang FROM (SELECT DISTINCT source FROM documents) s CROSS JOIN (SELECT unnest(['en', 'de', 'fr', 'es', 'it']) AS lang) l WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE d.source = s.source AND d.lang = l.lang)""")
@@ -284,13 +288,13 @@ def q_resume_pending(spark, sf_dir):
     return sinks.pending(docs(spark, sf_dir).select("doc_id"), table(spark, sf_dir, "labels"), "doc_id")
 
 
-@query("SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, CASE WHEN l.doc_id IS NULL THEN 'missing' ELSE 'extra' END AS status FROM (SELECT doc_id FROM documents WHERE doc_id % 3 <> 0) d FULL OUTER JOIN (SELECT doc_id FROM labels) l ON d.doc_id = l.doc_id WHERE d.doc_id IS NULL OR l.doc_id IS NULL")
+@query("SELECT coalesce(doc_id, vec_id) AS id, CASE WHEN vec_id IS NULL THEN 'missing' ELSE 'extra' END AS status FROM labels FULL OUTER JOIN embeddings ON doc_id = vec_id WHERE doc_id IS NULL OR vec_id IS NULL")
 def q_rescore_coverage(spark, sf_dir):
-    """Coverage both ways. That two thirds of the ids are asked for is the case, not a cut."""
-    want = docs(spark, sf_dir).where("doc_id % 3 <> 0").select("doc_id").withColumn("w", F.lit(1))
-    have = table(spark, sf_dir, "labels").select("doc_id").withColumn("h", F.lit(1))
-    joined = want.join(have, "doc_id", "full_outer").where("w IS NULL OR h IS NULL")
-    return joined.select("doc_id", F.when(F.col("h").isNull(), "missing").otherwise("extra").alias("status"))
+    """Ids asked for (labels) against ids answered (vectors), both ways."""
+    want = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.lit(1).alias("w"))
+    have = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.lit(1).alias("h"))
+    joined = want.join(have, "id", "full_outer").where("w IS NULL OR h IS NULL")
+    return joined.select("id", F.when(F.col("h").isNull(), "missing").otherwise("extra").alias("status"))
 
 
 _FORMS = "list_distinct([v, " + norm_ascii("v") + ", replace(v, ',', ''), replace(replace(v, ',', ''), '.', '')])"
