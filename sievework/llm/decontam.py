@@ -20,9 +20,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sievework.functions.text import let
 from sievework.llm._common import settle
 
-WINDOW, SHINGLE, SEED = 10, 3, 42
+WINDOW, SHINGLE, SHINGLE_MAX, TURN, SEED = 10, 3, 3, 21, 42
+#: Words whose hashes a task remembers before it begins anew.
+KNOWN_WORDS = 1 << 20
 #: Bits of the membership map over window shingles that tasks receive; its size is fixed.
 MAP_BITS = 1 << 24
 # Words are runs of ASCII letters and digits and of all characters from U+0080.
@@ -30,7 +33,24 @@ WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _WORDS = re.compile(WORD)
 _TO_LOWER = {i: i + 32 for i in range(65, 91)}
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_CHUNK = 1 << 16
+
+
+class _Hashes(dict):
+    """Hashes of words, each computed once."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = made = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), SEED)
+        return made
+
+
+def _tokens(hashes: np.ndarray, k: int) -> np.ndarray:
+    """What :func:`shingles` computes, for the hashes of a document's words."""
+    n = len(hashes) - k + 1
+    out = hashes[:n].copy()
+    for j in range(1, k):
+        part = hashes[j : j + n]
+        out ^= (part << np.uint64(TURN * j)) | (part >> np.uint64(64 - TURN * j))
+    return out
 
 
 def words_of(text: Column) -> Column:
@@ -42,6 +62,8 @@ def windows_of(items: DataFrame, item_id: str, text: str, window: int = WINDOW,
 
     ``k`` is the words per shingle: ``shingle``, or all words of a shorter window.
     """
+    if not 1 <= shingle <= SHINGLE_MAX:
+        raise ValueError(f"shingles have 1 to {SHINGLE_MAX} words")
     split = items.select(F.col(item_id).alias("item_id"), words_of(F.col(text)).alias("w")).where(F.size("w") > 0)
     starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - window + 1))
     spread = split.select("item_id", F.explode(F.transform(starts, lambda i: F.slice("w", i, F.least(F.lit(window), F.size("w"))))).alias("words"))
@@ -50,10 +72,28 @@ def windows_of(items: DataFrame, item_id: str, text: str, window: int = WINDOW,
     return settle(windows), held.select("wid", "item_id").distinct()
 
 
+def _turned(value: Column, bits: int) -> Column:
+    return F.shiftleft(value, bits).bitwiseOR(F.shiftrightunsigned(value, 64 - bits)) if bits else value
+
+
 def shingles(words: Column, k: Column) -> Column:
-    """(offset, token) of every run of ``k`` words; the token is a 64-bit hash."""
-    starts = F.sequence(F.lit(0), F.size(words) - k)
-    return F.transform(starts, lambda i: F.struct(i.alias("offset"), F.xxhash64(F.array_join(F.slice(words, i + 1, k), " ")).alias("token")))
+    """(offset, token) of every run of ``k`` words, at most SHINGLE_MAX.
+
+    A token combines the words' 64-bit hashes, each turned by TURN bits more than the one
+    before it. Tokens only find candidates, whose words are compared, so that two runs of
+    one token do no harm.
+    """
+
+    def tokens(hashes: Column) -> Column:
+        def at(i: Column) -> Column:
+            token = F.get(hashes, i)
+            for j in range(1, SHINGLE_MAX):
+                token = token.bitwiseXOR(F.when(k > j, _turned(F.get(hashes, i + j), TURN * j)).otherwise(F.lit(0).cast("bigint")))
+            return F.struct(i.alias("offset"), token.alias("token"))
+
+        return F.transform(F.sequence(F.lit(0), F.size(hashes) - k), at)
+
+    return let(F.transform(words, lambda w: F.xxhash64(w)), tokens)
 
 
 def _member_map(tokens: DataFrame) -> np.ndarray:
@@ -82,7 +122,7 @@ def _scan(docs: DataFrame, id_col: str, text: str, bits: np.ndarray, least: dict
     shared = docs.sparkSession.sparkContext.broadcast(np.packbits(bits))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        member, hashed = np.unpackbits(shared.value).view(bool), xxhash.xxh64_intdigest
+        member, known = np.unpackbits(shared.value).view(bool), _Hashes()
         for batch in batches:
             keys, sizes, spans = [], [], []
             counts: Counter[int] = Counter()
@@ -92,17 +132,15 @@ def _scan(docs: DataFrame, id_col: str, text: str, bits: np.ndarray, least: dict
                 keys.append(xxhash.xxh3_128_hexdigest(whole.encode("utf-8", "surrogatepass")) if value.is_valid else "")
                 sizes.append(len(words))
                 found: list[tuple[int, int]] = []
+                if len(known) > KNOWN_WORDS:
+                    known.clear()
+                hashes = np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
                 for k, shortest in least.items():
-                    n = len(words) - k + 1
-                    if n < shortest:
+                    if len(words) - k + 1 < shortest:
                         continue
-                    hit, tokens = np.zeros(n, dtype=bool), []
-                    for at in range(0, n, _CHUNK):
-                        size = min(_CHUNK, n - at)
-                        part = np.fromiter((hashed(" ".join(s).encode("utf-8", "surrogatepass"), SEED) for s in zip(*(words[at + i : at + i + size] for i in range(k)), strict=True)), dtype=np.uint64, count=size)
-                        hit[at : at + size] = member[(part & np.uint64(MAP_BITS - 1)).astype(np.int64)]
-                        tokens.append(part[hit[at : at + size]].view(np.int64))
-                    counts.update(np.concatenate(tokens).tolist())
+                    tokens = _tokens(hashes, k)
+                    hit = member[(tokens & np.uint64(MAP_BITS - 1)).astype(np.int64)]
+                    counts.update(tokens[hit].view(np.int64).tolist())
                     found += [(a, b + k - 1) for a, b in _runs(hit, shortest)]
                 merged: list[list[int]] = []
                 for a, b in sorted(found):
