@@ -35,9 +35,10 @@ def normal(text: str | None) -> bytes:
     return " ".join(_WORDS.findall((text or "").lower())).encode("utf-8", "replace")
 
 
-def _compressor(content: bytes) -> zstandard.ZstdCompressor:
+def _compressor(content: bytes, fine: bool = False) -> zstandard.ZstdCompressor:
+    """``fine`` finds shorter matches, at more cost."""
     params = zstandard.ZstdCompressionParameters(
-        window_log=18, chain_log=15, hash_log=15, search_log=4, min_match=4, target_length=64, strategy=zstandard.STRATEGY_LAZY, write_content_size=False, write_checksum=False, write_dict_id=False
+        window_log=18, chain_log=15, hash_log=15, search_log=4, min_match=3 if fine else 4, target_length=64, strategy=zstandard.STRATEGY_BTULTRA if fine else zstandard.STRATEGY_LAZY, write_content_size=False, write_checksum=False, write_dict_id=False
     )
     made = zstandard.ZstdCompressionDict(content + _LEAD, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     made.precompute_compress(compression_params=params)
@@ -49,19 +50,30 @@ class Classifier:
 
     def __init__(self, dictionaries: dict[str, bytes]):
         self.models = [(k, _compressor(dictionaries[k])) for k in sorted(dictionaries)]
+        self.fine = [(k, _compressor(dictionaries[k], True)) for k in sorted(dictionaries)]
 
     def predict(self, text: str | None) -> tuple[str, float, float]:
-        """Language, score from 0 to 1, margin. No letter or no model: ``und``, 0, 0."""
+        """Language, score from 0 to 1, margin. No letter or no model: ``und``, 0, 0.
+
+        Texts that tie, such as those of a few short words, are told by their distinct
+        words, each compressed on its own with shorter matches.
+        """
         body = normal(text)
-        if not body or not self.models:
+        if not body or not self.models or not any(map(str.isalpha, text)):
             return UNKNOWN, 0.0, 0.0
         blocks = [_LEAD + b" " + body[i : i + BLOCK] for i in range(0, len(body), BLOCK)]
-        sizes = sorted((sum(len(c.compress(b)) for b in blocks), k) for k, c in self.models)
+        sizes = self._sizes(self.models, blocks)
         if len(sizes) == 1:
             return sizes[0][1], 1.0, 1.0
+        if sizes[0][0] == sizes[1][0]:
+            sizes = self._sizes(self.fine, [_LEAD + b" " + w + b" " for w in dict.fromkeys(body.split())])
         margin = (sizes[1][0] - sizes[0][0]) / sizes[1][0]
         return sizes[0][1], 1.0 / (1.0 + math.exp(-40.0 * margin)), margin
 
+    @staticmethod
+    def _sizes(models: list, blocks: list[bytes]) -> list[tuple[int, str]]:
+        return sorted((sum(len(c.compress(b)) for b in blocks), k) for k, c in models)
+
 
 def held_out(id_col: Column) -> Column:
     """Rows that no fit may see: crc32 of the id's digits leaves 1 modulo 3."""

@@ -160,7 +160,7 @@ def test_language_edge_cases(spark):
     docs = spark.createDataFrame([*train, (None, "x", "en"), (900, None, "en"), (901, "y", None)], "doc_id bigint, text string, lang string")
     found = language.fit(docs)
     assert sorted(found) == ["en", "fr"]
-    texts = spark.createDataFrame([(1, None), (2, ""), (3, "123 !?"), (4, "the other man and the dog"), (5, "une autre dame avec la maison"), (5, "une autre dame avec la maison"), (6, "the other " * 100_000)], "doc_id int, text string").withColumn("score", F.lit("mine"))
+    texts = spark.createDataFrame([(1, None), (2, ""), (3, "123 !? ² Ⅷ"), (4, "the other man and the dog"), (5, "une autre dame avec la maison"), (5, "une autre dame avec la maison"), (6, "the other " * 100_000)], "doc_id int, text string").withColumn("score", F.lit("mine"))
     got = [(r.doc_id, r.lang_pred, r.accepted) for r in language.identify(texts, found).orderBy("doc_id").collect()]
     assert got == [(1, "und", False), (2, "und", False), (3, "und", False), (4, "en", True), (5, "fr", True), (5, "fr", True), (6, "en", True)]
     assert language.identify(texts, language.fit(docs.limit(0))).where("lang_pred = 'und' AND score = 0").count() == 7
