@@ -66,12 +66,15 @@ def fuzzy_pairs(rows: DataFrame, id_col: str, text: str, family: str, min_ratio:
     grouped = rows.where(F.col(text).isNotNull()).groupBy(family, text).agg(F.min(id_col).alias("__low"))
     keyed = grouped.withColumns({"block": F.substring(text, 1, prefix), "len": F.length(text)})
     # Lengths may differ by one, so each row meets its own length and the next.
-    left = keyed.select(family, "block", F.col("len"), F.col("__low").alias("a"), F.col(text).alias("ta"))
-    right = keyed.select(family, "block", F.explode(F.array("len", F.col("len") - 1)).alias("len"), F.col("__low").alias("b"), F.col(text).alias("tb"))
-    pairs = left.join(right, [family, "block", "len"]).where((F.col("a") < F.col("b")) | ((F.length("ta") != F.length("tb")) & (F.col("a") != F.col("b"))))
+    left = keyed.select(F.col(family).alias("fa"), F.col("block").alias("ka"), F.col("len").alias("la"), F.col("__low").alias("a"), F.col(text).alias("ta"))
+    right = keyed.select(F.col(family).alias("fb"), F.col("block").alias("kb"), F.explode(F.array("len", F.col("len") - 1)).alias("lb"), F.col("__low").alias("b"), F.col(text).alias("tb"))
     # Texts of that ratio are at most (1 - ratio) times both lengths apart in edits.
     most = F.ceil((1 - min_ratio) * (F.length("ta") + F.length("tb"))).cast("int")
-    near = pairs.where(F.call_function("levenshtein", F.col("ta"), F.col("tb"), most) >= 0)
+    apart = (F.col("a") < F.col("b")) | ((F.length("ta") != F.length("tb")) & (F.col("a") != F.col("b")))
+    # All in the join's condition: a filter above it would meet the Python function's, and
+    # Spark would call that on every pair of a block.
+    same_block = F.col("fa").eqNullSafe(F.col("fb")) & (F.col("ka") == F.col("kb")) & (F.col("la") == F.col("lb"))
+    near = left.join(right, same_block & apart & (F.call_function("levenshtein", F.col("ta"), F.col("tb"), most) >= 0)).select("a", "b", "ta", "tb")
     scored = near.withColumn("ratio", ratio(F.col("ta"), F.col("tb"), True)).where(F.col("ratio") >= min_ratio)
     texts = scored.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "ratio").distinct()
     same = rows.where(F.col(text).isNotNull()).join(grouped, [family, text]).where(F.col(id_col) != F.col("__low")).select(F.col("__low").alias("a"), F.col(id_col).alias("b"), F.lit(1.0).alias("ratio"))
