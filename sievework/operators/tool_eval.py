@@ -22,21 +22,19 @@ def parse(rows: DataFrame, raw: str = "raw_output") -> DataFrame:
     blocks = F.regexp_extract_all(F.col(raw), F.lit(BLOCK), F.lit(1))
     marked = F.contains(raw, F.lit("<tool_call")) | F.contains(raw, F.lit("</tool_call>"))
 
-    def one(block: Column) -> Column:
-        value = F.try_parse_json(block)
+    def one(value: Column) -> Column:
         name, arguments = F.try_variant_get(value, "$.name", "string"), F.try_variant_get(value, "$.arguments", "variant")
         kind = lambda v: F.coalesce(F.schema_of_variant(v), F.lit(""))
-        absent = arguments.isNull()
         fail = (
             F.when(value.isNull(), FAILURES[1])
             .when(~F.startswith(kind(value), F.lit("OBJECT")), FAILURES[2])
             .when((kind(F.try_variant_get(value, "$.name", "variant")) != "STRING") | (F.trim(F.coalesce(name, F.lit(""))) == ""), FAILURES[3])
-            .when(~absent & ~F.startswith(kind(arguments), F.lit("OBJECT")), FAILURES[4])
+            .when(arguments.isNotNull() & ~F.startswith(kind(arguments), F.lit("OBJECT")), FAILURES[4])
         )
         pairs = F.map_entries(F.coalesce(F.try_variant_get(value, "$.arguments", "map<string,string>"), F.create_map().cast("map<string,string>")))
         return F.struct(F.trim(name).alias("name"), F.transform(F.array_sort(pairs), lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value"))).alias("arguments"), fail.alias("failure"))
 
-    read = rows.withColumns({"__c": F.transform(blocks, one), "__m": marked & (F.size(blocks) == 0)})
+    read = rows.withColumns({"__c": F.transform(F.transform(blocks, lambda b: F.try_parse_json(b)), one), "__m": marked & (F.size(blocks) == 0)})
     failure = F.when(F.col("__m"), FAILURES[0]).otherwise(F.get(F.filter(F.transform("__c", lambda c: c["failure"]), lambda f: f.isNotNull()), F.lit(0)))
     none = F.array().cast("array<struct<name:string,arguments:array<struct<key:string,value:string>>>>")
     good = F.transform("__c", lambda c: F.struct(c["name"].alias("name"), c["arguments"].alias("arguments"))).cast("array<struct<name:string,arguments:array<struct<key:string,value:string>>>>")
@@ -53,16 +51,24 @@ def call_names(calls: Column) -> Column:
     return F.array_join(F.transform(calls, lambda c: c["name"]), ";")
 
 
-def manifest_failures(parsed: DataFrame, key: str) -> DataFrame:
-    """Calls of unknown tools or with arguments that their tool lacks or that are private."""
+def call_problems(calls: Column) -> Column:
+    """Calls of unknown tools or with arguments that are private or that their tool lacks, with their position."""
     allowed = F.create_map(*(x for k, v in dims.TOOL_ARGUMENTS.items() for x in (F.lit(k), F.array(*map(F.lit, v)).cast("array<string>"))))
-    known = F.try_element_at(allowed, F.col("c.name"))
-    keys = F.transform(F.col("c.arguments"), lambda a: a["key"])
-    private = F.array_intersect(keys, F.array(*map(F.lit, dims.PRIVATE_ARGUMENTS)))
-    extra = F.array_except(F.array_except(keys, F.coalesce(known, F.array().cast("array<string>"))), private)
-    each = parsed.select(key, F.posexplode("calls").alias("position", "c")).withColumns({"known": known.isNotNull(), "private": F.array_join(F.array_sort(private), ","), "unsupported": F.array_join(F.array_sort(extra), ",")})
-    reason = F.when(~F.col("known"), "unknown_tool").when(F.col("private") != "", "private_arguments").when(F.col("unsupported") != "", "unsupported_arguments")
-    return each.withColumn("reason", reason).where(F.col("reason").isNotNull()).select(key, F.col("position").cast("bigint").alias("position"), F.col("c.name").alias("tool"), "reason", "private", "unsupported")
+
+    def one(c: Column, i: Column) -> Column:
+        known = F.try_element_at(allowed, c["name"])
+        keys = F.transform(c["arguments"], lambda a: a["key"])
+        private = F.array_intersect(keys, F.array(*map(F.lit, dims.PRIVATE_ARGUMENTS)))
+        extra = F.array_except(F.array_except(keys, F.coalesce(known, F.array().cast("array<string>"))), private)
+        reason = F.when(known.isNull(), "unknown_tool").when(F.size(private) > 0, "private_arguments").when(F.size(extra) > 0, "unsupported_arguments")
+        return F.struct(i.cast("bigint").alias("position"), c["name"].alias("tool"), reason.alias("reason"), F.array_join(F.array_sort(private), ",").alias("private"), F.array_join(F.array_sort(extra), ",").alias("unsupported"))
+
+    return F.filter(F.transform(calls, one), lambda p: p["reason"].isNotNull())
+
+
+def manifest_failures(parsed: DataFrame, key: str) -> DataFrame:
+    """One row per call that :func:`call_problems` finds."""
+    return parsed.select(key, F.inline(call_problems(F.col("calls"))))
 
 
 def grounded(content: Column, required: Column, forbidden: Column) -> Column:
