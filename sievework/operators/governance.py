@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sievework.functions import text as X
 from sievework.plans import dims
 
-#: Safe error codes by how a backend's message begins; the last rule is an equality.
+# Safe error codes by how a backend's message begins; NOT_FOUND is an equality.
 ERROR_CODES = (
     ("unsupported tool:", "unsupported_tool"),
     ("unsupported arguments", "invalid_arguments"),
