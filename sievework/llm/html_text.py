@@ -47,6 +47,8 @@ _MARKUP = re.compile(
 _MARKS = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.IGNORECASE)
 _PARTS = re.compile(r"[a-z0-9]+")
+#: Words that make a class say something of an element's layout, not what the element is.
+LAYOUT = frozenset("has no not with without print layout".split())
 
 
 def _is_skipped(name: str, attributes: str, in_article: bool) -> bool:
@@ -57,7 +59,8 @@ def _is_skipped(name: str, attributes: str, in_article: bool) -> bool:
     if _HIDDEN.search(attributes):
         return True
     for _, a, b, c in _MARKS.findall(attributes):
-        parts = _PARTS.findall((a or b or c).lower())
+        names = [_PARTS.findall(t) for t in (a or b or c).lower().split()]
+        parts = [p for n in names if LAYOUT.isdisjoint(n) for p in n]
         if name == "article":
             parts = [p for p in parts if p in ("comment", "comments", "ad", "sponsored", "promo", "related")]
         if any(p in NOT_TEXT for p in parts):
@@ -72,7 +75,7 @@ def events(page: str | None) -> Iterator[tuple[str, str, bool]]:
     and a skipped element is one tag named after it with a ``!``.
     """
     page = page or ""
-    at, skip, depth, article = 0, "", 0, 0
+    at, skip, depth, article, met = 0, "", 0, 0, False
     raw_end: int | None = None
     for m in _MARKUP.finditer(page):
         if raw_end is not None:
@@ -92,6 +95,8 @@ def events(page: str | None) -> Iterator[tuple[str, str, bool]]:
             if not skip:
                 yield "tag", name + "!", article > 0
             continue
+        if skip and not closing and not met and name in ("article", "main") and not _is_skipped(name, m[3], False):
+            skip, depth = "", 0  # the page's first article: what is around it is a wrapper
         if skip:
             if name == skip:
                 depth += -1 if closing else 1
@@ -106,6 +111,7 @@ def events(page: str | None) -> Iterator[tuple[str, str, bool]]:
             yield "tag", name + "!", article > 0
             continue
         if name in ("article", "main"):
+            met = True
             article = max(0, article + (-1 if closing else 1))
         yield "tag", name, article > 0
     if raw_end is not None:

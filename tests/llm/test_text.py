@@ -112,6 +112,14 @@ def test_odd_pages():
     assert len(html_text.main_text(long, {})) == len("word " * 200_000) - 1
 
 
+@pytest.mark.parametrize("wrapper", ['div class="layout has-sidebar"', "section class=no-sidebar", 'div class="content-with-widgets"', 'div class="post hidden-print"', "form action=/", "div class=modal"])
+def test_wrappers_keep_their_article(wrapper):
+    page = f"<body><{wrapper}><nav>Menu of words</nav><article><p>All of the text</p><div class=sidebar>Buy</div></article></{wrapper.split()[0]}><footer>End</footer></body>"
+    assert html_text.main_text(page, {}) == "All of the text"
+    if wrapper.split()[-1] not in ("action=/", "class=modal"):
+        assert html_text.main_text(page.replace("article>", "div>"), {}) == "All of the text"
+
+
 def test_extraction_on_labelled_pages(spark, sf_dir):
     """Against the article element of every page, which the extraction has no rule for."""
     import html as h
