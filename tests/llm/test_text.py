@@ -112,30 +112,82 @@ def test_odd_pages():
     assert len(html_text.main_text(long, {})) == len("word " * 200_000) - 1
 
 
-@pytest.mark.parametrize("wrapper", ['div class="layout has-sidebar"', "section class=no-sidebar", 'div class="content-with-widgets"', 'div class="post hidden-print"', "form action=/", "div class=modal"])
+@pytest.mark.parametrize(
+    "wrapper", ['div class="layout has-sidebar"', "section class=no-sidebar", 'div class="content-with-widgets"', 'div class="post hidden-print"', 'div class="content has-sidebar"', "div class=no-comments", "section class=social-policy", "form id=aspnetForm", "div class=modal"]
+)
 def test_wrappers_keep_their_article(wrapper):
     page = f"<body><{wrapper}><nav>Menu of words</nav><article><p>All of the text</p><div class=sidebar>Buy</div></article></{wrapper.split()[0]}><footer>End</footer></body>"
     assert html_text.main_text(page, {}) == "All of the text"
-    if wrapper.split()[-1] not in ("action=/", "class=modal"):
-        assert html_text.main_text(page.replace("article>", "div>"), {}) == "All of the text"
-
-
-def test_extraction_on_labelled_pages(spark, sf_dir):
-    """Against the article element of every page, which the extraction has no rule for."""
+    assert html_text.main_text(page.replace("article>", "div>"), {}) == "All of the text"
+
+
+def test_regions_quotes_and_hidden_parts():
+    text = lambda p: html_text.main_text(p, {})
+    a, b = "<p>" + "one " * 50 + "</p>", "<p>" + "two " * 50 + "</p>"
+    assert text(a + "<ul><li></li></ul>" * 60 + b) == "one " * 49 + "one\n" + "two " * 49 + "two"
+    assert text('<p class="x>Hello dear</p><p>rest is here</p>') == "Hello dear\nrest is here"
+    assert text('<p class="x>Hello dear</p><p class="y">rest</p>') == "Hello dear\nrest"
+    assert text('<p title="a > b">Hello</p>') == "Hello"
+    assert text("<article><p>see <math><mi>x</mi></math> and <span hidden>this</span> <object>that</object></article>") == "see x and this that"
+    assert text("<main><h1>Title</h1><article><p>Body</p></article><div class=related>Other things</div></main>") == "Title\nBody"
+    assert text("<aside><article>teaser</article></aside><p>body words") == "body words"
+    assert text("<nav><ul><li>a<article><p>All of it</article><footer>f") == "All of it"
+    assert text("<div>" * 50_000 + "deep" + "</div>" * 50_000) == "deep"
+    block = "<div class=content>" + "<p>word word word</p>" * 5 + "<div class=ad-slot>buy this now and here please</div><p>a short tail</p></div>"
+    assert text(block + "<div class=comment-list>" + "<p>nice one</p>" * 50 + "</div>") == "word word word\n" * 5 + "a short tail"
+
+
+def test_weights_decide():
+    page = "<div class=zone>first words</div><p>" + "text " * 30 + "</p>"
+    assert html_text.main_text(page, {".zone": -4.0}) == "text " * 29 + "text"
+    assert html_text.main_text(page, {"<div": -0.01}) == "first words\n" + "text " * 29 + "text"
+    assert html_text.main_text(page, {"<div": -4.0}) == "text " * 29 + "text"
+
+
+def test_runs_like_their_definition():
+    """The best run, then the best of what is left on either side, and so on."""
+
+    def brute(scores, start, end):
+        at = [(sum(scores[i:j]), i - j, i, j) for i in range(start, end) for j in range(i + 1, end + 1)]
+        total, _, i, j = max(at, default=(0, 0, 0, 0))
+        return [] if total <= 0 else [*brute(scores, start, i), (i, j, total), *brute(scores, j, end)]
+
+    rng = random.Random(3)
+    for _ in range(300):
+        scores = [rng.choice((-5, -3, -2, -1, 1, 2, 3, 7)) + rng.random() for _ in range(rng.randrange(0, 16))]
+        got = html_text.maximal_runs(scores)
+        assert [r[:2] for r in got] == [r[:2] for r in brute(scores, 0, len(scores))]
+    assert len(html_text.maximal_runs([1, -2] * 100_000)) == 100_000
+
+
+def article(page):
+    """Text of the article element, by patterns that fit these pages alone."""
     import html as h
 
-    pages = {r.page_id: r.html for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
+    inner = re.search(r"<article>(.*?)(?:</article>|$)", page, re.S)[1]
+    blocks = (re.sub(r"<[^>]+>", "", b.replace("<br>", " ")) for b in re.split(r"</?(?:p|h1)>", inner))
+    return "\n".join(x for x in (" ".join(h.unescape(b).split()) for b in blocks) if x)
 
-    def article(page):
-        inner = re.search(r"<article>(.*?)(?:</article>|$)", page, re.S)[1]
-        blocks = (re.sub(r"<[^>]+>", "", b.replace("<br>", " ")) for b in re.split(r"</?(?:p|h1)>", inner))
-        return "\n".join(x for x in (" ".join(h.unescape(b).split()) for b in blocks) if x)
 
+def test_extraction_on_labelled_pages(spark, sf_dir):
+    """Against the article element of every page."""
+    pages = {r.page_id: r.html for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
     got = {r.page_id: r for r in QUERIES["op4_html_text"](spark, sf_dir).collect()}
     assert {k: r.text for k, r in got.items()} == {k: article(p) for k, p in pages.items()}
     assert all(r.n_chars == len(r.text) for r in got.values())
 
 
+def test_learned_weights_find_unmarked_articles(spark):
+    """What labelled pages teach finds the article of pages without one; without weights it isn't found."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    weights = html_text.fit_weights(pages)
+    assert weights["article"] == html_text.MOST and weights["<p"] == html_text.MILD and max(weights["nav"], weights[".ad"], weights["footer"], weights["<li"]) < -2
+    for r in pages.collect():
+        bare = r.html.replace("article>", "div>")
+        assert html_text.main_text(bare, weights) == article(r.html)
+        assert html_text.main_text(bare, {}, prior=lambda mark: 0.0) != article(r.html)
+
+
 def test_extract_rows(spark):
     df = spark.createDataFrame([(1, None, "mine"), (1, "<p>a b", "mine"), (None, "<p>c", None)], "page_id int, html string, text string")
     weights = html_text.fit_weights(df)
@@ -143,11 +195,6 @@ def test_extract_rows(spark):
     assert html_text.extract(df.limit(0), html_text.fit_weights(df.limit(0))).count() == 0
 
 
-def test_learned_weights_separate_tags(spark, sf_dir):
-    weights = html_text.fit_weights(spark.read.parquet(f"{sf_dir}/pages.parquet"))
-    assert weights["p"] == html_text.MILD > weights["div!"] and weights["nav!"] < -2
-
-
 # Language
 
 
