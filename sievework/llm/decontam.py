@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievework.functions.text import let
-from sievework.llm._common import settle
+from sievework.llm._common import settle, small_enough
 
 WINDOW, SHINGLE, SHINGLE_MAX, TURN, SEED = 10, 3, 3, 21, 42
 #: Words whose hashes a task remembers before it begins anew.
@@ -57,6 +57,11 @@ def words_of(text: Column) -> Column:
     return F.coalesce(F.regexp_extract_all(F.translate(text, _UPPER, _LOWER), F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
 
 
+def row_key(text: Column) -> Column:
+    """64-bit hash of a text; with the id it tells rows apart that repeat one of the two."""
+    return F.xxhash64(text)
+
+
 def windows_of(items: DataFrame, item_id: str, text: str, window: int = WINDOW, shingle: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
     """The distinct windows (``wid, words, n, k``) and, for each, its items (``wid, item_id``).
 
@@ -124,12 +129,11 @@ def _scan(docs: DataFrame, id_col: str, text: str, bits: np.ndarray, least: dict
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         member, known = np.unpackbits(shared.value).view(bool), _Hashes()
         for batch in batches:
-            keys, sizes, spans = [], [], []
+            sizes, spans = [], []
             counts: Counter[int] = Counter()
-            for value in batch.column(1):
+            for value in batch.column(2):
                 whole = value.as_py() or ""
                 words = _WORDS.findall(whole.translate(_TO_LOWER) if not whole.isascii() else whole.lower())
-                keys.append(xxhash.xxh3_128_hexdigest(whole.encode("utf-8", "surrogatepass")) if value.is_valid else "")
                 sizes.append(len(words))
                 found: list[tuple[int, int]] = []
                 if len(known) > KNOWN_WORDS:
@@ -149,23 +153,24 @@ def _scan(docs: DataFrame, id_col: str, text: str, bits: np.ndarray, least: dict
                     else:
                         merged.append([a, b])
                 spans.append([{"at": a, "words": words[a:b]} for a, b in merged])
-            rows = [batch.column(0), pa.array(keys, pa.string()), pa.array(sizes, pa.int64()), pa.array(spans, span)]
-            yield pa.RecordBatch.from_arrays([*rows, pa.nulls(len(keys), pa.int64()), pa.nulls(len(keys), pa.int64())], names=["id", "key", "n_words", "spans", "token", "seen"])
+            rows = [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(spans, span)]
+            yield pa.RecordBatch.from_arrays([*rows, pa.nulls(len(sizes), pa.int64()), pa.nulls(len(sizes), pa.int64())], names=["id", "key", "n_words", "spans", "token", "seen"])
             n = len(counts)
-            empty = [pa.nulls(n, batch.column(0).type), pa.nulls(n, pa.string()), pa.nulls(n, pa.int64()), pa.nulls(n, span)]
+            empty = [pa.nulls(n, batch.column(0).type), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, span)]
             yield pa.RecordBatch.from_arrays([*empty, pa.array(counts.keys(), pa.int64()), pa.array(counts.values(), pa.int64())], names=["id", "key", "n_words", "spans", "token", "seen"])
 
-    schema = f"id {kind}, key string, n_words bigint, spans array<struct<at:bigint,words:array<string>>>, token bigint, seen bigint"
-    return docs.select(id_col, text).mapInArrow(scan, schema)
+    schema = f"id {kind}, key bigint, n_words bigint, spans array<struct<at:bigint,words:array<string>>>, token bigint, seen bigint"
+    return docs.select(id_col, row_key(F.col(text)), text).mapInArrow(scan, schema)
 
 
-def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, shingle: int = SHINGLE, key_out: str | None = None) -> DataFrame:
     """Per row of ``docs``: id, ``n_words``, ``n_hit``, ``items`` (array of strings, sorted), ``contaminated``.
 
     ``n_hit`` counts the words inside any occurrence of a window. Null texts have no
     words; null or wordless items have no window; items with a null id count for hits
     but not in ``items``. Repeated rows repeat in the result; empty tables give no rows
-    or no hits. Only candidate runs are shuffled, never whole texts.
+    or no hits. Only candidate runs are shuffled, never whole texts. ``key_out`` names a
+    column for the :func:`row_key`, left out otherwise.
     """
     windows, owners = windows_of(items, item_id, item_text, window, shingle)
     parts = settle(windows.select("wid", "words", "n", "k", F.explode(shingles(F.col("words"), F.col("k"))).alias("s")).select("wid", "words", "n", "k", "s.*"))
@@ -202,6 +207,7 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     out = whole.select("id", "key", "n_words").join(both, F.col("id").eqNullSafe(F.col("__id")) & (F.col("key") == F.col("__key")), "left")
     return out.select(
         F.col("id").alias(id_col),
+        *([F.col("key").alias(key_out)] if key_out else []),
         "n_words",
         F.coalesce("n_hit", F.lit(0)).cast("bigint").alias("n_hit"),
         F.coalesce("items", F.array().cast("array<string>")).alias("items"),
@@ -214,14 +220,11 @@ def _same(a: str, b: str, left: DataFrame, right: DataFrame) -> Column:
 
 
 def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` that hold no window of any item, all columns, in any number of repeats."""
-    found = contamination(docs, items, id_col, text, **options).where("contaminated").select(F.col(id_col).alias("__id"))
-    dirty = settle(found.distinct())
-    named = docs.join(dirty.where("__id IS NOT NULL"), F.col(id_col) == F.col("__id"), "left_anti")
-    if not dirty.where("__id IS NULL").limit(1).count():
-        return named
-    # Rows without an id are judged by number, so that each is told by its own text.
-    bare = docs.where(F.col(id_col).isNull())
-    tagged = settle(bare.withColumn("__row", F.monotonically_increasing_id()))
-    bad = contamination(tagged, items, "__row", text, **options).where("contaminated").select("__row")
-    return named.where(F.col(id_col).isNotNull()).unionByName(tagged.join(bad, "__row", "left_anti").select(*docs.columns))
+    """The rows of ``docs`` that hold no window of any item, all columns as they were, in any number of repeats.
+
+    A row is judged by its own text, whatever others have its id or none. Null texts stay.
+    """
+    found = contamination(docs.select(id_col, text), items, id_col, text, key_out="__key", **options).where("contaminated")
+    dirty = small_enough(settle(found.select(F.col(id_col).alias("__id"), "__key").distinct()))
+    marked = docs.withColumn("__row_key", row_key(F.col(text)))
+    return marked.join(dirty, marked[id_col].eqNullSafe(dirty["__id"]) & (marked["__row_key"] == dirty["__key"]), "left_anti").drop("__row_key")

@@ -111,33 +111,33 @@ SELECT conv_id, count(*) AS n_turns,
 FROM shown GROUP BY conv_id
 """
 
-_DRAW = " ".join(f"WHEN {k} THEN ('0x' || substr(md5('{k // 4}:' || coalesce(id::VARCHAR, 'null')), {k % 4 * 8 + 1}, 8))::BIGINT / 4294967296.0::DOUBLE" for k in range(mixing.SEEDS))
+_HASH = "('0x' || substr(md5({0}), 1, 13))::BIGINT"
+_BITS = "length(bin(size))"
 
 _MIXING = f"""
 WITH docs AS (
-  SELECT doc_id AS id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size FROM documents
+  SELECT *, {_BITS} * 8 + CASE WHEN {_BITS} <= 3 THEN size ELSE size >> ({_BITS} - 3) END AS stratum FROM (
+    SELECT doc_id, source, coalesce('=' || source, '') AS tag, {_HASH.format("'draw' || coalesce(doc_id::VARCHAR, 'null')")} AS hash,
+      coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size FROM documents)
 ), listed AS (
-  SELECT source, source_size, [3.0, 1.0, 2.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INTEGER]::DOUBLE AS weight, source_size * 2.0::DOUBLE AS cap
-  FROM (SELECT source, sum(size)::BIGINT AS source_size FROM docs GROUP BY source)
+  SELECT source, tag, source_size, [3.0, 1.0, 2.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INTEGER]::DOUBLE AS weight, source_size * 2.0::DOUBLE AS cap
+  FROM (SELECT source, tag, sum(size)::BIGINT AS source_size FROM docs GROUP BY source, tag)
 ), staged AS (
   SELECT *, (sum(source_size) OVER () * 1.5::DOUBLE - coalesce(sum(cap) OVER before, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER before, 0)) AS level, row_number() OVER (ORDER BY cap / weight, source NULLS LAST) AS place
   FROM listed WINDOW before AS (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
 ), leveled AS (
   SELECT *, least(cap, coalesce((SELECT arg_min(level, place) FROM staged WHERE level <= cap / weight) * weight, cap)) AS target FROM staged
 ), rated AS (
-  SELECT source, source_size, target, floor(r) AS base, r - floor(r) AS fraction
+  SELECT tag, source_size, target, floor(r) AS base, r - floor(r) AS fraction, {_HASH.format("'offset' || tag")} / 4503599627370496.0::DOUBLE AS start
   FROM (SELECT *, CASE WHEN source_size > 0 THEN least(2.0::DOUBLE, target / source_size) ELSE 0.0::DOUBLE END AS r FROM leveled)
-), drawn AS (
-  SELECT id, d.source, size, k, (CASE k {_DRAW} END < fraction)::BIGINT AS extra
-  FROM docs d JOIN rated r ON d.source IS NOT DISTINCT FROM r.source, range({mixing.SEEDS}) t(k)
-), chosen AS (
-  SELECT source, arg_min(k, (d, k)) AS k FROM (
-    SELECT r.source, k, abs(any_value(base) * any_value(source_size) + sum(extra * size) - any_value(target)) AS d
-    FROM drawn x JOIN rated r ON x.source IS NOT DISTINCT FROM r.source GROUP BY r.source, k
-  ) GROUP BY source
+), strata AS (
+  SELECT tag, stratum, source_size, target, base, floor(fraction * upto + start) - floor(fraction * (upto - n) + start) AS k
+  FROM (SELECT *, sum(n) OVER (PARTITION BY tag ORDER BY stratum) AS upto FROM (SELECT tag, stratum, count(*) AS n FROM docs GROUP BY tag, stratum)) JOIN rated USING (tag)
+), lasts AS (
+  SELECT tag, stratum, any_value(source_size) AS source_size, any_value(target) AS target, any_value(base) AS base, coalesce(max(hash) FILTER (place <= k), -1) AS last
+  FROM (SELECT tag, stratum, hash, row_number() OVER (PARTITION BY tag, stratum ORDER BY hash) AS place FROM docs) JOIN strata USING (tag, stratum) GROUP BY tag, stratum
 )
-SELECT x.id AS doc_id, x.size, r.source_size, r.target, ((base::BIGINT + x.extra) * x.size)::BIGINT AS taken
-FROM drawn x JOIN chosen c ON x.source IS NOT DISTINCT FROM c.source AND x.k = c.k JOIN rated r ON x.source IS NOT DISTINCT FROM r.source
+SELECT doc_id, size, source_size, target, ((base::BIGINT + (hash <= last)::BIGINT) * size)::BIGINT AS taken FROM docs JOIN lasts USING (tag, stratum)
 """
 
 _URLS = r"""

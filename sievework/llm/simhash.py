@@ -95,15 +95,14 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, segments: int = SEGMENTS, bu
     while it has at most ``bucket_limit`` members. The members of larger buckets are
     linked through the values one bit away from them: two of them within two bits share
     such a value, so each member's link to the least member at every shared value
-    connects the same groups, with 65 rows a member instead of all pairs.
+    connects the same groups, with 65 rows a member instead of all pairs. That holds for
+    one or two bits, so other bounds are refused.
     """
-    if not 0 < max_bits < segments:
-        raise ValueError("max_bits must be positive and below the number of segments")
+    if max_bits not in (1, 2) or segments <= max_bits:
+        raise ValueError("max_bits must be 1 or 2, and below the number of segments")
     keyed = fps.select("fp", F.explode(_keys(F.col("fp"), max_bits, segments)).alias("k")).select("fp", "k.*")
     full = settle(keyed.groupBy("start", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > bucket_limit).select("start", "key"))
     any_full = full.limit(1).count() > 0
-    if any_full and max_bits > 2:
-        raise ValueError("buckets beyond bucket_limit are handled for up to two bits; raise segments or the limit")
     cool = keyed.join(full, ["start", "key"], "left_anti") if any_full else keyed
     other = cool.select("start", "key", F.col("fp").alias("b"))
     pairs = (
@@ -118,8 +117,12 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, segments: int = SEGMENTS, bu
         ball = F.array(F.col("fp"), *(F.col("fp").bitwiseXOR(F.shiftleft(F.lit(1).cast("bigint"), i)) for i in range(BITS)))
         members = keyed.join(full, ["start", "key"], "left_semi").select("fp").distinct()
         near = members.select("fp", F.explode(ball).alias("value"))
-        met = near.groupBy("value").agg(F.collect_set("fp").alias("who")).where(F.size("who") > 1)  # at most 65 members
-        pairs = pairs.unionByName(met.select(F.array_min("who").alias("a"), F.explode("who").alias("b")).where("a <> b"))
+        if max_bits == 1:  # a value that is a member itself
+            close = near.join(members.select(F.col("fp").alias("value")), "value").where("fp < value").select(F.col("fp").alias("a"), F.col("value").alias("b"))
+        else:
+            met = near.groupBy("value").agg(F.collect_set("fp").alias("who")).where(F.size("who") > 1)  # at most 65 members
+            close = met.select(F.array_min("who").alias("a"), F.explode("who").alias("b")).where("a <> b")
+        pairs = pairs.unionByName(close)
     return pairs.distinct()
 
 
@@ -143,23 +146,3 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", w
 
 def hex_digits(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
-
-
-def keep_one(df: DataFrame, id_col: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows of ``df`` that stay when one of each group does: that with the smallest id.
-
-    Of rows that repeat the id, one stays. Rows without an id go if their group has a row
-    with one; otherwise one row of each such text stays.
-    """
-    groups = settle(near_duplicates(df, id_col, text, **options))
-    kept = groups.where(F.col(id_col) == F.col("component_id")).select(id_col)
-    repeated = kept.groupBy(id_col).count().where("count > 1").limit(1).count() > 0
-    out = df.join(kept.distinct() if repeated else kept, id_col, "left_semi")
-    if repeated:
-        out = out.dropDuplicates([id_col])
-    bare = df.where(F.col(id_col).isNull())
-    if groups.where(F.col(id_col).isNull() & F.col("component_id").isNull()).limit(1).count():
-        lone = groups.where(F.col("component_id").isNull()).select("fp").distinct().withColumnRenamed("fp", "__lone")
-        marked = fingerprints(bare, text, options.get("words", WORDS), "__fp")
-        out = out.unionByName(marked.join(lone, F.col("__fp") == F.col("__lone"), "left_semi").select(*df.columns).dropDuplicates([text]))
-    return out
