@@ -30,13 +30,27 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)\A.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+def without_dots(path: Column) -> Column:
+    """A path without its ``.`` and ``..`` segments; a path that ends in one ends in a slash."""
+    steps = F.slice(F.split(path, "/"), F.lit(2), F.greatest(F.lit(0), F.size(F.split(path, "/")) - 1))
+
+    def walk(acc: Column, step: Column) -> Column:
+        up = F.slice(acc, F.lit(1), F.greatest(F.lit(0), F.size(acc) - 1))
+        return F.when(step == "..", up).when(step == ".", acc).otherwise(F.concat(acc, F.array(step)))
+
+    kept = F.aggregate(steps, F.array().cast("array<string>"), walk)
+    whole = F.when(F.element_at(steps, -1).isin(".", ".."), F.concat(kept, F.array(F.lit("")))).otherwise(kept)
+    return F.when(path.rlike(r"/\.\.?(/|\z)"), F.concat(F.lit("/"), F.array_join(whole, "/"))).otherwise(path)
+
+
 def node_of(url: Column) -> Column:
-    """The URL as a node: scheme and host in lower case, no fragment; a slash for an empty path."""
+    """The URL as a node: scheme and host in lower case, no dot segments, no fragment; a slash for an empty path."""
+    path = without_dots(path_of(url))
     return F.concat(
         F.translate(F.regexp_extract(url, r"(?s)\A(.*?)://", 1), _UPPER, _LOWER),
         F.lit("://"),
         host_of(url),
-        F.when(path_of(url) == "", "/").otherwise(path_of(url)),
+        F.when(path == "", "/").otherwise(path),
         F.regexp_extract(url, r"(?s)\A[^#]*?(\?[^#]*)", 1),
     )
 
@@ -69,23 +83,66 @@ def apply_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
     )
 
 
+def _tags(page: Column, name: str) -> Column:
+    return F.regexp_extract_all(page, F.lit(rf"""(?is)<{name}\b(?:[^>"']++|"[^"]*+"|'[^']*+')*+>"""), F.lit(0))
+
+
+def _attribute(tag: Column, name: str) -> Column:
+    """An attribute's value, character references decoded; empty where there is none."""
+    quoted = F.regexp_extract(tag, rf"""(?is)[\s"']{name}\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", 1)
+    return F.trim(unescape_references(F.regexp_replace(quoted, r"""(?s)\A(["'])(.*)\1\z""", "$2")))
+
+
+def unescape_references(text: Column) -> Column:
+    """Numeric character references and the five that XML names, decoded once."""
+
+    def one(piece: Column) -> Column:
+        body, rest = F.regexp_extract(piece, r"(?s)\A([^;]*);", 1), F.regexp_extract(piece, r"(?s)\A[^;]*;(.*)", 1)
+        number = F.when(body.rlike(r"\A#[xX][0-9A-Fa-f]{1,6}\z"), F.conv(F.substr(body, F.lit(3)), 16, 10)).when(body.rlike(r"\A#[0-9]{1,7}\z"), F.substr(body, F.lit(2))).cast("int")
+        legal = (number > 0) & (number < 0x110000) & ~number.between(0xD800, 0xDFFF)
+        char = F.when(legal, F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32"))
+        for name, value in (("amp", "&"), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'")):
+            char = F.when(body == name, F.lit(value)).otherwise(char)
+        return F.coalesce(F.concat(char, rest), F.concat(F.lit("&"), piece))
+
+    pieces = F.split(text, "&")
+    return F.when(F.contains(text, F.lit("&")), F.concat(pieces[0], F.array_join(F.transform(F.slice(pieces, F.lit(2), F.size(pieces) - 1), one), ""))).otherwise(text)
+
+
+def resolve(to: Column, base: Column) -> Column:
+    """The absolute URL that ``to`` means on a page at ``base``; null for other schemes and for the page itself."""
+    scheme, site = F.regexp_extract(base, r"(?s)\A(.*?)://", 1), F.regexp_extract(base, r"(?s)\A(.*?://[^/?#]*)", 1)
+    path = path_of(base)
+    folder = F.regexp_extract(path, r"(?s)\A(.*/)", 1)
+    return (
+        F.when(to.rlike(r"\A[A-Za-z][A-Za-z0-9+.-]*://"), to)
+        .when(to.rlike(r"\A[A-Za-z][A-Za-z0-9+.-]*:") | (to == "") | F.startswith(to, F.lit("#")), F.lit(None).cast("string"))
+        .when(F.startswith(to, F.lit("//")), F.concat(scheme, F.lit(":"), to))
+        .when(F.startswith(to, F.lit("/")), F.concat(site, to))
+        .when(F.startswith(to, F.lit("?")), F.concat(site, F.when(path == "", "/").otherwise(path), to))
+        .otherwise(F.concat(site, F.when(folder == "", "/").otherwise(folder), to))
+    )
+
+
 def page_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """Alias edges ``from_url, to_url`` that pages state: canonical links and refresh redirects.
+    """Alias edges ``from_url, to_url`` that pages state: all their canonical links and refresh redirects.
 
-    Relative targets are resolved against the page's scheme and host, or its folder.
+    Comments and the content of scripts, styles, templates, text areas and titles state nothing. References
+    are decoded and relative targets resolved against the page's URL, or its base element.
     """
-    link = F.regexp_extract(html, r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*?\bhref\s*=\s*["']?([^"'\s>]+)""", 1)
-    fresh = F.regexp_extract(html, r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*?\burl\s*=\s*["']?([^"'\s>]+)""", 1)
-    found = pages.select(F.col(url).alias("from_url"), F.explode(F.array_distinct(F.array(link, fresh))).alias("to")).where("to <> '' AND from_url LIKE '%://%'")
-    scheme, base = F.regexp_extract("from_url", r"(?s)\A(.*?)://", 1), F.regexp_extract("from_url", r"(?s)\A(.*?://[^/?#]*)", 1)
-    folder = F.regexp_extract(path_of(F.col("from_url")), r"(?s)\A(.*/)", 1)
-    full = (
-        F.when(F.col("to").rlike(r"\A[A-Za-z][A-Za-z0-9+.-]*://"), F.col("to"))
-        .when(F.startswith("to", F.lit("//")), F.concat(scheme, F.lit(":"), F.col("to")))
-        .when(F.startswith("to", F.lit("/")), F.concat(base, F.col("to")))
-        .otherwise(F.concat(base, F.when(folder == "", "/").otherwise(folder), F.col("to")))
+    said = pages.where(F.col(html).rlike("(?i)canonical|refresh") & F.col(url).contains("://"))
+    bare = F.regexp_replace(html, r"(?is)<!--.*?(?:-->|\z)|<(script|style|template|textarea|title)\b.*?(?:</\1\s*>|\z)", " ")
+    page = said.select(F.col(url).alias("from_url"), bare.alias("page"))
+    based = page.withColumn("based", F.transform(_tags(F.col("page"), "base"), lambda t: _attribute(t, "href")))
+    at = F.coalesce(resolve(F.get(F.filter("based", lambda h: h != ""), F.lit(0)), F.col("from_url")), F.col("from_url"))
+    words = lambda tag: F.split(F.lower(_attribute(tag, "rel")), r"\s+")
+    canonical = F.transform(F.filter(_tags(F.col("page"), "link"), lambda t: F.array_contains(words(t), "canonical")), lambda t: _attribute(t, "href"))
+    fresh = F.transform(
+        F.filter(_tags(F.col("page"), "meta"), lambda t: F.lower(_attribute(t, "http-equiv")) == "refresh"),
+        lambda t: F.trim(F.regexp_replace(F.regexp_extract(_attribute(t, "content"), r"(?is)\burl\s*=\s*(.*)", 1), r"""(?s)\A(["'])(.*?)(?:\1.*)?\z""", "$2")),
     )
-    return found.select("from_url", full.alias("to_url"))
+    found = based.select("from_url", at.alias("at"), F.explode(F.array_distinct(F.concat(canonical, fresh))).alias("to"))
+    return found.select("from_url", resolve(F.col("to"), F.col("at")).alias("to_url")).where("to_url IS NOT NULL")
 
 
 def judge(pages: DataFrame, rules: DataFrame, edges: DataFrame | None = None, url: str = "url", html: str = "html") -> DataFrame:
@@ -104,13 +161,15 @@ def judge(pages: DataFrame, rules: DataFrame, edges: DataFrame | None = None, ur
     ends = links.select(F.explode(F.array("from_url", "to_url")).alias("url"))
     ruled = settle(apply_rules(listed.unionByName(ends), rules))
     kept = pages.drop("host", "path", "rule", "verdict", "alias_verdict")
-    out = kept.withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))}).join(ruled.withColumnRenamed("url", "__url"), F.col(url) == F.col("__url"), "left").drop("__url")
+    # Null URLs meet nothing; they are spread by their page, as one key they would all go to one task.
+    key = F.coalesce(F.col(url), F.concat(F.lit("null "), F.pmod(F.xxhash64(html), F.lit(1 << 12)).cast("string")))
+    out = kept.withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url)), "__key": key}).join(ruled.select(F.col("url").alias("__key"), "rule", "verdict"), "__key", "left")
     if links.limit(1).count():
         roots = settle(connected_components(links.select(node_of(F.col("from_url")).alias("a"), node_of(F.col("to_url")).alias("b"))))
         marked = roots.join(ruled.select(node_of(F.col("url")).alias("node"), F.col("verdict").alias("v")), "node")
         spoken = marked.groupBy("root").agg(F.min("v").alias("alias_verdict"))  # 'allow' sorts before 'block'
         passed = settle(roots.join(spoken, "root").select(F.col("node").alias("__node"), "alias_verdict"))
-        out = out.join(passed, node_of(F.col(url)) == F.col("__node"), "left").drop("__node")
+        out = out.withColumn("__node", F.coalesce(node_of(F.col(url)), "__key")).join(passed, "__node", "left").drop("__node")
     else:
         out = out.withColumn("alias_verdict", F.lit(None).cast("string"))
-    return out.withColumn("verdict", F.coalesce("verdict", "alias_verdict", F.lit("allow")))
+    return out.withColumn("verdict", F.coalesce("verdict", "alias_verdict", F.lit("allow"))).select(*kept.columns, "host", "path", "rule", "verdict", "alias_verdict")

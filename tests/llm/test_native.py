@@ -235,6 +235,81 @@ def test_url_verdicts(spark):
     assert url_rules.judge(df.limit(0), url_rules.rule_frame(spark)).count() == 0
 
 
+LINKED = [
+    ("http://free.info/a/b?x=1", '<link rel="canonical" href="http://site.info/p?x=1&amp;y=2">'),
+    ("http://site.info/p?x=1&y=2", '<link rel=canonical href=http://b.com/en/2>'),
+    ("http://free.info/docs/page", '<link href="?a=1" rel="canonical nofollow">'),
+    ("http://free.info/docs/page?a=1", "<meta http-equiv='Refresh' content='0; URL=\"../x\"'>"),
+    ("http://free.info/x", '<link rel="canonical" href="//c.org/es/./7/../8">'),
+    ("http://free.info/deep/er/", "<link rel=canonical href=../../y/.><link rel='canonical' href='http://free.info/z'>"),
+    ("http://free.info/y/", ""),
+    ("http://free.info/z", '<meta content="3;url=http://a.net/de/1" http-equiv=refresh>'),
+    ("http://free.info/commented", '<!-- <link rel=canonical href="http://b.com/en/2"> --><script>"<link rel=canonical href=http://b.com/en/2>"</script>'),
+    ("http://free.info/based", '<base href="http://Other.info/dir/"><link data-href="http://b.com/en/1" rel="canonical" href="in">'),
+    ("http://other.info/dir/in", '<link rel="canonical" href="http://b.com/en/&#x34;&#50;">'),
+    ("http://free.info/mail", '<link rel="canonical" href="mailto:someone"><link rel=canonical href="#top"><link rel="notcanonical" href="http://b.com/en/2">'),
+    ("http://free.info/both", "<link rel=canonical href=http://b.com/en/99><meta http-equiv=refresh content='0;url=http://x.net/de/2'>"),
+    (None, '<link rel="canonical" href="http://b.com/en/2">'),
+    ("http://free.info/quoted", """<link title='a > b' rel="canonical" href='/based'>"""),
+]
+
+
+def test_stated_links_like_a_url_library(spark):
+    """Verdicts against union-find over links that Python's HTML and URL libraries find."""
+    from html.parser import HTMLParser
+    from urllib.parse import urldefrag, urljoin, urlsplit
+
+    class Links(HTMLParser):
+        def __init__(self, page):
+            super().__init__()
+            self.base, self.found = "", []
+            self.feed(page)
+
+        def handle_starttag(self, tag, attrs):
+            get = {k: v or "" for k, v in attrs}
+            if tag == "base":
+                self.base = self.base or get.get("href", "")
+            elif tag == "link" and "canonical" in get.get("rel", "").lower().split():
+                self.found.append(get.get("href", ""))
+            elif tag == "meta" and get.get("http-equiv", "").lower() == "refresh":
+                self.found.append(get["content"].split("=", 1)[1].strip("'\" "))
+
+    def node(u):
+        parts = urlsplit(urljoin(u, urldefrag(u)[0]))
+        return f"{parts.scheme}://{parts.netloc.lower()}{urlsplit(urljoin(u, parts.path or '/')).path}" + (f"?{parts.query}" if parts.query else "")
+
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for u, page in LINKED:
+        read = Links(page)
+        for to in read.found:
+            full = urljoin(urljoin(u, read.base), to) if u else ""
+            if full.startswith("http") and node(full) != node(u):
+                parent[find(node(u))] = find(node(full))
+
+    def rule(u):
+        host, path = urlsplit(u).netloc.lower(), urlsplit(u).path
+        fits = [(len(r), v) for v, r in url_rules.RULES for h, _, p in [r.partition("/")] if (host == h or host.endswith("." + h)) and path.startswith("/" + p)]
+        return max(fits)[1] if fits else None
+
+    spoken = {}
+    for x in list(parent):
+        spoken.setdefault(find(x), set()).add(rule(x))
+    want = {}
+    for i, (u, _) in enumerate(LINKED):
+        heard = spoken.get(find(node(u)), set()) if u else set()
+        want[i] = (u and rule(u)) or ("allow" if "allow" in heard else "block" if "block" in heard else "allow")
+    df = spark.createDataFrame([(i, u, p) for i, (u, p) in enumerate(LINKED)], "page_id int, url string, html string").withColumns({"rule": F.lit("mine"), "to": F.lit(1)})
+    got = {r.page_id: r.verdict for r in url_rules.judge(df, url_rules.rule_frame(spark)).collect()}
+    assert got == want and list(got.values()).count("block") >= 8
+    assert [want[i] for i in (5, 6, 7, 8, 12)] == ["allow"] * 5
+
+
 def test_known_redirects_and_large_rule_tables(spark, monkeypatch):
     df = spark.createDataFrame([(1, "http://a.info/x", "")], "page_id int, url string, html string")
     edges = spark.createDataFrame([("http://a.info/x", "http://c.org/es/1"), (None, "http://a.info/x")], "from_url string, to_url string")
