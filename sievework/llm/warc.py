@@ -26,17 +26,27 @@ MIN_BYTES = 100
 FILE_BYTES, BATCH_ROWS = 256 << 20, 512
 WRITTEN = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-_UNSAFE = re.compile(r"[\x00-\x20\x7F]")
+_UNSAFE, _ESCAPED = re.compile(r"[\x00-\x20\x7F]"), re.compile(r"%([0-9A-F]{2})")
 
 
 def record_id(key: object, digest: str) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'record:{key}:{digest}')}>"
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'record:{key_field(key)}:{digest}')}>"
 
 
 def _safe(value: str) -> str:
     return _UNSAFE.sub(lambda m: f"%{ord(m[0]):02X}", value)
 
 
+def key_field(key: object) -> str:
+    """A key as a header's value: ``=`` and its text with line ends, blanks, ``%`` and ``DEL`` as %XX; nothing for null."""
+    return "" if key is None else "=" + _safe(str(key).replace("%", "%25"))
+
+
+def field_key(value: str | None) -> str | None:
+    """The inverse of :func:`key_field`."""
+    return _ESCAPED.sub(lambda m: chr(int(m[1], 16)), value[1:]) if value else None
+
+
 def record_bytes(key: object, url: str | None, payload: bytes, digest: str, refers_to: object = None, refers_url: str | None = None, revisit: bool = False, date: str = WRITTEN) -> bytes:
     """One WARC/1.1 record; a revisit holds the HTTP header alone."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
@@ -50,7 +60,7 @@ def record_bytes(key: object, url: str | None, payload: bytes, digest: str, refe
         f"WARC-Date: {date}",
         *([f"WARC-Target-URI: {_safe(url)}"] if url else []),
         f"WARC-Payload-Digest: sha256:{digest}",
-        f"X-Record-Key: {'' if key is None else _safe(str(key))}",
+        f"X-Record-Key: {key_field(key)}",
     ]
     if revisit:
         head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {record_id(refers_to, digest)}"]
@@ -142,7 +152,7 @@ def read_records(files: DataFrame, folder: str, payload: bool = False) -> DataFr
                 with where.open_input_stream(name, compression=None) as raw, gzip.GzipFile(fileobj=raw) as stream:
                     for head, body in parse_records(io.BufferedReader(stream, 1 << 16)):
                         get = head.get
-                        rows.append((get("warc-type"), get("warc-record-id"), get("x-record-key") or None, get("warc-target-uri"), get("warc-refers-to"), (get("warc-payload-digest") or "").removeprefix("sha256:"), len(body), hashlib.sha256(body).hexdigest(), *([body] * payload)))
+                        rows.append((get("warc-type"), get("warc-record-id"), field_key(get("x-record-key")), get("warc-target-uri"), get("warc-refers-to"), (get("warc-payload-digest") or "").removeprefix("sha256:"), len(body), hashlib.sha256(body).hexdigest(), *([body] * payload)))
                         if len(rows) >= BATCH_ROWS:
                             yield _batch(rows, fields)
                             rows = []

@@ -106,6 +106,14 @@ def test_warc_repeated_rows(spark):
     assert sorted((r.page_id, r.record_type, r.refers_to) for r in warc.round_trip(df).collect()) == [(1, "response", None)] * 2 + [(2, "revisit", 1)] * 2
 
 
+def test_warc_string_ids_come_back(spark):
+    big = "z" * 120
+    ids = ["a b", "", "%20", "a%20b", "é\r\n: x", "=", None, " lead", "tab\t"]
+    df = spark.createDataFrame([(i, "u", big) for i in ids], "page_id string, url string, html string")
+    got = {r.page_id: (r.record_type, r.refers_to) for r in warc.round_trip(df).collect()}
+    assert got == {i: ("response", None) if i in ("", None) else ("revisit", "") for i in ids}
+
+
 def test_warc_records_are_whole_and_plain():
     made = [warc.record_bytes(i, "http://a/\n", b"body\r\n\r\nmore" * i, hashlib.sha256(b"body\r\n\r\nmore" * i).hexdigest(), refers_to=0, refers_url="http://b", revisit=i == 2) for i in range(3)]
     stream = io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(b"".join(gzip.compress(m) for m in made))))
