@@ -18,6 +18,7 @@ REPAIR = ("no", "not", "wrong", "instead", "asked")
 CONFIRM = ("yes", "yeah", "yep", "4821", "that", "one")
 RESUME = ("continue", "resume", "back", "return")
 SHORT = 6
+RELATION_FLAGS = ("context_dependent", "agent_repair", "topic_shift", "clarification_answer", "resume_previous_service")
 
 
 def _has_text(c: str = "text") -> Column:
@@ -59,12 +60,14 @@ def exchanges(rows: DataFrame) -> DataFrame:
     return done.select("conv_id", "user_turn", "user_text", F.col("turn").alias("assistant_turn"), F.col("text").alias("assistant_text"), F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("turn"))).alias("back"))
 
 
-def router_input(rows: DataFrame, keep: int = 3) -> DataFrame:
-    """The text a router reads: the current message, then up to ``keep`` exchanges, newest first."""
+def router_input(rows: DataFrame, keep: int = 3, states: DataFrame | None = None) -> DataFrame:
+    """The text a router reads: a state that matters, the current message, then up to ``keep`` exchanges, newest first."""
     lines = F.concat(F.lit("[PREVIOUS_ASSISTANT]\n"), F.col("assistant_text"), F.lit("\n[PREVIOUS_USER]\n"), F.col("user_text"))
     past = exchanges(rows).where(F.col("back") <= keep).groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("back", lines.alias("line")))), lambda x: x["line"]), "\n").alias("past"))
     now = last_user(rows).select("conv_id", F.concat(F.lit("[CURRENT_USER]\n"), F.col("text")).alias("now"))
-    return now.join(past, "conv_id", "left").select("conv_id", F.concat_ws("\n", "now", "past").alias("router_text"))
+    whole = now.join(past, "conv_id", "left")
+    whole = whole.withColumn("header", F.lit(None).cast("string")) if states is None else whole.join(state_header(states), "conv_id", "left")
+    return whole.select("conv_id", F.concat_ws("\n", "header", "now", "past").alias("router_text"))
 
 
 def turn_groups(rows: DataFrame) -> DataFrame:
@@ -105,22 +108,49 @@ def greedy_budget(rows: DataFrame, budget: int) -> DataFrame:
     return folded.select("conv_id", F.col("f.used").alias("tokens"), F.array_join(F.array_sort("f.kept"), ",").alias("groups_kept"))
 
 
-def relations(rows: DataFrame) -> DataFrame:
-    """Relations of the last user message to its history, as flags, a multi-hot string and an example kind."""
+def relations(rows: DataFrame, states: DataFrame | None = None) -> DataFrame:
+    """Relations of the last user message to its history, as flags, a multi-hot string and an example kind.
+
+    ``states`` has per conversation the dialogue state before that message,
+    ``pending_servicing`` (null or empty for none) and ``knowledge_detour_active``, and
+    ``topic_shift`` where the row's builder states one. A conversation without a state resumes nothing.
+    """
     past = visible_history(rows).groupBy("conv_id").agg(F.count(F.lit(1)).alias("n_history"))
     said = last_user(rows).join(past, "conv_id", "left").withColumns({"n_history": F.coalesce("n_history", F.lit(0)), "w": F.array_distinct(X.words(F.col("text")))})
+    if states is None:
+        said = said.withColumns({"waits": F.lit(False), "shifts": F.lit(False)})
+    else:
+        waits = F.coalesce(F.col("knowledge_detour_active") & (F.col("pending_servicing") != ""), F.lit(False))
+        said = said.join(states.select("conv_id", waits.alias("waits"), F.coalesce("topic_shift", F.lit(False)).alias("shifts")), "conv_id", "left").fillna(False, ["waits", "shifts"])
     any_of = lambda values: F.arrays_overlap("w", F.array(*map(F.lit, values)))
     flagged = said.withColumns(
         {
             "context_dependent": (F.col("n_history") > 0) & ((F.size("w") <= SHORT) | any_of(DEICTIC)),
             "agent_repair": any_of(REPAIR),
+            "topic_shift": F.col("shifts"),
             "clarification_answer": (F.col("n_history") > 0) & any_of(CONFIRM) & (F.size("w") <= SHORT),
-            "resume_words": any_of(RESUME),
+            "resume_previous_service": F.col("waits") & any_of(RESUME),
         }
     )
     kind = F.when(F.col("agent_repair"), "agent_repair").when(F.col("clarification_answer"), "clarification_answer").when(F.col("context_dependent"), "contextual_followup").when(F.col("n_history") > 0, "visible_multiturn").otherwise("sft_single_turn")
-    hot = F.concat(*(F.col(c).cast("int").cast("string") if c else F.lit("0") for c in ("context_dependent", "agent_repair", "", "clarification_answer", "")))
-    return flagged.select("conv_id", "n_history", "context_dependent", "agent_repair", "clarification_answer", "resume_words", hot.alias("multi_hot"), kind.alias("example_kind"))
+    hot = F.concat(*(F.col(c).cast("int").cast("string") for c in RELATION_FLAGS))
+    return flagged.select("conv_id", "n_history", *RELATION_FLAGS, hot.alias("multi_hot"), kind.alias("example_kind"))
+
+
+def state_header(states: DataFrame) -> DataFrame:
+    """``conv_id, header`` of the states that matter: sorted compact JSON of those with a pending service or a detour."""
+    made = F.to_json(F.struct(F.col("knowledge_detour_active"), F.col("pending_servicing")), {"ignoreNullFields": "false"})
+    matters = F.coalesce(F.col("pending_servicing") != "", F.lit(False)) | F.coalesce(F.col("knowledge_detour_active"), F.lit(False))
+    return states.where(matters).select("conv_id", F.concat(F.lit("[PRIOR_DIALOGUE_STATE]\n"), made).alias("header"))
+
+
+def dual_head_input(rows: DataFrame) -> DataFrame:
+    """The text a two-headed router reads: the current message and the user message before it."""
+    asked = rows.where((F.col("role") == "user") & _has_text())
+    order = Window.partitionBy("conv_id").orderBy("turn")
+    seen = asked.withColumn("previous", F.lag("text").over(order)).withColumn("last", F.max("turn").over(Window.partitionBy("conv_id"))).where("turn = last")
+    before = F.when(_has_text("previous"), F.concat(F.lit("\n[PREVIOUS_USER]\n"), F.trim("previous"))).otherwise("")
+    return seen.select("conv_id", F.concat(F.lit("[CURRENT]\n"), F.trim("text"), before).alias("router_text"))
 
 
 def intent_of(text: Column) -> Column:

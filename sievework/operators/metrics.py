@@ -53,11 +53,14 @@ def multilabel(rows: DataFrame, predicted: str, actual: str) -> DataFrame:
     return at.groupBy("class").agg(F.sum(((F.col("p") == 1) & (F.col("a") == 1)).cast("long")).alias("tp"), F.sum(((F.col("p") == 1) & (F.col("a") == 0)).cast("long")).alias("fp"), F.sum(((F.col("p") == 0) & (F.col("a") == 1)).cast("long")).alias("fn"))
 
 
-def suite(rows: DataFrame, metrics: Mapping[str, tuple[Column, Column]], by: Sequence[str] = ()) -> DataFrame:
-    """Metrics ``name: (row counts, row passes)`` in one aggregation: ``name, numerator, denominator, score``."""
-    made = [F.struct(F.lit(k).alias("name"), F.count_if(base & ok).alias("numerator"), F.count_if(base).alias("denominator")) for k, (base, ok) in metrics.items()]
+def suite(rows: DataFrame, metrics: Mapping[str, tuple], by: Sequence[str] = ()) -> DataFrame:
+    """Metrics ``name: (row counts, row passes[, score without rows])`` in one aggregation: ``name, numerator, denominator, score``.
+
+    Without a third item a metric of no rows has no score; acceptance rates take 1.0.
+    """
+    made = [F.struct(F.lit(k).alias("name"), F.count_if(base & ok).alias("numerator"), F.count_if(base).alias("denominator"), F.lit(empty[0] if empty else None).cast("double").alias("empty")) for k, (base, ok, *empty) in metrics.items()]
     out = rows.groupBy(*by).agg(F.array(*made).alias("m")).select(*by, F.inline("m"))
-    return out.withColumn("score", ratio_or_null(F.col("numerator"), F.col("denominator")))
+    return out.withColumn("score", F.coalesce(ratio_or_null(F.col("numerator"), F.col("denominator")), "empty")).drop("empty")
 
 
 def gate_failures(metrics: DataFrame, gates: DataFrame) -> DataFrame:
@@ -68,6 +71,12 @@ def gate_failures(metrics: DataFrame, gates: DataFrame) -> DataFrame:
     return joined.withColumn("reason", reason).where(F.col("reason").isNotNull()).select("name", "op", "threshold", "reason")
 
 
+def non_finite(metrics: DataFrame, value: str = "score") -> DataFrame:
+    """The metrics (``name`` and a double) that are NaN or infinite; a null is neither."""
+    v = F.col(value)
+    return metrics.where(F.isnan(v) | (F.abs(v) == F.lit(float("inf"))))
+
+
 def pair_flips(rows: DataFrame) -> DataFrame:
     """Counterfactual pairs (``pair_id, target, correct``) with both targets, and how many are right on both."""
     pairs = rows.groupBy("pair_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("target").alias("t"), F.bool_and("correct").alias("both"))
@@ -86,23 +95,31 @@ def balance_weights(rows: DataFrame, label: str) -> DataFrame:
     return counts.withColumn("weight", F.least(F.lit(20.0), F.sqrt(F.max("n").over(Window.partitionBy()) / F.col("n"))))
 
 
-def calibrate_binary(rows: DataFrame, probability: str, label: str, min_recall: float = 0.98) -> DataFrame:
+def calibrate_binary(rows: DataFrame, probability: str, label: str, min_recall: float = 0.98, conversational: str | None = None, min_conversational_recall: float = 0.95) -> DataFrame:
     """The threshold i/200 of highest specificity, then balanced accuracy, then threshold, with enough recall.
 
-    Rows fall into 200 bins by probability first, so thresholds meet bins, not rows.
+    The rows that ``conversational`` marks must reach a recall of their own; without such
+    rows it is 1. Rows fall into bins by the highest threshold they reach first, so thresholds
+    meet bins, not rows.
     """
-    bins = rows.groupBy(F.floor(F.col(probability) * 200).cast("int").alias("bin")).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("q"))
+    p, low = F.col(probability), F.floor(F.col(probability) * 200)
+    reached = F.when(p >= (low + 1) / 200, low + 1).when(p >= low / 200, low).otherwise(low - 1)
+    real, talk = F.col(label) == 1, F.coalesce(F.col(conversational), F.lit(False)) if conversational else F.lit(False)
+    bins = rows.groupBy(F.greatest(F.lit(-1), F.least(F.lit(200), reached)).cast("int").alias("bin")).agg(F.count_if(real).alias("p"), F.count_if(F.col(label) == 0).alias("q"), F.count_if(real & talk).alias("c"), F.count_if(talk).alias("t"))
     grid = rows.sparkSession.range(1, 200).select(F.col("id").cast("int").alias("i"))
-    at = grid.join(F.broadcast(bins)).groupBy("i").agg(
-        F.sum(F.when(F.col("bin") >= F.col("i"), F.col("p")).otherwise(0)).alias("tp"),
-        F.sum(F.when(F.col("bin") < F.col("i"), F.col("q")).otherwise(0)).alias("tn"),
-        F.sum("p").alias("pos"),
-        F.sum("q").alias("neg"),
+    above = F.col("bin") >= F.col("i")
+    at = grid.join(F.broadcast(bins)).groupBy("i").agg(  # at most 202 bins
+        F.sum(F.when(above, F.col("p")).otherwise(0)).alias("tp"),
+        F.sum(F.when(~above, F.col("q")).otherwise(0)).alias("tn"),
+        F.sum(F.when(above, F.col("c")).otherwise(0)).alias("tc"),
+        *(F.sum(c).alias(f"all_{c}") for c in "pqct"),
     )
-    recall, spec = ratio_or_zero(F.col("tp"), F.col("pos")), ratio_or_zero(F.col("tn"), F.col("neg"))
-    scored = at.select((F.col("i") / 200).alias("threshold"), recall.alias("recall"), spec.alias("specificity"), ((recall + spec) / 2).alias("balanced_accuracy"))
-    key = F.struct((F.col("recall") >= min_recall).alias("ok"), "specificity", "balanced_accuracy", "threshold")
-    return scored.agg(F.max_by(F.struct("threshold", "recall", "specificity", "balanced_accuracy"), key).alias("r")).select("r.*")
+    recall, spec = ratio_or_zero(F.col("tp"), F.col("all_p")), ratio_or_zero(F.col("tn"), F.col("all_q"))
+    talked = F.when(F.col("all_t") == 0, F.lit(1.0)).otherwise(ratio_or_zero(F.col("tc"), F.col("all_c")))
+    scored = at.select((F.col("i") / 200).alias("threshold"), recall.alias("recall"), talked.alias("conversational_recall"), spec.alias("specificity"), ((recall + spec) / 2).alias("balanced_accuracy"))
+    ok = (F.col("recall") >= min_recall) & (F.col("conversational_recall") >= min_conversational_recall)
+    key = F.struct(ok.alias("ok"), "specificity", "balanced_accuracy", "threshold")
+    return scored.agg(F.max_by(F.struct(*scored.columns), key).alias("r")).select("r.*")
 
 
 def route(p: Column, rescue: Column, ood: Column | float, rescue_at: Column | float, in_domain: float = 0.5) -> Column:
@@ -132,10 +149,22 @@ def calibrate_routes(rows: DataFrame) -> DataFrame:
     return table.agg(F.max_by(F.struct(*table.columns), key).alias("r")).select("r.*")
 
 
-def calibrate_relations(rows: DataFrame, tolerant: str = "context_dependent", tolerance: float = 0.005) -> DataFrame:
+def _ceiling(ceilings: Mapping[str, float]) -> Column:
+    out = F.lit(1.0)
+    for name, value in ceilings.items():
+        out = F.when(F.col("relation") == name, F.lit(value)).otherwise(out)
+    return out
+
+
+# Thresholds that a relation may not exceed.
+CEILINGS = {"agent_repair": 0.75, "clarification_answer": 0.80}
+
+
+def calibrate_relations(rows: DataFrame, tolerant: str = "context_dependent", tolerance: float = 0.005, ceilings: Mapping[str, float] = CEILINGS) -> DataFrame:
     """Threshold of each relation from ``relation, p, label`` rows: the lowest of the 19 with the best F1.
 
-    ``tolerant`` takes the lowest whose F1 is within ``tolerance`` of the best.
+    ``tolerant`` takes the lowest whose F1 is within ``tolerance`` of the best. A relation
+    with a ceiling takes that where its threshold is above.
     """
     grid = F.explode(F.array(*(F.lit(i / 100) for i in range(5, 100, 5)))).alias("threshold")
     at = rows.select("relation", "p", "label", grid)
@@ -143,7 +172,7 @@ def calibrate_relations(rows: DataFrame, tolerant: str = "context_dependent", to
     scored = at.groupBy("relation", "threshold").agg(F.count_if(hit & real).alias("tp"), F.count_if(hit & ~real).alias("fp"), F.count_if(~hit & real).alias("fn"))
     scored = scored.withColumn("f1", f1(F.col("tp"), F.col("fp"), F.col("fn"))).withColumn("best", F.max("f1").over(Window.partitionBy("relation")))
     slack = F.when(F.col("relation") == tolerant, F.lit(tolerance)).otherwise(F.lit(1e-12))
-    return scored.where(F.col("f1") >= F.col("best") - slack).groupBy("relation").agg(F.min("threshold").alias("threshold"), F.max("best").alias("best_f1"))
+    return scored.where(F.col("f1") >= F.col("best") - slack).groupBy("relation").agg(F.min("threshold").alias("threshold"), F.max("best").alias("best_f1")).withColumn("threshold", F.least("threshold", _ceiling(ceilings)))
 
 
 def parity(rows: DataFrame, a: str, b: str, tolerance: float) -> DataFrame:

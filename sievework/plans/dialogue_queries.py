@@ -49,10 +49,28 @@ def q_last3_exchanges(spark, sf_dir):
     return newest.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.transform(item, lambda x: x["assistant_turn"].cast("string")), ",").alias("turns"))
 
 
-@query(f"""SELECT u.conv_id, '[CURRENT_USER]' || chr(10) || u.text || coalesce(chr(10) || past, '') AS router_text FROM {_CUR} u LEFT JOIN (
+def states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dialogue states told by each conversation's own texts: commas, stops and turns."""
+    commas, stops = F.sum(F.regexp_count("text", F.lit(","))), F.sum(F.regexp_count("text", F.lit(r"\.")))
+    pending = F.when(commas % 3 == 0, F.lit(None)).when(commas % 3 == 1, "freeze_card").otherwise("").cast("string")
+    return turns(spark, sf_dir).groupBy("conv_id").agg(pending.alias("pending_servicing"), F.when(stops % 4 == 0, F.lit(None)).otherwise(stops % 2 == 0).alias("knowledge_detour_active"), (F.max("turn") % 3 == 2).alias("topic_shift"))
+
+
+_STATES = """(SELECT conv_id, CASE c % 3 WHEN 0 THEN NULL WHEN 1 THEN 'freeze_card' ELSE '' END AS pending_servicing, CASE WHEN s % 4 = 0 THEN NULL ELSE s % 2 = 0 END AS detour, last % 3 = 2 AS topic_shift
+ FROM (SELECT conv_id, sum(length(text) - length(replace(text, ',', ''))) AS c, sum(length(text) - length(replace(text, '.', ''))) AS s, max(turn) AS last FROM conversations GROUP BY conv_id))"""
+_HEADER = """CASE WHEN coalesce(pending_servicing <> '', false) OR coalesce(detour, false) THEN '[PRIOR_DIALOGUE_STATE]' || chr(10) || '{"knowledge_detour_active":' || coalesce(detour::VARCHAR, 'null') || ',"pending_servicing":' || coalesce('"' || pending_servicing || '"', 'null') || '}' || chr(10) ELSE '' END"""
+
+
+@query(f"""SELECT u.conv_id, {_HEADER} || '[CURRENT_USER]' || chr(10) || u.text || coalesce(chr(10) || past, '') AS router_text FROM {_CUR} u JOIN {_STATES} d ON d.conv_id = u.conv_id LEFT JOIN (
  SELECT conv_id, string_agg('[PREVIOUS_ASSISTANT]' || chr(10) || assistant_text || chr(10) || '[PREVIOUS_USER]' || chr(10) || user_text, chr(10) ORDER BY back) AS past FROM {_EX} WHERE back <= 3 GROUP BY conv_id) p ON u.conv_id = p.conv_id""")
 def q_render_input(spark, sf_dir):
-    return C.router_input(turns(spark, sf_dir))
+    return C.router_input(turns(spark, sf_dir), states=states(spark, sf_dir))
+
+
+@query("""SELECT conv_id, '[CURRENT]' || chr(10) || trim(text) || CASE WHEN trim(coalesce(previous, '')) <> '' THEN chr(10) || '[PREVIOUS_USER]' || chr(10) || trim(previous) ELSE '' END AS router_text
+ FROM (SELECT *, lag(text) OVER w AS previous, max(turn) OVER (PARTITION BY conv_id) AS last FROM conversations WHERE role = 'user' AND trim(text) <> '' WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE turn = last""")
+def q_render_dual_head(spark, sf_dir):
+    return C.dual_head_input(turns(spark, sf_dir))
 
 
 @query("SELECT conv_id, turn, group_no FROM (SELECT conv_id, turn, sum((role = 'user')::INTEGER) OVER (PARTITION BY conv_id ORDER BY turn, role ROWS UNBOUNDED PRECEDING)::BIGINT AS group_no FROM conversations) WHERE group_no > 0")
@@ -64,19 +82,30 @@ def _has(words: tuple[str, ...]) -> str:
     return f"len(list_intersect(w, {list(words)})) > 0"
 
 
-_REL = f"""(SELECT conv_id, n_history, n_history > 0 AND (len(w) <= 6 OR {_has(C.DEICTIC)}) AS context_dependent, {_has(C.REPAIR)} AS agent_repair, n_history > 0 AND {_has(C.CONFIRM)} AND len(w) <= 6 AS clarification_answer, {_has(C.RESUME)} AS resume_words
- FROM (SELECT u.conv_id, coalesce(n, 0) AS n_history, list_distinct(list_filter(string_split({norm('u.text')}, ' '), lambda x: x <> '')) AS w FROM {_CUR} u LEFT JOIN (SELECT conv_id, count(*) AS n FROM {_HIST} GROUP BY conv_id) h ON u.conv_id = h.conv_id))"""
+_REL = f"""(SELECT conv_id, n_history, n_history > 0 AND (len(w) <= 6 OR {_has(C.DEICTIC)}) AS context_dependent, {_has(C.REPAIR)} AS agent_repair, topic_shift, n_history > 0 AND {_has(C.CONFIRM)} AND len(w) <= 6 AS clarification_answer, coalesce(detour AND pending_servicing <> '', false) AND {_has(C.RESUME)} AS resume_previous_service
+ FROM (SELECT u.conv_id, coalesce(n, 0) AS n_history, d.pending_servicing, d.detour, d.topic_shift, list_distinct(list_filter(string_split({norm('u.text')}, ' '), lambda x: x <> '')) AS w FROM {{cur}} u JOIN {_STATES} d ON d.conv_id = u.conv_id LEFT JOIN (SELECT conv_id, count(*) AS n FROM {_HIST} GROUP BY conv_id) h ON u.conv_id = h.conv_id))"""
+_SAID = f"(SELECT conv_id, turn, CASE conv_id % 3 WHEN 0 THEN text || ' - back to it' WHEN 1 THEN text ELSE left(text, 20) || ' no, return' END AS text FROM {_CUR})"
+
+
+def _reworded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations whose last user message of two in three is reworded, so that words of all lists occur."""
+    rows, last = turns(spark, sf_dir), C.last_user(turns(spark, sf_dir)).select("conv_id", F.col("turn").alias("at"))
+    c, t = F.col("conv_id") % 3, F.col("text")
+    said = F.when(c == 0, F.concat(t, F.lit(" - back to it"))).when(c == 1, t).otherwise(F.concat(F.substring(t, 1, 20), F.lit(" no, return")))
+    return rows.join(last, "conv_id", "left").withColumn("text", F.when((F.col("turn") == F.col("at")) & (F.col("role") == "user"), said).otherwise(t)).drop("at")
+
+
+_KIND = "CASE WHEN agent_repair THEN 'agent_repair' WHEN clarification_answer THEN 'clarification_answer' WHEN context_dependent THEN 'contextual_followup' WHEN n_history > 0 THEN 'visible_multiturn' ELSE 'sft_single_turn' END AS example_kind"
 
 
-@query(f"""SELECT *, context_dependent::INTEGER::VARCHAR || agent_repair::INTEGER::VARCHAR || '0' || clarification_answer::INTEGER::VARCHAR || '0' AS multi_hot,
- CASE WHEN agent_repair THEN 'agent_repair' WHEN clarification_answer THEN 'clarification_answer' WHEN context_dependent THEN 'contextual_followup' WHEN n_history > 0 THEN 'visible_multiturn' ELSE 'sft_single_turn' END AS example_kind FROM {_REL}""")
+@query(f"SELECT *, {' || '.join(f'{c}::INTEGER::VARCHAR' for c in C.RELATION_FLAGS)} AS multi_hot, {_KIND} FROM {_REL.replace('{cur}', _SAID)}")
 def q_relations(spark, sf_dir):
-    return C.relations(turns(spark, sf_dir))
+    return C.relations(_reworded(spark, sf_dir), states(spark, sf_dir))
 
 
-@query(f"SELECT example_kind, count(*) AS n FROM (SELECT CASE WHEN agent_repair THEN 'agent_repair' WHEN clarification_answer THEN 'clarification_answer' WHEN context_dependent THEN 'contextual_followup' WHEN n_history > 0 THEN 'visible_multiturn' ELSE 'sft_single_turn' END AS example_kind FROM {_REL}) GROUP BY example_kind")
+@query(f"SELECT example_kind, count(*) AS n FROM (SELECT {_KIND} FROM {_REL.replace('{cur}', _SAID)}) GROUP BY example_kind")
 def q_example_kind(spark, sf_dir):
-    return C.relations(turns(spark, sf_dir)).groupBy("example_kind").agg(F.count(F.lit(1)).alias("n"))
+    return C.relations(_reworded(spark, sf_dir)).groupBy("example_kind").agg(F.count(F.lit(1)).alias("n"))
 
 
 _TOK = "len(regexp_extract_all(text, '\\S+'))"

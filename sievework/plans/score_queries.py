@@ -98,7 +98,7 @@ def _suite(rows: DataFrame, by=()) -> DataFrame:
     return M.suite(
         rows,
         {
-            "acceptance": (F.lit(True), taken),
+            "acceptance": (F.lit(True), taken, 1.0),
             "in_domain_recall": (real, taken),
             "in_domain_false_refusal": (real, refused),
             "ood_false_accept": (~real, taken),
@@ -106,6 +106,7 @@ def _suite(rows: DataFrame, by=()) -> DataFrame:
             "repair_false_refusal": (real & (F.col("y1") == 1), refused),
             "toxic_accept": (F.col("toxic") == 1, taken),
             "never": (F.col("quality") > 5, taken),
+            "never_acceptance": (F.col("quality") > 5, taken, 1.0),
         },
         by,
     )
@@ -115,14 +116,14 @@ _SUITE_ROWS = f"(SELECT *, {_ROUTE.format('0.3', '0.5', _RESCUE)} AS route, CASE
 _BASES = {
     "acceptance": ("true", "route = 'in_domain'"), "in_domain_recall": ("quality = 1", "route = 'in_domain'"), "in_domain_false_refusal": ("quality = 1", "route = 'out_of_domain'"),
     "ood_false_accept": ("quality <> 1", "route = 'in_domain'"), "contextual_false_refusal": ("quality = 1 AND y0 = 1", "route = 'out_of_domain'"),
-    "repair_false_refusal": ("quality = 1 AND y1 = 1", "route = 'out_of_domain'"), "toxic_accept": ("toxic = 1", "route = 'in_domain'"), "never": ("quality > 5", "route = 'in_domain'"),
+    "repair_false_refusal": ("quality = 1 AND y1 = 1", "route = 'out_of_domain'"), "toxic_accept": ("toxic = 1", "route = 'in_domain'"), "never": ("quality > 5", "route = 'in_domain'"), "never_acceptance": ("quality > 5", "route = 'in_domain'"),
 }
 
 
 def _suite_sql(by: str = "") -> str:
     extra, group = (f"{by}, ", f" GROUP BY {by}") if by else ("", "")
     parts = " UNION ALL ".join(f"SELECT {extra}'{k}' AS name, count(*) FILTER ({b} AND {ok}) AS numerator, count(*) FILTER ({b}) AS denominator FROM {_SUITE_ROWS}{group}" for k, (b, ok) in _BASES.items())
-    return f"SELECT *, numerator / nullif(denominator, 0) AS score FROM ({parts})"
+    return f"SELECT *, coalesce(numerator / nullif(denominator, 0), CASE WHEN name LIKE '%acceptance' THEN 1.0::DOUBLE END) AS score FROM ({parts})"
 
 
 @query(_suite_sql())
@@ -168,11 +169,16 @@ def q_row_weights(spark, sf_dir):
     return rows.groupBy("toxic").agg(F.round(F.sum(F.col("w") * F.col("p")) / F.greatest(F.sum("w"), F.lit(1.0)), 9).alias("weighted_mean"), F.sum("w").alias("weight"))
 
 
-@query(f"""WITH b AS (SELECT floor(p * 200)::INTEGER AS bin, quality FROM {_SCORED}), a AS (SELECT i, count(*) FILTER (bin >= i AND quality = 1) AS tp, count(*) FILTER (bin < i AND quality = 0) AS tn, count(*) FILTER (quality = 1) AS pos, count(*) FILTER (quality = 0) AS neg FROM b, range(1, 200) g(i) GROUP BY i),
- s AS (SELECT i / 200 AS threshold, coalesce(tp / nullif(pos, 0), 0.0) AS recall, coalesce(tn / nullif(neg, 0), 0.0) AS specificity FROM a)
- SELECT threshold, recall, specificity, (recall + specificity) / 2 AS balanced_accuracy FROM s ORDER BY recall >= 0.98 DESC, specificity DESC, (recall + specificity) / 2 DESC, threshold DESC LIMIT 1""")
+_EDGES = f"(SELECT CASE WHEN doc_id % 4 = 0 THEN round(p * 200) / 200 ELSE p END AS p, quality, y0 = 1 AS talk FROM {_SCORED})"
+
+
+@query(f"""WITH a AS (SELECT i, count(*) FILTER (p >= i / 200 AND quality = 1) AS tp, count(*) FILTER (p < i / 200 AND quality = 0) AS tn, count(*) FILTER (p >= i / 200 AND quality = 1 AND talk) AS tc, count(*) FILTER (quality = 1) AS pos, count(*) FILTER (quality = 0) AS neg, count(*) FILTER (quality = 1 AND talk) AS tpos, count(*) FILTER (talk) AS t FROM {_EDGES}, range(1, 200) g(i) GROUP BY i),
+ s AS (SELECT i / 200 AS threshold, coalesce(tp / nullif(pos, 0), 0.0) AS recall, CASE WHEN t = 0 THEN 1.0 ELSE coalesce(tc / nullif(tpos, 0), 0.0) END AS conversational_recall, coalesce(tn / nullif(neg, 0), 0.0) AS specificity FROM a)
+ SELECT threshold, recall, conversational_recall, specificity, (recall + specificity) / 2 AS balanced_accuracy FROM s ORDER BY recall >= 0.98 AND conversational_recall >= 0.95 DESC, specificity DESC, (recall + specificity) / 2 DESC, threshold DESC LIMIT 1""")
 def q_calibrate_binary(spark, sf_dir):
-    return M.calibrate_binary(scored(spark, sf_dir), "p", "quality")
+    """A quarter of the probabilities stand on a threshold, where bins and comparisons could disagree."""
+    rows = scored(spark, sf_dir).withColumn("p", F.when(F.col("doc_id") % 4 == 0, F.round(F.col("p") * 200) / 200).otherwise(F.col("p"))).withColumn("talk", F.col("y0") == 1)
+    return M.calibrate_binary(rows, "p", "quality", conversational="talk")
 
 
 @query(f"""WITH x AS (SELECT p, quality AS label, {_RESCUE} AS rescue, y0 = 1 AS contextual, y1 = 1 AS repair FROM {_SCORED}),
@@ -189,8 +195,9 @@ _REL_ROWS = " UNION ALL ".join(f"SELECT '{name}' AS relation, r{i} AS p, y{i} AS
 
 @query(f"""WITH s AS (SELECT relation, i / 100 AS threshold, count(*) FILTER (p >= i / 100 AND label = 1) AS tp, count(*) FILTER (p >= i / 100 AND label = 0) AS fp, count(*) FILTER (p < i / 100 AND label = 1) AS fn FROM ({_REL_ROWS}), range(5, 100, 5) g(i) GROUP BY relation, i),
  f AS (SELECT *, CASE WHEN 2 * tp + fp + fn = 0 THEN 0.0 ELSE 2.0::DOUBLE * tp / (2 * tp + fp + fn) END AS f1 FROM s), m AS (SELECT *, max(f1) OVER (PARTITION BY relation) AS best FROM f)
- SELECT relation, min(threshold) AS threshold, max(best) AS best_f1 FROM m WHERE f1 >= best - CASE relation WHEN 'context_dependent' THEN 0.005::DOUBLE ELSE 1e-12::DOUBLE END GROUP BY relation""")
+ SELECT relation, least(min(threshold), CASE relation WHEN 'agent_repair' THEN 0.75::DOUBLE WHEN 'clarification_answer' THEN 0.8::DOUBLE ELSE 1.0::DOUBLE END) AS threshold, max(best) AS best_f1 FROM m WHERE f1 >= best - CASE relation WHEN 'context_dependent' THEN 0.005::DOUBLE ELSE 1e-12::DOUBLE END GROUP BY relation""")
 def q_calibrate_relation(spark, sf_dir):
+    """Relations of scores; a ceiling binds where the best threshold is above it (see the tests)."""
     each = F.explode(F.array(*(F.struct(F.lit(n).alias("relation"), F.col(f"r{i}").alias("p"), F.col(f"y{i}").alias("label")) for i, n in enumerate(dims.RELATIONS)))).alias("e")
     return M.calibrate_relations(scored(spark, sf_dir).select(each).select("e.*"))
 
