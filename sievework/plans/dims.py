@@ -30,10 +30,14 @@ INTENTS = {
     "other_banking": ("banking", "other_banking", "other_banking", ()),
 }
 NEEDS_ENTITY = ("freeze_card", "replace_card", "dispute_transaction", "cancel_transfer")
+# Tools and their arguments.
 TOOL_ARGUMENTS = {
     "list_accounts": (), "list_cards": (), "list_service_cases": (), "list_transactions": ("limit",), "list_transfers": (),
     "cancel_transfer": ("recipient",), "dispute_transaction": ("description",), "freeze_card": ("last4",), "replace_card": ("last4",),
 }
+#: Tools that need a resolved entity.
+ENTITY_TOOLS = ("freeze_card", "replace_card", "dispute_transaction", "cancel_transfer")
+# Arguments that a model may not see, tools that only read, metrics by the value a release needs.
 PRIVATE_ARGUMENTS = ("account_id", "card_id", "customer_id", "password", "pin", "transaction_id", "transfer_id")
 READ_TOOLS = ("list_accounts", "list_cards", "list_service_cases", "list_transactions", "list_transfers")
 PERFECT_METRICS = ("tool_name_accuracy", "tool_argument_accuracy", "executable_tool_success", "multi_tool_exact_sequence", "clarification_appropriateness", "grounded_final_factuality", "grounded_policy_quality", "ood_small_talk_response_path")
