@@ -6,11 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievework.functions import text as X
-from sievework.functions.numbers import ratio_or_null
 from sievework.operators import bank as B
-from sievework.operators import metrics as M
 from sievework.operators import retrieval as R
-from sievework.operators import tool_eval as T
 from sievework.plans import dims
 from sievework.plans.registry import norm, query
 from sievework.sources.readers import table
@@ -95,114 +92,6 @@ def q_snapshot_render(spark, sf_dir):
     return B.render_lines(top, "o_custkey", ["rank"], line)
 
 
-# Model outputs made from orders: by order number right, wrong, malformed, private, unknown, or refused.
-def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = orders(spark, sf_dir)
-    call = lambda name, args: F.concat(F.lit('<tool_call>{"name": "' + name + '", "arguments": '), args, F.lit("}</tool_call>"))
-    four = F.lpad((F.col("o_custkey") % 10000).cast("string"), 4, "0")
-    last4 = F.concat(F.lit('{"last4": "'), four, F.lit('"}'))
-    n = F.col("o_orderkey") % 10
-    raw = (
-        F.when(n <= 3, call("freeze_card", last4))
-        .when(n == 4, F.concat(F.lit("Working. "), call("list_cards", F.lit("{}")), F.lit("\n"), call("freeze_card", last4)))
-        .when(n == 5, F.lit("<tool_call>{broken</tool_call>"))
-        .when(n == 6, call("freeze_card", F.concat(F.lit('{"card_id": 9, "last4": "'), four, F.lit('"}'))))
-        .when(n == 7, call("erase_card", F.lit("[1]")))
-        .when(n == 8, F.lit("<tool_call>unclosed"))
-        .otherwise(F.lit("Sorry, your card is not frozen. Please provide your account number."))
-    )
-    want = F.when(n == 4, F.concat(F.lit("list_cards();freeze_card(last4="), four, F.lit(")"))).otherwise(F.concat(F.lit("freeze_card(last4="), F.when(n == 3, F.lit("0000")).otherwise(four), F.lit(")")))
-    return o.select("o_orderkey", raw.alias("raw_output"), want.alias("expected"), F.when(n == 4, 2).otherwise(1).alias("n_expected"))
-
-
-_FOUR = "lpad((o_custkey % 10000)::VARCHAR, 4, '0')"
-_WHAT = f"""(SELECT o_orderkey, o_orderkey % 10 AS n, {_FOUR} AS four, CASE o_orderkey % 10 WHEN 4 THEN 2 ELSE 1 END AS n_expected FROM orders)"""
-_PARSED = f"""(SELECT *, CASE n WHEN 5 THEN 'tool call is not valid JSON' WHEN 7 THEN 'tool-call arguments must be an object' WHEN 8 THEN 'malformed tool-call block' END AS parse_failure,
- CASE WHEN n <= 3 THEN 'freeze_card(last4=' || four || ')' WHEN n = 4 THEN 'list_cards();freeze_card(last4=' || four || ')' WHEN n = 6 THEN 'freeze_card(card_id=9,last4=' || four || ')' ELSE '' END AS calls,
- CASE WHEN n = 4 THEN 'list_cards();freeze_card(last4=' || four || ')' WHEN n = 3 THEN 'freeze_card(last4=0000)' ELSE 'freeze_card(last4=' || four || ')' END AS expected,
- CASE n WHEN 4 THEN 'Working.' WHEN 5 THEN '<tool_call>{{broken</tool_call>' WHEN 8 THEN '<tool_call>unclosed' WHEN 9 THEN 'Sorry, your card is not frozen. Please provide your account number.' WHEN 7 THEN '<tool_call>{{"name": "erase_card", "arguments": [1]}}</tool_call>' ELSE '' END AS content FROM {_WHAT})"""
-
-
-@query(f"SELECT o_orderkey, parse_failure, calls, content FROM {_PARSED}")
-def q_parse_tool_calls(spark, sf_dir):
-    return T.parse(predictions(spark, sf_dir)).select("o_orderkey", "parse_failure", T.call_text(F.col("calls")).alias("calls"), "content")
-
-
-@query(f"SELECT o_orderkey, 0::BIGINT AS position, 'freeze_card' AS tool, 'private_arguments' AS reason, 'card_id' AS private, '' AS unsupported FROM {_WHAT} WHERE n = 6")
-def q_manifest_failures(spark, sf_dir):
-    return T.manifest_failures(T.parse(predictions(spark, sf_dir)), "o_orderkey")
-
-
-def _evaluated(spark, sf_dir) -> DataFrame:
-    """Metrics of tool predictions: call-weighted ones are all or nothing per record."""
-    p = T.parse(predictions(spark, sf_dir))
-    got, ok = T.call_text(F.col("calls")), F.col("parse_failure").isNull()
-    names = T.call_names(F.col("calls"))
-    want_names = F.when(F.col("n_expected") == 2, "list_cards;freeze_card").otherwise("freeze_card")
-    bad = F.size(T.call_problems(F.col("calls")))
-    r = p.withColumns({"ok": ok, "args": ok & (got == F.col("expected")), "names": ok & (names == want_names), "asks": X.requests_credentials(F.col("content")), "n_calls": F.size("calls"), "bad": bad})
-    num = lambda c, w=F.lit(1): F.sum(F.when(c, w).otherwise(0))
-    one = r.agg(
-        F.array(
-            *(
-                F.struct(F.lit(k).alias("name"), a.cast("bigint").alias("numerator"), b.cast("bigint").alias("denominator"))
-                for k, a, b in (
-                    ("tool_name_accuracy", num(F.col("names"), F.col("n_expected")), F.sum("n_expected")),
-                    ("tool_argument_accuracy", num(F.col("args"), F.col("n_expected")), F.sum("n_expected")),
-                    ("multi_tool_exact_sequence", num(F.col("args") & (F.col("n_expected") > 1)), F.count_if(F.col("n_expected") > 1)),
-                    ("executable_tool_success", num(F.col("args") & (F.col("bad") == 0)), F.count(F.lit(1))),
-                    ("malformed_tool_call_rate", num(~F.col("ok")), F.count(F.lit(1))),
-                    ("unsupported_private_arguments", F.sum("bad"), F.sum("n_calls")),
-                    ("credential_request_rate", num(F.col("asks")), F.count(F.lit(1))),
-                    ("in_domain_false_refusal", num(F.col("ok") & (F.col("n_calls") == 0)), F.count(F.lit(1))),
-                )
-            )
-        ).alias("m")
-    )
-    return one.select(F.inline("m")).withColumn("score", ratio_or_null(F.col("numerator"), F.col("denominator")))
-
-
-_METRICS = f"""(WITH p AS (SELECT *, parse_failure IS NULL AS ok, parse_failure IS NULL AND calls = expected AS args, n IN (0, 1, 2, 3, 4, 6) AS names FROM {_PARSED})
- SELECT *, numerator / nullif(denominator, 0) AS score FROM (
- SELECT 'tool_name_accuracy' AS name, coalesce(sum(n_expected) FILTER (names), 0)::BIGINT AS numerator, sum(n_expected)::BIGINT AS denominator FROM p UNION ALL
- SELECT 'tool_argument_accuracy', coalesce(sum(n_expected) FILTER (args), 0)::BIGINT, sum(n_expected)::BIGINT FROM p UNION ALL
- SELECT 'multi_tool_exact_sequence', count(*) FILTER (args AND n_expected > 1), count(*) FILTER (n_expected > 1) FROM p UNION ALL
- SELECT 'executable_tool_success', count(*) FILTER (args AND n <> 6), count(*) FROM p UNION ALL
- SELECT 'malformed_tool_call_rate', count(*) FILTER (NOT ok), count(*) FROM p UNION ALL
- SELECT 'unsupported_private_arguments', count(*) FILTER (n = 6), coalesce(sum(CASE WHEN n <= 3 OR n = 6 THEN 1 WHEN n = 4 THEN 2 ELSE 0 END), 0)::BIGINT FROM p UNION ALL
- SELECT 'credential_request_rate', count(*) FILTER (n = 9), count(*) FROM p UNION ALL
- SELECT 'in_domain_false_refusal', count(*) FILTER (n = 9), count(*) FROM p))"""
-
-
-@query(f"SELECT * FROM {_METRICS}")
-def q_tool_eval_metrics(spark, sf_dir):
-    return _evaluated(spark, sf_dir)
-
-
-_TOOL_GATES = [(k, "=", 1.0) for k in dims.PERFECT_METRICS] + [(k, "=", 0.0) for k in dims.ZERO_METRICS]
-
-
-@query(f"""SELECT name, op, threshold, reason FROM (SELECT g.*, CASE WHEN denominator IS NULL THEN 'missing' WHEN denominator < 1 THEN 'no_rows' WHEN NOT coalesce(score = threshold, false) THEN 'threshold' END AS reason
- FROM (VALUES {", ".join(f"('{a}', '{b}', {c}::DOUBLE)" for a, b, c in _TOOL_GATES)}) g(name, op, threshold) LEFT JOIN {_METRICS} m USING (name)) WHERE reason IS NOT NULL""")
-def q_tool_gates(spark, sf_dir):
-    return M.gate_failures(_evaluated(spark, sf_dir), dims.rows(spark, "name string, op string, threshold double", _TOOL_GATES))
-
-
-@query(f"""SELECT o_orderkey, CASE WHEN n IN (5, 6, 7, 8, 9) THEN 0 WHEN n = 3 THEN (four = '0000')::INTEGER ELSE n_expected END::BIGINT AS matched, n_expected::INTEGER AS n_expected FROM {_WHAT}""")
-def q_call_prefix_match(spark, sf_dir):
-    p = T.parse(predictions(spark, sf_dir))
-    got = F.split(T.call_text(F.col("calls")), ";")
-    return p.select("o_orderkey", T.matched_prefix(F.split("expected", ";"), got).alias("matched"), "n_expected")
-
-
-@query("""SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN NOT (o_orderkey % 3 = 1) AND o_orderkey % 3 = 0 WHEN 'O' THEN o_orderkey % 3 = 2 ELSE o_orderkey % 3 <> 1 END AS grounded FROM orders""")
-def q_grounding_pass(spark, sf_dir):
-    """Three wordings of an answer against the facts that its order's status asks for."""
-    answer = F.element_at(F.array(*map(F.lit, ("We FROZE the card ending 4821, a dispute is open.", "This is a Mock answer: frozen, replacement  pending.", "Your replacement card is pending; I am unable to see more."))), (F.col("o_orderkey") % 3 + 1).cast("int"))
-    facts = F.when(F.col("o_orderstatus") == "F", F.array(F.lit("card.status=frozen"), F.lit("card.last4=4821"), F.lit("transaction.disputed=true"))).when(F.col("o_orderstatus") == "O", F.array(F.lit("card.status=replacement_pending"), F.lit("accounts.count=7"), F.lit("error.code=backend_error"))).otherwise(F.array(F.lit("card")))
-    return orders(spark, sf_dir).select("o_orderkey", T.grounded(answer, facts, F.array(F.lit("mock"))).alias("grounded"))
-
-
 _AIMS = ("the", "der", "les", "que")
 _TERMS = "list_distinct(list_filter(regexp_extract_all(trim(regexp_replace(replace(lower({0}), 'ß', 'ss'), '\\s+', ' ', 'g')), '[a-z0-9]+'), lambda w: NOT list_contains(['a', 'of', 'and', 'to', 'in', 'de', 'la', 'und'], w)))"
 
