@@ -11,6 +11,8 @@ from pyspark.sql.window import Window
 from sievework.functions import text as X
 
 SHORTLIST, CEILING = 32, 0.90
+#: Sequences of items that may be broadcast: some 50 MB.
+BROADCAST_GRAMS = 500_000
 
 
 def leakage(rows: DataFrame, keys: dict[str, Column], split: str = "split") -> DataFrame:
@@ -45,11 +47,14 @@ def sentence_matches(docs: DataFrame, items: DataFrame, least_words: int = 4) ->
 def ngram_matches(docs: DataFrame, items: DataFrame, n: int = 8) -> DataFrame:
     """Shared n-word sequences of documents and items: pairs and their number.
 
-    Items' sequences go to every task only if Spark finds them small; else both sides are
-    shuffled by sequence. Documents emit each distinct sequence once.
+    Items of at most BROADCAST_GRAMS sequences go to every task, where a document's
+    sequences that no item has end at once; else both sides are shuffled by sequence.
+    Documents emit each distinct sequence once.
     """
     grams = lambda df, key: df.select(key, F.explode(X.word_ngrams(X.words(F.col("text")), n)).alias("g")).select(key, F.xxhash64("g").alias("h"), "g")
-    return grams(docs, "doc_id").join(grams(items, "item_id"), ["h", "g"]).groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("n_shared"))
+    sought = grams(items, "item_id")
+    small = sought.limit(BROADCAST_GRAMS + 1).count() <= BROADCAST_GRAMS
+    return grams(docs, "doc_id").join(F.broadcast(sought) if small else sought, ["h", "g"]).groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("n_shared"))
 
 
 def facts_in_texts(facts: DataFrame, docs: DataFrame) -> DataFrame:
@@ -71,16 +76,22 @@ def facts_in_texts(facts: DataFrame, docs: DataFrame) -> DataFrame:
 def dice_shortlist(queries: DataFrame, texts: DataFrame, k: int = SHORTLIST) -> DataFrame:
     """The ``k`` texts nearest to each query by the Dice coefficient of character trigrams.
 
-    ``queries`` and ``texts`` have ``qid``/``tid`` and a normalized ``text``. Trigrams meet
-    through an inverted index; pairs without a common one have Dice 0 and are left out.
+    ``queries`` and ``texts`` have ``qid``/``tid`` and a normalized ``text``; equal texts are
+    one until the ranks are known. Trigrams meet through an inverted index that carries
+    the sizes; pairs without a common one have Dice 0 and are left out.
     """
     q = queries.select("qid", X.char_trigrams(F.col("text")).alias("g"))
-    t = texts.select("tid", "text", X.char_trigrams(F.col("text")).alias("g"))
-    nq, nt = q.select("qid", F.size("g").alias("nq")), t.select("tid", "text", F.size("g").alias("nt"))
-    common = q.select("qid", F.explode("g").alias("g")).join(t.select("tid", F.explode("g").alias("g")), "g").groupBy("qid", "tid").agg(F.count(F.lit(1)).alias("common"))
-    scored = common.join(nq, "qid").join(nt, "tid").withColumn("dice", F.lit(2.0) * F.col("common") / (F.col("nq") + F.col("nt")))
+    folded = texts.groupBy("text").agg(F.min("tid").alias("low"))
+    t = folded.select("low", X.char_trigrams(F.col("text")).alias("g"))
+    asked = q.select("qid", F.size("g").alias("nq"), F.explode("g").alias("g"))
+    held = t.select("low", F.size("g").alias("nt"), F.explode("g").alias("g"))
+    common = asked.join(held, "g").groupBy("qid", "nq", "low", "nt").agg(F.count(F.lit(1)).alias("common"))
+    scored = common.withColumn("dice", F.lit(2.0) * F.col("common") / (F.col("nq") + F.col("nt")))
+    # The k best values of the Dice, ties included, are all that can hold the k best rows; only they get their texts.
+    near = scored.withColumn("__r", F.rank().over(Window.partitionBy("qid").orderBy(F.desc("dice")))).where(F.col("__r") <= k).select("qid", "low", "dice")
+    named = near.join(folded, "low").join(texts.select(F.col("text").alias("__t"), "tid"), F.col("text") == F.col("__t"))
     order = Window.partitionBy("qid").orderBy(F.desc("dice"), "text", "tid")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("qid", "tid", "dice", "rank")
+    return named.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("qid", "tid", "dice", "rank")
 
 
 def pair_invariants(rows: DataFrame) -> DataFrame:
@@ -96,5 +107,16 @@ def pair_invariants(rows: DataFrame) -> DataFrame:
     return per.select("pair_id", F.explode(F.array_compact(F.array(*(F.when(c, F.lit(k)) for k, c in rules.items())))).alias("rule"))
 
 
+def contamination_report(gates: dict[str, DataFrame], ceiling: DataFrame | None = None, score: str = "ratio") -> DataFrame:
+    """One row per gate: ``gate, n_overlaps, passed``; a gate passes with no row at all.
+
+    ``ceiling`` has similarities under ``score``; those of CEILING or more are its overlaps.
+    """
+    counted = [rows.agg(F.count(F.lit(1)).alias("n_overlaps")).select(F.lit(k).alias("gate"), "n_overlaps") for k, rows in gates.items()]
+    if ceiling is not None:
+        counted.append(ceiling.agg(F.count_if(F.col(score) >= CEILING).alias("n_overlaps")).select(F.lit("similarity").alias("gate"), "n_overlaps"))
+    return unioned(counted).withColumn("passed", F.col("n_overlaps") == 0)
+
+
 def unioned(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), frames)

@@ -77,5 +77,6 @@ def fuzzy_pairs(rows: DataFrame, id_col: str, text: str, family: str, min_ratio:
     near = left.join(right, same_block & apart & (F.call_function("levenshtein", F.col("ta"), F.col("tb"), most) >= 0)).select("a", "b", "ta", "tb")
     scored = near.withColumn("ratio", ratio(F.col("ta"), F.col("tb"), True)).where(F.col("ratio") >= min_ratio)
     texts = scored.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "ratio").distinct()
-    same = rows.where(F.col(text).isNotNull()).join(grouped, [family, text]).where(F.col(id_col) != F.col("__low")).select(F.col("__low").alias("a"), F.col(id_col).alias("b"), F.lit(1.0).alias("ratio"))
+    lows = grouped.select(F.col(family).alias("__f"), F.col(text).alias("__t"), "__low")
+    same = rows.where(F.col(text).isNotNull()).join(lows, F.col(family).eqNullSafe(F.col("__f")) & (F.col(text) == F.col("__t"))).where(F.col(id_col) != F.col("__low")).select(F.col("__low").alias("a"), F.col(id_col).alias("b"), F.lit(1.0).alias("ratio"))
     return texts.unionByName(same)

@@ -35,8 +35,10 @@ def lookup(queries: DataFrame, chunks: DataFrame, intent_terms: Sequence[str] =
     """The best ``limit`` chunks (``chunk_id, text``) of each query (``query_id, text``).
 
     A score is the IDF weight of the common terms over that of the query's, intent terms
-    count more, and a chunk must share one. Chunks meet queries by term, with the intent
-    terms' side joined first so that pairs without one are never made.
+    count more, and a chunk must share one. A query's lightest terms, which together weigh
+    less than ``min_score`` of it, can't reach a score alone: chunks are found by the others,
+    the rarer ones, and only those that the lightest could still lift over ``min_score`` meet them.
+    Queries without a term or a match have no rows.
     """
     if limit <= 0:
         raise ValueError("limit must be positive")
@@ -46,10 +48,47 @@ def lookup(queries: DataFrame, chunks: DataFrame, intent_terms: Sequence[str] =
     idf = inverted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     asked = queries.select("query_id", F.explode(terms(F.col("text"), **words)).alias("term")).crossJoin(F.broadcast(size))
     weight = (F.log((F.col("n") + 1) / (F.coalesce("df", F.lit(0)) + 1)) + 1) * heavy(F.col("term"))
-    weighed = asked.join(idf, "term", "left").select("query_id", "term", weight.alias("w"))
-    whole = weighed.groupBy("query_id").agg(F.sum("w").alias("whole"))
-    aimed = weighed.where(F.col("term").isin(list(intent_terms))).join(inverted, "term").select("query_id", "chunk_id").distinct()
-    shared = weighed.join(inverted, "term").join(aimed, ["query_id", "chunk_id"], "left_semi").groupBy("query_id", "chunk_id").agg(F.sum("w").alias("part"))
-    scored = shared.join(whole, "query_id").withColumn("score", F.round(F.col("part") / F.col("whole"), 6)).where(F.col("score") >= min_score)
+    own = Window.partitionBy("query_id")
+    lightest = own.orderBy("w", "term").rowsBetween(Window.unboundedPreceding, 0)
+    weighed = (
+        asked.join(idf, "term", "left")
+        .select("query_id", "term", weight.alias("w"), F.col("term").isin(list(intent_terms)).alias("aimed"))
+        .withColumns({"whole": F.sum("w").over(own), "upto": F.sum("w").over(lightest)})
+        .withColumn("light", F.col("upto") < F.col("whole") * (min_score - 1e-6))
+        .withColumn("tail", F.coalesce(F.sum(F.when(F.col("light"), F.col("w"))).over(own), F.lit(0.0)))
+    )
+    found = weighed.where(~F.col("light")).join(inverted, "term").groupBy("query_id", "chunk_id", "whole", "tail").agg(F.sum("w").alias("part"), F.max("aimed").alias("aimed"))
+    open_ = found.where(F.col("part") + F.col("tail") >= F.col("whole") * (min_score - 1e-6))
+    rest = open_.select("query_id", "chunk_id").join(weighed.where("light").select("query_id", "term", "w", "aimed"), "query_id").join(inverted, ["chunk_id", "term"])
+    more = rest.groupBy("query_id", "chunk_id").agg(F.sum("w").alias("more"), F.max("aimed").alias("also"))
+    shared = open_.join(more, ["query_id", "chunk_id"], "left").where(F.col("aimed") | F.coalesce("also", F.lit(False)))
+    scored = shared.withColumn("score", F.round((F.col("part") + F.coalesce("more", F.lit(0.0))) / F.col("whole"), 6)).where(F.col("score") >= min_score)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select("query_id", "chunk_id", "score", "rank")
+
+
+def with_unmatched(queries: DataFrame, matches: DataFrame) -> DataFrame:
+    """Every query with ``matched`` and its chunk ids in order of rank, none for one without a match."""
+    ids = matches.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "chunk_id"))), lambda m: m["chunk_id"].cast("string")).alias("chunk_ids"))
+    return queries.select("query_id").join(ids, "query_id", "left").select("query_id", F.col("chunk_ids").isNotNull().alias("matched"), F.coalesce("chunk_ids", F.array().cast("array<string>")).alias("chunk_ids"))
+
+
+def chunk_violations(chunks: DataFrame) -> DataFrame:
+    """Broken rules of passages: blank fields, dates that aren't ISO, an interval that ends before it begins, repeated ids."""
+    day = lambda c: F.when(F.col(c).rlike(r"\A\d{4}-\d{2}-\d{2}\z"), F.try_to_date(F.col(c)))
+    blank = {f"blank_{c}": F.coalesce(F.trim(c) == "", F.lit(True)) for c in ("chunk_id", "title", "text")}
+    rules = {
+        **blank,
+        "effective_from": day("effective_from").isNull(),
+        "effective_to": F.col("effective_to").isNotNull() & day("effective_to").isNull(),
+        "interval": day("effective_to") < day("effective_from"),
+    }
+    own = chunks.select("chunk_id", F.explode(F.array_compact(F.array(*(F.when(F.coalesce(c, F.lit(False)), F.lit(k)) for k, c in rules.items())))).alias("rule"))
+    again = chunks.groupBy("chunk_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("chunk_id", F.lit("repeated_id").alias("rule"))
+    return own.unionByName(again)
+
+
+def citations_of(matches: DataFrame, chunks: DataFrame) -> DataFrame:
+    """What a reader sees of each match: its citation and the passage's title and dates."""
+    shown = chunks.select("chunk_id", "title", "effective_from", "effective_to")
+    return matches.join(shown, "chunk_id").select("query_id", "rank", F.concat(F.lit("[Policy: "), F.col("chunk_id").cast("string"), F.lit("]")).alias("citation"), "chunk_id", "title", "effective_from", "effective_to")

@@ -141,13 +141,17 @@ def q_shadow_isolation(spark, sf_dir):
     return G.isolation_breaks(rows, {"id": F.col("doc_id"), "source": F.col("source"), "text": F.md5(X.normalize(F.col("text")))})
 
 
-@query("""WITH n AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY sha256(doc_id::VARCHAR)) - 1 AS i FROM documents), s AS (SELECT a.doc_id AS current_id, b.doc_id AS prior_id FROM n a JOIN n b ON a.lang = 'de' AND b.lang = 'fr' AND a.i = b.i)
+_NEXT = {"de": "fr", "fr": "es", "es": "en", "en": "de"}
+
+
+@query(f"""WITH n AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY sha256(doc_id::VARCHAR)) - 1 AS i FROM documents), s AS (SELECT a.doc_id AS current_id, b.doc_id AS prior_id FROM n a JOIN n b ON b.lang = CASE a.lang {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _NEXT.items())} END AND a.i = b.i)
  SELECT current_id, prior_id, 'to' AS kind FROM s UNION ALL SELECT prior_id, current_id, 'back' FROM s""")
 def q_topic_shifts(spark, sf_dir):
-    """Shifts from one group's rows to another's and back, zipped up to the shorter."""
+    """Shifts from each language's rows to the next one's and back, zipped up to the shorter."""
     n = splits.numbered(table(spark, sf_dir, "documents").select("doc_id", "lang"), "lang", F.sha2(F.col("doc_id").cast("string"), 256), "i")
-    one = lambda lang, name: n.where(F.col("lang") == lang).select("i", F.col("doc_id").alias(name))
-    zipped = one("de", "current_id").join(one("fr", "prior_id"), "i").select("current_id", "prior_id")
+    after = F.create_map(*(F.lit(x) for pair in _NEXT.items() for x in pair))
+    current = n.select(F.try_element_at(after, F.col("lang")).alias("lang"), "i", F.col("doc_id").alias("current_id"))
+    zipped = current.join(n.select("lang", "i", F.col("doc_id").alias("prior_id")), ["lang", "i"]).select("current_id", "prior_id")
     back = zipped.select(F.col("prior_id").alias("current_id"), F.col("current_id").alias("prior_id"), F.lit("back").alias("kind"))
     return zipped.withColumn("kind", F.lit("to")).unionByName(back)
 

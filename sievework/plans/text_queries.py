@@ -51,58 +51,63 @@ def q_private_numbers(spark, sf_dir):
     return docs(spark, sf_dir).where(t.rlike(r"\d")).select("doc_id", t.rlike(X.PRIVATE_NUMBER).alias("private_number"), F.regexp_count(t, F.lit(r"\d{2,}")).cast("bigint").alias("n_numbers"))
 
 
-_LABEL_CASES = ", ".join(f"CASE WHEN regexp_matches(t, '{p}') THEN '{k}' END" for k, p in X.INTERNAL_LANGUAGE.items())
+def _unicode_bounds(pattern: str) -> str:
+    """The pattern with word bounds that know all letters, which DuckDB's own don't; they open and close in turn."""
+    first, *rest = pattern.split(r"\b")
+    return first + "".join((r"(?:^|[^\p{L}\p{N}_])" if i % 2 == 0 else r"(?:$|[^\p{L}\p{N}_])") + part for i, part in enumerate(rest))
+
+
+_LABEL_CASES = ", ".join(f"CASE WHEN regexp_matches(t, '{_unicode_bounds(p)}') THEN '{k}' END" for k, p in X.INTERNAL_LANGUAGE.items())
+
+
+_SENTENCES = (
+    "Your order is open. Please provide your account number.",
+    "Do not share your password with anyone. Your card is frozen.",
+    "The demo router called a tool result from the back-end model.",
+    "We need your PIN to continue! Your transfer is pending, ref 4411.",
+    "Never tell us your one-time verification code; what is your customer ID?",
+    "Fee is $1,250.00 or 3.50% for twelve months [Policy: fees.card.v2] [Policy: fees.card.v1]",
+    "Test data on the GPU. Send the security code.",
+)
 
 
 def _messages(spark, sf_dir) -> DataFrame:
-    """Customer messages made from orders: one wording per order, by its number."""
-    forms = (
-        "Your order is open. Please provide your account number.",
-        "Do not share your password with anyone. Your card is frozen.",
-        "The demo router called a tool result from the back-end model.",
-        "We need your PIN to continue! Your transfer is pending, ref 4411.",
-        "Never tell us your one-time verification code; what is your customer ID?",
-        "Fee is $1,250.00 or 3.50% for twelve months [Policy: fees.card.v2] [Policy: fees.card.v1]",
-        "Test data on the GPU. Send the security code.",
-    )
-    text = F.element_at(F.array(*map(F.lit, forms)), (F.col("o_orderkey") % len(forms) + 1).cast("int"))
-    return table(spark, sf_dir, "orders").select("o_orderkey", text.alias("t"))
-
-
-_MESSAGES = """(SELECT o_orderkey, ['Your order is open. Please provide your account number.',
- 'Do not share your password with anyone. Your card is frozen.', 'The demo router called a tool result from the back-end model.',
- 'We need your PIN to continue! Your transfer is pending, ref 4411.', 'Never tell us your one-time verification code; what is your customer ID?',
- 'Fee is $1,250.00 or 3.50% for twelve months [Policy: fees.card.v2] [Policy: fees.card.v1]', 'Test data on the GPU. Send the security code.'][o_orderkey % 7 + 1] AS t FROM orders)"""
-
-
-@query(f"SELECT o_orderkey, array_to_string(list_filter([{_LABEL_CASES}], lambda x: x IS NOT NULL), ',') AS labels, array_to_string(list_filter({list(X.FORBIDDEN_TERMS)}, lambda w: contains({norm_ascii('t')}, w)), ',') AS terms FROM {_MESSAGES}")
+    """Whole documents, each with one more sentence, so that every pattern occurs."""
+    more = F.element_at(F.array(*map(F.lit, _SENTENCES)), (F.col("doc_id") % len(_SENTENCES) + 1).cast("int"))
+    return docs(spark, sf_dir).select("doc_id", F.concat(F.col("text"), F.lit("\n"), more).alias("t"))
+
+
+_MESSAGES = f"(SELECT doc_id, text || chr(10) || {list(_SENTENCES)}[doc_id % {len(_SENTENCES)} + 1] AS t FROM documents)"
+
+
+@query(f"SELECT doc_id, array_to_string(list_filter([{_LABEL_CASES}], lambda x: x IS NOT NULL), ',') AS labels, array_to_string(list_filter({list(X.FORBIDDEN_TERMS)}, lambda w: contains({norm_ascii('t')}, w)), ',') AS terms FROM {_MESSAGES}")
 def q_internal_language_flags(spark, sf_dir):
-    return _messages(spark, sf_dir).select("o_orderkey", F.array_join(X.internal_labels(F.col("t")), ",").alias("labels"), F.array_join(X.forbidden_terms(F.col("t")), ",").alias("terms"))
+    return _messages(spark, sf_dir).select("doc_id", F.array_join(X.internal_labels(F.col("t")), ",").alias("labels"), F.array_join(X.forbidden_terms(F.col("t")), ",").alias("terms"))
 
 
 _REQ, _PRO = X.CREDENTIAL_REQUEST.replace("'", "''"), X.PROHIBITION.replace("'", "''")
 
 
-@query(f"""SELECT o_orderkey, len(list_filter(list_transform(string_split_regex(lower(t), '[.!?;\\n]'), lambda c: regexp_replace(c, '{_PRO}(?:{_REQ})', ' ', 'g')), lambda c: regexp_matches(c, '{_REQ}'))) > 0 AS requests_credentials,
+@query(f"""SELECT doc_id, len(list_filter(list_transform(string_split_regex(lower(t), '[.!?;\\n]'), lambda c: regexp_replace(c, '{_PRO}(?:{_REQ})', ' ', 'g')), lambda c: regexp_matches(c, '{_REQ}'))) > 0 AS requests_credentials,
  regexp_matches(lower(t), '{X.PRIVATE_VERB}') AND regexp_matches(lower(t), '{X.PRIVATE_NOUN}') AS requests_private FROM {_MESSAGES}""")
 def q_credential_requests(spark, sf_dir):
-    return _messages(spark, sf_dir).select("o_orderkey", X.requests_credentials(F.col("t")).alias("requests_credentials"), X.requests_private_data(F.col("t")).alias("requests_private"))
+    return _messages(spark, sf_dir).select("doc_id", X.requests_credentials(F.col("t")).alias("requests_credentials"), X.requests_private_data(F.col("t")).alias("requests_private"))
 
 
-@query(f"SELECT o_orderkey, array_to_string(list_sort(list_distinct(regexp_extract_all(t, '\\[Policy:\\s*([^\\]\\s]+)\\s*\\]', 1))), ',') AS citations FROM {_MESSAGES} WHERE contains(t, '[Policy')")
+@query(f"SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(t, '\\[Policy:\\s*([^\\]\\s]+)\\s*\\]', 1))), ',') AS citations FROM {_MESSAGES} WHERE contains(t, '[Policy')")
 def q_citations(spark, sf_dir):
-    return _messages(spark, sf_dir).where(F.contains("t", F.lit("[Policy"))).select("o_orderkey", F.array_join(X.citations(F.col("t")), ",").alias("citations"))
+    return _messages(spark, sf_dir).where(F.contains("t", F.lit("[Policy"))).select("doc_id", F.array_join(X.citations(F.col("t")), ",").alias("citations"))
 
 
 @query()
 def q_quantities(spark, sf_dir):
     """Its pattern looks behind, which DuckDB's expressions cannot; tests hold it against Python."""
-    return _messages(spark, sf_dir).select("o_orderkey", F.array_join(X.quantities(F.col("t")), ",").alias("quantities"))
+    return _messages(spark, sf_dir).select("doc_id", F.array_join(X.quantities(F.col("t")), ",").alias("quantities"))
 
 
-@query(f"SELECT o_orderkey, array_to_string(list_sort(list_distinct(list_concat(regexp_extract_all(t, '\\d{{2,}}'), regexp_extract_all(lower(t), '{X.FACT_WORDS}')))), ',') AS facts FROM {_MESSAGES}")
+@query(f"SELECT doc_id, array_to_string(list_sort(list_distinct(list_concat(regexp_extract_all(t, '\\d{{2,}}'), regexp_extract_all(lower(t), '{X.FACT_WORDS}')))), ',') AS facts FROM {_MESSAGES}")
 def q_fact_literals(spark, sf_dir):
-    return _messages(spark, sf_dir).select("o_orderkey", F.array_join(X.fact_literals(F.col("t")), ",").alias("facts"))
+    return _messages(spark, sf_dir).select("doc_id", F.array_join(X.fact_literals(F.col("t")), ",").alias("facts"))
 
 
 @query("""SELECT doc_id, sha256('7404' || chr(0) || source || chr(0) || doc_id::VARCHAR) AS rank_hex, ('0x' || substr(sha256(text), 1, 12))::BIGINT AS stable_int,
@@ -118,7 +123,7 @@ def q_exact_dup_groups(spark, sf_dir):
 
 
 _SPLIT = """(SELECT d.*, CASE WHEN r <= round_even(n * 0.15, 0) THEN 'validation' WHEN r <= round_even(n * 0.15, 0) + round_even(n * 0.15, 0) THEN 'test' ELSE 'train' END AS split
- FROM documents d JOIN (SELECT source, row_number() OVER (ORDER BY sha256('711' || chr(10) || source)) AS r, count(*) OVER () AS n FROM (SELECT DISTINCT source FROM documents)) g USING (source))"""
+ FROM documents d JOIN (SELECT source AS g, row_number() OVER (ORDER BY sha256('711' || chr(10) || coalesce(source, '')), source IS NULL) AS r, count(*) OVER () AS n FROM (SELECT DISTINCT source FROM documents)) ON source IS NOT DISTINCT FROM g)"""
 
 
 def split_docs(spark, sf_dir) -> DataFrame:
@@ -180,11 +185,16 @@ def q_prev_pair_wrap(spark, sf_dir):
     return splits.previous_with_wrap(docs(spark, sf_dir).select("doc_id", "source"), "source", "doc_id", "doc_id").select("doc_id", "source", "previous")
 
 
-@query("""WITH b AS (SELECT item_id, 'en' AS lang, row_number() OVER (ORDER BY sha256(item_id::VARCHAR)) - 1 AS j FROM benchmark), d AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY sha256(doc_id::VARCHAR)) - 1 AS i FROM documents)
- SELECT doc_id, item_id FROM d JOIN b ON d.lang = b.lang AND d.i % (SELECT count(*) FROM benchmark) = b.j""")
+_LANGS = ("de", "en", "es", "fr")
+
+
+@query(f"""WITH b AS (SELECT item_id, lang, row_number() OVER (PARTITION BY lang ORDER BY sha256(item_id::VARCHAR)) - 1 AS j, count(*) OVER (PARTITION BY lang) AS n FROM (SELECT item_id, {list(_LANGS)}[item_id % 4 + 1] AS lang FROM benchmark)), d AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY sha256(doc_id::VARCHAR)) - 1 AS i FROM documents)
+ SELECT doc_id, item_id FROM d JOIN b ON d.lang = b.lang AND d.i % b.n = b.j""")
 def q_round_robin(spark, sf_dir):
+    """Documents of every language take the items of their language in turn."""
     left = splits.numbered(docs(spark, sf_dir).select("doc_id", "lang"), "lang", F.sha2(F.col("doc_id").cast("string"), 256), "i")
-    right = splits.numbered(table(spark, sf_dir, "benchmark").select("item_id", F.lit("en").alias("lang")), "lang", F.sha2(F.col("item_id").cast("string"), 256), "j")
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.get(F.array(*map(F.lit, _LANGS)), (F.col("item_id") % 4).cast("int")).alias("lang"))
+    right = splits.numbered(items, "lang", F.sha2(F.col("item_id").cast("string"), 256), "j")
     return splits.round_robin(left, right, "lang").select("doc_id", "item_id")
 
 
@@ -236,16 +246,16 @@ def q_contam_substring(spark, sf_dir):
 
 
 def _prompts(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """Held-out items as queries, users' messages as the texts they may be close to."""
+    """Held-out items as queries, users' messages as the texts they may be close to; documents would be no prompts."""
     q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), X.normalize(F.col("text")).alias("text"))
-    t = table(spark, sf_dir, "conversations").where("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("tid"), X.normalize(F.col("text")).alias("text"))
+    t = table(spark, sf_dir, "conversations").where("role = 'user'").select(F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("tid"), X.normalize(F.col("text")).alias("text"))
     return q, t
 
 
 _TRI = lambda t, k: f"(SELECT {k}, text, list_distinct(list_transform(range(1, length(p) - 1), lambda i: substr(p, i, 3))) AS g FROM (SELECT {k}, text, '  ' || text || '  ' AS p FROM {t}))"
 
 
-@query(f"""WITH b AS (SELECT item_id AS qid, {norm('text')} AS text FROM benchmark), d AS (SELECT conv_id * 1000 + turn AS tid, {norm('text')} AS text FROM conversations WHERE role = 'user'),
+@query(f"""WITH b AS (SELECT item_id AS qid, {norm('text')} AS text FROM benchmark), d AS (SELECT conv_id || ':' || turn AS tid, {norm('text')} AS text FROM conversations WHERE role = 'user'),
  q AS {_TRI('b', 'qid')}, t AS {_TRI('d', 'tid')}, c AS (SELECT qid, tid, count(*) AS common FROM (SELECT qid, unnest(g) AS g FROM q) JOIN (SELECT tid, unnest(g) AS g FROM t) USING (g) GROUP BY qid, tid)
  SELECT qid, tid, dice, rank FROM (SELECT qid, tid, 2.0::DOUBLE * common / (len(q.g) + len(t.g)) AS dice, row_number() OVER (PARTITION BY qid ORDER BY 2.0::DOUBLE * common / (len(q.g) + len(t.g)) DESC, t.text, tid)::INTEGER AS rank FROM c JOIN q USING (qid) JOIN t USING (tid)) WHERE rank <= 32""")
 def q_trigram_dice_top(spark, sf_dir):
