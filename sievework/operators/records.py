@@ -146,14 +146,15 @@ def overlay_transcripts(utterances: DataFrame, records: DataFrame) -> DataFrame:
 def replay(cards: Column, calls: Column) -> Column:
     """Cards (``last4, status``) after ordered calls (``tool, last4``), and whether each call worked.
 
-    A freeze or replacement changes the first card of its number that is active or frozen;
-    any other call, or a number that no such card has, fails and changes nothing.
+    A freeze or replacement changes the first card of its number that is active or frozen,
+    without a number the first such card; any other call, or a number that no such card
+    has, fails and changes nothing.
     """
     start = F.struct(cards.alias("cards"), F.array().cast("array<boolean>").alias("ok"))
 
     def step(acc: Column, call: Column) -> Column:
         new = F.when(call["tool"] == "freeze_card", "frozen").when(call["tool"] == "replace_card", "replacement_pending")
-        at = F.array_position(F.transform(acc["cards"], lambda c: (c["last4"] == call["last4"]) & c["status"].isin("active", "frozen")), F.lit(True))
+        at = F.array_position(F.transform(acc["cards"], lambda c: F.coalesce(c["last4"] == call["last4"], F.lit(True)) & c["status"].isin("active", "frozen")), F.lit(True))
         good = new.isNotNull() & (at > 0)
         after = F.transform(acc["cards"], lambda c, i: F.when(good & (i + 1 == at), F.struct(c["last4"].alias("last4"), new.alias("status"))).otherwise(c))
         return F.struct(after.alias("cards"), F.concat(acc["ok"], F.array(good)).alias("ok"))

@@ -74,31 +74,52 @@ def q_actions_entities(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", made.alias("m")).select("event_id", "m.*")
 
 
-_ERRORS = ("unsupported tool: x", "unsupported arguments", "select a transfer by ID or recipient, not both", "expected exactly one matching synthetic card, found 2", "no matching synthetic banking record", "no matching synthetic banking records", "disk full")
+_ERRORS = ("unsupported tool: ", "unsupported arguments", "select a transfer by ID or recipient, not both", "expected exactly one matching synthetic ", "no matching synthetic banking record", "select a transaction by ID or description", "disk full ")
+_MESSAGE = f"CASE WHEN user_id % 4 = 0 THEN lower(e) WHEN user_id % 4 = 1 THEN e ELSE e || event_type END"
+_ERROR_ROWS = f"(SELECT event_id, {_MESSAGE} AS m FROM (SELECT *, {list(_ERRORS)}[(event_id * 31 + user_id) % 7 + 1] AS e FROM events))"
 
 
-@query("SELECT code, count(*) AS n FROM (SELECT ['unsupported_tool', 'invalid_arguments', 'ambiguous_transfer_selector', 'record_match_count', 'record_not_found', 'backend_error', 'backend_error'][event_id % 7 + 1] AS code FROM events) GROUP BY code")
+@query(f"""SELECT code, count(*) AS n FROM (SELECT CASE WHEN starts_with(m, 'unsupported tool') THEN 'unsupported_tool' WHEN starts_with(m, 'unsupported arguments') THEN 'invalid_arguments' WHEN starts_with(m, 'select a transaction by ID or description') THEN 'ambiguous_transaction_selector'
+ WHEN starts_with(m, 'select a transfer by ID or recipient') THEN 'ambiguous_transfer_selector' WHEN starts_with(m, 'expected exactly one matching synthetic') THEN 'record_match_count' WHEN m = 'no matching synthetic banking record' THEN 'record_not_found' ELSE 'backend_error' END AS code FROM {_ERROR_ROWS}) GROUP BY code""")
 def q_error_codes(spark, sf_dir):
-    return table(spark, sf_dir, "events").select(G.error_code(_pick(_ERRORS, F.col("event_id"))).alias("code")).groupBy("code").agg(F.count(F.lit(1)).alias("n"))
+    """Messages with the rows' own words after them, or in lower case, which no rule knows."""
+    e = table(spark, sf_dir, "events").withColumn("e", _pick(_ERRORS, F.col("event_id") * 31 + F.col("user_id")))
+    return e.select(G.error_code(F.expr(_MESSAGE)).alias("code")).groupBy("code").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT event_id, event_id % 6 IN (0, 3, 5) AS succeeded FROM events")
+@query("""SELECT user_id, count(*) AS n_calls, coalesce(bool_or(event_type = 'click' AND (value < 60) AND NOT (coalesce(event_id % 5 = 0, false)) AND event_id % 7 <> 0), false) AS succeeded FROM events GROUP BY user_id""")
 def q_tool_success(spark, sf_dir):
-    """Success, error, explicit failure, a later success, no result, another tool's failure before it."""
-    r = lambda error, success: F.struct(F.lit(error).cast("string").alias("error"), F.lit(success).cast("boolean").alias("success"))
-    n = F.col("event_id") % 6
-    a = lambda *names: F.array(*map(F.lit, names))
-    executed = F.when(n <= 2, a("x")).when(n == 3, a("x", "x")).when(n == 4, a("x")).otherwise(a("y", "x"))
-    results = F.when(n == 0, F.array(r(None, None))).when(n == 1, F.array(r("bad", True))).when(n == 2, F.array(r("", False))).when(n == 3, F.array(r("bad", None), r(None, True))).when(n == 4, F.array().cast("array<struct<error:string,success:boolean>>")).otherwise(F.array(r(None, False), r(None, True)))
-    return table(spark, sf_dir, "events").select("event_id", G.tool_succeeded(F.lit("x"), executed, results).alias("succeeded"))
+    """A user's events as calls with results: errors by value, explicit failures and missing results by number."""
+    i = F.col("event_id")
+    result = F.when(i % 7 != 0, F.struct(F.when(F.col("value") >= 60, F.concat(F.lit("bad "), F.col("value").cast("string"))).when(i % 2 == 0, "").alias("error"), F.when(i % 5 == 0, False).when(i % 3 == 0, True).alias("success")))
+    calls = F.array_sort(F.collect_list(F.struct("event_id", "event_type", result.alias("r"))))
+    u = table(spark, sf_dir, "events").groupBy("user_id").agg(calls.alias("c"))
+    return u.select("user_id", F.size("c").cast("bigint").alias("n_calls"), G.tool_succeeded(F.lit("click"), F.transform("c", lambda x: x["event_type"]), F.transform("c", lambda x: x["r"])).alias("succeeded"))
 
 
-@query("SELECT o_orderkey, ['', 'freeze_card:value_missing', 'freeze_card:outcome_missing', 'private_identifier', 'freeze_card:failure_hidden', '', 'empty_answer'][o_orderkey % 7 + 1] AS errors FROM orders")
+_ANSWER = "CASE WHEN x % 6 = 0 THEN 'Card ' || four || ' is frozen' WHEN x % 6 = 1 THEN 'The card is frozen' WHEN x % 6 = 2 THEN 'A replacement for ' || four || ' is coming' WHEN x % 6 = 3 THEN 'I was unable to do that' WHEN x % 6 = 4 THEN ' ' ELSE 'Done with ' || four END || CASE WHEN x % 5 = 0 THEN ' (' || upper(private_id) || ')' ELSE '' END"
+_ASKED = {"x": "CAST(o_orderkey * 7919 + o_custkey AS BIGINT)", "four": "lpad(CAST(o_custkey % 10000 AS {text}), 4, '0')", "private_id": "'card-' || CAST(o_orderkey AS {text})", "tool": "CASE WHEN x % 4 = 0 THEN 'replace_card' WHEN x % 4 = 1 THEN 'list_cards' ELSE 'freeze_card' END", "ok": "x % 7 > 1", "answer": _ANSWER}
+
+
+def _asked_sql() -> str:
+    sql = "SELECT o_orderkey, o_custkey FROM orders"
+    for name, expression in _ASKED.items():
+        sql = f"SELECT *, {expression.format(text='VARCHAR')} AS {name} FROM ({sql})"
+    return sql
+
+
+_SAID = {"freeze_card": "contains(low, 'froze')", "replace_card": "contains(low, 'replacement')", "list_cards": "true"}
+
+
+@query(f"""SELECT o_orderkey, CASE WHEN trim(answer) = '' THEN 'empty_answer' ELSE array_to_string(list_filter([CASE WHEN contains(low, lower(private_id)) THEN 'private_identifier' END, CASE WHEN NOT ok AND NOT contains(low, 'unable') THEN tool || ':failure_hidden' END, CASE WHEN ok AND NOT contains(answer, four) THEN tool || ':value_missing' END,
+ CASE WHEN ok AND NOT CASE tool {" ".join(f"WHEN '{k}' THEN {v}" for k, v in _SAID.items())} END THEN tool || ':outcome_missing' END], lambda e: e IS NOT NULL), ',') END AS errors FROM (SELECT *, lower(answer) AS low FROM ({_asked_sql()}))""")
 def q_grounded_answers(spark, sf_dir):
-    n = F.col("o_orderkey") % 7
-    answer = _pick(("Card 4821 is frozen.", "Your card is frozen.", "Card 4821 is done.", "Frozen: 4821 (CARD-77)", "Card 4821 is frozen.", "I was unable to freeze it.", " "), F.col("o_orderkey"))
-    call = F.struct(F.lit("freeze_card").alias("tool"), (~n.isin(4, 5)).alias("ok"), F.lit("4821").alias("value"), F.lit("card-77").alias("private_id"))
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.array_join(G.answer_errors(answer, F.array(call)), ",").alias("errors"))
+    """Answers of three tools that name their card, or don't, or name what they may not."""
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    for name, expression in _ASKED.items():
+        rows = rows.withColumn(name, F.expr(expression.format(text="STRING")))
+    call = F.struct(F.col("tool"), F.col("ok"), F.col("four").alias("value"), F.col("private_id"))
+    return rows.select("o_orderkey", F.array_join(G.answer_errors(F.col("answer"), F.array(call)), ",").alias("errors"))
 
 
 @query("""WITH r AS (SELECT o_custkey AS pair_id, CASE WHEN i = 1 THEN 'replace_card' ELSE 'clarification' END AS target, CASE o_orderkey % 5 WHEN 0 THEN NULL WHEN 1 THEN i = 1 ELSE CASE i WHEN 1 THEN o_orderkey % 3 <> 0 ELSE o_orderkey % 4 <> 0 END END AS p, o_orderkey % 5 = 0 AS m
@@ -156,12 +177,18 @@ def q_topic_shifts(spark, sf_dir):
     return zipped.withColumn("kind", F.lit("to")).unionByName(back)
 
 
-@query("SELECT p_partkey, ['list_cards,freeze_card', NULL, NULL, '" + ",".join(dims.TOOL_ARGUMENTS) + "'][p_partkey % 4 + 1] AS tools FROM part")
+_TOOLS = [*dims.TOOL_ARGUMENTS, "erase_card"]
+_STATED = "CASE WHEN p_size % 9 = 0 THEN NULL ELSE list_transform(range(p_size % 4), lambda i: {0}[(p_partkey * 7 + p_size * i) % 10 + 1]) END"
+
+
+@query(f"SELECT p_partkey, array_to_string(CASE WHEN c IS NULL THEN {list(dims.TOOL_ARGUMENTS)} WHEN NOT list_contains(c, 'erase_card') AND len(list_distinct(c)) = len(c) THEN c END, ',') AS tools FROM (SELECT p_partkey, {_STATED.format(_TOOLS)} AS c FROM part)")
 def q_exposed_tools(spark, sf_dir):
-    n = F.col("p_partkey") % 4
-    a = lambda *v: F.array(*map(F.lit, v))
-    contract = F.when(n == 0, a("list_cards", "freeze_card")).when(n == 1, a("list_cards", "list_cards")).when(n == 2, a("erase_card"))
-    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(G.exposed_tools(contract), ",").alias("tools"))
+    """Contracts of none to three tools, some of them unknown or repeated."""
+    size, tools = F.col("p_size"), F.array(*map(F.lit, _TOOLS))
+    at = lambda i: F.get(tools, ((F.col("p_partkey") * 7 + size * i) % 10).cast("int"))
+    n = (size % 4).cast("int")
+    stated = F.when(size % 9 != 0, F.when(n == 0, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(0), n - 1), at)))
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(G.exposed_tools(stated), ",").alias("tools"))
 
 
 @query("SELECT event_id FROM (SELECT event_id, event_id % 12 AS i, event_id % 5 AS a, event_id % 4 AS e FROM events) WHERE (i < 9 AND ((a = 1 AND e = CASE WHEN i IN (2, 3, 5, 7) THEN 1 ELSE 0 END) OR (a = 2 AND e IN (2, 3)) OR (a = 4 AND e = 0))) OR (i = 9 AND a = 3 AND e = 0) OR (i > 9 AND a = 4 AND e = 0)")

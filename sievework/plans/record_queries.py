@@ -115,17 +115,26 @@ def q_transcript_overlay(spark, sf_dir):
     return out.select("record_id", "broken", F.get("overlaid", S.last_of(F.col("overlaid"), "user") - 1)["content"].alias("last_user"))
 
 
-@query("""SELECT record_id, CASE n WHEN 0 THEN '1111=frozen;2222=closed' WHEN 1 THEN '1111=replacement_pending;2222=closed' WHEN 2 THEN '1111=active;2222=closed' ELSE '1111=replacement_pending;2222=closed' END AS cards,
- CASE n WHEN 0 THEN 'true,false' WHEN 1 THEN 'true,false' WHEN 2 THEN 'false,false' ELSE 'true,true' END AS ok FROM (SELECT o_orderkey::VARCHAR AS record_id, o_orderkey % 4 AS n FROM orders)""")
+_PLAN = "SELECT l_orderkey, l_linenumber AS line_no, l_partkey, l_suppkey, l_extendedprice, CASE l_returnflag WHEN 'A' THEN 'freeze_card' WHEN 'R' THEN 'replace_card' ELSE 'list_cards' END AS tool, CASE WHEN l_suppkey % 9 = 8 THEN NULL ELSE (l_suppkey % 4)::VARCHAR END AS four FROM lineitem"
+_STEP = "CASE WHEN c.tool <> 'list_cards' AND i = hit THEN CASE c.tool WHEN 'freeze_card' THEN 'frozen' ELSE 'replacement_pending' END ELSE cards[i] END"
+_HIT = "list_filter([1, 2, 3], lambda i: cards[i] IN ('active', 'frozen') AND (c.four IS NULL OR (i - 1)::VARCHAR = c.four))[1]"
+
+
+@query(f"""WITH RECURSIVE c AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY line_no, l_partkey, l_suppkey, l_extendedprice) AS i FROM ({_PLAN})),
+ s AS (SELECT o_orderkey AS k, 0::BIGINT AS n, ['active', CASE WHEN o_custkey % 2 = 0 THEN 'active' ELSE 'closed' END, CASE WHEN o_custkey % 3 = 0 THEN 'frozen' ELSE 'closed' END] AS cards, '' AS oks FROM orders
+  UNION ALL SELECT k, n + 1, list_transform([1, 2, 3], lambda i: {_STEP}), oks || CASE WHEN tool <> 'list_cards' AND hit IS NOT NULL THEN 'T' ELSE 'F' END FROM (SELECT s.*, c.tool, c.four, {_HIT} AS hit FROM s JOIN c ON c.l_orderkey = s.k AND c.i = s.n + 1) c)
+ SELECT k::VARCHAR AS record_id, array_to_string(arg_max(cards, n), ';') AS cards, arg_max(oks, n) AS ok FROM s GROUP BY k""")
 def q_state_replay(spark, sf_dir):
-    """Two calls on two cards: freeze and a closed card, replace twice, unknown ones, freeze then replace."""
-    n = F.col("o_orderkey") % 4
-    call = lambda tool, four: F.struct(F.lit(tool).alias("tool"), F.lit(four).alias("last4"))
-    plans = F.when(n == 0, F.array(call("freeze_card", "1111"), call("freeze_card", "2222"))).when(n == 1, F.array(call("replace_card", "1111"), call("replace_card", "1111"))).when(n == 2, F.array(call("list_cards", "1111"), call("freeze_card", "9999"))).otherwise(F.array(call("freeze_card", "1111"), call("replace_card", "1111")))
-    card = lambda four, status: F.struct(F.lit(four).alias("last4"), F.lit(status).alias("status"))
-    done = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("record_id"), S.replay(F.array(card("1111", "active"), card("2222", "closed")), plans).alias("r"))
-    shown = F.array_join(F.transform("r.cards", lambda c: F.concat(c["last4"], F.lit("="), c["status"])), ";")
-    return done.select("record_id", shown.alias("cards"), F.array_join(F.transform("r.ok", lambda b: b.cast("string")), ",").alias("ok"))
+    """An order's lines as calls on its customer's three cards: by number, or without one on the first that is open."""
+    k = F.col("o_custkey")
+    card = lambda four, status: F.struct(F.lit(four).alias("last4"), status.alias("status"))
+    cards = F.array(card("0", F.lit("active")), card("1", F.when(k % 2 == 0, "active").otherwise("closed")), card("2", F.when(k % 3 == 0, "frozen").otherwise("closed")))
+    tool = F.when(F.col("l_returnflag") == "A", "freeze_card").when(F.col("l_returnflag") == "R", "replace_card").otherwise("list_cards")
+    call = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", tool.alias("tool"), F.when(F.col("l_suppkey") % 9 != 8, (F.col("l_suppkey") % 4).cast("string")).alias("last4"))
+    plans = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_list(call)).alias("plan"))
+    calls = F.transform(F.coalesce("plan", F.array().cast(plans.schema["plan"].dataType)), lambda c: F.struct(c["tool"].alias("tool"), c["last4"].alias("last4")))
+    done = table(spark, sf_dir, "orders").join(plans, "o_orderkey", "left").select(F.col("o_orderkey").cast("string").alias("record_id"), S.replay(cards, calls).alias("r"))
+    return done.select("record_id", F.array_join(F.transform("r.cards", lambda c: c["status"]), ";").alias("cards"), F.array_join(F.transform("r.ok", lambda b: F.when(b, "T").otherwise("F")), "").alias("ok"))
 
 
 @query("""WITH p AS (SELECT l_orderkey, row_number() OVER w AS i, l_quantity::BIGINT % 3 AS calls, l_linestatus = 'F' AND l_quantity::BIGINT % 10 = 9 AS bad, l_returnflag <> 'R' AS matched FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity)),
@@ -138,11 +147,18 @@ def q_trajectory_stops(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(passes.alias("p")).select("l_orderkey", S.stop_reason(F.col("p")).alias("stop_reason"))
 
 
-@query("""SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN '' WHEN 1 THEN 'no_citation' WHEN 2 THEN 'citation_not_allowed' ELSE 'number_without_evidence' END AS errors FROM orders""")
+_REPLY = "'The fee of ' || p_name || ' is ' || CAST(p_size AS {text}) || CASE WHEN p_size % 3 = 0 THEN '%' ELSE '' END || CASE WHEN p_partkey % 4 = 0 THEN '' ELSE ' [Policy: fee.v' || CAST(p_partkey % 3 AS {text}) || ']' END || CASE WHEN p_partkey % 7 = 0 THEN ' [Policy: fee.v1]' ELSE '' END"
+_EVIDENCE = "'A fee of ' || CAST(p_size - p_size % 2 AS {text}) || CASE WHEN p_size % 3 = 0 THEN '%' ELSE '' END || ' applies to ' || p_type"
+_NUMBERS = "regexp_extract_all({0}, '\\d+(?:\\.\\d+)?%?')".format
+_CITED = "list_distinct(regexp_extract_all(a, '\\[Policy:\\s*([^\\]\\s]+)\\s*\\]', 1))"
+
+
+@query(f"""SELECT p_partkey, array_to_string(list_filter([CASE WHEN len({_CITED}) = 0 THEN 'no_citation' END, CASE WHEN len(list_filter({_CITED}, lambda c: c NOT IN ('fee.v0', 'fee.v1'))) > 0 THEN 'citation_not_allowed' END,
+ CASE WHEN len(list_filter({_NUMBERS("regexp_replace(a, '\\[Policy:[^\\]]*\\]', ' ', 'g')")}, lambda n: NOT list_contains({_NUMBERS("e")}, n))) > 0 THEN 'number_without_evidence' END], lambda x: x IS NOT NULL), ',') AS errors FROM (SELECT p_partkey, {_REPLY.format(text='VARCHAR')} AS a, {_EVIDENCE.format(text='VARCHAR')} AS e FROM part)""")
 def q_policy_answers(spark, sf_dir):
-    answer = F.element_at(F.array(*map(F.lit, ("The fee is 3.5% [Policy: fee.v1]", "The fee is 3.5%", "No fee [Policy: fee.v9]", "The fee is 4% [Policy: fee.v1]"))), (F.col("o_orderkey") % 4 + 1).cast("int"))
-    errors = S.policy_answer_errors(answer, F.array(F.lit("fee.v1")), F.lit("A fee of 3.5% applies for 12 months."))
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.array_join(errors, ",").alias("errors"))
+    """Answers about parts, with the citations and numbers of their own row, against what the evidence says."""
+    errors = S.policy_answer_errors(F.expr(_REPLY.format(text="STRING")), F.array(F.lit("fee.v0"), F.lit("fee.v1")), F.expr(_EVIDENCE.format(text="STRING")))
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(errors, ",").alias("errors"))
 
 
 _SCENES = ("freeze", "replace", "dispute", "cancel", "list")

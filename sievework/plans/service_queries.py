@@ -108,6 +108,24 @@ def q_policy_lookup(spark, sf_dir):
     return R.lookup(queries, chunks, _AIMS, 3, 0.1, stop=("a", "of", "and", "to", "in", "de", "la", "und"), aliases={})
 
 
+_CHUNKS = """(SELECT doc_id, 'c' || doc_id % 190 AS chunk_id, CASE WHEN n_chars % 11 = 0 THEN ' ' ELSE lang END AS title, left(text, 40) AS text, CASE n_chars % 5 WHEN 0 THEN '2024-02-30' WHEN 1 THEN '2024-1-5' ELSE '2024-0' || (1 + n_chars % 9) || '-10' END AS effective_from, CASE n_chars % 4 WHEN 0 THEN NULL WHEN 1 THEN 'never' ELSE '2024-05-2' || n_chars % 10 END AS effective_to FROM documents)"""
+_DAY = "CASE WHEN regexp_full_match({0}, '\\d{{4}}-\\d{{2}}-\\d{{2}}') THEN try_cast({0} AS DATE) END".format
+
+
+def _chunks(spark, sf_dir) -> DataFrame:
+    n, text = F.col("n_chars"), lambda c: c.cast("string")
+    first = F.when(n % 5 == 0, "2024-02-30").when(n % 5 == 1, "2024-1-5").otherwise(F.concat(F.lit("2024-0"), text(1 + n % 9), F.lit("-10")))
+    last = F.when(n % 4 == 1, "never").when(n % 4 > 1, F.concat(F.lit("2024-05-2"), text(n % 10)))
+    return table(spark, sf_dir, "documents").select(F.concat(F.lit("c"), text(F.col("doc_id") % 190)).alias("chunk_id"), F.when(n % 11 == 0, " ").otherwise(F.col("lang")).alias("title"), F.substring("text", 1, 40).alias("text"), first.alias("effective_from"), last.alias("effective_to"))
+
+
+@query(f"""SELECT rule, count(*) AS n FROM (SELECT unnest(list_filter([CASE WHEN coalesce(trim(title) = '', true) THEN 'blank_title' END, CASE WHEN coalesce(trim(text, ' ') = '', true) THEN 'blank_text' END, CASE WHEN {_DAY('effective_from')} IS NULL THEN 'effective_from' END, CASE WHEN effective_to IS NOT NULL AND {_DAY('effective_to')} IS NULL THEN 'effective_to' END,
+ CASE WHEN {_DAY('effective_to')} < {_DAY('effective_from')} THEN 'interval' END], lambda r: r IS NOT NULL)) AS rule FROM {_CHUNKS} UNION ALL SELECT 'repeated_id' FROM {_CHUNKS} GROUP BY chunk_id HAVING count(*) > 1) GROUP BY rule""")
+def q_chunk_rules(spark, sf_dir):
+    """Passages with dates that are none, intervals that end before they begin, blank titles and repeated ids."""
+    return R.chunk_violations(_chunks(spark, sf_dir)).groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("""SELECT n_nationkey, upper(n_name) AS name, count(c_custkey) AS n_customers, coalesce(round(sum(c_acctbal), 2), 0.0) AS balance FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY n_nationkey, n_name""")
 def q_nation_balances(spark, sf_dir):
     """A left join whose dimension keeps its empty rows."""

@@ -349,3 +349,32 @@ def q_pair_invariants(spark, sf_dir):
     lead = F.lead("l_partkey").over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey"))
     rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("pair_id"), F.when(F.col("l_linenumber") == 1, "a").when(F.col("l_linenumber") == 2, "b").otherwise("c").alias("variant"), F.col("l_orderkey").cast("string").alias("prompt"), F.col("l_partkey").alias("result"), lead.alias("forbidden"))
     return audit.pair_invariants(rows)
+
+
+_SHARES = {
+    "exact": f"SELECT count(*) FROM (SELECT DISTINCT {norm('text')} AS t FROM documents) JOIN (SELECT DISTINCT {norm('text')} AS t FROM benchmark) USING (t)",
+    "sentences": f"SELECT count(*) FROM (SELECT DISTINCT doc_id, item_id FROM {_SENT('documents', 'doc_id')} JOIN {_SENT('benchmark', 'item_id')} USING (s))",
+    "eight_words": f"SELECT count(*) FROM (SELECT DISTINCT doc_id, item_id FROM {_GRAM('documents', 'doc_id', 8)} JOIN {_GRAM('benchmark', 'item_id', 8)} USING (g))",
+    "facts": f"SELECT count(*) FROM (SELECT DISTINCT doc_id, item_id FROM (SELECT doc_id, ' ' || {norm('text')} || ' ' AS t FROM documents) JOIN {_FACTS} ON contains(t, ' ' || f || ' '))",
+    "ids": "SELECT count(*) FROM documents JOIN benchmark ON doc_id = item_id",
+    "prompts": f"SELECT count(*) FROM (SELECT DISTINCT {norm('text')} AS t FROM conversations WHERE role = 'user') JOIN (SELECT DISTINCT {norm('text')} AS t FROM benchmark) USING (t)",
+}
+
+
+@query(" UNION ALL ".join(f"SELECT '{k}' AS gate, ({v}) AS n_overlaps, ({v}) = 0 AS passed" for k, v in _SHARES.items()))
+def q_contamination_report(spark, sf_dir):
+    """All gates between benchmark items and the other texts in one report."""
+    d, items = docs(spark, sf_dir), table(spark, sf_dir, "benchmark")
+    said = table(spark, sf_dir, "conversations").where("role = 'user'")
+    keys = lambda df: df.select(X.normalize(F.col("text")).alias("t")).distinct()
+    parts = items.select(F.col("item_id").alias("fact_id"), F.explode(F.split("text", r"[.!?\n]+")).alias("fact"))
+    return audit.contamination_report(
+        {
+            "exact": keys(d).join(keys(items), "t"),
+            "sentences": audit.sentence_matches(d, items),
+            "eight_words": audit.ngram_matches(d, items),
+            "facts": audit.facts_in_texts(parts.where(F.size(X.words(F.col("fact"))) >= 3).distinct(), d),
+            "ids": d.select("doc_id").join(items, F.col("doc_id") == F.col("item_id")),
+            "prompts": keys(said).join(keys(items), "t"),
+        }
+    )
