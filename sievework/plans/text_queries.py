@@ -286,9 +286,8 @@ def q_required_coverage(spark, sf_dir):
 
 
 @query(f"""WITH s AS {_SPLIT}, e AS (SELECT split, to_json({{'doc_id': doc_id, 'lang': lang, 'n_chars': n_chars, 'source': source}})::VARCHAR AS line FROM s),
- h AS (SELECT split, octet_length(encode(line)) + 1 AS n, sha256(line) AS h FROM e),
- b AS (SELECT split, substr(h, 1, 2) AS bucket, count(*) AS c, sum(n) AS b, sha256(string_agg(h, chr(10) ORDER BY h)) AS f FROM h GROUP BY split, substr(h, 1, 2))
- SELECT split, sum(c)::BIGINT AS record_count, sum(b)::BIGINT AS bytes, sha256(string_agg(f, chr(10) ORDER BY bucket)) AS fingerprint FROM b GROUP BY split""")
+ h AS (SELECT split, octet_length(encode(line)) + 1 AS n, sha256(line) AS h FROM e)
+ SELECT split, count(*) AS record_count, sum(n)::BIGINT AS bytes, sha256(concat_ws(':', count(*)::VARCHAR, {", ".join(f"sum(('0x' || substr(h, {1 + 15 * i}, 15))::BIGINT::HUGEINT)::VARCHAR" for i in range(4))})) AS fingerprint FROM h GROUP BY split""")
 def q_split_manifest(spark, sf_dir):
     return sinks.manifest(split_docs(spark, sf_dir).select("doc_id", "lang", "n_chars", "source", "split"), "split", "doc_id")
 

@@ -11,7 +11,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def json_lines(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
+def json_lines(spark: SparkSession, path: str | list[str], schema: str | T.StructType) -> DataFrame:
     """JSON lines under a fixed schema; blank lines are skipped, a wrong line stops the read."""
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 

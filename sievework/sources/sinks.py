@@ -8,15 +8,25 @@ from pyspark.sql import functions as F
 from sievework.sources.readers import file_digests
 
 
+#: Rows that one file may hold.
+MOST_LINES = 1_000_000
+
+
 def write_splits(rows: DataFrame, path: str, split: str = "split") -> None:
     """One folder per split, written in parallel by Spark's committer."""
     rows.write.partitionBy(split).mode("overwrite").parquet(path)
 
 
 def write_jsonl(rows: DataFrame, path: str, order: str) -> None:
-    """One JSON-lines file of sorted rows with sorted keys, for small splits whose bytes are pinned."""
+    """One JSON-lines file of sorted rows with sorted keys, for splits whose bytes are pinned.
+
+    More than MOST_LINES rows are written as range-partitioned part files instead, whose
+    names' order is the rows' order, so that no task gets all of a large split.
+    """
     line = F.to_json(F.struct(*sorted(rows.columns)), {"ignoreNullFields": "false"})
-    rows.select(order, line.alias("value")).coalesce(1).sortWithinPartitions(order).select("value").write.mode("overwrite").text(path)
+    lines = rows.select(order, line.alias("value"))
+    dealt = lines.coalesce(1) if rows.limit(MOST_LINES + 1).count() <= MOST_LINES else lines.repartitionByRange(order)
+    dealt.sortWithinPartitions(order).select("value").write.mode("overwrite").text(path)
 
 
 def record_digest(*columns: str) -> Column:
@@ -27,15 +37,15 @@ def record_digest(*columns: str) -> Column:
 def manifest(rows: DataFrame, split: str, order: str) -> DataFrame:
     """Per split: rows, bytes of canonical lines, and an order-free fingerprint of record digests.
 
-    The fingerprint hashes 256 buckets of sorted digests, each hashed on its own, so that no
-    task holds a whole split's digests.
+    The fingerprint is a digest of the sums of the digests' four 60-bit quarters and of
+    their number: rows add up map-side, in any order, and no digest is gathered anywhere.
     """
     columns = [c for c in rows.columns if c != split]
     line = F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"})
-    each = rows.select(split, F.octet_length(line).alias("n"), F.sha2(line, 256).alias("h")).withColumn("bucket", F.substring("h", 1, 2))
-    buckets = each.groupBy(split, "bucket").agg(F.count(F.lit(1)).alias("c"), F.sum(F.col("n") + 1).alias("b"), F.sha2(F.array_join(F.array_sort(F.collect_list("h")), "\n"), 256).alias("f"))
-    parts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "f"))), lambda x: x["f"]), "\n")
-    return buckets.groupBy(split).agg(F.sum("c").alias("record_count"), F.sum("b").alias("bytes"), F.sha2(parts, 256).alias("fingerprint"))
+    each = rows.select(split, F.octet_length(line).alias("n"), F.sha2(line, 256).alias("h"))
+    quarters = [F.sum(F.conv(F.substring("h", 1 + 15 * i, 15), 16, 10).cast("decimal(20,0)")).cast("string") for i in range(4)]
+    count = F.count(F.lit(1))
+    return each.groupBy(split).agg(count.alias("record_count"), F.sum(F.col("n") + 1).alias("bytes"), F.sha2(F.concat_ws(":", count.cast("string"), *quarters), 256).alias("fingerprint"))
 
 
 def pending(requests: DataFrame, done: DataFrame, on: str) -> DataFrame:

@@ -20,7 +20,7 @@ SERVICING_TOOLS = {
     "view_transactions": "list_transactions", "dispute_transaction": "dispute_transaction", "view_transfers": "list_transfers",
     "cancel_transfer": "cancel_transfer", "view_service_cases": "list_service_cases",
 }
-CONFIDENCE = 0.5
+CONFIDENCE, RESET = 0.5, "reset"
 OUT = "conv_id bigint, turn bigint, lane string, resumed boolean, pending_intent string, phase string, detour boolean"
 INPUT = "conv_id bigint, turn bigint, route string, intent string, confidence double, resume boolean, user_text string, assistant_text string, tool string, tool_ok boolean"
 
@@ -49,24 +49,36 @@ def begin(state: State, route: str | None, intent: str | None, confidence: float
     return state, intent if intent in ("conversation", "other_banking") else "unchanged", False
 
 
-def finish(state: State, assistant_text: str, tool: str | None, tool_ok: bool) -> State:
-    """State after delivery: the matching tool's success clears it, else the first answer is the anchor."""
-    if not state.intent:
-        return state
-    if tool_ok and tool == SERVICING_TOOLS[state.intent]:
-        return State()
-    if assistant_text and not state.assistant_anchor:
+def commit(state: State, tool: str | None, tool_ok: bool) -> State:
+    """State after the turn's operations, before its answer is delivered: the matching tool's success clears it."""
+    done = bool(state.intent) and tool_ok and tool == SERVICING_TOOLS[state.intent]
+    return State() if done else state
+
+
+def deliver(state: State, assistant_text: str) -> State:
+    """State after delivery: a pending service's first answer becomes its anchor."""
+    if state.intent and assistant_text and not state.assistant_anchor:
         return replace(state, assistant_anchor=assistant_text, phase="awaiting_user")
     return state
 
 
+def finish(state: State, assistant_text: str, tool: str | None, tool_ok: bool) -> State:
+    """Operations are committed first, so that a delivery that fails leaves no service pending that is done."""
+    return deliver(commit(state, tool, tool_ok), assistant_text)
+
+
 def _clean(value: object) -> object:
     return None if value is None or value is pd.NA or isinstance(value, float) and value != value else value
 
 
 def turn(state: State, row: object) -> tuple[State, tuple]:
-    """One input row (fields of INPUT) to the next state and an output row (fields of OUT)."""
+    """One input row (fields of INPUT) to the next state and an output row (fields of OUT).
+
+    A row of route ``reset`` forgets the conversation's state.
+    """
     get = lambda k: _clean(getattr(row, k))
+    if get("route") == RESET:
+        return State(), (row.conv_id, row.turn, RESET, False, "", "", False)
     state, lane, resumed = begin(state, get("route"), get("intent"), get("confidence"), bool(get("resume")), get("user_text") or "")
     state = finish(state, get("assistant_text") or "", get("tool"), bool(get("tool_ok")))
     return state, (row.conv_id, row.turn, lane, resumed, state.intent, state.phase, state.detour)
@@ -77,16 +89,25 @@ def _frame(rows: list[tuple]) -> pd.DataFrame:
 
 
 def replay(rows: DataFrame) -> DataFrame:
-    """Batch: folds each conversation's turns in order. One conversation's turns are one group by need."""
+    """Batch: folds each conversation's turns in order.
 
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        state, out = State(), []
-        for row in group.sort_values("turn", kind="stable").itertuples(index=False):
-            state, made = turn(state, row)
-            out.append(made)
-        return _frame(out)
+    Turns stream through a task sorted by conversation, and only the state is carried from
+    batch to batch, so that a conversation of any length needs one batch of memory.
+    """
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, state = object(), State()
+        for batch in batches:
+            out = []
+            for row in batch.itertuples(index=False):
+                here = _clean(row.conv_id)
+                if here != key:
+                    key, state = here, State()
+                state, made = turn(state, row)
+                out.append(made)
+            yield _frame(out)
 
-    return rows.groupBy("conv_id").applyInPandas(fold, OUT)
+    return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn").mapInPandas(fold, OUT)
 
 
 class DialogueProcessor(StatefulProcessor):
@@ -102,7 +123,10 @@ class DialogueProcessor(StatefulProcessor):
         for row in pd.concat(list(rows)).sort_values("turn", kind="stable").itertuples(index=False):
             state, made = turn(state, row)
             out.append(made)
-        self.value.update((state.intent, state.user_anchor, state.assistant_anchor, state.phase, state.detour))
+        if state == State():
+            self.value.clear()
+        else:
+            self.value.update((state.intent, state.user_anchor, state.assistant_anchor, state.phase, state.detour))
         yield _frame(out)
 
     def close(self) -> None:
