@@ -167,3 +167,15 @@ def exposed_tools(contract: Column) -> Column:
     public = F.array(*map(F.lit, dims.TOOL_ARGUMENTS))
     ok = (F.size(F.array_except(contract, public)) == 0) & (F.size(F.array_distinct(contract)) == F.size(contract))
     return F.when(contract.isNull(), public).when(ok, contract)
+
+
+def provenance(settings: DataFrame, run: str, name: str, value: str) -> DataFrame:
+    """One fingerprint per run of its settings: the digest of ``name=value`` lines in order of the names."""
+    line = F.concat(F.col(name), F.lit("="), F.coalesce(F.col(value).cast("string"), F.lit("null")))
+    return settings.groupBy(run).agg(F.sha2(F.array_join(F.array_sort(F.collect_set(line)), "\n"), 256).alias("fingerprint"), F.count_distinct(name).alias("n_settings"))
+
+
+def may_resume(stored: DataFrame, wanted: DataFrame, run: str) -> DataFrame:
+    """Runs with ``resumes``: whether a stored run was made under the wanted settings; an unknown run may not."""
+    told = stored.select(run, F.col("fingerprint").alias("__stored"))
+    return wanted.join(told, run, "left").select(run, F.coalesce(F.col("fingerprint") == F.col("__stored"), F.lit(False)).alias("resumes"))

@@ -92,3 +92,16 @@ def citations_of(matches: DataFrame, chunks: DataFrame) -> DataFrame:
     """What a reader sees of each match: its citation and the passage's title and dates."""
     shown = chunks.select("chunk_id", "title", "effective_from", "effective_to")
     return matches.join(shown, "chunk_id").select("query_id", "rank", F.concat(F.lit("[Policy: "), F.col("chunk_id").cast("string"), F.lit("]")).alias("citation"), "chunk_id", "title", "effective_from", "effective_to")
+
+
+def policy_turn(drafts: DataFrame, evidence: DataFrame) -> DataFrame:
+    """What a policy turn delivers per query: its first valid draft, or the one repair of it, or nothing.
+
+    ``drafts`` (``query_id, attempt, valid, answer``) holds attempts 0 and 1; ``evidence``
+    has a row per query with a passage. Without evidence nothing is delivered, whatever was drafted.
+    """
+    held = evidence.select("query_id").distinct().withColumn("held", F.lit(True))
+    best = drafts.where("attempt < 2").groupBy("query_id").agg(F.min(F.when(F.col("valid"), F.struct("attempt", "answer"))).alias("d"))
+    joined = best.join(held, "query_id", "left")
+    status = F.when(F.col("held").isNull(), "no_evidence").when(F.col("d").isNull(), "rejected").when(F.col("d.attempt") == 0, "delivered").otherwise("repaired")
+    return joined.select("query_id", status.alias("status"), F.when(status.isin("delivered", "repaired"), F.col("d.answer")).alias("answer"))

@@ -177,3 +177,13 @@ def matched_prefix(expected: Column, got: Column) -> Column:
     same = F.zip_with(expected, got, lambda a, b: F.coalesce(a == b, F.lit(False)))
     first = F.array_position(same, F.lit(False))
     return F.when(first == 0, F.size(same)).otherwise(first - 1).cast("bigint")
+
+
+def with_predictions(records: DataFrame, predictions: DataFrame, key: str = "record_id", raw: str = "raw_output") -> DataFrame:
+    """Records with the stored output of a model; one without is empty and ``predicted`` says so.
+
+    A model that runs elsewhere leaves its outputs in a table; a record may have one alone.
+    """
+    once = predictions.select(key, raw).groupBy(key).agg(F.max(raw).alias(raw), F.count(F.lit(1)).alias("__n"))
+    single = once.where(F.when(F.col("__n") == 1, True).otherwise(F.raise_error(F.lit("a record has several predictions")).cast("boolean"))).drop("__n")
+    return records.join(single, key, "left").withColumns({"predicted": F.col(raw).isNotNull(), raw: F.coalesce(raw, F.lit(""))})

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sievework.functions import text as X
 from sievework.operators import bank as B
+from sievework.operators import governance as G
 from sievework.operators import retrieval as R
 from sievework.plans import dims
 from sievework.plans.registry import norm, query
@@ -108,6 +109,34 @@ def q_policy_lookup(spark, sf_dir):
     return R.lookup(queries, chunks, _AIMS, 3, 0.1, stop=("a", "of", "and", "to", "in", "de", "la", "und"), aliases={})
 
 
+@query("""WITH d AS (SELECT o_custkey AS query_id, o_orderkey % 3 AS attempt, o_totalprice > 200000 AS valid, o_orderpriority || ' ' || o_orderkey AS answer FROM orders), b AS (SELECT query_id, arg_min(attempt, (attempt, answer)) FILTER (valid) AS attempt, arg_min(answer, (attempt, answer)) FILTER (valid) AS answer FROM d WHERE attempt < 2 GROUP BY query_id)
+ SELECT query_id, s AS status, CASE WHEN s IN ('delivered', 'repaired') THEN answer END AS answer FROM (SELECT *, CASE WHEN NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = query_id AND c_acctbal > 0) THEN 'no_evidence' WHEN attempt IS NULL THEN 'rejected' WHEN attempt = 0 THEN 'delivered' ELSE 'repaired' END AS s FROM b)""")
+def q_policy_turn(spark, sf_dir):
+    """A customer's orders as drafts, large ones valid; those with money as queries with evidence."""
+    drafts = orders(spark, sf_dir).select(F.col("o_custkey").alias("query_id"), (F.col("o_orderkey") % 3).alias("attempt"), (F.col("o_totalprice") > 200000).alias("valid"), F.concat_ws(" ", "o_orderpriority", F.col("o_orderkey").cast("string")).alias("answer"))
+    evidence = table(spark, sf_dir, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("query_id"))
+    return R.policy_turn(drafts, evidence)
+
+
+@query("""SELECT query_id, rank, '[Policy: ' || chunk_id || ']' AS citation, chunk_id, lang AS title, source AS effective_from, NULL::VARCHAR AS effective_to FROM (SELECT item_id AS query_id, doc_id AS chunk_id, lang, source, row_number() OVER (PARTITION BY item_id ORDER BY doc_id)::INTEGER AS rank FROM benchmark JOIN documents ON doc_id % 40 = item_id % 40) WHERE rank <= 2""")
+def q_policy_citations(spark, sf_dir):
+    """Citations of matches made by number, with what their passages say of themselves."""
+    d = table(spark, sf_dir, "documents")
+    pairs = table(spark, sf_dir, "benchmark").join(d.select("doc_id"), F.col("doc_id") % 40 == F.col("item_id") % 40).select(F.col("item_id").alias("query_id"), F.col("doc_id").alias("chunk_id"))
+    matches = B.top_per_key(pairs, "query_id", [F.col("chunk_id")], 2)
+    chunks = d.select(F.col("doc_id").alias("chunk_id"), F.col("lang").alias("title"), F.col("source").alias("effective_from"), F.lit(None).cast("string").alias("effective_to"))
+    return R.citations_of(matches, chunks)
+
+
+@query("""WITH s AS (SELECT user_id, event_type AS name, max(value) AS v FROM events GROUP BY ALL), w AS (SELECT user_id, event_type AS name, max(value) AS v FROM events WHERE event_id % 50 <> 0 GROUP BY ALL), f AS (SELECT user_id, string_agg(name || '=' || v, chr(10) ORDER BY name || '=' || v) AS t FROM s GROUP BY user_id), g AS (SELECT user_id, string_agg(name || '=' || v, chr(10) ORDER BY name || '=' || v) AS t FROM w GROUP BY user_id)
+ SELECT g.user_id, coalesce(g.t = f.t, false) AS resumes FROM g LEFT JOIN (SELECT * FROM f WHERE user_id % 4 <> 0) f USING (user_id)""")
+def q_resume_provenance(spark, sf_dir):
+    """Runs whose settings are a user's largest values, before and after some events go."""
+    e = table(spark, sf_dir, "events")
+    told = lambda rows: G.provenance(rows.groupBy("user_id", "event_type").agg(F.max("value").alias("v")), "user_id", "event_type", "v")
+    return G.may_resume(told(e).where("user_id % 4 <> 0"), told(e.where("event_id % 50 <> 0")), "user_id")
+
+
 _CHUNKS = """(SELECT doc_id, 'c' || doc_id % 190 AS chunk_id, CASE WHEN n_chars % 11 = 0 THEN ' ' ELSE lang END AS title, left(text, 40) AS text, CASE n_chars % 5 WHEN 0 THEN '2024-02-30' WHEN 1 THEN '2024-1-5' ELSE '2024-0' || (1 + n_chars % 9) || '-10' END AS effective_from, CASE n_chars % 4 WHEN 0 THEN NULL WHEN 1 THEN 'never' ELSE '2024-05-2' || n_chars % 10 END AS effective_to FROM documents)"""
 _DAY = "CASE WHEN regexp_full_match({0}, '\\d{{4}}-\\d{{2}}-\\d{{2}}') THEN try_cast({0} AS DATE) END".format
 

@@ -154,3 +154,12 @@ def q_prediction_report(spark, sf_dir):
     """The report row of every output; a judgement that doesn't apply is null."""
     j = judged(spark, sf_dir)
     return j.select("o_orderkey", F.sha2("raw_output", 256).alias("raw_sha256"), "parse_failure", T.call_text(F.col("calls")).alias("predicted"), "expected", F.when(F.col("n_facts") > 0, F.col("grounded")).alias("grounded"), F.when(F.col("path").isin("ood", "small_talk"), F.col("path_ok")).alias("path_ok"))
+
+
+@query("SELECT count(*) AS n_records, count(*) FILTER (o_custkey % 5 <> 0) AS n_predicted, sum(CASE WHEN o_custkey % 5 <> 0 THEN length(o_orderpriority) ELSE 0 END)::BIGINT AS n_chars FROM orders")
+def q_stored_predictions(spark, sf_dir):
+    """Records meet the outputs stored for them; a fifth of the customers has none."""
+    o = table(spark, sf_dir, "orders")
+    stored = o.where("o_custkey % 5 <> 0").select(F.col("o_orderkey").alias("record_id"), F.col("o_orderpriority").alias("raw_output"))
+    made = T.with_predictions(o.select(F.col("o_orderkey").alias("record_id")), stored)
+    return made.agg(F.count(F.lit(1)).alias("n_records"), F.count_if("predicted").alias("n_predicted"), F.sum(F.length("raw_output")).alias("n_chars"))
