@@ -95,7 +95,10 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text: str = "text", label: str
     usable = docs.where(F.col(label).isNotNull() & F.col(text).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)) & (F.col(label) != UNKNOWN))
     hashed = usable.select(F.col(label).alias("label"), F.col(text).alias("text"), F.xxhash64(id_col, text).alias("h"))
     first = Window.partitionBy("label").orderBy("h")
-    chosen = hashed.select("label", "h").distinct().withColumn("n", F.row_number().over(first)).where(F.col("n") <= rows).select("label", "h")
+    # The first of each of 64 parts, then of the label: a label of a third of all rows stays spread.
+    parts = hashed.select("label", "h", F.pmod("h", F.lit(64)).alias("part")).distinct()
+    spread = parts.withColumn("n", F.row_number().over(Window.partitionBy("label", "part").orderBy("h"))).where(F.col("n") <= rows)
+    chosen = spread.withColumn("n", F.row_number().over(first)).where(F.col("n") <= rows).select("label", "h")
     sample = hashed.join(F.broadcast(chosen), ["label", "h"], "left_semi").dropDuplicates(["label", "h"]).select("label", "text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
