@@ -1,11 +1,15 @@
-"""Queries of the ten operators, and their SQL where SQL can express them."""
+"""Queries of the operators, and their SQL where SQL can express them."""
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm import chat, decontam, html_text, language, media, mixing, sharding, simhash, url_rules, warc
+from sievework.llm import chat, decontam, html_text, language, media, mixing, periodic, repair, sharding, simhash, token_files, url_rules, warc
+
+TOKENIZER = "word_bpe_49k.json"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,7 +76,51 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_chat, op3_simhash, op4_html_text, op5_language, op6_mixing, op7_url_rules, op8_decontamination, op9_media, op10_warc)}
+def damaged(rows: DataFrame) -> DataFrame:
+    """``conversations`` with the faults that the query's contract plants, a null being one blank; ``present`` is false for what it drops."""
+    blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    told = rows.select("conv_id", "turn", blank("role").alias("role"), blank("text").alias("text"), (F.crc32(F.concat(blank("conv_id"), F.lit(":"), blank("turn")).cast("binary")) % 20).alias("k"))
+    text = F.when(F.col("k") == 1, "").when(F.col("k") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    return told.select(
+        "conv_id", "turn", F.when(F.col("k") == 4, "user").otherwise(F.col("role")).alias("role"), text.alias("text"),
+        F.md5(F.concat("role", F.lit("\n"), "text")).alias("tie"), (F.col("k") != 0).alias("present"), F.explode(F.array_repeat(F.lit(0), F.when(F.col("k") == 3, 2).otherwise(1))).alias("copy"),
+    )
+
+
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = damaged(_table(spark, sf_dir, "conversations"))
+    return repair.digests(rows, tie=F.col("tie"), present=F.col("present"))
+
+
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_files.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+
+
+def planted(doc_id: object, words: list[bytes]) -> list[bytes]:
+    """The words of a document, from some place on in the period that the query's contract plants; a null id plants none."""
+    h = zlib.crc32(str(doc_id).encode())
+    if doc_id is None or not words or h % 10:
+        return words
+    n, g = len(words), h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + (words[a : a + p] * ((n - a) // p + 1))[: n - a]
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.detect(_table(spark, sf_dir, "documents").select("doc_id", "text"), prepare=planted)
+    # Exact order of length / period: the cross products of two runs are compared.
+    first = lambda a, b: (b["length"] * a["period"] > a["length"] * b["period"]) | ((b["length"] * a["period"] == a["length"] * b["period"]) & ((b["start"] < a["start"]) | ((b["start"] == a["start"]) & (b["period"] < a["period"]))))
+    best = F.reduce("runs", F.get("runs", F.lit(0)), lambda a, b: F.when(first(a, b), b).otherwise(a))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n")))
+    told = found.select("doc_id", F.size("runs").cast("bigint").alias("n_runs"), best.alias("best"), F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    return told.select("doc_id", "n_runs", "best.start", "best.length", "best.period", F.expr("1000 * best.length div best.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+_ALL = (op1_sharding, op2_chat, op3_simhash, op4_html_text, op5_language, op6_mixing, op7_url_rules, op8_decontamination, op9_media, op10_warc, op11_repair, op12_token_files, op13_periodic_runs)
+QUERIES = {f.__name__: f for f in _ALL}
 
 _NUMBER = "('0x' || substr(md5({0}), 1, {1}))::BIGINT"
 
@@ -174,4 +222,55 @@ SELECT page_id, n AS payload_bytes, p.digest AS payload_digest, CASE WHEN first
 FROM p LEFT JOIN o ON p.digest = o.digest AND n >= 100
 """
 
-ORACLE_SQL = {"op1_sharding": _SHARDING, "op2_chat": _CHAT, "op6_mixing": _MIXING, "op7_url_rules": _URLS, "op8_decontamination": _DECONTAMINATION, "op10_warc": _WARC}
+def _added(of: str, cost: str, edit: str) -> str:
+    """A way, eight digits of cost and its audit, longer by an edit; the least of such strings is the cheapest, then least way."""
+    return f"lpad((substr({of}, 1, 8)::INTEGER + {cost})::VARCHAR, 8, '0') || substr({of}, 9) || '{edit}'"
+
+
+_OTHERS = ("b0", "b1", "b3")
+_REPAIR = rf"""
+WITH RECURSIVE crc_table AS (
+  SELECT list(c ORDER BY i) AS tab FROM (SELECT i, list_reduce([i::BIGINT, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS c FROM range(256) t(i))
+), told AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations
+), keyed AS (
+  SELECT *, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(key, ''), lambda x: ascii(x)::BIGINT)), lambda c, b: xor(c // 256, tab[(xor(c, b) % 256 + 1)::INTEGER])), 4294967295) % 20 AS k FROM told, crc_table
+), damaged AS (
+  SELECT conv_id, turn, md5(role || chr(10) || text) AS tie, CASE WHEN k = 4 THEN 'user' ELSE role END AS role, CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE k WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM keyed WHERE k <> 0
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, tie, copy) AS pos FROM damaged
+), judged AS (
+  SELECT *, substr(role, 1, 1) AS r, lead(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY pos) AS follows,
+    CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 THEN 'd' WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 't' ELSE '' END AS fault FROM placed
+), counted AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated,
+    count(*) FILTER (follows IS NOT NULL AND r || follows NOT IN ('su', 'ua', 'au')) AS illegal FROM judged GROUP BY conv_id
+), coded AS (
+  SELECT conv_id, pos, r, fault IN ('b', 'd') AS must, (fault = 't')::INTEGER AS e FROM judged
+), walk AS (
+  SELECT conv_id, 0::BIGINT AS pos, '00000000' AS b0, NULL::VARCHAR AS b1, '00000002I' AS b2, '00000004II' AS b3 FROM (SELECT DISTINCT conv_id FROM coded)
+  UNION ALL
+  SELECT conv_id, pos, n0, n1, m2, least(n3, {_added("m2", "2", "I")}) FROM (
+    SELECT *, least(n2, {_added("n0", "2", "I")}, {_added("n1", "2", "I")}, {_added("n3", "2", "I")}) AS m2 FROM (
+      SELECT w.conv_id, c.pos, {_added("b0", "3", "D")} AS n0,
+        least({_added("b1", "3", "D")}, CASE WHEN NOT must AND r = 's' THEN {_added("b0", "e", "K")} END) AS n1,
+        least({_added("b2", "3", "D")}, CASE WHEN NOT must THEN least({", ".join(_added(b, "2 + e", "R") for b in _OTHERS)}) END, CASE WHEN NOT must AND r = 'u' THEN least({", ".join(_added(b, "e", "K") for b in _OTHERS)}) END) AS n2,
+        least({_added("b3", "3", "D")}, CASE WHEN NOT must THEN {_added("b2", "2 + e", "R")} END, CASE WHEN NOT must AND r = 'a' THEN {_added("b2", "e", "K")} END) AS n3
+      FROM walk w JOIN coded c ON c.conv_id IS NOT DISTINCT FROM w.conv_id AND c.pos = w.pos + 1))
+), ended AS (
+  SELECT c.*, substr(least(b0, b3), 1, 8)::BIGINT AS cost, substr(least(b0, b3), 9) AS audit FROM counted c JOIN walk w ON w.conv_id IS NOT DISTINCT FROM c.conv_id AND w.pos = c.n
+), letters AS (
+  SELECT conv_id, j, audit[j] AS edit FROM (SELECT conv_id, audit, unnest(range(1, length(audit) + 1)) AS j FROM ended)
+), steps AS (
+  SELECT *, sum((edit <> 'I')::INTEGER) OVER w AS i, sum((edit <> 'D')::INTEGER) OVER w AS o FROM letters WINDOW w AS (PARTITION BY conv_id ORDER BY j)
+), kept AS (
+  SELECT s.conv_id, o, edit, role, text, max((o = 1 AND edit = 'K' AND r = 's')::INTEGER) OVER (PARTITION BY s.conv_id) AS opened
+  FROM steps s LEFT JOIN judged g ON g.conv_id IS NOT DISTINCT FROM s.conv_id AND g.pos = s.i WHERE edit <> 'D'
+), fixed AS (
+  SELECT conv_id, string_agg(CASE WHEN edit = 'K' THEN role WHEN (o - opened) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN edit = 'I' THEN '' ELSE text END, chr(10) ORDER BY o) AS body FROM kept GROUP BY conv_id
+)
+SELECT a.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(body, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN ended e ON e.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN fixed f ON f.conv_id IS NOT DISTINCT FROM a.conv_id
+"""
+
+ORACLE_SQL = {"op1_sharding": _SHARDING, "op2_chat": _CHAT, "op6_mixing": _MIXING, "op7_url_rules": _URLS, "op8_decontamination": _DECONTAMINATION, "op10_warc": _WARC, "op11_repair": _REPAIR}
