@@ -187,6 +187,7 @@ def fsm_input(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.pmod("event_id", F.lit(4)) == 0, "").otherwise(F.col("event_type")).alias("assistant_text"),
         tool.alias("tool"),
         (F.pmod("event_id", F.lit(3)) == 0).alias("tool_ok"),
+        F.col("ts").cast("timestamp").alias("at"),
     )
 
 

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sievework.operators import bank
@@ -91,23 +93,56 @@ def test_dialogue_transitions():
         assert (got_lane, got_resumed, state.intent, state.phase, state.detour) == (lane, resumed, intent, phase, detour), observed
 
 
-def test_stream_equals_batch(spark, sf_dir, tmp_path):
-    rows = fsm_input(spark, sf_dir).where("turn < 400")
-    batch = {tuple(r) for r in dialogue.replay(rows).collect()}
-    for k in (0, 1):  # two files, read in two batches, keep state between them
-        part = rows.where(f"turn div 200 = {k}")
-        part.coalesce(1).write.parquet(str(tmp_path / f"p{k}"))
-    source = tmp_path / "in"
+def streamed(spark, tmp_path, name, frames, **options):
+    """Rows of the dialogue stream over one file per frame, read one by one in the order given."""
+    source = tmp_path / name
     source.mkdir()
-    for k in (0, 1):
-        (file,) = (tmp_path / f"p{k}").glob("part-*")
+    for k, frame in enumerate(frames):
+        frame.coalesce(1).write.parquet(str(tmp_path / f"{name}-{k}"))
+        (file,) = (tmp_path / f"{name}-{k}").glob("part-*")
         target = source / f"{k}.parquet"
         target.write_bytes(file.read_bytes())
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(source))
-    q = dialogue.stream(stream).writeStream.format("memory").queryName("fsm").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    assert q.exception() is None
-    assert {tuple(r) for r in spark.table("fsm").collect()} == batch
+        os.utime(target, (1_000_000 + k, 1_000_000 + k))  # files are read by their times
+    rows = spark.readStream.schema(frames[0].schema).option("maxFilesPerTrigger", 1).parquet(str(source))
+    q = dialogue.stream(rows, **options).writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / f"{name}-cp")).trigger(availableNow=True).start()
+    assert q.awaitTermination(180) and q.exception() is None
+    return sorted(tuple(r) for r in spark.table(name).collect())
+
+
+def numbered(spark, sf_dir):
+    """The turns of some users, numbered from 0."""
+    order = Window.partitionBy("conv_id").orderBy("turn")
+    return fsm_input(spark, sf_dir).where("conv_id < 12").withColumn("turn", F.row_number().over(order).cast("bigint") - 1).cache()
+
+
+def test_stream_bears_any_order(spark, sf_dir, tmp_path):
+    rows = numbered(spark, sf_dir)
+    batch = sorted(tuple(r) for r in dialogue.replay(rows).collect())
+    assert len(batch) > 100
+    patient = {"late": "10000 days", "patience": 10**8}
+    backwards = [rows.where(f"turn % 3 = {k}") for k in (2, 1, 0)]
+    assert streamed(spark, tmp_path, "backwards", backwards, **patient) == batch
+    scattered = [rows.where(f"abs(hash(conv_id, turn)) % 2 = {k}").orderBy(F.rand(3)) for k in (0, 1)]
+    twice = [scattered[0], scattered[1].unionByName(scattered[0]).unionByName(scattered[1])]
+    assert streamed(spark, tmp_path, "scattered", twice, **patient) == batch
+
+
+def test_stream_gives_up_gaps(spark, sf_dir, tmp_path):
+    """Turn 2 never comes; turns 3 and 4 wait for it until the watermark passes them; turn 1 comes again, and too late turn 2 does."""
+    one = numbered(spark, sf_dir).where("conv_id = (SELECT min(conv_id) FROM VALUES (0), (1) AS t(conv_id))").where("turn < 8").withColumn("at", F.timestamp_seconds(1_700_000_000 + F.col("turn") * 60))
+    other = one.where("turn = 0").withColumn("conv_id", F.lit(99).cast("bigint"))
+    late = other.withColumn("at", F.timestamp_seconds(F.lit(1_700_100_000)))
+    frames = [one.where("turn IN (0, 3)"), one.where("turn IN (4, 1)").unionByName(one.where("turn = 0")), late, late.withColumn("turn", F.lit(1).cast("bigint")), one.where("turn IN (1, 2, 5, 6)").withColumn("at", F.timestamp_seconds(F.lit(1_700_100_000)))]
+    got = streamed(spark, tmp_path, "gaps", frames, late="1 minute", patience=600)
+    want = dialogue.replay(one.where("turn IN (0, 1, 3, 4, 5, 6)")).collect()
+    assert [r for r in got if r[0] != 99] == sorted(tuple(r) for r in want)
+
+
+def test_replay_of_repeats_and_nulls(spark, sf_dir):
+    rows = numbered(spark, sf_dir)
+    noise = rows.unionByName(rows.where("turn % 2 = 0")).unionByName(rows.limit(3).withColumn("turn", F.lit(None).cast("bigint")))
+    assert sorted(tuple(r) for r in dialogue.replay(noise).collect()) == sorted(tuple(r) for r in dialogue.replay(rows).collect())
+    assert dialogue.replay(rows.limit(0)).collect() == []
 
 
 def test_session_windows_like_islands(spark, sf_dir):
