@@ -6,7 +6,7 @@ the scan's own stage. The first rule that an output breaks names its failure.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -133,53 +133,122 @@ def schema_errors(tool: Column, arguments: Column, schemas: Mapping[str, Mapping
     return F.coalesce(X.let(F.try_element_at(table, tool), judged), F.array(F.lit("unknown_tool")))
 
 
-def without_private(value: Column, public: Sequence[str] = (), depth: int = 4) -> Column:
+#: Levels that the functions over nested values look through unless told; a value that is deeper stops the query.
+DEPTH = 4
+
+
+def depth(value: Column) -> Column:
+    """How deep objects and lists are nested in a variant: 0 for a scalar. Read from the brackets of its JSON."""
+    shown = F.regexp_replace(F.to_json(value), r'"(?:[^"\\]|\\.)*+"|[^\[\]{}"]++', "")
+    opened = F.transform(F.split(shown, ""), lambda c: F.when(c.isin("[", "{"), 1).when(c.isin("]", "}"), -1).otherwise(0))
+    zero = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+    step = lambda acc, d: F.struct((acc["now"] + d).alias("now"), F.greatest(acc["most"], acc["now"] + d).alias("most"))
+    return F.coalesce(F.aggregate(opened, zero, step, lambda acc: acc["most"]), F.lit(0))
+
+
+def deepest(rows: DataFrame, value: str) -> int:
+    """The greatest depth of a column, by one pass over it: the ``depth`` to give to the functions below."""
+    return rows.agg(F.max(depth(F.col(value))).alias("d")).first()["d"] or 0
+
+
+def canonical_json(value: Column) -> Column:
+    """JSON without spaces, with keys sorted at every level; whole numbers are shown without a fraction."""
+    return F.to_json(value)
+
+
+def record_hash(value: Column) -> Column:
+    return F.concat(F.lit("sha256:"), F.sha2(canonical_json(value), 256))
+
+
+def _is_object(value: Column) -> Column:
+    return F.try_variant_get(value, "$", "map<string,variant>").isNotNull()
+
+
+def _items(value: Column) -> Column:
+    """The items of an object, and those of a list with null keys; null for a scalar."""
+    named = F.transform(F.map_entries(F.try_variant_get(value, "$", "map<string,variant>")), lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value")))
+    listed = F.transform(F.try_variant_get(value, "$", "array<variant>"), lambda x: F.struct(F.lit(None).cast("string").alias("key"), x.alias("value")))
+    return F.coalesce(named, listed)
+
+
+def without_private(value: Column, public: Sequence[str] = (), depth: int = DEPTH) -> Column:
     """A variant without the items of its objects, at any level, whose key ends in ``_id``, but for those public.
 
-    Objects and lists nested deeper than ``depth`` are left out, as they can't be told safe.
+    A value nested deeper than ``depth`` stops the query.
     """
-    if depth == 0:
-        return F.when(~kind_of(value).isin("object", "array"), value)
-    items = F.try_variant_get(value, "$", "map<string,variant>")
-    kept = F.map_filter(items, lambda k, _: ~F.endswith(k, F.lit("_id")) | k.isin(list(public)) if public else ~F.endswith(k, F.lit("_id")))
-    kind = kind_of(value)
-    return (
-        F.when(kind == "object", F.to_variant_object(F.transform_values(kept, lambda _, v: without_private(v, public, depth - 1))))
-        .when(kind == "array", F.to_variant_object(F.transform(F.try_variant_get(value, "$", "array<variant>"), lambda v: without_private(v, public, depth - 1))))
-        .otherwise(value)
-    )
+    hidden = lambda k: F.endswith(k, F.lit("_id")) & ~(k.isin(list(public)) if public else F.lit(False))
+
+    def strip(v: Column, left: int) -> Column:
+        if left == 0:
+            return F.when(_items(v).isNotNull(), F.parse_json(F.raise_error(F.lit("a value is nested deeper than told; see wire.deepest")).cast("string"))).otherwise(v)
+        kept = F.filter(_items(v), lambda e: ~F.coalesce(hidden(e["key"]), F.lit(False)))
+        done = F.transform(kept, lambda e: F.struct(e["key"].alias("key"), strip(e["value"], left - 1).alias("value")))
+        rebuilt = lambda d: F.when(d.isNull(), v).when(_is_object(v), F.to_variant_object(F.map_from_entries(d))).otherwise(F.to_variant_object(F.transform(d, lambda e: e["value"])))
+        return X.let(done, rebuilt)
+
+    return strip(value, depth)
+
+
+def _gathered(value: Column, levels: int, own: Callable[[Column, Column], Column]) -> Column:
+    """The texts that ``own(key, value)`` finds (an array) at each item of a variant, in all levels; an item of a list has its list's key."""
+    none = F.array().cast("array<string>")
+
+    def gather(key: Column, v: Column, left: int) -> Column:
+        if left == 0:
+            return F.when(_items(v).isNotNull(), F.array(F.raise_error(F.lit("a value is nested deeper than told; see wire.deepest")).cast("string"))).otherwise(own(key, v))
+        below = F.transform(_items(v), lambda e: gather(F.coalesce(e["key"], key), e["value"], left - 1))
+        return F.coalesce(F.flatten(below), own(key, v))
 
+    return F.coalesce(F.when(value.isNotNull(), gather(F.lit(""), value, levels)), none)
 
-def private_values(value: Column, depth: int = 4) -> Column:
-    """Distinct texts at keys that end in ``_id``, at any level up to ``depth``, sorted."""
 
-    def gather(v: Column, d: int) -> Column:
-        none = F.array().cast("array<string>")
-        if d == 0:
-            return none
-        items = F.map_entries(F.try_variant_get(v, "$", "map<string,variant>"))
-        own = F.transform(F.filter(items, lambda e: F.endswith(e["key"], F.lit("_id")) & (kind_of(e["value"]) == "string")), lambda e: F.try_variant_get(e["value"], "$", "string"))
-        below = F.flatten(F.transform(items, lambda e: gather(e["value"], d - 1)))
-        within = F.flatten(F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda x: gather(x, d - 1)))
-        return F.when(kind_of(v) == "object", F.concat(own, below)).when(kind_of(v) == "array", within).otherwise(none)
+def private_values(value: Column, depth: int = DEPTH) -> Column:
+    """Distinct texts at keys that end in ``_id``, at any level, sorted; a value nested deeper than ``depth`` stops the query."""
+    none = F.array().cast("array<string>")
+    found = _gathered(value, depth, lambda key, v: F.when(F.endswith(key, F.lit("_id")) & (kind_of(v) == "string"), F.array(F.try_variant_get(v, "$", "string"))).otherwise(none))
+    return F.array_sort(F.array_distinct(F.filter(found, lambda t: t != "")))
 
-    return F.array_sort(F.array_distinct(F.filter(gather(value, depth), lambda t: t != "")))
 
+def _forms(key: Column, v: Column) -> Column:
+    """A scalar's normalized text, and for a whole number at a ``*_cents`` key its amounts; empty for a null, an object or a list."""
+    none = F.array().cast("array<string>")
+    cents = F.abs(F.try_variant_get(v, "$", "bigint"))
+    whole, part = F.floor(cents / 100), F.lpad((cents % 100).cast("string"), 2, "0")
+    amounts = F.array(F.concat(whole.cast("string"), F.lit("."), part), F.concat(F.format_number(whole, 0), F.lit("."), part))
+    one = F.concat(F.array(X.normalize(F.try_variant_get(v, "$", "string"))), F.when(F.endswith(key, F.lit("_cents")) & (kind_of(v) == "integer"), amounts).otherwise(none))
+    return F.when(kind_of(v).isin("string", "integer", "number", "boolean"), one).otherwise(none)
 
-def scalars(value: Column, depth: int = 4) -> Column:
-    """All scalars of a variant as normalized texts, whole numbers at ``*_cents`` keys as amounts too, sorted."""
 
-    def gather(v: Column, key: Column, d: int) -> Column:
-        none = F.array().cast("array<string>")
-        cents = F.abs(F.try_variant_get(v, "$", "bigint"))
-        whole, part = F.floor(cents / 100), F.lpad((cents % 100).cast("string"), 2, "0")
-        amounts = F.array(F.concat(whole.cast("string"), F.lit("."), part), F.concat(F.format_number(whole, 0), F.lit("."), part))
-        one = F.concat(F.array(X.normalize(F.try_variant_get(v, "$", "string"))), F.when(F.endswith(key, F.lit("_cents")) & (kind_of(v) == "integer"), amounts).otherwise(none))
-        scalar = F.when(kind_of(v).isin("string", "integer", "number", "boolean"), one).otherwise(none)
-        if d == 0:
-            return scalar
-        below = F.flatten(F.transform(F.map_entries(F.try_variant_get(v, "$", "map<string,variant>")), lambda e: gather(e["value"], e["key"], d - 1)))
-        within = F.flatten(F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda x: gather(x, key, d - 1)))
-        return F.when(kind_of(v) == "object", below).when(kind_of(v) == "array", within).otherwise(scalar)
+def scalars(value: Column, depth: int = DEPTH) -> Column:
+    """All scalars of a variant as normalized texts, whole numbers at ``*_cents`` keys as amounts too, sorted; a value nested deeper than ``depth`` stops the query."""
+    return F.array_sort(F.array_distinct(_gathered(value, depth, _forms)))
 
-    return F.array_sort(F.array_distinct(gather(value, F.lit(""), depth)))
+
+def with_private_apart(rows: DataFrame, value: str, public: Sequence[str] = ()) -> DataFrame:
+    """``rows`` with ``value`` without its private items, and ``private_ids``, their texts: at whatever depth the column has.
+
+    The depth is measured by a pass over the column. Nested expressions take the analyzer some
+    rounds a level, so its limit is raised while this one is analyzed.
+    """
+    levels, conf, name = deepest(rows, value), rows.sparkSession.conf, "spark.sql.analyzer.maxIterations"
+    before = conf.get(name)
+    conf.set(name, str(max(int(before), 100 + 10 * levels)))
+    try:
+        return rows.withColumns({value: without_private(F.col(value), public, levels), "private_ids": private_values(F.col(value), levels)})
+    finally:
+        conf.set(name, before)
+
+
+def scalar_rows(rows: DataFrame, value: str) -> DataFrame:
+    """``rows`` with a ``fact`` in place of the variant ``value``: one row for each form of each of its scalars, at any depth.
+
+    Each level is one explode in the same stage, where scalars stay as they are; as many
+    follow as the deepest value has levels, so no level is lost and no expression nests.
+    """
+    others = [c for c in rows.columns if c != value]
+    item = lambda k, v: F.struct(k.alias("key"), v.alias("value"))
+    spread = rows.select(*others, item(F.lit(""), F.col(value)).alias("__item"))
+    for _ in range(deepest(rows, value)):
+        below = F.transform(_items(F.col("__item.value")), lambda e: item(F.coalesce(e["key"], F.col("__item.key")), e["value"]))
+        spread = spread.select(*others, F.explode(F.coalesce(below, F.array("__item"))).alias("__item"))
+    return spread.select(*others, F.explode(_forms(F.col("__item.key"), F.col("__item.value"))).alias("fact"))

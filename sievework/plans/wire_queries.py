@@ -116,3 +116,33 @@ def q_scalar_facts(spark, sf_dir):
     """Every scalar of nested objects as a fact, amounts in cents also as money, with the objects that hold it."""
     facts = _nested(spark, sf_dir).select("o_orderkey", F.explode(W.scalars(F.col("v"))).alias("fact"))
     return facts.groupBy("fact").agg(F.count(F.lit(1)).alias("n"))
+
+
+def chained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``o_orderkey`` and ``v``: each order with its lines nested in one another."""
+    line = F.struct("l_linenumber", "l_partkey", "l_suppkey", F.round(F.col("l_extendedprice") * 100).cast("bigint").alias("cents"))
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(line), asc=False).alias("lines"))
+    shown = lambda c: c.cast("string")
+    chain = F.aggregate("lines", F.lit(""), lambda acc, x: F.concat(F.lit('{"line_no": '), shown(x["l_linenumber"]), F.lit(', "part_id": "p'), shown(x["l_partkey"]), F.lit('", "supplier": {"supplier_id": "s'), shown(x["l_suppkey"]), F.lit('", "paid_cents": '), shown(x["cents"]), F.lit('}, "next": ['), acc, F.lit("]}")))
+    o = table(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
+    whole = F.concat(F.lit('{"priority": "'), F.col("o_orderpriority"), F.lit('", "case_id": "k'), F.col("o_orderkey").cast("string"), F.lit('", "lines": ['), chain, F.lit("]}"))
+    return o.select("o_orderkey", F.parse_json(whole).alias("v"))
+
+
+_CHAIN_ROWS = "(SELECT l_orderkey, list({'n': l_linenumber, 'p': l_partkey, 's': l_suppkey, 'c': round(l_extendedprice * 100)::BIGINT} ORDER BY l_linenumber, l_partkey, l_suppkey, round(l_extendedprice * 100)) AS lines FROM lineitem GROUP BY l_orderkey)"
+_BARE = """'{"case_id":"k' || o_orderkey || '","lines":[' || array_to_string(list_transform(lines, lambda x: '{"line_no":' || x.n || ',"next":['), '') || array_to_string(list_transform(list_reverse(lines), lambda x: '],"supplier":{"paid_cents":' || x.c || '}}'), '') || '],"priority":"' || o_orderpriority || '"}'"""
+
+
+@query(f"""SELECT o_orderkey, (2 * len(lines) + 2)::INTEGER AS depth, 'sha256:' || sha256({_BARE}) AS bare_hash,
+ (SELECT string_agg(DISTINCT x, ',' ORDER BY x) FROM (SELECT unnest(flatten([['k' || o_orderkey], list_transform(lines, lambda l: 'p' || l.p), list_transform(lines, lambda l: 's' || l.s)])) AS x)) AS ids FROM orders JOIN {_CHAIN_ROWS} ON o_orderkey = l_orderkey""")
+def q_private_deep(spark, sf_dir):
+    """Orders with their lines nested in one another: canonical digests without private ids at any level, and the ids."""
+    rows = W.with_private_apart(chained(spark, sf_dir).withColumn("depth", W.depth(F.col("v"))), "v", ("case_id",))
+    return rows.select("o_orderkey", "depth", W.record_hash(F.col("v")).alias("bare_hash"), F.array_join("private_ids", ",").alias("ids"))
+
+
+@query(f"""WITH s AS (SELECT DISTINCT o_orderkey, unnest(flatten([['k' || o_orderkey, {norm('o_orderpriority')}], flatten(list_transform(lines, lambda l: [l.n::VARCHAR, 'p' || l.p, 's' || l.s, l.c::VARCHAR, (l.c // 100) || '.' || lpad((l.c % 100)::VARCHAR, 2, '0'), format('{{:,}}', l.c // 100) || '.' || lpad((l.c % 100)::VARCHAR, 2, '0')]))])) AS fact FROM orders JOIN {_CHAIN_ROWS} ON o_orderkey = l_orderkey)
+ SELECT fact, count(*) AS n FROM s GROUP BY fact""")
+def q_scalar_facts_deep(spark, sf_dir):
+    """Every scalar of orders of any number of lines, at whatever depth, with the orders that hold it."""
+    return W.scalar_rows(chained(spark, sf_dir), "v").distinct().groupBy("fact").agg(F.count(F.lit(1)).alias("n"))
