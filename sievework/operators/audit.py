@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sievework.functions import text as X
+from sievework.sources.scratch import settle
 
 SHORTLIST, CEILING = 32, 0.90
 #: Sequences of items that may be broadcast: some 50 MB.
 BROADCAST_GRAMS = 500_000
+#: Rarest trigrams of a query by which its first candidates are found.
+FIRST_TRIGRAMS = 24
 
 
 def leakage(rows: DataFrame, keys: dict[str, Column], split: str = "split") -> DataFrame:
@@ -73,22 +76,65 @@ def facts_in_texts(facts: DataFrame, docs: DataFrame) -> DataFrame:
     return met.join(held, "doc_id").where(F.contains("t", F.concat(F.lit(" "), F.col("f"), F.lit(" ")))).select("doc_id", "fact_id").distinct()
 
 
+def _dice(common: Column, a: Column, b: Column) -> Column:
+    return F.lit(2.0) * common / (a + b)
+
+
+def dice_candidates(queries: DataFrame, texts: DataFrame, k: int = SHORTLIST) -> DataFrame:
+    """Pairs ``qid, low, dice`` that hold each query's ``k`` nearest texts, equal Dice included.
+
+    A query's trigrams stand in the order of their rarity over all texts. Texts that share
+    most of its rarest ones are compared in full, and the Dice of the k-th is a bound: a text
+    that reaches it has a size within limits and one of so many of the rarest trigrams; what
+    it shares of these, with all that it could share of the others, must reach the bound too.
+    Only the pairs left are compared in full. A text's trigrams meet the queries' in its own
+    task and are counted there before any pair is shuffled.
+    """
+    sets = settle(texts.select("low", X.trigram_codes(F.col("text")).alias("g")))
+    known = sets.select(F.explode("g").alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("n_texts"))
+    asked = queries.select("qid", F.explode(X.trigram_codes(F.col("text"))).alias("g")).join(known, "g", "left")
+    rare = F.array_sort(F.collect_list(F.struct(F.coalesce("n_texts", F.lit(0)).alias("n"), "g")))  # a query's own trigrams
+    ranked = settle(asked.groupBy("qid").agg(rare.alias("r")).select("qid", F.size("r").alias("nq"), F.transform("r", lambda x: x["g"]).alias("q")))
+
+    def met(prefixes: DataFrame) -> DataFrame:
+        """Texts that share a trigram of a query's prefix, with their number; of the sizes that ``least`` and ``most`` allow."""
+        rows = prefixes.select("qid", "nq", "upto", "bound", "least", "most", F.explode(F.slice("q", F.lit(1), F.col("upto"))).alias("g"))
+        rows = F.broadcast(rows) if rows.limit(BROADCAST_GRAMS + 1).count() <= BROADCAST_GRAMS else rows
+        held = sets.select("low", F.size("g").alias("nt"), F.explode("g").alias("g"))
+        near = held.join(rows, (held["g"] == rows["g"]) & F.col("nt").between(F.col("least"), F.col("most")))
+        return near.groupBy("low", "qid").agg(F.count(F.lit(1)).alias("hits"), F.first("nt").alias("nt"), F.first("nq").alias("nq"), F.first("upto").alias("upto"), F.first("bound").alias("bound"))
+
+    def compared(pairs: DataFrame) -> DataFrame:
+        full = pairs.select("low", "qid").join(ranked.select("qid", "nq", "q"), "qid").join(sets, "low")
+        return full.select("qid", "low", _dice(F.size(F.array_intersect("q", "g")), F.col("nq"), F.size("g")).alias("dice"))
+
+    any_size = {"bound": F.lit(0.0), "least": F.lit(0), "most": F.lit(1 << 30)}
+    first = met(ranked.withColumns({"upto": F.least("nq", F.lit(FIRST_TRIGRAMS)), **any_size}))
+    best = Window.partitionBy("qid").orderBy(F.desc(F.col("hits") / (F.col("nq") + F.col("nt"))), "low")
+    tried = compared(first.withColumn("n", F.row_number().over(best)).where(F.col("n") <= 2 * k))
+    kth = tried.withColumn("n", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("dice")))).where(F.col("n") == k).select("qid", F.col("dice").alias("bound"))
+    # The least that a text of that Dice shares, and the sizes that it may have; a little slack for rounding.
+    share = F.col("bound") * F.col("nq") / (2 - F.col("bound"))
+    limits = {
+        "upto": F.least(F.col("nq"), F.floor(F.col("nq") - share + 1e-6).cast("int") + 1),
+        "least": F.floor(share - 1e-6).cast("int"),
+        "most": F.when(F.col("bound") > 0, F.ceil(F.col("nq") * (2 - F.col("bound")) / F.col("bound") + 1e-6)).otherwise(1 << 30).cast("int"),
+    }
+    bounded = settle(ranked.join(kth, "qid", "left").withColumn("bound", F.coalesce("bound", F.lit(0.0))).withColumns(limits))
+    most_shared = F.col("hits") + F.least(F.col("nq") - F.col("upto"), F.col("nt") - F.col("hits"))
+    kept = met(bounded).where(_dice(most_shared, F.col("nq"), F.col("nt")) >= F.col("bound"))
+    return compared(kept).where("dice > 0")
+
+
 def dice_shortlist(queries: DataFrame, texts: DataFrame, k: int = SHORTLIST) -> DataFrame:
     """The ``k`` texts nearest to each query by the Dice coefficient of character trigrams.
 
     ``queries`` and ``texts`` have ``qid``/``tid`` and a normalized ``text``; equal texts are
-    one until the ranks are known. Trigrams meet through an inverted index that carries
-    the sizes; pairs without a common one have Dice 0 and are left out.
+    one until the ranks are known. Pairs without a common trigram have Dice 0 and are left out.
     """
-    q = queries.select("qid", X.char_trigrams(F.col("text")).alias("g"))
     folded = texts.groupBy("text").agg(F.min("tid").alias("low"))
-    t = folded.select("low", X.char_trigrams(F.col("text")).alias("g"))
-    asked = q.select("qid", F.size("g").alias("nq"), F.explode("g").alias("g"))
-    held = t.select("low", F.size("g").alias("nt"), F.explode("g").alias("g"))
-    common = asked.join(held, "g").groupBy("qid", "nq", "low", "nt").agg(F.count(F.lit(1)).alias("common"))
-    scored = common.withColumn("dice", F.lit(2.0) * F.col("common") / (F.col("nq") + F.col("nt")))
     # The k best values of the Dice, ties included, are all that can hold the k best rows; only they get their texts.
-    near = scored.withColumn("__r", F.rank().over(Window.partitionBy("qid").orderBy(F.desc("dice")))).where(F.col("__r") <= k).select("qid", "low", "dice")
+    near = dice_candidates(queries, folded, k).withColumn("__r", F.rank().over(Window.partitionBy("qid").orderBy(F.desc("dice")))).where(F.col("__r") <= k).select("qid", "low", "dice")
     named = near.join(folded, "low").join(texts.select(F.col("text").alias("__t"), "tid"), F.col("text") == F.col("__t"))
     order = Window.partitionBy("qid").orderBy(F.desc("dice"), "text", "tid")
     return named.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("qid", "tid", "dice", "rank")
