@@ -38,13 +38,16 @@ CREDENTIAL_REQUEST = (
 PROHIBITION = r"(?:\bdo not|\bdon't|\bnever|\bshould not|\bshouldn't|\bmust not|\bmustn't|\bavoid)(?:\s+[a-z]+){0,6}\s*"
 PRIVATE_VERB = r"\b(?:provide|send|enter|share|tell me|confirm)\b"
 PRIVATE_NOUN = r"\b(?:password|pin|account number|customer id|private id)\b"
+# Words of a banking fact that a rewritten text must keep.
 FACT_WORDS = r"\b(?:frozen|active|closed|open|pending|completed|cancelled|canceled|failed|checking|savings|credit|debit|replacement|dispute|transfer|transaction)\b"
-CITATION = r"\[Policy:\s*([^\]\s]+)\s*\]"
+# How a policy is cited, what counts as a quantity, number words, words that lean on what was said before.
+CITATION = r"(?i)\[Policy:\s*([^\]]+?)\s*\]"
 QUANTITY = r"(?<![\w.])\$?(?:\d{1,3}(?:,\d{3})+|\d+)(?:\.\d+)?%?(?![\w.])"
 NUMBER_WORDS = {
-    **{w: i for i, w in enumerate("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split())},
-    **{w: 10 * (i + 2) for i, w in enumerate("twenty thirty forty fifty sixty seventy eighty ninety".split())},
-}
+    "zero": 0, "one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "eight": 8, "nine": 9,
+    "ten": 10, "eleven": 11, "twelve": 12, "thirteen": 13, "fourteen": 14, "fifteen": 15, "sixteen": 16, "seventeen": 17, "eighteen": 18, "nineteen": 19,
+    "twenty": 20, "thirty": 30, "forty": 40, "fifty": 50, "sixty": 60, "seventy": 70, "eighty": 80, "ninety": 90,
+}
 CONTEXT_WORDS = ("again", "else", "it", "next", "that", "them", "then", "there", "these", "they", "this", "those")
 
 

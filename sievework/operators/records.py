@@ -175,8 +175,23 @@ def stop_reason(passes: Column, max_calls: int = 3) -> Column:
 
 
 def policy_answer_errors(answer: Column, allowed: Column, evidence: Column) -> Column:
-    """Errors of a policy answer: no citation, one that isn't allowed, a number the evidence lacks."""
-    cited = F.array_sort(F.array_distinct(F.regexp_extract_all(answer, F.lit(X.CITATION), F.lit(1))))
-    bare = F.regexp_replace(answer, X.CITATION, " ")
-    numbers = F.array_except(F.regexp_extract_all(bare, F.lit(r"\d+(?:\.\d+)?%?"), F.lit(0)), F.regexp_extract_all(evidence, F.lit(r"\d+(?:\.\d+)?%?"), F.lit(0)))
-    return F.array_compact(F.array(F.when(F.size(cited) == 0, "no_citation"), F.when(F.size(F.array_except(cited, allowed)) > 0, "citation_not_allowed"), F.when(F.size(numbers) > 0, "number_without_evidence")))
+    """Errors of a policy answer, in a fixed order.
+
+    It must not be empty or name internal systems, must cite a policy, and only those
+    ``allowed``; every quantity outside its citations must be one of the ``evidence``, however
+    both write it: with separators, trailing zeros or as a word. Currency and percent signs count.
+    """
+    text = F.coalesce(answer, F.lit(""))
+    cited, returned = X.citations(text), F.filter(F.coalesce(allowed, F.array().cast("array<string>")), lambda c: F.trim(c) != "")
+    claims = F.array_except(X.quantities(F.regexp_replace(text, X.CITATION, "")), X.quantities(F.coalesce(evidence, F.lit(""))))
+    empty = F.trim(text) == ""
+    rules = F.array(
+        F.when(empty, "empty"),
+        F.when(F.size(returned) == 0, "no_evidence"),
+        F.when(F.size(cited) == 0, "no_citation"),
+        F.when(F.size(F.array_except(cited, returned)) > 0, "citation_not_allowed"),
+        F.when((F.size(cited) > 0) & ~F.arrays_overlap(cited, returned), "nothing_returned_cited"),
+        F.when(F.size(claims) > 0, "number_without_evidence"),
+    )
+    internal = F.transform(F.when(empty, F.array().cast("array<string>")).otherwise(X.internal_labels(text)), lambda x: F.concat(F.lit("internal_"), x))
+    return F.array_compact(F.concat(F.slice(rules, F.lit(1), F.lit(1)), internal, F.slice(rules, F.lit(2), F.lit(5))))

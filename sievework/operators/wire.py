@@ -18,6 +18,10 @@ CALLS = "array<struct<id:string,index:bigint,name:string,arguments:string>>"
 MAX_CALLS = 3
 
 
+#: A rule of an argument: its JSON types, least and greatest number, allowed texts, whether it is required.
+Rule = tuple[Sequence[str], float | None, float | None, Sequence[str] | None, bool]
+
+
 def kind_of(value: Column) -> Column:
     """JSON type of a variant: object, array, string, integer, number, boolean or null; null for none."""
     shown = F.schema_of_variant(value)
@@ -37,7 +41,7 @@ def canonical_arguments(value: Column) -> Column:
     return F.array_join(F.array_sort(F.transform(items, lambda e: F.concat(e["key"], F.lit("="), F.coalesce(F.to_json(e["value"]), F.lit("null"))))), ",")
 
 
-def _call(value: Column, position: Column) -> Column:
+def _call(value: Column, position: Column, schemas: Mapping | None) -> Column:
     """One call of a JSON value, with its failure."""
     name, arguments, index = at(value, "$.name", "string"), at(value, "$.arguments"), at(value, "$.index")
     failure = (
@@ -48,6 +52,8 @@ def _call(value: Column, position: Column) -> Column:
         .when(F.coalesce(kind_of(arguments), F.lit("")) != "object", "arguments_not_an_object")
         .when(F.coalesce(kind_of(index), F.lit("null")).isin("null", "integer") == F.lit(False), "index_not_an_integer")
     )
+    if schemas is not None:
+        failure = F.coalesce(failure, F.get(schema_errors(F.trim(name), arguments, schemas), F.lit(0)))
     given = F.when(kind_of(at(value, "$.id")) == "string", F.nullif(F.trim(at(value, "$.id", "string")), F.lit("")))
     return F.struct(given.alias("id"), F.coalesce(at(value, "$.index", "bigint"), position.cast("bigint")).alias("index"), F.trim(name).alias("name"), canonical_arguments(arguments).alias("arguments"), failure.alias("failure"))
 
@@ -56,11 +62,13 @@ def _first(values: Column) -> Column:
     return F.get(F.filter(values, lambda v: v.isNotNull()), F.lit(0))
 
 
-def strict_parse(rows: DataFrame, raw: str = "raw_output", max_calls: int = MAX_CALLS) -> DataFrame:
+def strict_parse(rows: DataFrame, raw: str = "raw_output", max_calls: int = MAX_CALLS, schemas: Mapping[str, Mapping[str, Rule]] | None = None) -> DataFrame:
     """Rows with ``failure``, ``calls`` and ``content``.
 
     Blocks may have no prose outside them (between them it may stand); a bare object may
-    hold a list ``tool_calls``, one call, or ``content``; any other text is content. More
+    hold a list ``tool_calls`` (anything else under that name fails), one call, or ``content``;
+    any other text is content. With ``schemas`` a call's tool must be one of them, and its
+    arguments must keep its rules; the first error of :func:`schema_errors` is the failure. More
     than ``max_calls`` calls, indexes other than 0, 1, ... and repeated ids are failures.
     A failed output has no calls and no content; a null output is empty.
     """
@@ -69,8 +77,9 @@ def strict_parse(rows: DataFrame, raw: str = "raw_output", max_calls: int = MAX_
     outside = F.concat(F.regexp_extract(text, r"(?s)\A(.*?)<tool_call>\s*.*?\s*</tool_call>", 1), F.regexp_extract(text, r"(?s)\A.*</tool_call>(.*)\z", 1))
     bare = F.try_parse_json(text)
     listed = at(bare, "$.tool_calls", "array<variant>")
-    calls = F.when(F.size(blocks) > 0, F.transform(F.transform(blocks, lambda b: F.try_parse_json(b)), _call)).when(
-        F.startswith(text, F.lit("{")), F.when(kind_of(at(bare, "$.tool_calls")) == "array", F.transform(listed, _call)).when(at(bare, "$.name").isNotNull() & at(bare, "$.arguments").isNotNull(), F.array(_call(bare, F.lit(0))))
+    call = lambda v, i: _call(v, i, schemas)
+    calls = F.when(F.size(blocks) > 0, F.transform(F.transform(blocks, lambda b: F.try_parse_json(b)), call)).when(
+        F.startswith(text, F.lit("{")), F.when(at(bare, "$.tool_calls").isNotNull(), F.transform(listed, call)).when(at(bare, "$.name").isNotNull() & at(bare, "$.arguments").isNotNull(), F.array(call(bare, F.lit(0))))
     )
     made = F.coalesce(calls, F.array().cast("array<struct<id:string,index:bigint,name:string,arguments:string,failure:string>>"))
     read = rows.withColumns({"__t": text, "__b": F.size(blocks) > 0, "__o": F.trim(outside), "__v": bare, "__c": made})
@@ -81,6 +90,7 @@ def strict_parse(rows: DataFrame, raw: str = "raw_output", max_calls: int = MAX_
         .when(F.col("__b") & (F.col("__o") != ""), "prose_outside_blocks")
         .when(~F.col("__b") & (F.contains("__t", F.lit("<tool_call")) | F.contains("__t", F.lit("</tool_call>"))), "malformed_block")
         .when(is_bare & F.col("__v").isNull(), "invalid_json")
+        .when(is_bare & (kind_of(at(F.col("__v"), "$.tool_calls")) != "array"), "tool_calls_not_a_list")
         .when(_first(F.transform(c, lambda x: x["failure"])).isNotNull(), _first(F.transform(c, lambda x: x["failure"])))
         .when(is_bare & (F.size(c) == 0) & at(F.col("__v"), "$.tool_calls").isNull() & at(F.col("__v"), "$.content").isNull(), "neither_calls_nor_content")
         .when(F.size(c) > max_calls, "too_many_calls")
@@ -93,10 +103,6 @@ def strict_parse(rows: DataFrame, raw: str = "raw_output", max_calls: int = MAX_
     return out.withColumns({"calls": F.when(F.col("failure").isNull(), good).otherwise(F.array().cast(CALLS)), "content": F.when(F.col("failure").isNull(), content)}).drop("__t", "__b", "__o", "__v", "__c")
 
 
-#: A rule of an argument: its JSON types, least and greatest number, allowed texts, whether it is required.
-Rule = tuple[Sequence[str], float | None, float | None, Sequence[str] | None, bool]
-
-
 def schema_errors(tool: Column, arguments: Column, schemas: Mapping[str, Mapping[str, Rule]]) -> Column:
     """Sorted errors ``rule:argument`` of a variant of arguments under its tool's schema.
 

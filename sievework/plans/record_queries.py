@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sievework.functions import text as X
 from sievework.operators import bank as B
 from sievework.operators import records as S
 from sievework.plans import dims
@@ -147,17 +148,38 @@ def q_trajectory_stops(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(passes.alias("p")).select("l_orderkey", S.stop_reason(F.col("p")).alias("stop_reason"))
 
 
-_REPLY = "'The fee of ' || p_name || ' is ' || CAST(p_size AS {text}) || CASE WHEN p_size % 3 = 0 THEN '%' ELSE '' END || CASE WHEN p_partkey % 4 = 0 THEN '' ELSE ' [Policy: fee.v' || CAST(p_partkey % 3 AS {text}) || ']' END || CASE WHEN p_partkey % 7 = 0 THEN ' [Policy: fee.v1]' ELSE '' END"
-_EVIDENCE = "'A fee of ' || CAST(p_size - p_size % 2 AS {text}) || CASE WHEN p_size % 3 = 0 THEN '%' ELSE '' END || ' applies to ' || p_type"
-_NUMBERS = "regexp_extract_all({0}, '\\d+(?:\\.\\d+)?%?')".format
-_CITED = "list_distinct(regexp_extract_all(a, '\\[Policy:\\s*([^\\]\\s]+)\\s*\\]', 1))"
+# A fee in one of six written forms, for an answer and for its evidence, which may be another fee; both engines read this text.
+_WORD = f"element_at({list(X.NUMBER_WORDS)}, CAST({{n}} % 20 + 1 AS INT))"
+_FORM = "CASE {{f}} WHEN 0 THEN concat({n}, ',250') WHEN 1 THEN concat({n}, '250.00') WHEN 2 THEN concat('$', {n}, ',250.50') WHEN 3 THEN concat({n}, '.50%') WHEN 4 THEN {word} ELSE concat('0', {n} % 20) END"
+_REPLY = "concat('The fee of ', p_name, ' is ', {form}, CASE WHEN p_partkey % 4 = 0 THEN ' .' ELSE concat(' for now, [policy:  fee.v', p_partkey % 3, ' ]') END, CASE WHEN p_partkey % 7 = 0 THEN ' [Policy: fee.v1]' ELSE '' END, CASE WHEN p_size % 11 = 0 THEN ' says the Router' ELSE '' END)"
+_EVIDENCE = "concat('A fee of ', {form}, ' or ', {other}, ' applies to ', p_type)"
 
 
-@query(f"""SELECT p_partkey, array_to_string(list_filter([CASE WHEN len({_CITED}) = 0 THEN 'no_citation' END, CASE WHEN len(list_filter({_CITED}, lambda c: c NOT IN ('fee.v0', 'fee.v1'))) > 0 THEN 'citation_not_allowed' END,
- CASE WHEN len(list_filter({_NUMBERS("regexp_replace(a, '\\[Policy:[^\\]]*\\]', ' ', 'g')")}, lambda n: NOT list_contains({_NUMBERS("e")}, n))) > 0 THEN 'number_without_evidence' END], lambda x: x IS NOT NULL), ',') AS errors FROM (SELECT p_partkey, {_REPLY.format(text='VARCHAR')} AS a, {_EVIDENCE.format(text='VARCHAR')} AS e FROM part)""")
+def _form(engine: str, n: str, f: str) -> str:
+    word = _WORD.format(n=n).replace("['", "array('").replace("'], CAST", "'), CAST") if engine == "spark" else f"({list(X.NUMBER_WORDS)})[CAST({n} % 20 + 1 AS INT)]"
+    return _FORM.format(n=n, word=word).format(f=f)
+
+
+def _policy_texts(engine: str) -> tuple[str, str]:
+    reply = _REPLY.format(form=_form(engine, "p_size", "p_partkey % 6"))
+    return reply, _EVIDENCE.format(form=_form(engine, "p_size", "(p_partkey + p_size) % 6"), other=_form(engine, "(p_size + p_partkey % 2)", "p_size % 6"))
+
+
+_ANSWER_SQL, _EVIDENCE_SQL = _policy_texts("duckdb")
+_CITED = r"list_distinct(regexp_extract_all(a, '(?i)\[Policy:\s*([^\]]+?)\s*\]', 1))"
+_NUMBERS = "list_transform(list_filter(list_transform(string_split_regex({0}, '[^\\w.$%,]+'), lambda x: trim(x, ',')), lambda x: regexp_full_match(x, '\\$?(\\d{{1,3}}(,\\d{{3}})+|\\d+)(\\.\\d+)?%?')), lambda x: regexp_replace(regexp_replace(regexp_replace(replace(x, ',', ''), '(\\.\\d*?)0+(%?)$', '\\1\\2'), '\\.(%?)$', '\\1'), '^(\\$?)0+(\\d)', '\\1\\2'))".format
+_SPELLED = (f"list_transform(regexp_extract_all(lower({{0}}), '\\b(?:{'|'.join(X.NUMBER_WORDS)})\\b'), lambda w: " + "CASE w " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in X.NUMBER_WORDS.items()) + " END)").format
+_SAID = r"regexp_replace(a, '(?i)\[Policy:\s*([^\]]+?)\s*\]', '', 'g')"
+_INTERNAL = ", ".join(f"CASE WHEN regexp_matches(a, '{p}') THEN 'internal_{k}' END" for k, p in X.INTERNAL_LANGUAGE.items())
+
+
+@query(f"""SELECT p_partkey, array_to_string(list_filter([{_INTERNAL}, CASE WHEN len({_CITED}) = 0 THEN 'no_citation' END, CASE WHEN len(list_filter({_CITED}, lambda c: c NOT IN ('fee.v0', 'fee.v1'))) > 0 THEN 'citation_not_allowed' END,
+ CASE WHEN len({_CITED}) > 0 AND NOT list_has_any({_CITED}, ['fee.v0', 'fee.v1']) THEN 'nothing_returned_cited' END,
+ CASE WHEN len(list_filter(list_concat({_NUMBERS(_SAID)}, {_SPELLED(_SAID)}), lambda n: NOT list_contains(list_concat({_NUMBERS("e")}, {_SPELLED("e")}), n))) > 0 THEN 'number_without_evidence' END], lambda x: x IS NOT NULL), ',') AS errors FROM (SELECT p_partkey, {_ANSWER_SQL} AS a, {_EVIDENCE_SQL} AS e FROM part)""")
 def q_policy_answers(spark, sf_dir):
-    """Answers about parts, with the citations and numbers of their own row, against what the evidence says."""
-    errors = S.policy_answer_errors(F.expr(_REPLY.format(text="STRING")), F.array(F.lit("fee.v0"), F.lit("fee.v1")), F.expr(_EVIDENCE.format(text="STRING")))
+    """Answers about parts with fees in six written forms, and citations, against what the evidence says in its own forms."""
+    answer, evidence = _policy_texts("spark")
+    errors = S.policy_answer_errors(F.expr(answer), F.array(F.lit("fee.v0"), F.lit("fee.v1")), F.expr(evidence))
     return table(spark, sf_dir, "part").select("p_partkey", F.array_join(errors, ",").alias("errors"))
 
 

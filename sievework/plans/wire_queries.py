@@ -17,7 +17,7 @@ _ONE = """'{"name": ' || CASE WHEN z % 11 = 7 THEN p_size::VARCHAR ELSE '"' || n
 _TWO = """'{"name": "count_parts", "arguments": {"exact": false}, "id": "c' || p_size % 2 || '"}'"""
 _RAW = """CASE z % 13 WHEN 0 THEN '<tool_call>' || one || '</tool_call>' WHEN 1 THEN '<tool_call> ' || one || ' </tool_call> <tool_call>' || two || '</tool_call>' WHEN 2 THEN 'Looking for ' || p_name || '. <tool_call>' || one || '</tool_call>'
  WHEN 3 THEN '<tool_call>' || p_name || '</tool_call>' WHEN 4 THEN one WHEN 5 THEN '{"tool_calls": [' || one || ', ' || two || ']}' WHEN 6 THEN '{"content": "' || p_name || '"}' WHEN 7 THEN '{"note": ' || p_size || '}' WHEN 8 THEN p_name || ' is ' || p_type
- WHEN 9 THEN '<tool_call>' || one WHEN 10 THEN '' WHEN 11 THEN '<tool_call>' || two || '</tool_call><tool_call>' || two || '</tool_call><tool_call>' || two || '</tool_call><tool_call>' || two || '</tool_call>' ELSE '{' || p_name END"""
+ WHEN 9 THEN CASE z % 4 WHEN 0 THEN '<tool_call>' || one WHEN 1 THEN '{"tool_calls": ' || one || '}' WHEN 2 THEN '{"tool_calls": null, "content": "' || p_name || '"}' ELSE '{"tool_calls": "' || p_name || '", "content": "x"}' END WHEN 10 THEN '' WHEN 11 THEN '<tool_call>' || two || '</tool_call><tool_call>' || two || '</tool_call><tool_call>' || two || '</tool_call><tool_call>' || two || '</tool_call>' ELSE '{' || p_name END"""
 
 
 _Z = "CAST(p_partkey * 7919 + p_size * 104729 AS BIGINT) % 100003"
@@ -40,11 +40,11 @@ _VALID = "CASE WHEN json_valid({0}) THEN {0}::JSON END"
 _CALL = """{{'f': CASE WHEN {v} IS NULL THEN 'invalid_json' WHEN json_type({v}) <> 'OBJECT' THEN 'not_an_object' WHEN coalesce(json_type({v}, '$.name'), '') <> 'VARCHAR' OR trim({v} ->> '$.name') = '' THEN 'no_name' WHEN coalesce(json_type({v}, '$.arguments'), '') <> 'OBJECT' THEN 'arguments_not_an_object' WHEN coalesce(json_type({v}, '$.index'), 'NULL') NOT IN ('NULL', 'BIGINT', 'UBIGINT') THEN 'index_not_an_integer' END,
  'i': coalesce(TRY_CAST({v} ->> '$.index' AS BIGINT), {i}), 'id': CASE WHEN json_type({v}, '$.id') = 'VARCHAR' THEN {v} ->> '$.id' END, 'n': trim({v} ->> '$.name'), 'a': coalesce(array_to_string(list_sort(list_transform(json_keys({v}, '$.arguments'), lambda k: k || '=' || regexp_replace(({v} -> ('$.arguments.' || k))::VARCHAR, '\\.0$', ''))), ','), '')}}"""
 _PARSED = f"""(SELECT p_partkey, raw_output, b, bare, CASE WHEN len(b) > 0 THEN list_transform(list_zip(list_transform(b, lambda x: {_VALID.format('x')}), range(len(b))), lambda p: {_CALL.format(v='p[1]', i='p[2]')})
- WHEN bare IS NULL THEN [] WHEN json_type(bare, '$.tool_calls') = 'ARRAY' THEN list_transform(list_zip((bare -> '$.tool_calls')::JSON[], range(json_array_length(bare, '$.tool_calls')::BIGINT)), lambda p: {_CALL.format(v='p[1]', i='p[2]')})
+ WHEN bare IS NULL OR coalesce(json_type(bare, '$.tool_calls'), 'ARRAY') <> 'ARRAY' THEN [] WHEN json_type(bare, '$.tool_calls') = 'ARRAY' THEN list_transform(list_zip((bare -> '$.tool_calls')::JSON[], range(json_array_length(bare, '$.tool_calls')::BIGINT)), lambda p: {_CALL.format(v='p[1]', i='p[2]')})
  WHEN json_exists(bare, '$.name') AND json_exists(bare, '$.arguments') THEN [{_CALL.format(v='bare', i='0')}] ELSE [] END AS c
  FROM (SELECT *, regexp_extract_all(raw_output, '(?s)<tool_call>\\s*(.*?)\\s*</tool_call>', 1) AS b, CASE WHEN starts_with(raw_output, '{{') AND json_valid(raw_output) THEN raw_output::JSON END AS bare FROM {_OUT}))"""
 _FAILED = f"""(SELECT *, CASE WHEN raw_output = '' THEN 'empty' WHEN len(b) > 0 AND trim(regexp_extract(raw_output, '(?s)^(.*?)<tool_call>', 1) || regexp_extract(raw_output, '(?s)^.*</tool_call>(.*)$', 1)) <> '' THEN 'prose_outside_blocks'
- WHEN len(b) = 0 AND contains(raw_output, '<tool_call') THEN 'malformed_block' WHEN starts_with(raw_output, '{{') AND bare IS NULL THEN 'invalid_json' WHEN len(list_filter(c, lambda x: x.f IS NOT NULL)) > 0 THEN list_filter(c, lambda x: x.f IS NOT NULL)[1].f
+ WHEN len(b) = 0 AND contains(raw_output, '<tool_call') THEN 'malformed_block' WHEN starts_with(raw_output, '{{') AND bare IS NULL THEN 'invalid_json' WHEN coalesce(json_type(bare, '$.tool_calls'), 'ARRAY') <> 'ARRAY' THEN 'tool_calls_not_a_list' WHEN len(list_filter(c, lambda x: x.f IS NOT NULL)) > 0 THEN list_filter(c, lambda x: x.f IS NOT NULL)[1].f
  WHEN bare IS NOT NULL AND len(c) = 0 AND NOT json_exists(bare, '$.tool_calls') AND NOT json_exists(bare, '$.content') THEN 'neither_calls_nor_content' WHEN len(c) > 3 THEN 'too_many_calls'
  WHEN list_transform(c, lambda x: x.i) <> range(len(c)) THEN 'index_order' WHEN len(list_distinct(list_transform(c, lambda x: x.id))) < len(list_filter(c, lambda x: x.id IS NOT NULL)) THEN 'repeated_id' END AS failure FROM {_PARSED})"""
 
