@@ -2,18 +2,19 @@
 
 Documents are encoded in the order of their ids and written to shard files. A file holds
 the token ids of its documents as a wavelet matrix: one plane of bits for each binary
-digit of an id, highest digit first, where each plane is ordered stably by the digit
-above it. Planes are cut into blocks that are compressed each, with the number of ones
+digit of an id's number in the file's alphabet, highest digit first, where each plane is
+ordered stably by the digit above it. Planes are cut into blocks that are compressed each, with the number of ones
 before each block, so that a token, the count of an id or its k-th occurrence is found by
 reading a block per plane, without decoding the file.
 
 Layout: the blocks; a directory (Arrow IPC) of block offsets and ones before each block,
-of the zeros of each plane and of the documents; its place and length in the last 24 bytes.
+of the zeros of each plane, of the ids that occur and of the documents; its place and length in the last 24 bytes.
 """
 
 from __future__ import annotations
 
 import json
+import os
 import struct
 import uuid
 import zlib
@@ -22,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyarrow import fs as pafs
 from pyspark import TaskContext
@@ -34,53 +36,93 @@ MAGIC = b"SWAVELT1"
 #: Bits of a block; blocks that an open file keeps decompressed.
 BLOCK, KEPT_BLOCKS = 1 << 16, 256
 #: Tokens after which a shard ends with the document at hand; a longer document is one shard.
-SHARD_TOKENS = 1 << 22
-#: Chunks of text whose ids a task remembers before it begins anew; texts that it encodes at once.
-KNOWN_CHUNKS, TEXTS = 400_000, 500
+SHARD_TOKENS = 1 << 21
+#: Chunks of text whose ids a task remembers before it begins anew; bytes of text that it encodes
+#: at once, but for one long text; texts that it hands on at once.
+KNOWN_CHUNKS, ENCODE_BYTES, TEXTS = 600_000, 4 << 20, 500
 END_ID = 2
 
 
 class Encoder:
     """Encodes texts with a file of the ``tokenizers`` library, once per distinct chunk of text.
 
-    Texts are cut at blanks. This needs a tokenizer that drops white space and lets no
-    token span it; for others ``by_chunk=False`` encodes texts whole. Chunks that are not
-    known yet are encoded together, parted by a control character that none of them has.
+    Texts are cut at ASCII white space, and ``.`` and ``,`` at the end of a chunk after a
+    letter or digit of ASCII are chunks of their own. This needs a tokenizer that drops
+    white space, lets no token span it, and parts these marks from letters and digits; where
+    it has a lower-casing normalizer, A-Z are lower-cased first. For others ``by_chunk=False``
+    encodes texts whole. Chunks that are not known yet are encoded together, parted by a
+    mark that none of them has: the first of ``_MARKS`` that this tokenizer keeps apart from
+    whatever stands beside it.
     """
 
-    _PART = "\x01"
+    _MARKS, _BESIDE = ("\u07c0", " \x01 "), ("ab", "9", ".", "'s", "\u00e9", "(", "\u0301", "\u65e5", "\u0661")
 
     def __init__(self, path: str, end_id: int | None = END_ID, by_chunk: bool = True):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core; threads would each hold memory of their own
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.end = b"" if end_id is None else struct.pack("<I", end_id)
+        self.end = end_id
+        self.lower = '"Lowercase"' in self.tokenizer.to_str().split('"model"')[0]
+        self.mark = next((m for m in self._MARKS if self._parts(m)), None) if by_chunk else None
+        self.mark_ids = self._ids(self.mark) if self.mark else None
         self.known: dict[str, bytes] = {}
-        part = self.tokenizer.encode(self._PART, add_special_tokens=False).ids
-        self.part = part[0] if by_chunk and len(part) == 1 else None
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers, with the end id; a null text is empty."""
-        if self.part is None:
-            return [ids + self.end for ids in self._whole([t or "" for t in texts])]
-        cut = [(t or "").split(" ") for t in texts]
+
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _parts(self, mark: str) -> bool:
+        """Whether a mark between any two texts leaves their ids as they are, and can be found again by its ids."""
+        ids = {x: self._ids(x) for x in (*self._BESIDE, mark)}
+        return bool(ids[mark]) and all(self._ids(x + mark + y) == ids[x] + ids[mark] + ids[y] and not set(ids[mark][-1:]) & set(ids[x]) for x in self._BESIDE for y in self._BESIDE)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, one text after the other, each with its end id, and the number of ids of each text. A null text is empty."""
+        texts = pc.fill_null(texts, "")
+        if self.mark is None:
+            raw = self._whole(texts.to_pylist())
+            ids, sizes = np.frombuffer(b"".join(raw), "<u4"), np.array([len(r) // 4 for r in raw], np.int64)
+        else:
+            marked = pc.replace_substring_regex(pc.ascii_lower(texts) if self.lower else texts, r"([0-9A-Za-z])([.,]+)(\s|\z)", r"\1 \2\3")
+            cut = pc.ascii_split_whitespace(marked)
+            chunks = cut.flatten().dictionary_encode()
+            raw = self._chunks(chunks.dictionary.to_numpy(zero_copy_only=False).tolist())
+            of_chunk = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
+            place, which = np.cumsum(of_chunk) - of_chunk, chunks.indices.to_numpy()
+            counts = of_chunk[which]
+            ends = np.append(0, np.cumsum(counts))
+            # Each chunk's ids are copied to where the chunk stands.
+            at = np.repeat(place[which] - ends[:-1], counts)
+            at += np.arange(ends[-1])
+            ids = np.frombuffer(b"".join(raw), "<u4")[at]
+            borders = ends[cut.offsets.to_numpy() - cut.offsets[0].as_py()]
+            sizes = np.diff(borders)
+        if self.end is not None:
+            ids, sizes = np.insert(ids, np.cumsum(sizes), self.end), sizes + 1
+        return ids, sizes
+
+    def _chunks(self, chunks: list[str]) -> list[bytes]:
+        """Ids of each chunk, from what is known or by the library."""
         known = self.known
-        new = {c for chunks in cut for c in chunks if c not in known}
+        new = [c for c in chunks if c not in known]
         if len(known) + len(new) > KNOWN_CHUNKS:
-            known = self.known = {}
-            new = {c for chunks in cut for c in chunks}
-        plain = [c for c in new if self._PART not in c]
-        for at in range(0, len(plain), 4096):
-            some = plain[at : at + 4096]
-            ids = np.array(self._fast([f" {self._PART} ".join(some)])[0].ids, dtype="<u4")
-            ends = np.append(np.flatnonzero(ids == self.part), len(ids))
-            starts = np.append(0, ends[:-1] + 1)
-            raw = ids.tobytes()
-            for chunk, a, b in zip(some, starts.tolist(), ends.tolist(), strict=True):
-                known[chunk] = raw[4 * a : 4 * b]
-        odd = [c for c in new if self._PART in c]
+            known.clear()
+            new = chunks
+        sign, width = self.mark.strip(), len(self.mark_ids)
+        plain = [c for c in new if sign not in c]
+        groups = [plain[at : at + 64] for at in range(0, len(plain), 64)]
+        for some, made in zip(groups, self._fast([self.mark.join(g) for g in groups]), strict=True):
+            ids = np.array(made.ids, dtype="<u4")
+            marked = np.flatnonzero(ids == self.mark_ids[-1]) - (width - 1)
+            for k, i in enumerate(self.mark_ids[:-1]):
+                marked = marked[ids[marked + k] == i]
+            raw, start = ids.tobytes(), 0
+            for chunk, end in zip(some, [*marked.tolist(), len(ids)], strict=True):
+                known[chunk] = raw[4 * start : 4 * end]
+                start = end + width
+        odd = [c for c in new if sign in c]
         known.update(zip(odd, self._whole(odd), strict=True))
-        return [b"".join(map(known.__getitem__, chunks)) + self.end for chunks in cut]
+        return list(map(known.__getitem__, chunks))
 
     def _fast(self, texts: list[str]) -> list:
         return self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -92,27 +134,32 @@ class Encoder:
 def build(tokens: np.ndarray, docs: pa.RecordBatch) -> bytes:
     """A file of ``tokens`` (unsigned) whose documents are ``docs`` (columns ``doc_id`` and ``n_tokens``)."""
     n = len(tokens)
-    levels = max(1, int(tokens.max(initial=0)).bit_length())
-    current = tokens.astype(np.uint16 if levels <= 16 else np.uint32)
+    present = np.flatnonzero(np.bincount(tokens, minlength=1)) if n else np.zeros(0, np.int64)
+    codes = np.zeros(int(present[-1]) + 1 if n else 1, np.uint32)
+    codes[present] = np.arange(len(present))
+    levels = max(1, (len(present) - 1).bit_length())
+    current = codes.astype(np.uint16 if levels <= 16 else np.uint32)[tokens]
     blocks, offsets, before, zeros = [], [0], [], []
     pack = zstandard.ZstdCompressor(level=1)
     for level in range(levels - 1, -1, -1):
-        ones = ((current >> level) & 1).astype(bool)
-        bits = np.packbits(ones, bitorder="little").tobytes()
-        counts = np.add.reduceat(ones, np.arange(0, n, BLOCK), dtype=np.int64) if n else np.zeros(0, np.int64)
+        ones = (current & (1 << level)).astype(bool)
+        bits = np.packbits(ones, bitorder="little")
+        counts = np.add.reduceat(np.bitwise_count(bits), np.arange(0, len(bits), BLOCK // 8), dtype=np.int64) if n else np.zeros(0, np.int64)
         before.append(np.cumsum(counts) - counts)
-        for at in range(0, len(bits), BLOCK // 8):
-            blocks.append(pack.compress(bits[at : at + BLOCK // 8]))
+        raw = bits.tobytes()
+        for at in range(0, len(raw), BLOCK // 8):
+            blocks.append(pack.compress(raw[at : at + BLOCK // 8]))
             offsets.append(offsets[-1] + len(blocks[-1]))
-        rest = ~ones
-        current = np.concatenate([current[rest], current[ones]])
-        zeros.append(int(rest.sum()))
+        zeros.append(n - int(counts.sum()))
+        following = np.empty_like(current)  # places are much faster than masks here
+        following[: zeros[-1]], following[zeros[-1] :] = current[np.flatnonzero(~ones)], current[np.flatnonzero(ones)]
+        current = following
     sink = pa.BufferOutputStream()
     meta = pa.schema(docs.schema, {"shape": json.dumps({"n": n, "zeros": zeros})})
     with pa.ipc.new_stream(sink, meta, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
         out.write_batch(pa.RecordBatch.from_arrays(docs.columns, schema=meta))
     tables = sink.getvalue().to_pybytes()
-    index = zstandard.ZstdCompressor().compress(np.concatenate([np.array(offsets, np.int64), *before]).tobytes())
+    index = zstandard.ZstdCompressor().compress(np.concatenate([np.array(offsets, np.int64), *before, present]).tobytes())
     body = b"".join(blocks)
     return body + tables + index + struct.pack("<QQ", len(tables), len(index)) + MAGIC
 
@@ -137,7 +184,8 @@ class TokenFile:
         numbers = np.frombuffer(zstandard.ZstdDecompressor().decompress(file.read(index)), np.int64)
         self.per_level = -(-self.n // BLOCK)
         self.offsets = numbers[: self.per_level * len(self.zeros) + 1]
-        self.before = numbers[len(self.offsets) :].reshape(len(self.zeros), self.per_level)
+        at = len(self.offsets) + len(self.zeros) * self.per_level
+        self.before, self.alphabet = numbers[len(self.offsets) : at].reshape(len(self.zeros), self.per_level), numbers[at:]
         self.kept: OrderedDict[int, np.ndarray] = OrderedDict()
         self.unpack = zstandard.ZstdDecompressor()
 
@@ -170,12 +218,17 @@ class TokenFile:
             one = int(self._block(level, i // BLOCK)[i % BLOCK])
             ones = self._ones(level, i)
             token, i = token * 2 + one, zeros + ones if one else i - ones
-        return token
+        return int(self.alphabet[token])
+
+    def _code(self, token: int) -> int:
+        """The number of a token in the file's alphabet; -1 for one that the file doesn't have."""
+        k = int(np.searchsorted(self.alphabet, token))
+        return k if k < len(self.alphabet) and self.alphabet[k] == token else -1
 
     def _range(self, token: int, i: int) -> tuple[int, int]:
         """Where the occurrences of ``token`` before position ``i`` lie below the last plane."""
-        low, high = 0, i
-        if token < 0 or token >> len(self.zeros):
+        low, high, token = 0, i, self._code(token)
+        if token < 0:
             return 0, 0
         for level, zeros in enumerate(self.zeros):
             a, b = self._ones(level, low), self._ones(level, high)
@@ -195,7 +248,7 @@ class TokenFile:
         low, high = self._range(token, self.n)
         if not 0 <= k < high - low:
             raise IndexError(k)
-        at = low + k
+        at, token = low + k, self._code(token)
         for level in range(len(self.zeros) - 1, -1, -1):
             one = token >> (len(self.zeros) - 1 - level) & 1
             at = self._nth(level, one, at - self.zeros[level] if one else at)
@@ -222,10 +275,10 @@ class TokenFile:
         for level in range(len(self.zeros) - 1, -1, -1):
             ones = np.concatenate([self._block(level, k) for k in range(self.per_level)]).view(bool) if self.n else np.zeros(0, bool)
             merged = np.empty_like(current)
-            merged[~ones] = current[: self.zeros[level]]
-            merged[ones] = current[self.zeros[level] :] | current.dtype.type(1 << (len(self.zeros) - 1 - level))
+            merged[np.flatnonzero(~ones)] = current[: self.zeros[level]]
+            merged[np.flatnonzero(ones)] = current[self.zeros[level] :] | current.dtype.type(1 << (len(self.zeros) - 1 - level))
             current = merged
-        return current.astype("<u4")
+        return self.alphabet.astype("<u4")[current] if self.n else np.zeros(0, "<u4")
 
 
 def write_shards(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_id", text: str = "text", end_id: int | None = END_ID, by_chunk: bool = True, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
@@ -244,37 +297,36 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "do
         where.create_dir(path, recursive=True)
         encoder = Encoder(tokenizer, end_id, by_chunk)
         done: list[tuple] = []
-        ids: list = []
-        held: list[bytes] = []
+        held: list[tuple[pa.Array, np.ndarray, np.ndarray]] = []  # ids of documents, their sizes, tokens
         size = 0
 
         def close() -> None:
             nonlocal size
-            sizes = [len(x) // 4 for x in held]
-            listed = pa.RecordBatch.from_arrays([pa.concat_arrays(ids), pa.array(sizes, pa.int64())], names=["doc_id", "n_tokens"])
+            sizes = np.concatenate([h[1] for h in held])
+            listed = pa.RecordBatch.from_arrays([pa.concat_arrays([h[0] for h in held]), pa.array(sizes)], names=["doc_id", "n_tokens"])
             name = f"{uuid.uuid4().hex}.tokens"
             with where.open_output_stream(f"{path}/{name}") as out:
-                out.write(build(np.frombuffer(b"".join(held), "<u4"), listed))
-            done.append((name, len(held), sum(sizes)))
-            ids.clear()
+                out.write(build(np.concatenate([h[2] for h in held]), listed))
+            done.append((name, len(sizes), int(sizes.sum())))
             held.clear()
             size = 0
 
         for batch in batches:
+            weight = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))
             at = 0
             while at < len(batch):
-                some = batch.slice(at, TEXTS)
-                at += len(some)
-                first = 0
-                for k, made in enumerate(encoder.encode(some.column(1).to_pylist())):
-                    held.append(made)
-                    size += len(made) // 4
+                end = max(at + 1, int(np.searchsorted(weight, (weight[at - 1] if at else 0) + ENCODE_BYTES, side="right")))
+                keys = batch.column(0).slice(at, end - at)
+                tokens, sizes = encoder.encode(batch.column(1).slice(at, end - at))
+                ends, first, begun = np.cumsum(sizes), 0, 0
+                while first < len(sizes):  # a shard ends with the document that fills it
+                    last = min(int(np.searchsorted(ends, begun + shard_tokens - size)) + 1, len(sizes))
+                    held.append((keys.slice(first, last - first), sizes[first:last], tokens[begun : ends[last - 1]]))
+                    size += int(ends[last - 1]) - begun
+                    first, begun = last, int(ends[last - 1])
                     if size >= shard_tokens:
-                        ids.append(some.column(0).slice(first, k + 1 - first))
-                        first = k + 1
                         close()
-                if first < len(some):
-                    ids.append(some.column(0).slice(first))
+                at = end
         if held:
             close()
         part = TaskContext.get().partitionId()
@@ -302,7 +354,7 @@ def _placed(shards: DataFrame) -> DataFrame:
 def _over_files(spark: SparkSession, folder: str, read, schema: str) -> DataFrame:
     """``read(file, name, start)`` yields record batches for each shard that the folder's manifest lists."""
     shards = spark.read.parquet(f"{folder}/_manifest")
-    tasks = max(1, min(shards.count(), 16 * spark.sparkContext.defaultParallelism))
+    tasks = max(1, min(shards.count(), 4 * spark.sparkContext.defaultParallelism))
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         where, path = pafs.FileSystem.from_uri(folder)

@@ -13,7 +13,7 @@ from sievework.llm import queries, token_files
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 PATH = public_tokenizers.path(queries.TOKENIZER)
-ODD = ["", "   ", None, "It's  NFC: é é\tÀ x y", "ΣΑΣ Σ.", "a\x01b \x01 c", "<|endoftext|> in<|startoftext|>side", "日本 語\n\nдва 🙂🙂", "don't DON'T 'll", "x" * 5000, "퟿‍ zwj og", "12345 3,4.5%"]
+ODD = ["", "   ", None, "It's  NFC: é é\tÀ x y", "ΣΑΣ Σ.", "a\x01b \x01 c", "<|endoftext|> in<|startoftext|>side", "日本 語\n\nдва 🙂🙂", "don't DON'T 'll", "x" * 5000, "퟿‍ zwj og", "12345 3,4.5%", "End. Of. it.,. (a). 9. É. x,, .", "A.B. İ, İstanbul. ẞ."]
 
 
 def plain(texts):
@@ -23,12 +23,20 @@ def plain(texts):
     return [tokenizer.encode(t or "", add_special_tokens=False).ids + [2] for t in texts]
 
 
+def encoded(encoder, texts):
+    ids, sizes = encoder.encode(pa.array(texts, pa.string()))
+    return [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])]
+
+
 def test_encoder_equals_whole_texts(monkeypatch):
-    want = [np.array(ids, "<u4").tobytes() for ids in plain(ODD)]
-    assert token_files.Encoder(PATH).encode(ODD) == want == token_files.Encoder(PATH, by_chunk=False).encode(ODD)
+    want = plain(ODD)
+    assert encoded(token_files.Encoder(PATH), ODD) == want == encoded(token_files.Encoder(PATH, by_chunk=False), ODD)
+    assert encoded(token_files.Encoder(PATH), ODD[3:][::-1]) == want[3:][::-1]
     monkeypatch.setattr(token_files, "KNOWN_CHUNKS", 3)
     forgetful = token_files.Encoder(PATH)
-    assert [forgetful.encode([t])[0] for t in ODD] == want
+    assert [encoded(forgetful, [t])[0] for t in ODD] == want
+    bare = token_files.Encoder(PATH, end_id=None)
+    assert [encoded(bare, [t])[0] for t in ODD] == [ids[:-1] for ids in want]
 
 
 @pytest.mark.parametrize("n, high, block", [(0, 5, 64), (1, 1, 64), (63, 3, 64), (64, 9, 64), (1000, 40, 64), (5000, 70_000, 1 << 16)])
