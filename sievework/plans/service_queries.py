@@ -12,6 +12,7 @@ from sievework.operators import retrieval as R
 from sievework.plans import dims
 from sievework.plans.registry import norm, query
 from sievework.sources.readers import table
+from sievework.streaming import registry
 
 
 def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,6 +74,22 @@ def q_session_lru(spark, sf_dir):
     return last.groupBy("event_type").agg(F.min_by("user_id", F.struct("last", "user_id")).alias("evicted"), F.count(F.lit(1)).alias("n_sessions"))
 
 
+def accesses(spark, sf_dir):
+    """Every event as an access to its user's session, in one registry."""
+    return table(spark, sf_dir, "events").select(F.lit("bank").alias("registry"), F.col("user_id").cast("string").alias("session"), F.col("ts").alias("at"), F.col("event_id").alias("id"))
+
+
+@query("""WITH a AS (SELECT user_id::VARCHAR AS session, epoch_us(ts) AS t, row_number() OVER (ORDER BY ts, event_id) AS r FROM events), p AS (SELECT *, lead(r) OVER w AS nr, lead(t) OVER w AS nt FROM a WINDOW w AS (PARTITION BY session ORDER BY r)),
+ others AS (SELECT p.r, q.session, min(q.r) AS f FROM p JOIN a q ON q.t BETWEEN p.t AND p.t + 7200000000 AND q.r > p.r AND q.session <> p.session AND (p.nr IS NULL OR q.r < p.nr) GROUP BY p.r, q.session),
+ evicted AS (SELECT r, f FROM (SELECT r, f, row_number() OVER (PARTITION BY r ORDER BY f) AS n FROM others) WHERE n = 32),
+ ended AS (SELECT p.session, p.r, p.nr, p.nt, CASE WHEN e.f IS NOT NULL THEN 'evicted' WHEN (p.nt IS NULL OR p.nt - p.t > 7200000000) AND p.t + 7200000000 < (SELECT max(t) FROM a) THEN 'expired' END AS change, coalesce(b.t, p.t + 7200000000) AS at_us FROM p LEFT JOIN evicted e ON e.r = p.r LEFT JOIN a b ON b.r = e.f)
+ SELECT 'bank' AS registry, session, at_us, change FROM ended WHERE change IS NOT NULL
+ UNION ALL SELECT 'bank', session, t, 'opened' FROM (SELECT session, min(t) AS t FROM a GROUP BY session) UNION ALL SELECT 'bank', session, nt, 'opened' FROM ended WHERE change IS NOT NULL AND nt IS NOT NULL""")
+def q_session_registry(spark, sf_dir):
+    """Sessions opened, evicted and expired in a registry of 32 that idle for at most two hours."""
+    return registry.changes(accesses(spark, sf_dir))
+
+
 @query("""WITH s AS (SELECT user_id, event_id AS step, value >= 50 AS p FROM events), r AS (SELECT *, sum((NOT p)::INTEGER) OVER (PARTITION BY user_id ORDER BY step ROWS UNBOUNDED PRECEDING) AS run FROM s),
  n AS (SELECT *, row_number() OVER (PARTITION BY user_id, run ORDER BY step) AS n FROM r WHERE p) SELECT user_id, min(step) AS first_passing_step, min(step) FILTER (n = 2) AS selected_step FROM n GROUP BY user_id""")
 def q_consecutive_gate(spark, sf_dir):

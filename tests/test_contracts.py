@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from sievework.operators import contracts as K
 from sievework.operators import metrics as M
+from sievework.operators import records
 from sievework.operators import retrieval as R
 from sievework.operators import splits
 from sievework.operators import tool_eval as T
@@ -242,3 +243,34 @@ def test_policy_corpus(spark, tmp_path):
 def test_json_lines_reads_lists_of_paths(spark, tmp_path):
     paths = [written(tmp_path / f"{i}.jsonl", json.dumps({"a": i})) for i in range(2)]
     assert sorted(r.a for r in readers.json_lines(spark, paths, "a int").collect()) == [0, 1]
+
+
+def test_strict_parse_refuses_other_tool_calls(spark):
+    schemas = {"a": {"n": (("integer",), 1, 9, None, True)}}
+    outputs = ['{"tool_calls": {"name": "a"}}', '{"tool_calls": null}', '{"tool_calls": "x", "content": "y"}', '{"tool_calls": [], "content": "y"}', '{"tool_calls": [{"name": "a", "arguments": {"n": 2}}]}', '<tool_call>{"name": "b", "arguments": {}}</tool_call>', '<tool_call>{"name": "a", "arguments": {"n": 0}}</tool_call>', '{"name": "a", "arguments": {"m": 1, "n": 1}}', '{"name": "a", "arguments": {}}']
+    rows = spark.createDataFrame(list(enumerate(outputs)), "i int, raw_output string")
+    got = {r.i: r for r in W.strict_parse(rows, schemas=schemas).collect()}
+    assert [got[i].failure for i in range(len(outputs))] == ["tool_calls_not_a_list"] * 3 + [None, None, "unknown_tool", "minimum:n", "extra:m", "missing:n"]
+    assert got[3].content == "y" and got[4].calls[0].name == "a"
+    assert parsed(spark, outputs)[5].failure is None
+
+
+@pytest.mark.parametrize(
+    ("answer", "evidence", "errors"),
+    [
+        ("Up to 3 days. [Policy: p]", "Up to 30 days to arrive.", ["number_without_evidence"]),
+        ("Up to three days. [Policy: p]", "Up to 30 days to arrive.", ["number_without_evidence"]),
+        ("Effective January 1, 2026. [Policy: p]", "Cards. 2026-01-01", []),
+        ("You may request 1 replacement, the fee is $1000 now. [policy:  p ]", "One replacement is allowed and the fee is $1,000.00 in all", []),
+        ("The rate is 3.50% and 1,250 apply [Policy: p]", "3.5% of 1250 or so", []),
+        ("The fee is 5 [Policy: p]", "The fee is $5 or 5%", ["number_without_evidence"]),
+        ("Twelve [Policy: q]", "3", ["citation_not_allowed", "nothing_returned_cited", "number_without_evidence"]),
+        ("Fine [Policy: p] [Policy: q 2]", "", ["citation_not_allowed"]),
+        ("Our demo says so", "", ["internal_demo", "no_citation"]),
+        (None, None, ["empty", "no_citation"]),
+    ],
+)
+def test_policy_answers(spark, answer, evidence, errors):
+    row = spark.createDataFrame([(answer, evidence)], "a string, e string")
+    assert row.select(records.policy_answer_errors(F.col("a"), F.array(F.lit("p")), F.col("e")).alias("x")).first().x == errors
+    assert "no_evidence" in row.select(records.policy_answer_errors(F.col("a"), F.array(F.lit(" ")), F.col("e")).alias("x")).first().x
