@@ -25,7 +25,7 @@ from sievework.llm._common import settle, small_enough
 
 WINDOW, SHINGLE, SHINGLE_MAX, TURN, SEED = 10, 3, 3, 21, 42
 #: Words whose hashes a task remembers before it begins anew.
-KNOWN_WORDS = 1 << 20
+KNOWN_WORDS = 1 << 17
 #: Bits of the membership map over window shingles that tasks receive; its size is fixed.
 MAP_BITS = 1 << 24
 # Words are runs of ASCII letters and digits and of all characters from U+0080.
