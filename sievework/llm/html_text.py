@@ -5,8 +5,8 @@ take away: element names and the words of class, id and role have weights, learn
 whose own markup labels the article, and a negative weight holds for all words of its element.
 Tags score below 0 by how often they stand outside the article in labelled pages; a
 positive mark around them (an article, a content block) makes up for that. One linear scan
-finds all maximal contiguous runs, and the best, with those that reach a tenth of it, are the
-main text. Words that score nothing or less are left out of a run; their element counts as one
+finds all maximal contiguous runs, and the best, with those that reach a tenth of it or stand in
+the same article or main element, are the main text. Words that score nothing or less are left out of a run; their element counts as one
 tag there, so that an advert between two paragraphs doesn't part them.
 """
 
@@ -54,7 +54,9 @@ DENY = frozenset(
 DENY_LAST = frozenset("adbox notice notices alert popup modal overlay widget widgets copyright disclaimer discussion replies share sharing social related recommended recommendations toolbar login search skip contentinfo complementary dialog header".split())
 AFFIRM_LAST = frozenset("article post entry story content main".split())
 #: Words that make a name say something of an element's layout, not what the element is.
-LAYOUT = frozenset("has no not with without print layout free".split())
+LAYOUT = frozenset("has no not with without print layout free hoc".split())
+#: A region that only class words deny is the article where it has this many times the words that nothing denies.
+LARGEST = 4
 
 _TAG = r"""<(/?)([a-zA-Z][^\s/>]*)(?:((?:[^>"']|"[^"]*"(?=[\s/>])|'[^']*'(?=[\s/>]))*+)>|([^>]*)(?:>|\Z))"""
 _MARKUP = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|{_TAG}", re.DOTALL)
@@ -162,19 +164,57 @@ def prior_weight(mark: str) -> float:
 
 
 def _scopes(page: Page, weigh: Callable[[str], float], prior: Callable[[str], float]) -> tuple[list[float], list[float]]:
-    """Of each element: what its words lose (0 or less), and what makes up for tags in it."""
+    """Of each element: what its words lose (0 or less), and what makes up for tags in it.
+
+    Words of class, id and role are weak evidence. They don't deny an article or main element
+    that stands in no other, nor an element that holds one and more words than all that nothing
+    denies; and where little else of a page is left, and no mark affirms it, they don't deny its
+    largest region.
+    """
     own_article = ("article", "main")
-    for root in (0.0, min(0.0, weigh(UNMARKED))):
-        level, credit = [root], [0.0]
+    clear = lambda e: 2 * page.sizes[e] > page.sizes[0] or all(weigh(k) > -1 for k in page.marks[e] if k[0] == ".")
+    holds, inner = [n in own_article and clear(e) for e, n in enumerate(page.names)], [False] * len(page.names)
+    for e in range(len(page.names) - 1, 0, -1):
+        holds[page.parents[e]] |= holds[e]
+    for e in range(1, len(page.names)):
+        up = page.parents[e]
+        inner[e] = inner[up] or page.names[up] in own_article
+    by_class = [False] * len(page.names)
+    for e in range(1, len(page.names)):
+        named = [k for k in page.marks[e] if k[0] != "."]
+        by_class[e] = not any(weigh(k) <= -1 for k in named)
+
+    def levels(root: float, spared: int) -> tuple[list[float], list[float], list[bool]]:
+        level, credit, denied = [root], [0.0], [False]
         for e in range(1, len(page.names)):
             up = page.parents[e]
-            own = [weigh(k) for k in page.marks[e] if not (k == "header" and credit[up] > 0)]
+            marks = [k for k in page.marks[e] if not (k == "header" and credit[up] > 0)]
+            if e == spared or page.names[e] in own_article and not inner[e]:
+                marks = [k for k in marks if k[0] != "." or weigh(k) > 0]
+            own = [weigh(k) for k in marks]
             w = min(own, default=0.0)
             w = w if w <= -1 else max(own, default=0.0)
-            if w <= -1 and 2 * page.sizes[e] > page.sizes[0] and min(map(prior, page.marks[e])) > -4:
+            if w <= -1 and 2 * page.sizes[e] > page.sizes[0] and (by_class[e] and holds[e] and not inner[e] or min(map(prior, page.marks[e])) > -4):
                 w = 0.0  # what holds most of the page is a wrapper, unless its mark is beyond doubt
+            denied.append(w <= -1)
             level.append(min(0.0, level[up] + w))
             credit.append(max(credit[up], w))
+        return level, credit, denied
+
+    level, credit, denied = levels(0.0, 0)
+    outer = [e for e in range(1, len(page.names)) if denied[e] and by_class[e] and level[page.parents[e]] > -1]
+    spared = 0
+    if outer:
+        largest = max(outer, key=lambda e: (holds[e], page.sizes[e]))
+        inside = [False] * len(page.names)
+        for e in range(1, len(page.names)):
+            inside[e] = e == largest or inside[page.parents[e]]
+        beside = [(len(v.split()), e) for is_text, v, e in page.items if is_text and level[e] > -1 and not inside[e]]
+        affirmed = any(n and credit[e] > 0 for n, e in beside)
+        if (holds[largest] or not affirmed) and (1 if holds[largest] else LARGEST) * sum(n for n, _ in beside) < page.sizes[largest]:
+            spared = largest
+    for root in (0.0, min(0.0, weigh(UNMARKED))):
+        level, credit, _ = levels(root, spared)
         if not any(n in own_article and x > -1 for n, x in zip(page.names, level, strict=True)):
             break  # words outside any mark lose only where the page marks its article
     return level, credit
@@ -201,6 +241,16 @@ def maximal_runs(scores: Sequence[float]) -> list[tuple[int, int, float]]:
     return [(start, end, after - before) for before, after, start, end, _ in runs]
 
 
+def _home(page: Page, start: int, end: int) -> int:
+    """The outermost article or main element that the items of a run are in; 0 for none."""
+    found = 0
+    e = page.items[start][2] if start < end else 0
+    while e:
+        found = e if page.names[e] in ("article", "main") else found
+        e = page.parents[e]
+    return found
+
+
 def main_text(page: str | None, weights: Mapping[str, float], prior: Callable[[str], float] = prior_weight) -> str:
     """Article text of one page; empty for a null or empty page and one without words."""
     read = Page(page)
@@ -224,10 +274,11 @@ def main_text(page: str | None, weights: Mapping[str, float], prior: Callable[[s
         else:
             scores.append(min(MILD, weigh("<" + value) + credit[e]))
     runs = maximal_runs(scores)
-    best = max((r[2] for r in runs), default=0.0)
+    first, last, best = max(runs, key=lambda r: r[2], default=(0, 0, 0.0))
+    home = _home(read, first, last)
     blocks: list[list[str]] = [[]]
     for start, end, score in runs:
-        if score < RUN_SHARE * best:
+        if score < RUN_SHARE * best and not (home and home == _home(read, start, end)):
             continue
         blocks.append([])
         for is_text, value, e in read.items[start:end]:

@@ -311,3 +311,34 @@ def test_contamination_of_empty_tables(spark):
     assert decontam.contamination(docs.limit(0), items).count() == 0
     r = decontam.contamination(docs, items.limit(0)).first()
     assert (r.n_words, r.n_hit, r.contaminated) == (3, 0, False)
+
+
+def test_no_class_word_empties_an_article(sf_dir):
+    import pandas as pd
+
+    pages = [p for p in pd.read_parquet(f"{sf_dir}/pages.parquet").html if p]
+    counts: dict = {}
+    for p in pages:
+        html_text.label_counts(p, counts)
+    forms = {
+        "article": lambda p, c: re.sub(r"<article\b", f"<article {c}", p, count=1),
+        "wrapper": lambda p, c: re.sub(r"(?s)(<article\b.*</article>)", lambda m: f"<div {c}>{m[1]}</div>", p, count=1),
+        "div": lambda p, c: re.sub(r"<article\b[^>]*>", f"<div {c}>", p, count=1).replace("</article>", "</div>", 1),
+    }
+    for weights in (html_text.learned_weights(counts), {}):
+        whole = [html_text.main_text(p, weights) for p in pages]
+        assert all(whole)
+        for word in sorted(html_text.DENY | html_text.DENY_LAST):
+            for form, change in forms.items():
+                for p, text in list(zip(pages, whole, strict=True))[:12]:
+                    if form != "div" or len(text.split()) >= 20:  # a shorter one than a page's advert can't be told from it
+                        assert html_text.main_text(change(p, f'class="opinion-{word}"'), weights) == text, (word, form)
+
+
+@pytest.mark.parametrize("markup", ['<article class="opinion comment">{}</article>', '<article class="menu-item post">{}</article>', '<div id="promo-story"><article>{}</article></div>', '<section class="consent-law"><article>{}</article></section>', '<div class="rail-news"><article>{}</article></div>', '<div class="rail-news">{}</div>'])
+def test_class_words_are_weak_evidence(markup):
+    story = "<p>" + "many words of the story " * 12 + '</p><p class="ad-hoc">an ad hoc group met</p><ul></ul><p>the last short line of it here</p>' + "".join(f"<div></div><p>note {i}</p>" for i in range(4))
+    page = "<html><body><nav><ul><li>Home<li>About</ul></nav>" + markup.format(story) + '<div class="ad">Buy this now</div><section class="comments"><article class="comment"><p>Nice story, says a reader</p></article></section><footer>Imprint</footer></body></html>'
+    want = "\n".join(["many words of the story " * 11 + "many words of the story", "an ad hoc group met", "the last short line of it here", *(f"note {i}" for i in range(4))])
+    got = html_text.main_text(page, {})
+    assert got == want if "article" in markup else got.startswith(want.split("\n")[0]) and "reader" not in got and "Buy" not in got
