@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import math
 import tempfile
 import uuid
 
@@ -11,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Rows of an id and a hash that may be broadcast: 32 MB at most.
 BROADCAST_ROWS = 1_000_000
+#: Edges that a task of a round of contractions takes at least.
+TASK_EDGES = 1 << 16
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -45,6 +49,12 @@ def small_enough(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of frames that are gone: it learns of them when the driver's garbage is collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def fresh_folder(spark: SparkSession, prefix: str) -> str:
     """URI of a new, not yet existing folder below the shared one."""
     return f"{shared_root(spark)}/{prefix}-{uuid.uuid4().hex}"
@@ -76,13 +86,18 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if mark[0] == 0 or mark == before:
             break
         before = mark
+        # A round has no more edges than twice those it began with; few edges take few tasks and files.
+        tasks = math.ceil(2 * mark[0] / TASK_EDGES)
+        held = lambda df: settle(df.coalesce(tasks))  # noqa: B023, E731  used in this round alone
+        state = state.coalesce(tasks)
         # Large star: every larger neighbour of x moves to the smallest node around x.
         both = state.unionByName(state.select(F.col("u").alias("v"), F.col("v").alias("u")))
-        lowest = settle(both.groupBy("v").agg(F.min("u").alias("m")).select("v", F.least("v", "m").alias("m")))
-        large = settle(both.join(lowest, "v").where(F.col("u") > F.col("v")).select(F.col("u").alias("v"), F.col("m").alias("u")).distinct())
+        lowest = held(both.groupBy("v").agg(F.min("u").alias("m")).select("v", F.least("v", "m").alias("m")))
+        large = held(both.join(lowest, "v").where(F.col("u") > F.col("v")).select(F.col("u").alias("v"), F.col("m").alias("u")).distinct())
         # Small star: the smaller neighbours of x, and x itself, move to the smallest of them.
-        lowest = settle(large.groupBy("v").agg(F.min("u").alias("m")))
+        lowest = held(large.groupBy("v").agg(F.min("u").alias("m")))
         moved = large.join(lowest, "v").where(F.col("u") != F.col("m")).select(F.col("u").alias("v"), F.col("m").alias("u"))
-        state = settle(moved.unionByName(lowest.select("v", F.col("m").alias("u"))).distinct())
+        state = held(moved.unionByName(lowest.select("v", F.col("m").alias("u"))).distinct())
+        tidy(edges.sparkSession)
     roots = state.select(F.col("u").alias("node"), F.col("u").alias("root")).distinct()
     return state.select(F.col("v").alias("node"), F.col("u").alias("root")).unionByName(roots)

@@ -8,6 +8,7 @@ rule of its own fits, a URL is blocked if a rule blocks any alias, unless a rule
 from __future__ import annotations
 
 from collections.abc import Sequence
+from html.entities import html5
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +19,10 @@ from sievework.llm._common import connected_components, settle
 BROADCAST_RULES = 100_000
 #: (verdict, host and path).
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
+#: Named character references of one code point below U+0100, as HTML lists them.
+NAMED_REFERENCES = {k[:-1]: v for k, v in html5.items() if k.endswith(";") and len(v) == 1 and ord(v) < 256}
+#: Ports that a scheme means unless another is told.
+DEFAULT_PORTS = (("http", ":80"), ("https", ":443"), ("ws", ":80"), ("wss", ":443"), ("ftp", ":21"))
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -44,12 +49,15 @@ def without_dots(path: Column) -> Column:
 
 
 def node_of(url: Column) -> Column:
-    """The URL as a node: scheme and host in lower case, no dot segments, no fragment; a slash for an empty path."""
+    """The URL as a node: scheme and host in lower case, no default port, dot segments or fragment; a slash for an empty path."""
     path = without_dots(path_of(url))
+    scheme, host = F.translate(F.regexp_extract(url, r"(?s)\A(.*?)://", 1), _UPPER, _LOWER), host_of(url)
+    for name, port in DEFAULT_PORTS:
+        host = F.when((scheme == name) & F.endswith(host_of(url), F.lit(port)), F.regexp_replace(host_of(url), rf"{port}\z", "")).otherwise(host)
     return F.concat(
-        F.translate(F.regexp_extract(url, r"(?s)\A(.*?)://", 1), _UPPER, _LOWER),
+        scheme,
         F.lit("://"),
-        host_of(url),
+        host,
         F.when(path == "", "/").otherwise(path),
         F.regexp_extract(url, r"(?s)\A[^#]*?(\?[^#]*)", 1),
     )
@@ -84,33 +92,37 @@ def apply_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def _tags(page: Column, name: str) -> Column:
-    return F.regexp_extract_all(page, F.lit(rf"""(?is)<{name}\b(?:[^>"']++|"[^"]*+"|'[^']*+')*+>"""), F.lit(0))
+    """Tags of a name; quotes hold a value together only where one begins it."""
+    return F.regexp_extract_all(page, F.lit(rf"""(?is)<{name}\b(?:[^>"'=]++|=\s*+(?:"[^"]*+"|'[^']*+'|[^\s"'>][^\s>]*+)?+|["'])*+>"""), F.lit(0))
 
 
 def _attribute(tag: Column, name: str) -> Column:
     """An attribute's value, character references decoded; empty where there is none."""
-    quoted = F.regexp_extract(tag, rf"""(?is)[\s"']{name}\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", 1)
+    quoted = F.regexp_extract(tag, rf"""(?is)[\s"']{name}\s*=\s*("[^"]*"|'[^']*'|[^\s"'>][^\s>]*)""", 1)
     return F.trim(unescape_references(F.regexp_replace(quoted, r"""(?s)\A(["'])(.*)\1\z""", "$2")))
 
 
 def unescape_references(text: Column) -> Column:
-    """Numeric character references and the five that XML names, decoded once."""
+    """Numeric character references and NAMED_REFERENCES, decoded once."""
+    named = F.create_map(*(F.lit(x) for item in NAMED_REFERENCES.items() for x in item))
 
     def one(piece: Column) -> Column:
         body, rest = F.regexp_extract(piece, r"(?s)\A([^;]*);", 1), F.regexp_extract(piece, r"(?s)\A[^;]*;(.*)", 1)
         number = F.when(body.rlike(r"\A#[xX][0-9A-Fa-f]{1,6}\z"), F.conv(F.substr(body, F.lit(3)), 16, 10)).when(body.rlike(r"\A#[0-9]{1,7}\z"), F.substr(body, F.lit(2))).cast("int")
         legal = (number > 0) & (number < 0x110000) & ~number.between(0xD800, 0xDFFF)
         char = F.when(legal, F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32"))
-        for name, value in (("amp", "&"), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'")):
-            char = F.when(body == name, F.lit(value)).otherwise(char)
-        return F.coalesce(F.concat(char, rest), F.concat(F.lit("&"), piece))
+        return F.coalesce(F.concat(F.coalesce(char, F.try_element_at(named, body)), rest), F.concat(F.lit("&"), piece))
 
     pieces = F.split(text, "&")
     return F.when(F.contains(text, F.lit("&")), F.concat(pieces[0], F.array_join(F.transform(F.slice(pieces, F.lit(2), F.size(pieces) - 1), one), ""))).otherwise(text)
 
 
 def resolve(to: Column, base: Column) -> Column:
-    """The absolute URL that ``to`` means on a page at ``base``; null for other schemes and for the page itself."""
+    """The absolute URL that ``to`` means on a page at ``base``; null for other schemes and for the page itself.
+
+    Controls and blanks around it, and tabs and line ends within, don't belong to it.
+    """
+    to = F.regexp_replace(F.regexp_replace(to, r"\A[\x00-\x20]+|[\x00-\x20]+\z", ""), r"[\t\n\r]", "")
     scheme, site = F.regexp_extract(base, r"(?s)\A(.*?)://", 1), F.regexp_extract(base, r"(?s)\A(.*?://[^/?#]*)", 1)
     path = path_of(base)
     folder = F.regexp_extract(path, r"(?s)\A(.*/)", 1)
@@ -127,11 +139,11 @@ def resolve(to: Column, base: Column) -> Column:
 def page_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """Alias edges ``from_url, to_url`` that pages state: all their canonical links and refresh redirects.
 
-    Comments and the content of scripts, styles, templates, text areas and titles state nothing. References
+    Comments and the content of scripts, styles, templates, text areas, titles and frames state nothing. References
     are decoded and relative targets resolved against the page's URL, or its base element.
     """
     said = pages.where(F.col(html).rlike("(?i)canonical|refresh") & F.col(url).contains("://"))
-    bare = F.regexp_replace(html, r"(?is)<!--.*?(?:-->|\z)|<(script|style|template|textarea|title)\b.*?(?:</\1\s*>|\z)", " ")
+    bare = F.regexp_replace(html, r"(?is)<!--.*?(?:-->|\z)|<(script|style|template|textarea|title|iframe|noembed|noframes|xmp)\b.*?(?:</\1\s*>|\z)", " ")
     page = said.select(F.col(url).alias("from_url"), bare.alias("page"))
     based = page.withColumn("based", F.transform(_tags(F.col("page"), "base"), lambda t: _attribute(t, "href")))
     at = F.coalesce(resolve(F.get(F.filter("based", lambda h: h != ""), F.lit(0)), F.col("from_url")), F.col("from_url"))
@@ -139,7 +151,7 @@ def page_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
     canonical = F.transform(F.filter(_tags(F.col("page"), "link"), lambda t: F.array_contains(words(t), "canonical")), lambda t: _attribute(t, "href"))
     fresh = F.transform(
         F.filter(_tags(F.col("page"), "meta"), lambda t: F.lower(_attribute(t, "http-equiv")) == "refresh"),
-        lambda t: F.trim(F.regexp_replace(F.regexp_extract(_attribute(t, "content"), r"(?is)\burl\s*=\s*(.*)", 1), r"""(?s)\A(["'])(.*?)(?:\1.*)?\z""", "$2")),
+        lambda t: F.trim(F.regexp_replace(F.regexp_extract(_attribute(t, "content"), r"(?is)\A(?:.*?\burl\s*=|\s*[0-9.]+\s*[;,\s](?!.*\burl\s*=))\s*(.*)", 1), r"""(?s)\A(["'])(.*?)(?:\1.*)?\z""", "$2")),
     )
     found = based.select("from_url", at.alias("at"), F.explode(F.array_distinct(F.concat(canonical, fresh))).alias("to"))
     return found.select("from_url", resolve(F.col("to"), F.col("at")).alias("to_url")).where("to_url IS NOT NULL")

@@ -316,3 +316,32 @@ def test_known_redirects_and_large_rule_tables(spark, monkeypatch):
     assert url_rules.judge(df, url_rules.rule_frame(spark), edges).first().verdict == "block"
     monkeypatch.setattr(url_rules, "BROADCAST_RULES", 1)
     assert url_rules.judge(df, url_rules.rule_frame(spark), edges).first().verdict == "block"
+
+
+def test_links_in_rare_forms(spark):
+    """Forms of HTML by which a page tells that its alias is blocked."""
+    target = "http://b.org/es/x"
+    forms = {
+        "refresh without url=": f'<meta http-equiv=refresh content="0; {target}">',
+        "refresh with a comma": f'<meta http-equiv="Refresh" content="5,{target}">',
+        "refresh with url and quotes": f"<meta http-equiv=refresh content=\"0;URL='{target}'\">",
+        "an apostrophe in a bare value": f"<link title=it's rel=canonical href={target}>",
+        "an apostrophe in a quoted one": f'<link title="it\'s > that" rel=canonical href="{target}">',
+        "line ends around": f'<link rel=canonical href="\n {target}\t\n">',
+        "line ends within": '<link rel=canonical href="http://b.org/es\n/x">',
+        "named references": '<link rel=canonical href="http&colon;&sol;&sol;b&period;org&sol;es&#47;x">',
+        "a default port": '<link rel=canonical href="HTTP://B.org:80/es/x">',
+        "a bare value with a quote at its end": f"<link rel=canonical data-x=5' href={target}>",
+    }
+    no_link = {
+        "in a frame": f'<iframe><link rel=canonical href="{target}"></iframe>',
+        "a number alone": '<meta http-equiv=refresh content="30">',
+        "in a comment": f'<!-- <link rel=canonical href="{target}"> -->',
+    }
+    pages = [(i, f"http://n{i}.site/p", markup) for i, markup in enumerate([*forms.values(), *no_link.values()])]
+    df = spark.createDataFrame(pages, "page_id int, url string, html string")
+    got = {r.page_id: r.verdict for r in url_rules.judge(df, url_rules.rule_frame(spark)).collect()}
+    for i, name in enumerate([*forms, *no_link]):
+        assert got[i] == ("block" if name in forms else "allow"), name
+    ports = spark.createDataFrame([("https://a.b:443/x",), ("https://a.b:80/x",), ("http://a.b:80",), ("http://a.b:8080/",)], "u string")
+    assert [r[0] for r in ports.select(url_rules.node_of(F.col("u"))).collect()] == ["https://a.b/x", "https://a.b:80/x", "http://a.b/", "http://a.b:8080/"]
