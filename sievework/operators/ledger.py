@@ -96,6 +96,16 @@ def _problem(call: Column, at: Column) -> Column:
     return F.when(takes.isNull() | (F.size(F.array_except(given, takes)) > 0), NOT_SUPPORTED).when(both, NOT_COMPLETED).when(missing, NO_MATCH)
 
 
+def _lists(acc: Column, limit: Column) -> dict[str, Column]:
+    """What each reading tool returns, as JSON."""
+    return {
+        "list_cards": F.to_json(_by_name(acc["cards"])),
+        "list_transactions": F.to_json(_newest(acc["transactions"], "posted_at", F.coalesce(limit, F.lit(LISTED)).cast("int"))),
+        "list_transfers": F.to_json(_newest(acc["transfers"], "created_at", 1 << 30)),
+        "list_service_cases": F.to_json(_cases(acc)),
+    }
+
+
 def _after(acc: Column, call: Column, at: Column, problem: Column) -> Column:
     tool, good = call["tool"], problem.isNull()
     card_status = F.when(tool == "freeze_card", "frozen").otherwise("replacement_pending")
@@ -107,12 +117,7 @@ def _after(acc: Column, call: Column, at: Column, problem: Column) -> Column:
     subject = F.when(tool == "freeze_card", F.concat(F.lit(CASES["freeze_card"][1]), card["last4"])).when(tool == "replace_card", F.concat(F.lit(CASES["replace_card"][1]), card["last4"])).otherwise(F.concat(F.lit("Dispute "), debit["description"], F.lit(" ("), debit["transaction_id"], F.lit(")")))
     number = F.lpad((F.size(acc["made"]) + 1).cast("string"), 3, "0")
     case = F.struct(F.concat(F.lit("generated_case_"), number).alias("case_id"), kind.alias("case_type"), F.lit(GENERATED_AT).alias("created_at"), F.lit("open").alias("status"), subject.alias("subject"))
-    rows = {
-        "list_cards": F.to_json(_by_name(acc["cards"])),
-        "list_transactions": F.to_json(_newest(acc["transactions"], "posted_at", F.coalesce(call["limit"], F.lit(LISTED)).cast("int"))),
-        "list_transfers": F.to_json(_newest(acc["transfers"], "created_at", 1 << 30)),
-        "list_service_cases": F.to_json(_cases(acc)),
-    }
+    rows = _lists(acc, call["limit"])
     result = F.when(on_card, F.to_json(card)).when(on_debit, F.to_json(debit)).when(on_transfer, F.to_json(transfer))
     for name, shown in rows.items():
         result = result.when(good & (tool == name), shown)
@@ -143,6 +148,19 @@ def replay(state: Column, calls: Column) -> Column:
     return F.aggregate(F.coalesce(calls, none(CALL)), start, step)
 
 
+def read_bundle(replayed: Column, tools: Column) -> Column:
+    """What several reading tools return of one state: ``results`` by tool, or the ``problem``.
+
+    An empty bundle, and one with a tool that doesn't read, returns nothing; a tool asked for twice answers once.
+    """
+    known = _lists(replayed, F.lit(None).cast("bigint"))
+    wanted = F.coalesce(tools, F.array().cast("array<string>"))
+    problem = F.when(F.size(wanted) == 0, "empty_bundle").when(F.size(F.array_except(wanted, F.array(*map(F.lit, known)))) > 0, "not_a_read")
+    table = F.create_map(*(x for name, shown in known.items() for x in (F.lit(name), shown)))
+    results = let(table, lambda t: F.map_filter(t, lambda k, _: F.array_contains(wanted, k)))
+    return F.struct(F.when(problem.isNull(), results).alias("results"), problem.alias("problem"))
+
+
 def snapshot(replayed: Column) -> Column:
     """Canonical JSON of the state: keys sorted, cards by name, the ten newest transactions, made cases first."""
     return F.to_json(F.struct(_by_name(replayed["cards"]).alias("cards"), _cases(replayed).alias("service_cases"), _newest(replayed["transactions"], "posted_at", NEWEST).alias("transactions"), _newest(replayed["transfers"], "created_at", 1 << 30).alias("transfers")))

@@ -114,3 +114,17 @@ def q_ledger_envelopes(spark, sf_dir):
     """The envelope of every call: what it returned or changed, or why it failed."""
     each = replayed(spark, sf_dir).select("c_custkey", F.posexplode("r.envelopes").alias("call_no", "e"))
     return each.select("c_custkey", "call_no", "e.tool", "e.ok", "e.result", "e.message")
+
+
+_BUNDLE = "CASE c_custkey % 5 WHEN 0 THEN {open}'list_cards', 'list_transfers'{shut} WHEN 1 THEN {open}'list_service_cases', 'list_transactions', 'list_cards'{shut} WHEN 2 THEN {open}'list_cards', 'freeze_card'{shut} WHEN 3 THEN CAST({open}{shut} AS {none}) ELSE {open}'list_transfers', 'list_transfers'{shut} END"
+_ANSWERS = {"list_cards": f"to_json({_SORTED_CARDS})", "list_transactions": f"to_json(list_slice({_newest('transactions', 'posted_at')}, 1, 5))", "list_transfers": f"to_json({_newest('transfers', 'created_at')})", "list_service_cases": f"to_json(list_concat(made, {_newest('service_cases', 'created_at')}))"}
+
+
+@query(f"""{_STATES}, b AS (SELECT *, c AS c_custkey, {_BUNDLE.format(open='[', shut=']', none='VARCHAR[]').replace('c_custkey', 'c')} AS tools FROM ended), p AS (SELECT *, CASE WHEN len(tools) = 0 THEN 'empty_bundle' WHEN len(list_filter(tools, lambda t: NOT starts_with(t, 'list_'))) > 0 THEN 'not_a_read' END AS problem FROM b)
+ SELECT c_custkey, problem, CASE WHEN problem IS NULL THEN array_to_string(list_filter([{", ".join(f"CASE WHEN list_contains(tools, '{t}') THEN '{t}=' || ({a})::VARCHAR END" for t, a in sorted(_ANSWERS.items()))}], lambda x: x IS NOT NULL), ';') ELSE '' END AS results FROM p""")
+def q_read_bundles(spark, sf_dir):
+    """Bundles of reads over one state of each customer, after their calls; a bundle that would write is refused."""
+    tools = F.expr(_BUNDLE.format(open="array(", shut=")", none="array<string>"))
+    read = replayed(spark, sf_dir).select("c_custkey", L.read_bundle(F.col("r"), tools).alias("b"))
+    lines = F.transform(F.array_sort(F.map_entries("b.results")), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return read.select("c_custkey", "b.problem", F.coalesce(F.array_join(lines, ";"), F.lit("")).alias("results"))

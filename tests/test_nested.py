@@ -115,3 +115,19 @@ def test_failed_calls_change_nothing(spark):
     assert replayed(spark, ("freeze_card", {})).e == replayed(spark, ("freeze_card", {})).e != failed.e
     empty = spark.sql(f"SELECT CAST(NULL AS {L.STATE}) AS s, CAST(NULL AS array<{L.CALL}>) AS c").select(L.replay(F.col("s"), F.col("c")).alias("r")).first()
     assert empty.r.cards == [] and empty.r.envelopes == []
+
+
+def test_read_bundles(spark):
+    df = spark.createDataFrame([((CARDS, DEBITS, TRANSFERS, SEEDED), [("freeze_card", "2222", None, None, None, None, None)])], f"s {L.STATE}, c array<{L.CALL}>")
+    state = df.select(L.replay(F.col("s"), F.col("c")).alias("r"))
+
+    def read(*tools):
+        given = F.array(*map(F.lit, tools)).cast("array<string>") if tools != (None,) else F.lit(None).cast("array<string>")
+        return state.select(L.read_bundle(F.col("r"), given).alias("b")).first().b
+
+    both = read("list_cards", "list_service_cases", "list_cards")
+    assert both.problem is None and set(both.results) == {"list_cards", "list_service_cases"}
+    assert [c["status"] for c in json.loads(both.results["list_cards"])] == ["frozen", "active", "frozen"]
+    assert [c["case_id"] for c in json.loads(both.results["list_service_cases"])] == ["generated_case_001", "c2", "c1"]
+    assert (read("list_cards", "freeze_card").problem, read().problem, read(None).problem) == ("not_a_read", "empty_bundle", "empty_bundle")
+    assert read("list_cards", "freeze_card").results is None
