@@ -90,22 +90,36 @@ def suffix_budget(rows: DataFrame, budget: int) -> DataFrame:
     return fits.groupBy("conv_id").agg(F.min("turn").alias("start_turn"), (F.max("suffix") + F.max("system_tokens")).alias("tokens"))
 
 
-def greedy_budget(rows: DataFrame, budget: int) -> DataFrame:
-    """Groups kept within a token budget: the newest always, then newest to oldest, skipping any too big.
+def greedy_budget(rows: DataFrame, budget: int, pinned: DataFrame | None = None) -> DataFrame:
+    """Groups kept within a token budget: the newest and those pinned always, then newest to oldest, skipping any too big.
 
     A group that doesn't fit is skipped and older ones may still fit, so this is a fold
-    over one conversation's groups (a few numbers each), not a running sum.
+    over one conversation's groups (a few numbers each), not a running sum. ``pinned`` has
+    ``conv_id, group_no`` of groups that must stay, such as a pending service's first exchange;
+    with it the result tells ``over_budget`` where what must stay is too much alone.
     """
     groups = turn_groups(rows).groupBy("conv_id", "group_no").agg(F.sum(token_count(F.col("text"))).alias("n"))
-    newest_first = F.reverse(F.array_sort(F.collect_list(F.struct("group_no", "n"))))
+    if pinned is None:
+        held = groups.withColumn("pin", F.lit(False))
+    else:
+        held = groups.join(pinned.select("conv_id", F.col("group_no"), F.lit(True).alias("pin")).distinct(), ["conv_id", "group_no"], "left").withColumn("pin", F.coalesce("pin", F.lit(False)))
+    newest_first = F.reverse(F.array_sort(F.collect_list(F.struct("group_no", "n", "pin"))))
     start = F.struct(F.lit(0).cast("bigint").alias("used"), F.array().cast("array<bigint>").alias("kept"))
 
-    def step(acc: Column, g: Column) -> Column:
-        take = (F.size(acc["kept"]) == 0) | (acc["used"] + g["n"] <= budget)
-        return F.when(take, F.struct((acc["used"] + g["n"]).alias("used"), F.concat(acc["kept"], F.array(g["group_no"])).alias("kept"))).otherwise(acc)
+    def fold(listed: Column) -> Column:
+        must = F.filter(listed, lambda g, i: (i == 0) | g["pin"])
+        first = F.aggregate(must, start, lambda acc, g: F.struct((acc["used"] + g["n"]).alias("used"), F.concat(acc["kept"], F.array(g["group_no"])).alias("kept")))
+
+        def rest(begun: Column) -> Column:
+            step = lambda acc, g: F.when(acc["used"] + g["n"] <= budget, F.struct((acc["used"] + g["n"]).alias("used"), F.concat(acc["kept"], F.array(g["group_no"])).alias("kept"))).otherwise(acc)
+            done = F.aggregate(F.filter(listed, lambda g, i: ~((i == 0) | g["pin"])), begun, step)
+            return F.struct(done.alias("f"), (begun["used"] > budget).alias("over"))
+
+        return X.let(first, rest)
 
-    folded = groups.groupBy("conv_id").agg(F.aggregate(newest_first, start, step).alias("f"))
-    return folded.select("conv_id", F.col("f.used").alias("tokens"), F.array_join(F.array_sort("f.kept"), ",").alias("groups_kept"))
+    folded = held.groupBy("conv_id").agg(newest_first.alias("g")).select("conv_id", fold(F.col("g")).alias("r"))
+    out = folded.select("conv_id", F.col("r.f.used").alias("tokens"), F.array_join(F.array_sort("r.f.kept"), ",").alias("groups_kept"), F.col("r.over").alias("over_budget"))
+    return out.drop("over_budget") if pinned is None else out
 
 
 def relations(rows: DataFrame, states: DataFrame | None = None) -> DataFrame:
@@ -179,6 +193,15 @@ def collate(rows: DataFrame, batch: int = 8) -> DataFrame:
     return sized.withColumn("batch_no", F.floor(F.col("conv_id") / batch).cast("bigint")).withColumn("padding", F.max("n_tokens").over(Window.partitionBy("batch_no")) - F.col("n_tokens"))
 
 
+def padded(rows: DataFrame, tokens: str, labels: str, by: str, pad: int = 0, ignored: int = -100) -> DataFrame:
+    """``rows`` right-padded to the longest of their batch ``by``: token ids with ``pad``, labels with ``ignored``, and an ``attention`` mask."""
+    longest = F.max(F.size(tokens)).over(Window.partitionBy(by))
+    fill = lambda c, value: F.concat(F.col(c), F.array_repeat(F.lit(value).cast("bigint"), F.col("__left")))
+    ones = F.concat(F.array_repeat(F.lit(1), F.size(tokens)), F.array_repeat(F.lit(0), F.col("__left")))
+    sized = rows.withColumn("__left", (longest - F.size(tokens)).cast("int")).withColumn("attention", ones)
+    return sized.withColumns({tokens: fill(tokens, pad), labels: fill(labels, ignored)}).drop("__left")
+
+
 def role_violations(rows: DataFrame) -> DataFrame:
     """All rule violations of conversations: one row per conversation and rule."""
     order = Window.partitionBy("conv_id").orderBy("turn")

@@ -127,6 +127,31 @@ def q_token_budget_greedy(spark, sf_dir):
     return C.greedy_budget(turns(spark, sf_dir), 128)
 
 
+@query(f"""WITH RECURSIVE t AS (SELECT conv_id, {_TOK}::BIGINT AS n, sum((role = 'user')::INTEGER) OVER (PARTITION BY conv_id ORDER BY turn, role ROWS UNBOUNDED PRECEDING)::BIGINT AS g FROM conversations),
+ g AS (SELECT *, i = 1 OR g = 1 AND conv_id % 3 > 0 AS must FROM (SELECT conv_id, g, sum(n)::BIGINT AS n, row_number() OVER (PARTITION BY conv_id ORDER BY g DESC) AS i FROM t WHERE g > 0 GROUP BY conv_id, g)),
+ f AS (SELECT conv_id, 0::BIGINT AS i, sum(n) FILTER (must)::BIGINT AS used, list(g) FILTER (must) AS kept, sum(n) FILTER (must) > 128 AS over_budget FROM g GROUP BY conv_id
+  UNION ALL SELECT f.conv_id, f.i + 1, CASE WHEN NOT must AND used + g.n <= 128 THEN used + g.n ELSE used END, CASE WHEN NOT must AND used + g.n <= 128 THEN list_append(kept, g.g) ELSE kept END, over_budget FROM f JOIN g ON f.conv_id = g.conv_id AND g.i = f.i + 1)
+ SELECT conv_id, arg_max(used, i) AS tokens, array_to_string(list_sort(arg_max(kept, i)), ',') AS groups_kept, bool_or(over_budget) AS over_budget FROM f GROUP BY conv_id""")
+def q_token_budget_pinned(spark, sf_dir):
+    """The same with each second and third conversation's first exchange pinned."""
+    rows = turns(spark, sf_dir)
+    pins = rows.select("conv_id").distinct().where("conv_id % 3 > 0").withColumn("group_no", F.lit(1).cast("bigint"))
+    return C.greedy_budget(rows, 128, pins)
+
+
+@query("""WITH w AS (SELECT conv_id, conv_id // 8 AS batch_no, flatten(list(list_transform(regexp_extract_all(text, '\\S+'), lambda x: length(x)::BIGINT) ORDER BY turn, role, text)) AS ids, flatten(list(list_transform(regexp_extract_all(text, '\\S+'), lambda x: CASE WHEN role = 'assistant' THEN length(x) ELSE -100 END::BIGINT) ORDER BY turn, role, text)) AS y FROM conversations GROUP BY conv_id),
+ p AS (SELECT *, max(len(ids)) OVER (PARTITION BY batch_no) - len(ids) AS k FROM w) SELECT conv_id, batch_no, (len(ids) + k)::INTEGER AS width, len(ids)::BIGINT AS attended, sha256(array_to_string(list_concat(ids, list_transform(range(k), lambda x: 0::BIGINT)), ',')) AS ids_sha256, sha256(array_to_string(list_concat(y, list_transform(range(k), lambda x: -100::BIGINT)), ',')) AS labels_sha256 FROM p""")
+def q_padded_batches(spark, sf_dir):
+    """Rows of token ids and labels padded to the longest of their batch; a token's id is its length."""
+    words = F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0))
+    told = turns(spark, sf_dir).select("conv_id", "turn", "role", "text", F.transform(words, lambda w: F.length(w).cast("bigint")).alias("ids"), F.transform(words, lambda w: F.when(F.col("role") == "assistant", F.length(w)).otherwise(-100).cast("bigint")).alias("y"))
+    listed = told.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text", "ids", "y"))).alias("m"))
+    whole = listed.select("conv_id", F.floor(F.col("conv_id") / 8).cast("bigint").alias("batch_no"), F.flatten(F.transform("m", lambda x: x["ids"])).alias("ids"), F.flatten(F.transform("m", lambda x: x["y"])).alias("y"))
+    made = C.padded(whole, "ids", "y", "batch_no")
+    digest = lambda c: F.sha2(F.array_join(F.col(c).cast("array<string>"), ","), 256)
+    return made.select("conv_id", "batch_no", F.size("ids").alias("width"), F.size(F.filter("attention", lambda a: a == 1)).cast("bigint").alias("attended"), digest("ids").alias("ids_sha256"), digest("y").alias("labels_sha256"))
+
+
 @query(f"SELECT conv_id, n_tokens, batch_no, max(n_tokens) OVER (PARTITION BY batch_no) - n_tokens AS padding FROM (SELECT conv_id, sum({_TOK})::BIGINT AS n_tokens, conv_id // 8 AS batch_no FROM conversations GROUP BY conv_id)")
 def q_collate_padding(spark, sf_dir):
     return C.collate(turns(spark, sf_dir))

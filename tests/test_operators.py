@@ -205,3 +205,20 @@ def test_leakage_and_pairs(spark):
         bad = [good[0], tuple(value if i == at else v for i, v in enumerate(good[1]))]
         found = values(audit.pair_invariants(spark.createDataFrame(bad, schema)), "rule")
         assert bool(found) == (at != 3), (at, found)
+
+
+def test_pinned_groups_stay(spark):
+    words = lambda n: "w " * n
+    turns = [("user", 4), ("assistant", 4)] + [("user", 2), ("assistant", 30)] * 3 + [("user", 3)]
+    rows = spark.createDataFrame([(1, t, role, words(n)) for t, (role, n) in enumerate(turns)], "conv_id bigint, turn bigint, role string, text string")
+    pins = spark.createDataFrame([(1, 1), (1, 1), (9, 1)], "conv_id bigint, group_no bigint")
+    first = lambda budget, pinned: tuple(conversation.greedy_budget(rows, budget, pinned).first())
+    assert first(45, None) == (1, 43, "1,4,5") and first(36, None) == (1, 35, "4,5")
+    assert first(36, pins) == (1, 11, "1,5", False) and first(43, pins) == (1, 43, "1,4,5", False)
+    assert first(10, pins) == (1, 11, "1,5", True)
+
+
+def test_padded_rows(spark):
+    rows = spark.createDataFrame([(1, 0, [5, 6], [-100, 6]), (2, 0, [], []), (3, 1, [7], [7])], "k int, b int, ids array<bigint>, y array<bigint>")
+    got = {r.k: (r.ids, r.y, r.attention) for r in conversation.padded(rows, "ids", "y", "b", pad=1).collect()}
+    assert got == {1: ([5, 6], [-100, 6], [1, 1]), 2: ([1, 1], [-100, -100], [0, 0]), 3: ([7], [7], [1])}
