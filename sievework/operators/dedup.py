@@ -22,7 +22,8 @@ def first_of_each(rows: DataFrame, key: Column, split: str, ordinal: str) -> Dat
     """One row per key over all splits: the best split's, then the first.
 
     A minimum per key is aggregated on (key digest, rank, ordinal) alone and rows are kept
-    by a semi-join, so that a key with a third of the rows never meets in one task.
+    by a semi-join, so that a key with a third of the rows never meets in one task. Ordinals
+    must tell the rows of a split apart: rows that repeat key, split and ordinal all stay.
     """
     keyed = rows.withColumns({"__key": F.md5(key), "__at": F.struct(_rank(F.col(split)).alias("r"), F.col(ordinal).alias("o"))})
     best = keyed.groupBy("__key").agg(F.min("__at").alias("__at"))

@@ -11,7 +11,9 @@ from pyspark.sql.window import Window
 from sievework.functions import text as X
 
 # Words of the policy lookup.
-STOP_WORDS = tuple("a about and are can do does for find how i if in is it me my of on or should the to what where will you".split())
+STOP_WORDS = (
+    "a", "about", "and", "are", "can", "do", "does", "for", "find", "how", "i", "if", "in", "is", "it", "me", "my", "of", "on", "or", "should", "the", "to", "what", "where", "will", "you",
+)
 ALIASES = {
     "apy": "interest", "challenge": "dispute", "charged": "charge", "charges": "charge", "disputed": "dispute", "disputing": "dispute",
     "eligible": "eligibility", "fraudulent": "fraud", "opening": "open", "overdrawn": "overdraft", "qualify": "eligibility",
