@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sievework.functions.numbers import ratio_or_null, ratio_or_zero
+from sievework.functions.numbers import close, ratio_or_null, ratio_or_zero
 
 
 def confusion(rows: DataFrame, predicted: Column, actual: Column, by: Sequence[str] = ()) -> DataFrame:
@@ -64,8 +64,10 @@ def suite(rows: DataFrame, metrics: Mapping[str, tuple], by: Sequence[str] = ())
 
 
 def gate_failures(metrics: DataFrame, gates: DataFrame) -> DataFrame:
-    """Gates (``name, op, threshold``) that a metric misses, lacks, or has no row for."""
-    met = F.when(F.col("op") == "=", F.col("score") == F.col("threshold")).when(F.col("op") == ">=", F.col("score") >= F.col("threshold")).when(F.col("op") == "<=", F.col("score") <= F.col("threshold")).otherwise(F.col("score") < F.col("threshold"))
+    """Gates (``name, op, threshold``) that a metric misses, lacks, or has no row for. A score within 1e-12 of its threshold equals it."""
+    score, threshold = F.col("score"), F.col("threshold")
+    equal = close(score, threshold)
+    met = F.when(F.col("op") == "=", equal).when(F.col("op") == ">=", (score > threshold) | equal).when(F.col("op") == "<=", (score < threshold) | equal).otherwise((score < threshold) & ~equal)
     joined = F.broadcast(gates).join(metrics, "name", "left")
     reason = F.when(F.col("denominator").isNull(), "missing").when(F.col("denominator") < 1, "no_rows").when(~F.coalesce(met, F.lit(False)), "threshold")
     return joined.withColumn("reason", reason).where(F.col("reason").isNotNull()).select("name", "op", "threshold", "reason")

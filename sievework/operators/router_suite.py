@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievework.functions import numbers as N
@@ -24,6 +24,19 @@ RESUME, HELDOUT = "resume_previous_service", "heldout_screenshot_regression"
 SOCIAL, POLICY = "heldout_social_generalization", "heldout_policy_followup_generalization"
 STATE_KINDS = (POLICY, SOCIAL, "state_intent_switch", "state_ood_detour", "state_policy_followup", "state_social_detour", "state_orphan_resume")
 OOD, IN_DOMAIN, RESCUE_AT, RELATION_AT = 0.45, 0.50, 0.40, 0.5
+# What a release needs of each metric, at least or at most.
+AT_LEAST = {
+    "domain_macro_f1": 0.85, "lane_macro_f1": 0.85, "family_macro_f1": 0.85, "intent_macro_f1": 0.85, "relation_macro_f1": 0.85, "action_macro_f1": 0.85,
+    "entity_resolution_macro_f1": 0.85, "exposed_action_macro_f1": 0.85, "exposed_entity_resolution_macro_f1": 0.85,
+    "counterfactual_action_accuracy": 0.95, "counterfactual_entity_resolution_accuracy": 0.95, "counterfactual_pair_flip_accuracy": 0.95,
+}
+AT_MOST = {
+    "hierarchy_compatibility_error_rate": 0.0, "in_domain_false_refusal_rate": 0.02, "ood_false_accept_rate": 0.05, "contextual_false_refusal_rate": 0.02, "repair_false_refusal_rate": 0.01,
+    "topic_shift_ood_false_accept_rate": 0.05, "trajectory_resume_intent_error_rate": 0.0, "trajectory_resume_relation_error_rate": 0.0, "trajectory_state_route_error_rate": 0.0,
+    "trajectory_state_intent_error_rate": 0.0, "trajectory_non_resume_false_positive_rate": 0.0, "trajectory_runtime_transition_error_rate": 0.0,
+    "heldout_social_generalization_error_rate": 0.0, "heldout_policy_followup_generalization_error_rate": 0.0,
+    "heldout_regression_route_error_rate": 0.0, "heldout_regression_intent_error_rate": 0.0, "heldout_regression_relation_error_rate": 0.0,
+}
 CLASSES = {"intent": dims.INTENTS, "domain": dims.DOMAINS, "lane": dims.LANES, "family": dims.FAMILIES, "action": dims.ACTIONS, "entity": dims.ENTITIES}
 EXECUTE, CLARIFY = dims.ACTIONS.index("execute_tool"), dims.ACTIONS.index("clarify")
 _RELATION = {name: i for i, name in enumerate(dims.RELATIONS)}
@@ -123,3 +136,13 @@ def state_metrics_by_kind(rows: DataFrame) -> DataFrame:
     rates = _rates()
     wanted = {"route_error_rate": "trajectory_state_route_error_rate", "intent_error_rate": "trajectory_state_intent_error_rate", "resume_false_positive_rate": "trajectory_non_resume_false_positive_rate"}
     return M.suite(rows.where(F.col("kind").isin(*STATE_KINDS)), {k: rates[v] for k, v in wanted.items()}, ["kind"])
+
+
+def gates(spark: SparkSession) -> DataFrame:
+    """The release's gates as rows ``name, op, threshold``."""
+    return dims.rows(spark, "name string, op string, threshold double", [*((k, ">=", v) for k, v in AT_LEAST.items()), *((k, "<=", v) for k, v in AT_MOST.items())])
+
+
+def release_failures(metrics: DataFrame) -> DataFrame:
+    """The gates that metrics of :func:`evaluate` miss. A rate of no rows is 0, so a gate fails by its threshold alone."""
+    return M.gate_failures(metrics.withColumn("denominator", F.greatest("denominator", F.lit(1))), gates(metrics.sparkSession))

@@ -70,14 +70,24 @@ _CLASS_SQL = " UNION ALL ".join(
 )
 
 
-@query(f"""WITH j AS MATERIALIZED (SELECT * FROM {_JUDGED}), c AS ({_CLASS_SQL}), p AS (SELECT pair_id, bool_and(shown_action = action_index AND shown_entity = entity_index) AS whole FROM j WHERE pair_id <> '' GROUP BY pair_id HAVING count(*) = 2 AND list_sort(list(DISTINCT action_index)) = [1, 2])
+_SUITE = f"""WITH j AS MATERIALIZED (SELECT * FROM {_JUDGED}), c AS ({_CLASS_SQL}), p AS (SELECT pair_id, bool_and(shown_action = action_index AND shown_entity = entity_index) AS whole FROM j WHERE pair_id <> '' GROUP BY pair_id HAVING count(*) = 2 AND list_sort(list(DISTINCT action_index)) = [1, 2])
  SELECT name, numerator, denominator, round(coalesce(numerator::DOUBLE / nullif(denominator, 0), 0), 9) AS score FROM ({" UNION ALL ".join(_SUM.format(by='', name=n, base=b, ok=o, group='') for n, (b, o) in _RATE_SQL.items())} UNION ALL SELECT 'counterfactual_pair_flip_accuracy', count(*) FILTER (whole), count(*) FROM p)
- UNION ALL SELECT name, sum(tp)::BIGINT, count(*) FILTER (2 * tp + fp + fn > 0), round(coalesce(avg(2.0::DOUBLE * tp / nullif(2 * tp + fp + fn, 0)), 0), 9) FROM c GROUP BY name""")
+ UNION ALL SELECT name, sum(tp)::BIGINT, count(*) FILTER (2 * tp + fp + fn > 0), round(coalesce(avg(2.0::DOUBLE * tp / nullif(2 * tp + fp + fn, 0)), 0), 9) FROM c GROUP BY name"""
+
+
+@query(_SUITE)
 def q_router_suite(spark, sf_dir):
     """All metrics of the router: rates, counts, mean F1 of every head and of what is shown, pairs."""
     return R.evaluate(suite_rows(spark, sf_dir)).withColumn("score", F.round("score", 9))
 
 
+@query(f"""SELECT name, op, threshold, 'threshold' AS reason FROM ({_SUITE}) JOIN (VALUES {", ".join([f"('{k}', '>=', {v}::DOUBLE)" for k, v in R.AT_LEAST.items()] + [f"('{k}', '<=', {v}::DOUBLE)" for k, v in R.AT_MOST.items()])}) g(name, op, threshold) USING (name)
+ WHERE NOT CASE op WHEN '>=' THEN score > threshold ELSE score < threshold END AND abs(score - threshold) > 1e-12""")
+def q_router_gates(spark, sf_dir):
+    """The release gates that the router misses."""
+    return R.release_failures(R.evaluate(suite_rows(spark, sf_dir)))
+
+
 @query(f"""WITH j AS MATERIALIZED (SELECT * FROM {_JUDGED} WHERE {_STATE}) SELECT kind, name, numerator, denominator, round(coalesce(numerator::DOUBLE / nullif(denominator, 0), 0), 9) AS score FROM ({" UNION ALL ".join(_SUM.format(by='kind, ', name=n, base=b, ok=o, group=' GROUP BY kind') for n, b, o in (("route_error_rate", "true", _WRONG_ROUTE), ("intent_error_rate", "intent_index >= 0", "shown_intent <> intent_index"), ("resume_false_positive_rate", "true", "active[5]")))})""")
 def q_router_states_by_kind(spark, sf_dir):
     return R.state_metrics_by_kind(suite_rows(spark, sf_dir)).withColumn("score", F.round("score", 9))

@@ -41,6 +41,10 @@ def test_perfect_rows(spark):
             assert r.score == 0.0, name
     assert {k: found[k].numerator for k in ("rows", "intent_rows", "counterfactual_rows", "trajectory_resume_rows", "trajectory_state_negative_rows", "heldout_regression_rows")} == dict(rows=7, intent_rows=5, counterfactual_rows=2, trajectory_resume_rows=1, trajectory_state_negative_rows=2, heldout_regression_rows=1)
     assert len(found) == 38
+    assert R.release_failures(R.evaluate(judged(spark, rows))).collect() == []
+    close = spark.createDataFrame([("domain_macro_f1", 1, 1, 0.85 - 5e-13), ("lane_macro_f1", 1, 1, 0.8499), ("in_domain_false_refusal_rate", 0, 0, 0.02)], "name string, numerator bigint, denominator bigint, score double")
+    missed = {r["name"]: r.reason for r in R.release_failures(close).collect()}
+    assert missed.pop("lane_macro_f1") == "threshold" and set(missed.values()) == {"missing"} and len(missed) == len(R.AT_LEAST) + len(R.AT_MOST) - 3
 
 
 def test_each_error_is_told(spark):
