@@ -8,9 +8,11 @@ cover a part of what it must not.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,6 +22,8 @@ IGNORED = -100
 # What ends an assistant's span in a rendered text; the nearest counts, and it belongs to the span.
 END_MARKERS = ("<|im_end|>", "<|end_of_role|>", "\nuser:", "\ntool ")
 SPAN = "struct<start:bigint,end:bigint>"
+#: Places after which those found so far are handed on: 8 MB.
+PLACES = 1 << 19
 
 
 def rendered(messages: Column, line: Callable[[Column], Column], prompt: str, separator: str = "\n") -> Column:
@@ -61,17 +65,39 @@ class Pieces:
 
 
 def offsets(text: Column, tokenizer: Callable[[], Callable[[str], list[tuple[int, int]]]]) -> Column:
-    """Places (array of SPAN, in code points) of a text's tokens; ``tokenizer`` makes, once in a task, what gives them. Null texts have none."""
+    """Places (array of SPAN, in code points) of a text's tokens; ``tokenizer`` makes, once in a task, what gives them. Null texts have none.
 
-    @F.pandas_udf(f"array<{SPAN}>")
-    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        cut = tokenizer()
-        for batch in batches:
-            yield pd.Series([[{"start": a, "end": b} for a, b in cut(t)] if isinstance(t, str) else [] for t in batch])
+    Places leave as flat numbers once there are PLACES of them, so that a task holds those of some texts, not of a batch.
+    """
+
+    @F.arrow_udf(f"array<{SPAN}>")
+    def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return placed(batches, tokenizer())
 
     return of(text)
 
 
+def placed(batches: Iterator[pa.Array], cut: Callable[[str], list[tuple[int, int]]]) -> Iterator[pa.Array]:
+    """A list of places for each text of ``batches``, in pieces that end once they hold PLACES of them."""
+    for batch in batches:
+        flat, ends = array("q"), [0]
+        for t in batch:
+            for place in cut(t.as_py()) if t.is_valid else ():
+                flat.extend(place)
+            ends.append(len(flat) // 2)
+            if ends[-1] >= PLACES:
+                yield _place_lists(flat, ends)
+                flat, ends = array("q"), [0]
+        if len(ends) > 1:
+            yield _place_lists(flat, ends)
+
+
+def _place_lists(flat: array, ends: list[int]) -> pa.Array:
+    both = np.frombuffer(flat, dtype=np.int64).reshape(-1, 2)
+    places = pa.StructArray.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], names=["start", "end"])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), places)
+
+
 def labels(places: Column, spans: Column) -> Column:
     """For each token its number in the text where one of the few ``spans`` holds it, IGNORED elsewhere.
 

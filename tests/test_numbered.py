@@ -86,3 +86,14 @@ def test_span_within_a_token_stops(spark):
     with pytest.raises(Exception, match="ends within a token"):
         labelled(spark, [("assistant", "ab", None)], "(?s).{4}|.")
     assert labelled(spark, []).y == []
+
+
+def test_places_leave_before_a_batch_is_done(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(L, "PLACES", 1000)
+    texts = ["ab" * 70, None, "", "ab" * 500, "a"] * 3
+    made = list(L.placed(iter([pa.array(texts), pa.array([], pa.string())]), L.Pieces("[ab]")))
+    assert len(made) == 4 and max(len(x.flatten()) for x in made) <= 1000 + 141
+    assert [len(x) for y in made for x in y.to_pylist()] == [len(t or "") for t in texts]
+    assert made[0][0].as_py()[:2] == [{"start": 0, "end": 1}, {"start": 1, "end": 2}]
