@@ -1,13 +1,17 @@
 """The strict wire form of tool calls: parsing, numbering, schema checks, private keys.
 
-All of it is column expressions over variants, so that outputs of any length are read in
-the scan's own stage. The first rule that an output breaks names its failure.
+Outputs are parsed by column expressions over variants, so that those of any length are read
+in the scan's own stage. The first rule that an output breaks names its failure. Values of any
+depth are walked once, as JSON in Arrow batches: variants are copied anew at every level.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+import json
+import sys
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -230,19 +234,104 @@ def scalars(value: Column, depth: int = DEPTH) -> Column:
     return F.array_sort(F.array_distinct(_gathered(value, depth, _forms)))
 
 
-def with_private_apart(rows: DataFrame, value: str, public: Sequence[str] = ()) -> DataFrame:
+class _Number(str):
+    """A number as its JSON shows it."""
+
+
+def _shown(v: object) -> str:
+    if isinstance(v, dict):
+        return "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{_shown(x)}" for k, x in v.items()) + "}"
+    if isinstance(v, list):
+        return "[" + ",".join(map(_shown, v)) + "]"
+    return v if isinstance(v, _Number) else json.dumps(v, ensure_ascii=False)
+
+
+def _loaded(text: str) -> object:
+    sys.setrecursionlimit(1 << 16)  # Spark reads JSON of a thousand levels
+    return json.loads(text, parse_float=_Number, parse_int=_Number)
+
+
+def parted(text: str, public: frozenset[str]) -> tuple[str, list[str], int]:
+    """A JSON text without its private items, the texts at private keys, sorted, and the depth."""
+    ids = set()
+
+    def strip(key: str, v: object) -> tuple[object, int]:
+        if isinstance(v, dict):
+            done = [(k, *strip(k, x)) for k, x in v.items()]
+            return {k: x for k, x, _ in done if not k.endswith("_id") or k in public}, 1 + max((n for _, _, n in done), default=0)
+        if isinstance(v, list):
+            done = [strip(key, x) for x in v]
+            return [x for x, _ in done], 1 + max((n for _, n in done), default=0)
+        if v and type(v) is str and key.endswith("_id"):
+            ids.add(v)
+        return v, 0
+
+    bare, levels = strip("", _loaded(text))
+    return _shown(bare), sorted(ids), levels
+
+
+def scalar_texts(text: str) -> tuple[list[str], list[str]]:
+    """All scalars of a JSON text but nulls, as texts, and whole numbers at ``*_cents`` keys as amounts in two forms."""
+    plain, amounts, left = [], [], [("", _loaded(text))]
+    while left:
+        key, v = left.pop()
+        if isinstance(v, dict):
+            left.extend(v.items())
+        elif isinstance(v, list):
+            left.extend((key, x) for x in v)
+        elif v is not None:
+            plain.append(v if isinstance(v, str) else "true" if v else "false")
+            if isinstance(v, _Number) and key.endswith("_cents") and v.lstrip("-").isdigit() and -(1 << 63) <= int(v) < 1 << 63:
+                whole, part = divmod(abs(int(v)), 100)
+                amounts += (f"{whole}.{part:02}", f"{whole:,}.{part:02}")
+    return plain, amounts
+
+
+def _apart(value: Column, public: Sequence[str] = ()) -> Column:
+    """``bare`` (JSON without the private items), ``ids`` and ``depth`` of a variant, whatever its depth; null for null."""
+    kept = frozenset(public)
+
+    @F.arrow_udf("struct<bare:string,ids:array<string>,depth:int>")
+    def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            made = [parted(t.as_py(), kept) if t.is_valid else (None, None, None) for t in batch]
+            fields = [pa.array([m[i] for m in made], kind) for i, kind in enumerate((pa.string(), pa.list_(pa.string()), pa.int32()))]
+            yield pa.StructArray.from_arrays(fields, names=["bare", "ids", "depth"])
+
+    return of(F.to_json(value))
+
+
+def _scalar_forms(value: Column) -> Column:
+    """The normalized texts (``plain``, not normalized yet) and ``amounts`` of a variant's scalars, whatever its depth."""
+
+    @F.arrow_udf("struct<plain:array<string>,amounts:array<string>>")
+    def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            made = [scalar_texts(t.as_py()) if t.is_valid else ([], []) for t in batch]
+            fields = [pa.array([m[i] for m in made], pa.list_(pa.string())) for i in (0, 1)]
+            yield pa.StructArray.from_arrays(fields, names=["plain", "amounts"])
+
+    return of(F.to_json(value))
+
+
+def with_private_apart(rows: DataFrame, value: str, public: Sequence[str] = (), depth: str | None = None) -> DataFrame:
     """``rows`` with ``value`` without its private items, and ``private_ids``, their texts: at whatever depth the column has.
 
-    The depth is measured by a pass over the column. Nested expressions take the analyzer some
-    rounds a level, so its limit is raised while this one is analyzed.
+    A value is walked once; ``depth`` names a column for its depth.
     """
-    levels, conf, name = deepest(rows, value), rows.sparkSession.conf, "spark.sql.analyzer.maxIterations"
-    before = conf.get(name)
-    conf.set(name, str(max(int(before), 100 + 10 * levels)))
-    try:
-        return rows.withColumns({value: without_private(F.col(value), public, levels), "private_ids": private_values(F.col(value), levels)})
-    finally:
-        conf.set(name, before)
+    others = [c for c in rows.columns if c not in (value, "private_ids", depth)]
+    read = rows.select(*others, _apart(F.col(value), public).alias("__r"))
+    ids = F.coalesce("__r.ids", F.array().cast("array<string>"))
+    told = {value: F.parse_json("__r.bare"), "private_ids": ids} | ({depth: F.coalesce("__r.depth", F.lit(0))} if depth else {})
+    return read.withColumns(told).drop("__r")
+
+
+def scalar_sets(rows: DataFrame, value: str) -> DataFrame:
+    """``rows`` with ``facts`` in place of the variant ``value``: the distinct forms of all its scalars, at any depth."""
+    others = [c for c in rows.columns if c != value]
+    read = rows.select(*others, _scalar_forms(F.col(value)).alias("__r"))
+    facts = F.concat(F.transform("__r.plain", X.normalize), "__r.amounts")
+    return read.select(*others, F.array_distinct(facts).alias("facts"))
 
 
 def scalar_rows(rows: DataFrame, value: str) -> DataFrame:

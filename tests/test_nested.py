@@ -131,3 +131,14 @@ def test_read_bundles(spark):
     assert [c["case_id"] for c in json.loads(both.results["list_service_cases"])] == ["generated_case_001", "c2", "c1"]
     assert (read("list_cards", "freeze_card").problem, read().problem, read(None).problem) == ("not_a_read", "empty_bundle", "empty_bundle")
     assert read("list_cards", "freeze_card").results is None
+
+
+def test_walks_in_batches_keep_every_level_and_number(spark):
+    deep = '{"a":' * 120 + '{"x_id":["s","",{"y":1}],"n_cents":-1234567,"big_cents":12345678901234567890123,"f":1.50,"e":{},"t":true,"z":null}' + "}" * 120
+    rows = spark.createDataFrame([(1, deep), (2, None), (3, '"Ä b"'), (4, "[]")], "i int, j string").selectExpr("i", "try_parse_json(j) AS v")
+    got = {r.i: r for r in W.with_private_apart(rows, "v", (), "depth").selectExpr("i", "to_json(v) AS v", "private_ids AS p", "depth").collect()}
+    bare = '{"a":' * 120 + '{"big_cents":12345678901234567890123,"e":{},"f":1.5,"n_cents":-1234567,"t":true,"z":null}' + "}" * 120
+    assert (got[1].v, got[1].p, got[1].depth) == (bare, ["s"], 123)
+    assert [(got[i].v, got[i].p, got[i].depth) for i in (2, 3, 4)] == [(None, [], 0), ('"Ä b"', [], 0), ("[]", [], 1)]
+    facts = {r.i: sorted(r.facts) for r in W.scalar_sets(rows, "v").collect()}
+    assert facts == {1: sorted(["s", "", "1", "1234567", "12345.67", "12,345.67", "12345678901234567890123", "1 5", "true"]), 2: [], 3: ["ä b"], 4: []}
