@@ -54,19 +54,21 @@ def append_once(rows: DataFrame, path: str, key: str, batch: int) -> int:
     Of earlier rows only keys and digests are read, and where the batch is small, in place.
     """
     spark, kinds = rows.sparkSession, rows.schema
-    told = settle(_content(rows).dropDuplicates([DIGEST]))
-    if told.where(F.col(key).isNull()).limit(1).count():
-        raise AppendConflict(f"a row has no {key}")
-    own = told.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).collect()
-    old = appended(spark, path, kinds, before=batch).select(key, F.col(DIGEST).alias("_old"))
-    keys = told.select(key)
-    keys = F.broadcast(keys) if told.count() <= BROADCAST_ROWS else keys
-    met = settle(old.join(keys, key, "left_semi"))
-    other = told.join(met, key).where(F.col(DIGEST) != F.col("_old")).limit(1).collect()
-    if own or other:
-        raise AppendConflict(f"{key} {(own or other)[0][key]!r} comes with other content")
-    new = settle(told.join(met, key, "left_anti"))
-    new.withColumn(BATCH, F.lit(batch).cast("bigint")).write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={batch}")
+    small = rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    # One shuffle by key folds the repeats of a row, tells other contents apart and meets the rows of before.
+    least, most, row = F.min(DIGEST).alias(DIGEST), F.max(DIGEST).alias("_most"), F.any_value(F.struct(*kinds.names)).alias("_row")
+    told = _content(rows).groupBy(F.col(key).alias("_key")).agg(least, most, row)
+    old = appended(spark, path, kinds, before=batch).select(F.col(key).alias("_key"), F.col(DIGEST).alias("_old"))
+    if small:
+        told = settle(told)
+        old = old.join(F.broadcast(told.select("_key")), "_key", "left_semi")
+    # A batch before holds a key once, and no two batches do: the join adds no rows.
+    clash = F.col("_key").isNull() | (F.col(DIGEST) != F.col("_most")) | F.coalesce(F.col(DIGEST) != F.col("_old"), F.lit(False))
+    new = settle(told.join(old, "_key", "left").withColumn("_clash", clash).where("_clash OR _old IS NULL"))
+    bad = new.where("_clash").select("_key").limit(1).collect()
+    if bad:
+        raise AppendConflict(f"a row has no {key}" if bad[0][0] is None else f"{key} {bad[0][0]!r} comes with other content")
+    new.select("_row.*", DIGEST).withColumn(BATCH, F.lit(batch).cast("bigint")).write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={batch}")
     return new.count()
 
 
