@@ -181,17 +181,26 @@ def policy_answer_errors(answer: Column, allowed: Column, evidence: Column) -> C
     ``allowed``; every quantity outside its citations must be one of the ``evidence``, however
     both write it: with separators, trailing zeros or as a word. Currency and percent signs count.
     """
-    text = F.coalesce(answer, F.lit(""))
-    cited, returned = X.citations(text), F.filter(F.coalesce(allowed, F.array().cast("array<string>")), lambda c: F.trim(c) != "")
-    claims = F.array_except(X.quantities(F.regexp_replace(text, X.CITATION, "")), X.quantities(F.coalesce(evidence, F.lit(""))))
-    empty = F.trim(text) == ""
-    rules = F.array(
-        F.when(empty, "empty"),
-        F.when(F.size(returned) == 0, "no_evidence"),
-        F.when(F.size(cited) == 0, "no_citation"),
-        F.when(F.size(F.array_except(cited, returned)) > 0, "citation_not_allowed"),
-        F.when((F.size(cited) > 0) & ~F.arrays_overlap(cited, returned), "nothing_returned_cited"),
-        F.when(F.size(claims) > 0, "number_without_evidence"),
-    )
-    internal = F.transform(F.when(empty, F.array().cast("array<string>")).otherwise(X.internal_labels(text)), lambda x: F.concat(F.lit("internal_"), x))
-    return F.array_compact(F.concat(F.slice(rules, F.lit(1), F.lit(1)), internal, F.slice(rules, F.lit(2), F.lit(5))))
+    blank = F.array().cast("array<string>")
+    returned = F.filter(F.coalesce(allowed, blank), lambda c: F.trim(c) != "")
+
+    def told(t: Column) -> Column:
+        """Errors of an answer whose text, citations and unproved quantities are known."""
+        text, cited, claims = t["text"], t["cited"], t["claims"]
+        empty = F.trim(text) == ""
+        rules = F.array(
+            F.when(empty, "empty"),
+            F.when(F.size(returned) == 0, "no_evidence"),
+            F.when(F.size(cited) == 0, "no_citation"),
+            F.when(F.size(F.array_except(cited, returned)) > 0, "citation_not_allowed"),
+            F.when((F.size(cited) > 0) & ~F.arrays_overlap(cited, returned), "nothing_returned_cited"),
+            F.when(F.size(claims) > 0, "number_without_evidence"),
+        )
+        internal = F.transform(F.when(empty, blank).otherwise(X.internal_labels(text)), lambda x: F.concat(F.lit("internal_"), x))
+        return F.array_compact(F.concat(F.slice(rules, F.lit(1), F.lit(1)), internal, F.slice(rules, F.lit(2), F.lit(5))))
+
+    def read(text: Column) -> Column:
+        claims = F.array_except(X.quantities(F.regexp_replace(text, X.CITATION, "")), X.quantities(F.coalesce(evidence, F.lit(""))))
+        return X.let(F.struct(text.alias("text"), X.citations(text).alias("cited"), claims.alias("claims")), told)
+
+    return X.let(F.coalesce(answer, F.lit("")), read)

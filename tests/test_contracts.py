@@ -274,3 +274,9 @@ def test_policy_answers(spark, answer, evidence, errors):
     row = spark.createDataFrame([(answer, evidence)], "a string, e string")
     assert row.select(records.policy_answer_errors(F.col("a"), F.array(F.lit("p")), F.col("e")).alias("x")).first().x == errors
     assert "no_evidence" in row.select(records.policy_answer_errors(F.col("a"), F.array(F.lit(" ")), F.col("e")).alias("x")).first().x
+
+
+def test_policy_answers_take_all_cores(spark, sf_dir):
+    from sievework.plans import record_queries
+
+    assert record_queries.q_policy_answers(spark, sf_dir).rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
