@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sievework.functions import text as X
+from sievework.operators.best import CELLS, Best, Postings, dealt, spans, tables
 from sievework.sources.scratch import settle
 
 SHORTLIST, CEILING = 32, 0.90
 #: Sequences of items that may be broadcast: some 50 MB.
 BROADCAST_GRAMS = 500_000
-#: Rarest trigrams of a query by which its first candidates are found.
-FIRST_TRIGRAMS = 24
 
 
 def leakage(rows: DataFrame, keys: dict[str, Column], split: str = "split") -> DataFrame:
@@ -76,68 +79,92 @@ def facts_in_texts(facts: DataFrame, docs: DataFrame) -> DataFrame:
     return met.join(held, "doc_id").where(F.contains("t", F.concat(F.lit(" "), F.col("f"), F.lit(" ")))).select("doc_id", "fact_id").distinct()
 
 
-def _dice(common: Column, a: Column, b: Column) -> Column:
-    return F.lit(2.0) * common / (a + b)
-
-
 def dice_candidates(queries: DataFrame, texts: DataFrame, k: int = SHORTLIST) -> DataFrame:
-    """Pairs ``qid, low, dice`` that hold each query's ``k`` nearest texts, equal Dice included.
-
-    A query's trigrams stand in the order of their rarity over all texts. Texts that share
-    most of its rarest ones are compared in full, and the Dice of the k-th is a bound: a text
-    that reaches it has a size within limits and one of so many of the rarest trigrams; what
-    it shares of these, with all that it could share of the others, must reach the bound too.
-    Only the pairs left are compared in full. A text's trigrams meet the queries' in its own
-    task and are counted there before any pair is shuffled.
+    """Rows ``qid, low, text, dice`` that hold each query's ``k`` nearest texts, by Dice, text and ``low``.
+
+    Every task keeps the k nearest of the texts that it reads, and no other pair leaves it. The
+    Dice of its k-th so far is a bound that rises: a query's trigrams stand in the order of their rarity in the
+    task's first texts, a text that reaches the bound has one of so many of the rarest, and what
+    it shares of these, with all that it could share of the others, must reach the bound too. Only
+    such pairs are compared in full. Queries go to every task, in blocks where they have
+    more trigrams than BROADCAST_GRAMS.
     """
-    sets = settle(texts.select("low", X.trigram_codes(F.col("text")).alias("g")))
-    known = sets.select(F.explode("g").alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("n_texts"))
-    asked = queries.select("qid", F.explode(X.trigram_codes(F.col("text"))).alias("g")).join(known, "g", "left")
-    rare = F.array_sort(F.collect_list(F.struct(F.coalesce("n_texts", F.lit(0)).alias("n"), "g")))  # a query's own trigrams
-    ranked = settle(asked.groupBy("qid").agg(rare.alias("r")).select("qid", F.size("r").alias("nq"), F.transform("r", lambda x: x["g"]).alias("q")))
-
-    def met(prefixes: DataFrame) -> DataFrame:
-        """Texts that share a trigram of a query's prefix, with their number; of the sizes that ``least`` and ``most`` allow."""
-        rows = prefixes.select("qid", "nq", "upto", "bound", "least", "most", F.explode(F.slice("q", F.lit(1), F.col("upto"))).alias("g"))
-        rows = F.broadcast(rows) if rows.limit(BROADCAST_GRAMS + 1).count() <= BROADCAST_GRAMS else rows
-        held = sets.select("low", F.size("g").alias("nt"), F.explode("g").alias("g"))
-        near = held.join(rows, (held["g"] == rows["g"]) & F.col("nt").between(F.col("least"), F.col("most")))
-        return near.groupBy("low", "qid").agg(F.count(F.lit(1)).alias("hits"), F.first("nt").alias("nt"), F.first("nq").alias("nq"), F.first("upto").alias("upto"), F.first("bound").alias("bound"))
-
-    def compared(pairs: DataFrame) -> DataFrame:
-        full = pairs.select("low", "qid").join(ranked.select("qid", "nq", "q"), "qid").join(sets, "low")
-        return full.select("qid", "low", _dice(F.size(F.array_intersect("q", "g")), F.col("nq"), F.size("g")).alias("dice"))
-
-    any_size = {"bound": F.lit(0.0), "least": F.lit(0), "most": F.lit(1 << 30)}
-    first = met(ranked.withColumns({"upto": F.least("nq", F.lit(FIRST_TRIGRAMS)), **any_size}))
-    best = Window.partitionBy("qid").orderBy(F.desc(F.col("hits") / (F.col("nq") + F.col("nt"))), "low")
-    tried = compared(first.withColumn("n", F.row_number().over(best)).where(F.col("n") <= 2 * k))
-    kth = tried.withColumn("n", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("dice")))).where(F.col("n") == k).select("qid", F.col("dice").alias("bound"))
-    # The least that a text of that Dice shares, and the sizes that it may have; a little slack for rounding.
-    share = F.col("bound") * F.col("nq") / (2 - F.col("bound"))
-    limits = {
-        "upto": F.least(F.col("nq"), F.floor(F.col("nq") - share + 1e-6).cast("int") + 1),
-        "least": F.floor(share - 1e-6).cast("int"),
-        "most": F.when(F.col("bound") > 0, F.ceil(F.col("nq") * (2 - F.col("bound")) / F.col("bound") + 1e-6)).otherwise(1 << 30).cast("int"),
-    }
-    bounded = settle(ranked.join(kth, "qid", "left").withColumn("bound", F.coalesce("bound", F.lit(0.0))).withColumns(limits))
-    most_shared = F.col("hits") + F.least(F.col("nq") - F.col("upto"), F.col("nt") - F.col("hits"))
-    kept = met(bounded).where(_dice(most_shared, F.col("nq"), F.col("nt")) >= F.col("bound"))
-    return compared(kept).where("dice > 0")
+    spark, schema = queries.sparkSession, f"qid {queries.schema['qid'].dataType.simpleString()}, low {texts.schema['low'].dataType.simpleString()}, text string, dice double"
+    asked = settle(queries.select("qid", X.trigram_codes(F.col("text")).alias("g")).where("size(g) > 0"))
+    blocks = max(1, math.ceil((asked.agg(F.sum(F.size("g"))).first()[0] or 0) / BROADCAST_GRAMS))
+    held = dealt(texts.select("low", "text")).select("low", "text", X.trigram_codes(F.col("text")).alias("g"))
+
+    def block(i: int) -> DataFrame:
+        own = asked.where(F.pmod(F.xxhash64("qid", "g"), F.lit(blocks)) == i).toArrow()
+        shared = spark.sparkContext.broadcast((own["qid"].combine_chunks(), [np.array(g, dtype=np.int64) for g in own["g"].to_pylist()]))
+        return held.mapInArrow(lambda batches: _nearest(batches, *shared.value, k), schema)
+
+    return unioned([block(i) for i in range(blocks)])
+
+
+def _nearest(batches: Iterator[pa.RecordBatch], qids: pa.Array, grams: list[np.ndarray], k: int) -> Iterator[pa.RecordBatch]:
+    """The k nearest of the texts of ``low, text, g`` to each query, as ``qid, low, text, dice``."""
+    n, nq = len(qids), np.array([len(g) for g in grams], dtype=np.int64)
+    known, gram = np.unique(np.concatenate([*grams, np.empty(0, np.int64)]), return_inverse=True)
+    query = np.repeat(np.arange(n), nq)
+    pairs = np.sort(gram * n + query)  # a trigram of a query, as one number
+    best, met, place, fields = Best(n, k), 0, None, None
+    for batch in batches if n else ():
+        fields = batch.schema
+        for part in tables(batch, n, met):
+            met += part.num_rows
+            at, codes = spans(part.column(2))
+            nt, codes = np.bincount(at, minlength=part.num_rows), codes.to_numpy()
+            key = np.minimum(np.searchsorted(known, codes), len(known) - 1)
+            at, key = at[known[key] == codes], key[known[key] == codes]
+            if place is None:  # of each pair, how many rarer trigrams its query has
+                order = np.lexsort((gram, np.bincount(key, minlength=len(known))[gram], query))
+                place = np.empty(len(gram), dtype=np.int64)
+                place[order] = np.arange(len(gram)) - np.repeat(np.cumsum(nq) - nq, nq)
+            # The least that a text of the bound shares; a little slack for rounding.
+            upto = np.minimum(nq, np.floor(nq - best.bound * nq / (2 - best.bound) + 1e-6).astype(np.int64) + 1)
+            early = place < upto[query]
+            hits = Postings(gram[early], query[early]).sums(at, key, part.num_rows, n)
+            t, q = np.nonzero(hits)
+            most = hits[t, q] + np.minimum(nq[q] - upto[q], nt[t] - hits[t, q])
+            open_ = 2.0 * most / (nq[q] + nt[t]) >= best.bound[q]
+            t, q = t[open_], q[open_]
+            common = _common(pairs, n, t, q, at, key)
+            dice = 2.0 * common / (nq[q] + nt[t])
+            near = dice >= best.bound[q]
+            t, q, dice = t[near], q[near], dice[near]
+            lows, texts = (part.column(c).take(pa.array(t)).to_pylist() for c in (0, 1))
+            best.add(q, [(-d, text, low is not None, low) for d, text, low in zip(dice.tolist(), texts, lows, strict=True)])
+    if met:
+        rows = [(q, low, text, -d) for q, own in enumerate(best.rows) for d, text, _, low in own]
+        columns = [list(c) for c in zip(*rows, strict=True)] or [[]] * 4
+        types = (pa.int64(), fields.field(0).type, fields.field(1).type, pa.float64())
+        at, *others = (pa.array(c, t) for c, t in zip(columns, types, strict=True))
+        yield pa.RecordBatch.from_arrays([qids.take(at), *others], names=["qid", "low", "text", "dice"])
+
+
+def _common(pairs: np.ndarray, n: int, t: np.ndarray, q: np.ndarray, at: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """How many of the keys of text ``t`` query ``q`` has; ``key`` stands in the order of its text ``at``, and ``pairs`` holds key * n + query."""
+    first, last = np.searchsorted(at, t), np.searchsorted(at, t, "right")
+    size, out = last - first, np.zeros(len(t), dtype=np.int64)
+    for some in np.array_split(np.arange(len(t)), max(1, int(size.sum()) // CELLS)):
+        m = size[some]
+        own = np.repeat(first[some] - np.cumsum(m) + m, m) + np.arange(m.sum())
+        sought = key[own] * n + np.repeat(q[some], m)
+        found = pairs[np.minimum(np.searchsorted(pairs, sought), len(pairs) - 1)] == sought
+        out[some] = np.bincount(np.repeat(np.arange(len(some)), m)[found], minlength=len(some))
+    return out
 
 
 def dice_shortlist(queries: DataFrame, texts: DataFrame, k: int = SHORTLIST) -> DataFrame:
-    """The ``k`` texts nearest to each query by the Dice coefficient of character trigrams.
+    """The ``k`` texts nearest to each query by the Dice coefficient of character trigrams: ``qid, tid, text, dice, rank``.
 
-    ``queries`` and ``texts`` have ``qid``/``tid`` and a normalized ``text``; equal texts are
-    one until the ranks are known. Pairs without a common trigram have Dice 0 and are left out.
+    ``queries`` and ``texts`` have ``qid``/``tid`` and a normalized ``text``. Pairs without a
+    common trigram have Dice 0 and are left out.
     """
-    folded = texts.groupBy("text").agg(F.min("tid").alias("low"))
-    # The k best values of the Dice, ties included, are all that can hold the k best rows; only they get their texts.
-    near = dice_candidates(queries, folded, k).withColumn("__r", F.rank().over(Window.partitionBy("qid").orderBy(F.desc("dice")))).where(F.col("__r") <= k).select("qid", "low", "dice")
-    named = near.join(folded, "low").join(texts.select(F.col("text").alias("__t"), "tid"), F.col("text") == F.col("__t"))
     order = Window.partitionBy("qid").orderBy(F.desc("dice"), "text", "tid")
-    return named.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("qid", "tid", "dice", "rank")
+    near = dice_candidates(queries, texts.withColumnRenamed("tid", "low"), k).withColumnRenamed("low", "tid")
+    return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("qid", "tid", "text", "dice", "rank")
 
 
 def pair_invariants(rows: DataFrame) -> DataFrame:

@@ -259,14 +259,14 @@ _TRI = lambda t, k: f"(SELECT {k}, text, list_distinct(list_transform(range(1, l
  q AS {_TRI('b', 'qid')}, t AS {_TRI('d', 'tid')}, c AS (SELECT qid, tid, count(*) AS common FROM (SELECT qid, unnest(g) AS g FROM q) JOIN (SELECT tid, unnest(g) AS g FROM t) USING (g) GROUP BY qid, tid)
  SELECT qid, tid, dice, rank FROM (SELECT qid, tid, 2.0::DOUBLE * common / (len(q.g) + len(t.g)) AS dice, row_number() OVER (PARTITION BY qid ORDER BY 2.0::DOUBLE * common / (len(q.g) + len(t.g)) DESC, t.text, tid)::INTEGER AS rank FROM c JOIN q USING (qid) JOIN t USING (tid)) WHERE rank <= 32""")
 def q_trigram_dice_top(spark, sf_dir):
-    return audit.dice_shortlist(*_prompts(spark, sf_dir))
+    return audit.dice_shortlist(*_prompts(spark, sf_dir)).drop("text")
 
 
 @query()
 def q_nearest_prompt_ratio(spark, sf_dir):
     """The best matching-block ratio of each item's shortlist; SQL has no such function."""
     q, t = _prompts(spark, sf_dir)
-    short = audit.dice_shortlist(q, t).join(q.withColumnRenamed("text", "qt"), "qid").join(t.withColumnRenamed("text", "tt"), "tid")
+    short = audit.dice_shortlist(q, t).drop("text").join(q.withColumnRenamed("text", "qt"), "qid").join(t.withColumnRenamed("text", "tt"), "tid")
     scored = short.withColumn("ratio", dedup.ratio(F.col("qt"), F.col("tt"), False))
     best = scored.groupBy("qid").agg(F.max_by(F.struct("tid", "ratio"), F.struct("ratio", (-F.col("rank")).alias("r"))).alias("b"))
     return best.select("qid", "b.tid", F.round("b.ratio", 9).alias("ratio"), (F.col("b.ratio") >= audit.CEILING).alias("too_close"))

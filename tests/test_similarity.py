@@ -55,6 +55,42 @@ def test_shortlist_equals_all_pairs(spark):
     assert audit.dice_shortlist(q.limit(0), t, 5).collect() == [] == audit.dice_shortlist(q, t.limit(0), 5).collect()
 
 
+def shuffled_rows(spark, run):
+    """Rows that all stages of ``run`` wrote to shuffles."""
+    before = {x.stageId() for x in _stages(spark)}
+    run()
+    return sum(x.shuffleWriteRecords() for x in _stages(spark) if x.stageId() not in before)
+
+
+def _stages(spark):
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    found = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    return [found.apply(i) for i in range(found.size())]
+
+
+def test_shortlist_shuffles_the_nearest_alone(spark):
+    """No pair of a query and a text, and no trigram, is shuffled to be counted; queries in several blocks give the same."""
+    queries, texts = corpus(60, 20)
+    q, t = spark.createDataFrame(queries, "qid int, text string"), spark.createDataFrame(texts, "tid string, text string").repartition(4).localCheckpoint()
+    assert shuffled_rows(spark, lambda: audit.dice_shortlist(q, t, 5).collect()) < len(texts) + 2 * 4 * 5 * len(queries)
+
+
+def test_shortlist_in_blocks_and_ties(spark, monkeypatch):
+    queries, texts = corpus(20, 10)
+    texts += [(None, texts[0][1]), ("none", None)] + [(f"again{i}", texts[8][1]) for i in range(40)]
+    q, t = spark.createDataFrame(queries, "qid int, text string"), spark.createDataFrame(texts, "tid string, text string")
+    rows = lambda: sorted(((r.qid, r["rank"], r.tid, r.text, r.dice) for r in audit.dice_shortlist(q, t, 5).collect()), key=str)
+    whole = rows()
+    monkeypatch.setattr(audit, "BROADCAST_GRAMS", 300)
+    assert rows() == whole
+    named = [(i or "", x) for i, x in texts if x is not None]  # a null id comes before all others
+    want = {k: [(i or None, d) for i, d in v] for k, v in nearest(queries, named, 5).items() if v}
+    got: dict = {}
+    for r in sorted(whole, key=lambda r: r[:2]):
+        got.setdefault(r[0], []).append((r[2], r[4]))
+    assert got == want
+
+
 def test_trigram_codes(spark):
     texts = ["", "a", "ab", "aaaa", "héé 😀😀 x", "  "]
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", X.trigram_codes(F.col("t")).alias("c")).collect()
