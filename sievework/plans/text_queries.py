@@ -266,8 +266,9 @@ def q_trigram_dice_top(spark, sf_dir):
 def q_nearest_prompt_ratio(spark, sf_dir):
     """The best matching-block ratio of each item's shortlist; SQL has no such function."""
     q, t = _prompts(spark, sf_dir)
-    short = audit.dice_shortlist(q, t).drop("text").join(q.withColumnRenamed("text", "qt"), "qid").join(t.withColumnRenamed("text", "tt"), "tid")
-    scored = short.withColumn("ratio", dedup.ratio(F.col("qt"), F.col("tt"), False))
+    # A shortlist is few rows that cost some milliseconds each: they are dealt to all cores.
+    short = audit.dice_shortlist(q, t).withColumnRenamed("text", "tt").join(q.withColumnRenamed("text", "qt"), "qid")
+    scored = short.repartition(4 * spark.sparkContext.defaultParallelism).withColumn("ratio", dedup.ratio(F.col("qt"), F.col("tt"), False))
     best = scored.groupBy("qid").agg(F.max_by(F.struct("tid", "ratio"), F.struct("ratio", (-F.col("rank")).alias("r"))).alias("b"))
     return best.select("qid", "b.tid", F.round("b.ratio", 9).alias("ratio"), (F.col("b.ratio") >= audit.CEILING).alias("too_close"))
 
