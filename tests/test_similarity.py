@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import difflib
+import math
 import random
+from collections import Counter
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from sievework.functions import text as X
-from sievework.operators import audit, dedup
+from sievework.operators import audit, dedup, retrieval
 from sievework.plans import text_queries
 
 
@@ -112,3 +116,55 @@ def test_nearest_ratio_equals_difflib_over_all_pairs(spark, sf_dir):
     assert len(got) == sum(bool(v) for v in short.values())
     pairs = spark.createDataFrame([("abcd", "bcde"), (None, "x"), ("", "")], "a string, b string")
     assert [r[0] for r in pairs.select(dedup.ratio(F.col("a"), F.col("b"), False)).collect()] == [0.75, None, 1.0]
+
+
+def passages(seed, n, repeated=0):
+    pick = random.Random(seed)
+    vocabulary = [f"w{int(200 * pick.random() ** 3)}" for _ in range(400)]
+    chunks = [(i, " ".join(pick.choice(vocabulary) for _ in range(pick.randint(0, 30)))) for i in range(n)]
+    chunks += [(pick.randrange(n), pick.choice(chunks)[1]) for _ in range(repeated)] + [(None, chunks[1][1])] * 2
+    queries = [(f"q{i}", " ".join(pick.choice(vocabulary) for _ in range(pick.randint(0, 12)))) for i in range(25)]
+    return queries, chunks
+
+
+def ranked(queries, chunks, aims, limit, min_score):
+    """What the SQL of the lookup says: terms of a repeated id count as often as they come."""
+    sets = [(i, set(t.split())) for i, t in chunks]
+    df = Counter(w for _, s in sets for w in s)
+    out = {}
+    for qid, text in queries:
+        w = {t: (math.log((len(sets) + 1) / (df[t] + 1)) + 1) * (1.75 if t in aims else 1.0) for t in set(text.split())}
+        parts, aimed = Counter(), set()
+        for i, s in sets:
+            for t in s & set(w):
+                parts[i] += w[t]
+                aimed |= {i} if t in aims else set()
+        scores = {i: round(p / sum(w.values()), 6) for i, p in parts.items() if i in aimed}
+        first = sorted((-s, i is not None, i) for i, s in scores.items() if s >= min_score)[:limit]
+        out |= {(qid, k): (i, -s) for k, (s, _, i) in enumerate(first, 1)}
+    return out
+
+
+@pytest.mark.parametrize("repeated,terms", [(0, 500_000), (40, 500_000), (40, 20)])
+def test_lookup_like_its_sql(spark, monkeypatch, repeated, terms):
+    monkeypatch.setattr(retrieval, "BROADCAST_TERMS", terms)
+    queries, chunks = passages(repeated, 300, repeated)
+    q, c = spark.createDataFrame(queries, "query_id string, text string"), spark.createDataFrame(chunks, "chunk_id int, text string").repartition(3)
+    got = {(r.query_id, r["rank"]): (r.chunk_id, r.score) for r in retrieval.lookup(q, c, ("w0", "w1", "w5"), 3, 0.1, stop=(), aliases={}).collect()}
+    want = ranked(queries, chunks, {"w0", "w1", "w5"}, 3, 0.1)
+    assert got == want and len(got) > 30
+
+
+def test_lookup_shuffles_the_best_alone(spark):
+    """No pair of a query and a chunk is shuffled to be summed."""
+    queries, chunks = passages(1, 3000)
+    q, c = spark.createDataFrame(queries, "query_id string, text string"), spark.createDataFrame(chunks[:-2], "chunk_id int, text string").repartition(4).localCheckpoint()
+    run = lambda: retrieval.lookup(q, c, ("w0", "w1", "w5"), 3, 0.1, stop=(), aliases={}).collect()
+    assert shuffled_rows(spark, run) < 3 * len(chunks)
+
+
+def test_rounded_like_spark(spark):
+    values = [0.0, 0.1234565, 0.1234575, 1.0000005, 0.4999995, 0.49999949999, 2 / 3, 1 / 3, 0.3000004999999999]
+    values += [(2 * i + 1) / 2e6 for i in range(0, 400_000, 977)]
+    want = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v double").select(F.round("v", 6)).collect()]
+    assert retrieval.rounded(np.array(values)).tolist() == want
