@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
 
@@ -38,45 +39,82 @@ def missing(required: DataFrame, observed: DataFrame, on: str) -> DataFrame:
     return required.join(observed.select(on).distinct(), on, "left_anti")
 
 
+def small(df: DataFrame) -> DataFrame:
+    """``df`` with a hint to broadcast it where it has at most BROADCAST_GRAMS rows, else as it is."""
+    return F.broadcast(df) if df.limit(BROADCAST_GRAMS + 1).count() <= BROADCAST_GRAMS else df
+
+
 def sentence_matches(docs: DataFrame, items: DataFrame, least_words: int = 4) -> DataFrame:
     """Items with a sentence that occurs in a document word for word: pairs and number of sentences.
 
-    Sentences are normalized; shorter ones than ``least_words`` are too common to tell.
+    Sentences are normalized; shorter ones than ``least_words`` are too common to tell. Those of
+    documents that no item has end in the task that reads them.
     """
     def sentences(df: DataFrame, key: str) -> DataFrame:
         parts = df.select(key, F.explode(F.split("text", r"[.!?\n]+")).alias("s")).select(key, X.normalize(F.col("s")).alias("s"))
-        return parts.where(F.size(F.split("s", " ")) >= least_words).distinct()
+        return parts.where(F.size(F.split("s", " ")) >= least_words)
 
-    return sentences(docs, "doc_id").join(sentences(items, "item_id"), "s").groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("n_sentences"))
+    sought = settle(sentences(items, "item_id").distinct())
+    held = sentences(docs, "doc_id").join(small(sought.select("s").distinct()), "s", "left_semi").distinct()
+    return held.join(small(sought), "s").groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("n_sentences"))
 
 
 def ngram_matches(docs: DataFrame, items: DataFrame, n: int = 8) -> DataFrame:
-    """Shared n-word sequences of documents and items: pairs and their number.
-
-    Items of at most BROADCAST_GRAMS sequences go to every task, where a document's
-    sequences that no item has end at once; else both sides are shuffled by sequence.
-    Documents emit each distinct sequence once.
-    """
-    grams = lambda df, key: df.select(key, F.explode(X.word_ngrams(X.words(F.col("text")), n)).alias("g")).select(key, F.xxhash64("g").alias("h"), "g")
-    sought = grams(items, "item_id")
-    small = sought.limit(BROADCAST_GRAMS + 1).count() <= BROADCAST_GRAMS
-    return grams(docs, "doc_id").join(F.broadcast(sought) if small else sought, ["h", "g"]).groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("n_shared"))
+    """Shared n-word sequences of documents and items: pairs and their number, each distinct sequence once."""
+    sought = items.select("item_id", F.explode(X.word_ngrams(X.words(F.col("text")), n)).alias("phrase"))
+    return phrases_in_texts(sought, docs, n).groupBy("doc_id", "item_id").agg(F.sum("n").alias("n_shared"))
 
 
 def facts_in_texts(facts: DataFrame, docs: DataFrame) -> DataFrame:
-    """Facts (``fact_id, fact`` of one word or more) that stand in a document's normalized text: pairs.
+    """Facts (``fact_id, fact`` of one word or more) that stand in a document's normalized text: pairs."""
+    sought = facts.select("fact_id", X.normalize(F.col("fact")).alias("phrase")).where("phrase <> ''")
+    return phrases_in_texts(sought, docs, 3).select("doc_id", "fact_id").distinct()
+
+
+def phrases_in_texts(phrases: DataFrame, docs: DataFrame, head: int) -> DataFrame:
+    """How many of an id's phrases stand in a document's normalized text, word for word: ``doc_id``, the id and ``n``.
 
-    Instead of testing every pair, documents meet facts by the hash of a fact's first one,
-    two or three words; only those pairs get the document's text to compare the whole.
+    ``phrases`` has an id and a normalized ``phrase``. They go to every task, in blocks of at most about
+    BROADCAST_GRAMS, where a text meets those that share their first ``head`` words with it;
+    only matches leave the task, and no text is shuffled.
     """
-    head = lambda w: F.slice(w, 1, F.least(F.lit(3), F.size(w)))
-    form = facts.select("fact_id", X.normalize(F.col("fact")).alias("f"), X.words(F.col("fact")).alias("w")).where("f <> ''")
-    keyed = form.select("fact_id", "f", F.xxhash64(F.array_join(head(F.col("w")), " ")).alias("h"))
-    split = docs.select("doc_id", X.words(F.col("text")).alias("w"))
-    grams = F.array_distinct(F.flatten(F.array(*(F.transform(X.word_ngrams(F.col("w"), n), lambda g: F.xxhash64(g)) for n in (1, 2, 3)))))
-    met = split.select("doc_id", F.explode(grams).alias("h")).join(keyed, "h").select("doc_id", "fact_id", "f")
-    held = docs.select("doc_id", F.concat(F.lit(" "), X.normalize(F.col("text")), F.lit(" ")).alias("t"))
-    return met.join(held, "doc_id").where(F.contains("t", F.concat(F.lit(" "), F.col("f"), F.lit(" ")))).select("doc_id", "fact_id").distinct()
+    spark, own_id = docs.sparkSession, phrases.columns[0]
+    sought = settle(phrases.distinct())
+    blocks = max(1, math.ceil(sought.count() / BROADCAST_GRAMS))
+    held = dealt(docs.select("doc_id", "text")).select("doc_id", X.normalize(F.col("text")).alias("t"))
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {own_id} {phrases.schema[own_id].dataType.simpleString()}, n bigint"
+
+    def block(i: int) -> DataFrame:
+        own = sought.where(F.pmod(F.xxhash64(own_id), F.lit(blocks)) == i).toArrow()
+        shared = spark.sparkContext.broadcast((own[own_id].combine_chunks(), own["phrase"].to_pylist()))
+        return held.mapInArrow(lambda batches: _standing(batches, *shared.value, head, own_id), schema)
+
+    return unioned([block(i) for i in range(blocks)])
+
+
+def _standing(batches: Iterator[pa.RecordBatch], ids: pa.Array, phrases: list[str], head: int, own_id: str) -> Iterator[pa.RecordBatch]:
+    """For texts ``doc_id, t``, how many of an id's phrases stand in each, where any do."""
+    named = ids.dictionary_encode() if len(ids) else None
+    groups = named.indices.to_pylist() if named else []
+    by_head: dict[int, dict[tuple[str, ...], list[tuple[int, str | None]]]] = {}
+    for group, phrase in zip(groups, phrases, strict=True):
+        words = tuple(phrase.split(" "))
+        # The whole phrase is sought where it is longer than its head.
+        by_head.setdefault(len(words[:head]), {}).setdefault(words[:head], []).append((group, f" {phrase} " if len(words) > head else None))
+    heads = {n: frozenset(of) for n, of in by_head.items()}
+    for batch in batches if heads else ():
+        at, which, n = [], [], []
+        for row, text in enumerate(batch.column(1).to_pylist()):
+            if not text:
+                continue
+            words, met = text.split(" "), Counter()
+            for size, of in by_head.items():
+                for first in heads[size].intersection(zip(*(words[i:] for i in range(size)), strict=False)):
+                    met.update(group for group, whole in of[first] if whole is None or whole in f" {text} ")
+            at += [row] * len(met)
+            which += met.keys()
+            n += met.values()
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), named.dictionary.take(pa.array(which, pa.int64())), pa.array(n, pa.int64())], names=["doc_id", own_id, "n"])
 
 
 def dice_candidates(queries: DataFrame, texts: DataFrame, k: int = SHORTLIST) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import difflib
 import math
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -168,3 +169,49 @@ def test_rounded_like_spark(spark):
     values += [(2 * i + 1) / 2e6 for i in range(0, 400_000, 977)]
     want = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v double").select(F.round("v", 6)).collect()]
     assert retrieval.rounded(np.array(values)).tolist() == want
+
+
+def contaminated(seed, n):
+    pick = random.Random(seed)
+    word = lambda: f"v{int(300 * pick.random() ** 2)}"
+    items = [(i, ". ".join(" ".join(word() for _ in range(pick.randint(1, 12))) for _ in range(3))) for i in range(20)]
+    docs = [(i, " ".join(word() for _ in range(pick.randint(0, 40)))) for i in range(n)]
+    docs += [(n + k, f"x {pick.choice(docs)[1]}, {t.upper()}! y") for k, (_, t) in enumerate(items)] + [(None, items[0][1]), (n + 99, None), (n + 98, "")]
+    return items, docs
+
+
+def plain(text):
+    return " ".join(re.findall(r"[^\W_]+", (text or "").lower()))
+
+
+@pytest.mark.parametrize("most", [500_000, 7])
+def test_phrases_like_all_pairs(spark, monkeypatch, most):
+    """Facts of one word or more and eight-word sequences, in one block or several; only matches are shuffled."""
+    monkeypatch.setattr(audit, "BROADCAST_GRAMS", most)
+    items, docs = contaminated(3, 400)
+    facts = [(i, part) for i, t in items for part in t.split(".")] + [(50, "v1"), (51, "v0 v1"), (52, " !"), (53, None)]
+    f = spark.createDataFrame(facts, "fact_id int, fact string").localCheckpoint()
+    b = spark.createDataFrame(items, "item_id int, text string").localCheckpoint()
+    d = spark.createDataFrame(docs, "doc_id int, text string").repartition(4).localCheckpoint()
+    want = {(i, k) for i, t in docs for k, p in facts if plain(p) and f" {plain(p)} " in f" {plain(t)} "}
+    assert {tuple(r) for r in audit.facts_in_texts(f, d).collect()} == want and len(want) > 60
+
+    def grams(text):
+        w = plain(text).split()
+        return {tuple(w[i : i + 8]) for i in range(len(w) - 7)}
+
+    shared = {(i, k): len(grams(t) & grams(p)) for i, t in docs for k, p in items}
+    got = []
+    rows = shuffled_rows(spark, lambda: got.extend(audit.ngram_matches(d, b).collect()))
+    assert {(r.doc_id, r.item_id): r.n_shared for r in got} == {k: n for k, n in shared.items() if n} and len(got) > 15
+    assert most == 7 or rows < 3 * len(docs)
+
+
+def test_documents_stay_where_they_are_read(spark):
+    """Neither texts nor their sentences are shuffled to find those that an item has."""
+    items, docs = contaminated(5, 3000)
+    f = spark.createDataFrame(items, "fact_id int, fact string").localCheckpoint()
+    b = f.toDF("item_id", "text")
+    d = spark.createDataFrame(docs, "doc_id int, text string").repartition(4).localCheckpoint()
+    assert shuffled_rows(spark, lambda: audit.facts_in_texts(f, d).collect()) < len(docs) // 2
+    assert shuffled_rows(spark, lambda: audit.sentence_matches(d, b).collect()) < len(docs) // 2
