@@ -10,6 +10,7 @@ from sievework.operators import audit, dedup, splits
 from sievework.plans.registry import norm, norm_ascii, query
 from sievework.sources import sinks
 from sievework.sources.readers import table
+from sievework.sources.scratch import settle
 
 _PII = {k: v.replace("'", "''") for k, v in X.PII.items()}
 
@@ -366,15 +367,16 @@ def q_contamination_report(spark, sf_dir):
     """All gates between benchmark items and the other texts in one report."""
     d, items = docs(spark, sf_dir), table(spark, sf_dir, "benchmark")
     said = table(spark, sf_dir, "conversations").where("role = 'user'")
-    keys = lambda df: df.select(X.normalize(F.col("text")).alias("t")).distinct()
+    keys = lambda df: df.select(X.normalize(F.col("text")).alias("t"))
+    asked = audit.small(settle(keys(items).distinct()))
     parts = items.select(F.col("item_id").alias("fact_id"), F.explode(F.split("text", r"[.!?\n]+")).alias("fact"))
     return audit.contamination_report(
         {
-            "exact": keys(d).join(keys(items), "t"),
+            "exact": keys(d).join(asked, "t", "left_semi").distinct(),  # other texts end where they are read
             "sentences": audit.sentence_matches(d, items),
             "eight_words": audit.ngram_matches(d, items),
             "facts": audit.facts_in_texts(parts.where(F.size(X.words(F.col("fact"))) >= 3).distinct(), d),
             "ids": d.select("doc_id").join(items, F.col("doc_id") == F.col("item_id")),
-            "prompts": keys(said).join(keys(items), "t"),
+            "prompts": keys(said).join(asked, "t", "left_semi").distinct(),
         }
     )
