@@ -6,6 +6,8 @@ import gc
 import math
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +17,8 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 1_000_000
 #: Edges that a task of a round of contractions takes at least.
 TASK_EDGES = 1 << 16
+#: Bytes of an Arrow batch under ``small_batches``; a row is never cut.
+BATCH_BYTES = 2 << 20
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -49,6 +53,18 @@ def small_enough(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of about BATCH_BYTES for what Spark computes inside; 10,000 rows of texts take tens of MB in the JVM and in Python alike."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def tidy(spark: SparkSession) -> None:
     """Let Spark remove the shuffle files of frames that are gone: it learns of them when the driver's garbage is collected."""
     gc.collect()

@@ -6,9 +6,12 @@ import random
 
 import corpus_pipeline
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from sievework.llm import near
+from sievework.llm._common import BATCH_BYTES
 
 
 def brute_set(text):
@@ -89,3 +92,21 @@ def test_repeats_that_differ_elsewhere(spark):
     assert kept[0] == kept[1] == kept[2] and [r[0] for r in kept[0]] == [1, 2]
     alone = [near.keep_one(df.where("doc_id IS NULL").repartition(n)).collect() for n in (1, 2)]
     assert alone[0] == alone[1] and len(alone[0]) == 1
+
+
+def test_texts_go_to_python_in_small_batches(spark, monkeypatch):
+    """The stage bounds its Arrow batches by bytes, and the session's own bound is as before."""
+    key, seen = "spark.sql.execution.arrow.maxBytesPerBatch", []
+    before = spark.conf.get(key)
+    df = spark.range(0, 6000, 1, 1).select("id", F.repeat(F.lit("x"), 1000).alias("text"))
+    real = near.links
+
+    def links(rows, *more):
+        batches = df.mapInArrow(lambda it: (pa.RecordBatch.from_pydict({"size": [b.nbytes]}) for b in it), "size long").collect()
+        seen.extend(r.size for r in batches)
+        return real(rows, *more)
+
+    monkeypatch.setattr(near, "links", links)
+    rows = [(2, "one two three"), (1, "One two three"), (3, "other words")]
+    assert sorted(r.doc_id for r in near.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == [1, 3]
+    assert len(seen) > 1 and max(seen) < 1.1 * BATCH_BYTES and spark.conf.get(key) == before
