@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from sievework.llm import near
+from sievework.llm import near, simhash
 from sievework.llm._common import BATCH_BYTES
 
 
@@ -94,6 +94,26 @@ def test_repeats_that_differ_elsewhere(spark):
     assert alone[0] == alone[1] and len(alone[0]) == 1
 
 
+def test_fingerprints_link_first(spark):
+    """Operator 3's links, compared in full, are those of brute force; the exact join gets what is left."""
+    rng = random.Random(11)
+    base, texts = [f"w{i}" for i in range(300)], []
+    for _ in range(60):
+        words = list(base)
+        for at in rng.sample(range(300), rng.choice((1, 2, 6, 30))):
+            words[at] = f"x{rng.randrange(9)}"
+        texts.append(" ".join(words))
+    texts = list(dict.fromkeys([*texts, texts[0].upper(), texts[0].replace(" ", "\n"), "a b c", "no words in common"]))
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] * 2, "node long, text string")
+    sets, fps = [brute_set(t) for t in texts], [simhash.simhash(t, 5) for t in texts]
+    near_bits = lambda i, j: (fps[i] ^ fps[j]).bit_count() <= simhash.MAX_BITS
+    least = [fps.index(f) for f in fps]
+    pairs = {(min(least[i], i), i) for i in range(len(texts)) if least[i] != i} | {(i, j) for j in set(least) for i in set(least) if i < j and near_bits(i, j)}
+    want = {(i, j) for i, j in pairs if 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j])}
+    got = near.fingerprint_links(rows).collect()
+    assert len(want) > 5 and len(got) == len(set(got)) and {(r.a, r.b) for r in got} == want
+
+
 def test_texts_go_to_python_in_small_batches(spark, monkeypatch):
     """The stage bounds its Arrow batches by bytes, and the session's own bound is as before."""
     key, seen = "spark.sql.execution.arrow.maxBytesPerBatch", []
