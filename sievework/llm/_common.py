@@ -9,13 +9,13 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
 #: Rows of an id and a hash that may be broadcast: 32 MB at most.
 BROADCAST_ROWS = 1_000_000
-#: Edges that a task of a round of contractions takes at least.
+#: Edges that a task of a round of contractions takes at least, and rows of a partition of ``compact``.
 TASK_EDGES = 1 << 16
 #: Bytes of an Arrow batch under ``small_batches``; a row is never cut.
 BATCH_BYTES = 2 << 20
@@ -48,6 +48,18 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def compact(df: DataFrame, rows: int = TASK_EDGES) -> tuple[DataFrame, int]:
+    """``df`` settled, in partitions of about ``rows`` rows, and the number of its rows, which are counted as they are written.
+
+    What fits one partition is grouped and joined with its like without an exchange, so that
+    small frames take no task for each shuffle partition, of each of which the driver keeps a record.
+    """
+    seen = Observation()
+    held = settle(df.observe(seen, F.count(F.lit(1)).alias("rows")))
+    count = seen.get["rows"]
+    return held.coalesce(max(1, math.ceil(count / rows))), count
+
+
 def small_enough(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a hint to broadcast it where it has at most ``rows`` rows of a few numbers, else as it is."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
@@ -91,11 +103,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
     is spread by Spark's skew join and its minimum is found by partial aggregation.
     Only two numbers per round reach the driver.
     """
-    state = settle(
-        edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
-        .select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u"))
-        .distinct()
-    )
+    given = edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
+    state, _ = compact(given.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).distinct())
+    edge = lambda v, u: F.struct(F.col(v).alias("v"), F.col(u).alias("u"))
     before = None
     while True:  # the contractions end after a number of rounds that grows with the logarithm of the nodes
         mark = state.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("v", "u"))).first()
@@ -104,16 +114,17 @@ def connected_components(edges: DataFrame) -> DataFrame:
         before = mark
         # A round has no more edges than twice those it began with; few edges take few tasks and files.
         tasks = math.ceil(2 * mark[0] / TASK_EDGES)
-        held = lambda df: settle(df.coalesce(tasks))  # noqa: B023, E731  used in this round alone
+        # One task's edges stay in one partition throughout, as lists of edges are expanded, not united: nothing is exchanged.
+        held = lambda df: settle(df.coalesce(tasks)).coalesce(tasks)  # noqa: B023, E731  used in this round alone
         state = state.coalesce(tasks)
         # Large star: every larger neighbour of x moves to the smallest node around x.
-        both = state.unionByName(state.select(F.col("u").alias("v"), F.col("v").alias("u")))
+        both = state.select(F.inline(F.array(edge("v", "u"), edge("u", "v"))))
         lowest = held(both.groupBy("v").agg(F.min("u").alias("m")).select("v", F.least("v", "m").alias("m")))
         large = held(both.join(lowest, "v").where(F.col("u") > F.col("v")).select(F.col("u").alias("v"), F.col("m").alias("u")).distinct())
         # Small star: the smaller neighbours of x, and x itself, move to the smallest of them.
         lowest = held(large.groupBy("v").agg(F.min("u").alias("m")))
-        moved = large.join(lowest, "v").where(F.col("u") != F.col("m")).select(F.col("u").alias("v"), F.col("m").alias("u"))
-        state = held(moved.unionByName(lowest.select("v", F.col("m").alias("u"))).distinct())
+        moved = large.join(lowest, "v").select(F.inline(F.array(edge("u", "m"), edge("v", "m"))))
+        state = held(moved.where("v <> u").distinct())
         tidy(edges.sparkSession)
     roots = state.select(F.col("u").alias("node"), F.col("u").alias("root")).distinct()
     return state.select(F.col("v").alias("node"), F.col("u").alias("root")).unionByName(roots)

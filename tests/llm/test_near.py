@@ -130,3 +130,14 @@ def test_texts_go_to_python_in_small_batches(spark, monkeypatch):
     rows = [(2, "one two three"), (1, "One two three"), (3, "other words")]
     assert sorted(r.doc_id for r in near.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == [1, 3]
     assert len(seen) > 1 and max(seen) < 1.1 * BATCH_BYTES and spark.conf.get(key) == before
+
+
+def test_pairs_meet_about_once(spark):
+    """Texts that share a long run of early shingles, but too little to be linked, make a row a pair rather than one a shingle."""
+    texts = [" ".join([f"s{j}" for j in range(40)] + [f"t{i}-{j}" for j in range(20)]) for i in range(30)]
+    sets = [near.shingle_set(t, 5, near._Hashes()) for t in texts]
+    first = sorted(set(sets[0].tolist()) & set(sets[1].tolist()))[:20]
+    rows = [(t, i, len(s), at, i) for i, s in enumerate(sets) for at, t in enumerate(np.array(first, dtype=np.uint64).view(np.int64).tolist())]
+    placed = near._after(spark.createDataFrame(rows, "token long, node long, n long, at long, root long"))
+    met = near._meetings(placed, 0.8).collect()
+    assert len(met) == len({(r.a, r.b) for r in met}) == 30 * 29 // 2
