@@ -114,16 +114,17 @@ def connected_components(edges: DataFrame) -> DataFrame:
         before = mark
         # A round has no more edges than twice those it began with; few edges take few tasks and files.
         tasks = math.ceil(2 * mark[0] / TASK_EDGES)
-        # One task's edges stay in one partition throughout, as lists of edges are expanded, not united: nothing is exchanged.
+        # One task's edges, 1 MB, stay in one partition throughout: lists of edges are expanded, not united, and minima broadcast.
+        minima = (lambda df: F.broadcast(df)) if tasks == 1 else (lambda df: df)
         held = lambda df: settle(df.coalesce(tasks)).coalesce(tasks)  # noqa: B023, E731  used in this round alone
         state = state.coalesce(tasks)
         # Large star: every larger neighbour of x moves to the smallest node around x.
         both = state.select(F.inline(F.array(edge("v", "u"), edge("u", "v"))))
         lowest = held(both.groupBy("v").agg(F.min("u").alias("m")).select("v", F.least("v", "m").alias("m")))
-        large = held(both.join(lowest, "v").where(F.col("u") > F.col("v")).select(F.col("u").alias("v"), F.col("m").alias("u")).distinct())
+        large = held(both.join(minima(lowest), "v").where(F.col("u") > F.col("v")).select(F.col("u").alias("v"), F.col("m").alias("u")).distinct())
         # Small star: the smaller neighbours of x, and x itself, move to the smallest of them.
         lowest = held(large.groupBy("v").agg(F.min("u").alias("m")))
-        moved = large.join(lowest, "v").select(F.inline(F.array(edge("u", "m"), edge("v", "m"))))
+        moved = large.join(minima(lowest), "v").select(F.inline(F.array(edge("u", "m"), edge("v", "m"))))
         state = held(moved.where("v <> u").distinct())
         tidy(edges.sparkSession)
     roots = state.select(F.col("u").alias("node"), F.col("u").alias("root")).distinct()

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sievework.llm import near, simhash
-from sievework.llm._common import BATCH_BYTES
+from sievework.llm._common import BATCH_BYTES, connected_components
 
 
 def brute_set(text):
@@ -141,3 +141,22 @@ def test_pairs_meet_about_once(spark):
     placed = near._after(spark.createDataFrame(rows, "token long, node long, n long, at long, root long"))
     met = near._meetings(placed, 0.8).collect()
     assert len(met) == len({(r.a, r.b) for r in met}) == 30 * 29 // 2
+
+
+def test_few_edges_take_few_tasks(spark):
+    """Components of a few edges aren't dealt to all shuffle partitions in every round."""
+    edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101)], "a long, b long")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "23")
+    try:
+        spark.sparkContext.setJobGroup("few-edges", "components of a few edges")
+        roots = {r.node: r.root for r in connected_components(edges).collect()}
+        tracker = spark.sparkContext.statusTracker()
+        jobs = [tracker.getJobInfo(j) for j in tracker.getJobIdsForGroup("few-edges")]
+        tasks = sum(s.numCompletedTasks for k in {k for j in jobs for k in j.stageIds} if (s := tracker.getStageInfo(k)))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert roots == {**{i: 0 for i in range(61)}, 100: 100, 101: 100} and tasks < 200
