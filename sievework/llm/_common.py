@@ -51,8 +51,8 @@ def settle(df: DataFrame) -> DataFrame:
 def compact(df: DataFrame, rows: int = TASK_EDGES) -> tuple[DataFrame, int]:
     """``df`` settled, in partitions of about ``rows`` rows, and the number of its rows, which are counted as they are written.
 
-    What fits one partition is grouped and joined with its like without an exchange, so that
-    small frames take no task for each shuffle partition, of each of which the driver keeps a record.
+    What fits one partition is read by one task and grouped without an exchange, so that small
+    frames take no task for each shuffle partition, of each of which the driver keeps a record.
     """
     seen = Observation()
     held = settle(df.observe(seen, F.count(F.lit(1)).alias("rows")))
